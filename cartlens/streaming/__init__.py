@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference has no stream source, sink, watermark or state: its sessions
+are read as finished batch tables.  Nothing is built here; every operator in
+``cartlens.operators`` is a DataFrame function, so the stateless ones
+(projections, joins to a static feature table) also apply unchanged to a
+streaming DataFrame.
+"""
