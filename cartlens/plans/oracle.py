@@ -1,20 +1,31 @@
 """DuckDB SQL for every named query, written the way the reference computes
-it (length table, semi join, inner join, ...), so it checks the Spark plans'
-rewrites as well as their results."""
+it (length table, semi join, inner join, per-item loops as joins), so it
+checks the Spark plans' rewrites as well as their results."""
 
 from __future__ import annotations
 
-from cartlens.sources.fixtures import EMBEDDING_CATEGORIES
+from cartlens.sources.fixtures import EMBEDDING_CATEGORIES, PART_CATEGORIES
 
 EMB = [str(c) for c in EMBEDDING_CATEGORIES]
+PART = [str(c) for c in PART_CATEGORIES]
 
 EVENT_SESSIONS = ("select user_id session_id, cast(json_extract_string(props, '$.k') as int) item_id, "
                   "ts date from events where event_type in ('view', 'click')")
+EVENT_PURCHASES = ("select user_id session_id, cast(json_extract_string(props, '$.k') as int) item_id, "
+                   "ts date, event_id from events where event_type = 'purchase'")
+ORDER_SESSIONS = ("select l_orderkey session_id, l_partkey item_id, l_shipdate date, l_linenumber, l_suppkey "
+                  "from lineitem")
+CUSTOMER_SESSIONS = ("select o_custkey session_id, l_partkey item_id, l_shipdate date, l_orderkey, "
+                     "l_linenumber, l_suppkey from orders join lineitem on o_orderkey = l_orderkey")
+EMB_E = "select vec_id, unnest(range(1, 65)) c, unnest(embedding) x from embeddings"
 EMB_RAW = ("select vec_id item_id, cast(c as int) feature_category_id, 1 feature_value_id from e where x > 0 "
            "union all select vec_id, cast(c as int), 2 from e where x > cast(0.1 as float)")
-EMB_E = "select vec_id, unnest(range(1, 65)) c, unnest(embedding) x from embeddings"
 EMB_CLEAN = ("select item_id, feature_category_id, min(feature_value_id) feature_value_id "
              "from emb_raw group by item_id, feature_category_id")
+PART_RAW = ("select p_partkey item_id, cast(substr(p_brand, 7) as int) feature_category_id, 1 feature_value_id from part "
+            "union all select p_partkey, case p_type when 'ECONOMY' then 26 when 'LARGE' then 27 when 'MEDIUM' then 28 "
+            "when 'PROMO' then 29 when 'SMALL' then 30 else 31 end, 1 from part "
+            "union all select p_partkey, 32 + p_size % 42, 1 from part")
 
 
 def _encode(src: str, cols=EMB) -> str:
@@ -26,18 +37,165 @@ def _with(**ctes: str) -> str:
     return "with " + ",\n".join(f"{k} as materialized ({v})" for k, v in ctes.items()) + "\n"
 
 
-BASE = dict(s=EVENT_SESSIONS, e=EMB_E, emb_raw=EMB_RAW, emb_clean=EMB_CLEAN, enc=_encode("emb_clean"))
+EMB_BASE = dict(e=EMB_E, emb_raw=EMB_RAW, emb_clean=EMB_CLEAN, enc=_encode("emb_clean"))
+LENS = "select session_id, count(item_id) nb_items from s group by session_id"
+
+
+def _cols(prefix: str, cols=EMB) -> str:
+    return ", ".join(f"{prefix}\"{c}\"" for c in cols)
+
+
+def session_lengths() -> str:
+    return _with(s=ORDER_SESSIONS) + LENS
+
+
+def session_count() -> str:
+    return _with(s=ORDER_SESSIONS, lens=LENS) + "select count(session_id) n_sessions from lens"
+
+
+def item_views() -> str:
+    return _with(s=EVENT_SESSIONS) + "select item_id, count(item_id) count_seen from s group by item_id"
+
+
+def item_purchases() -> str:
+    return _with(p=EVENT_PURCHASES) + "select item_id, count(item_id) count_purchased from p group by item_id"
+
+
+def views_vs_purchases() -> str:
+    return _with(s=EVENT_SESSIONS, p=EVENT_PURCHASES,
+                 seen="select item_id, count(item_id) count_seen from s group by item_id",
+                 bought="select item_id, count(item_id) count_purchased from p group by item_id") + \
+        ("select seen.item_id, count_seen, count_purchased from seen join bought on seen.item_id = bought.item_id "
+         "order by count_seen desc, seen.item_id limit 100")
+
+
+def length_distribution() -> str:
+    return _with(s=CUSTOMER_SESSIONS) + \
+        "select session_id, count(item_id) n_consumed_items from s group by session_id"
+
+
+def clean_features() -> str:
+    return _with(e=EMB_E, emb_raw=EMB_RAW) + EMB_CLEAN
+
+
+def encode_features() -> str:
+    return _with(part_raw=PART_RAW,
+                 part_clean="select distinct item_id, feature_category_id, feature_value_id from part_raw") + \
+        _encode("part_clean", PART)
+
+
+def short_session_rows() -> str:
+    return _with(s=EVENT_SESSIONS, lens=LENS) + \
+        "select * from s where session_id in (select session_id from lens where nb_items <= 20)"
+
+
+def session_feature_rows() -> str:
+    return _with(s=EVENT_SESSIONS, **EMB_BASE) + \
+        f"select s.item_id, s.session_id, s.date, {_cols('enc.')} from s join enc on s.item_id = enc.item_id"
+
+
+def _short_joined() -> dict:
+    return dict(s=EVENT_SESSIONS, **EMB_BASE, lens=LENS,
+                short="select * from s where session_id in (select session_id from lens where nb_items <= 20)",
+                j="select short.session_id, enc.* exclude (item_id) from short join enc on short.item_id = enc.item_id")
+
+
+def session_feature_means() -> str:
+    cols = ", ".join(f"avg(j.\"{c}\") as \"{c}\"" for c in EMB)
+    return _with(**_short_joined()) + f"select session_id, {cols} from j group by session_id"
 
 
 def session_preferences() -> str:
     cols = ", ".join(f"case when avg(j.\"{c}\") >= 0.4 then 1 else 0 end as \"{c}\"" for c in EMB)
-    return _with(**BASE,
-                 lens="select session_id, count(item_id) nb_items from s group by session_id",
-                 short="select * from s where session_id in (select session_id from lens where nb_items <= 20)",
-                 j="select short.session_id, enc.* exclude (item_id) from short join enc on short.item_id = enc.item_id",
-                 ) + f"select session_id, {cols} from j group by session_id"
+    return _with(**_short_joined()) + f"select session_id, {cols} from j group by session_id"
+
+
+def stratum_sessions() -> str:
+    return _with(s=ORDER_SESSIONS) + \
+        ("select count(item_id) n_consumed_items, session_id from s group by session_id "
+         "having count(item_id) = 5 order by session_id limit 4")
+
+
+def stratum_purchases() -> str:
+    return _with(s=EVENT_SESSIONS, p=EVENT_PURCHASES,
+                 st="select session_id from s group by session_id having count(item_id) = 20") + \
+        "select p.session_id, p.item_id from p join st on p.session_id = st.session_id"
+
+
+def _profile_ctes() -> dict:
+    # per-item loop of the notebook as a join: every feature row of every
+    # listed item adds 1 to its category; shares divide by the list length.
+    return dict(e=EMB_E, emb_raw=EMB_RAW,
+                cats="select cast(c as int) category from range(1, 65) t(c)")
+
+
+def feature_profile() -> str:
+    return _with(s=EVENT_SESSIONS, **_profile_ctes(),
+                 n="select session_id, count(*) n from s group by session_id",
+                 hits=("select s.session_id, f.feature_category_id category, count(*) k from s "
+                       "join emb_raw f on s.item_id = f.item_id group by 1, 2")) + \
+        ("select n.session_id, cats.category, coalesce(hits.k, 0) / n.n as share from n cross join cats "
+         "left join hits on hits.session_id = n.session_id and hits.category = cats.category")
+
+
+def profile_comparison() -> str:
+    return _with(s=EVENT_SESSIONS, p=EVENT_PURCHASES, **_profile_ctes(),
+                 st="select session_id, count(*) n from s group by session_id having count(item_id) = 20",
+                 hits=("select s.session_id, f.feature_category_id category, count(*) k from s "
+                       "join st on s.session_id = st.session_id join emb_raw f on s.item_id = f.item_id group by 1, 2"),
+                 consumed=("select st.session_id, cats.category, coalesce(hits.k, 0) / st.n consumed_share "
+                           "from st cross join cats left join hits on hits.session_id = st.session_id "
+                           "and hits.category = cats.category"),
+                 bought="select p.session_id, p.item_id purchased_item from p join st on p.session_id = st.session_id",
+                 item_hits="select item_id, feature_category_id category, count(*) k from emb_raw group by 1, 2") + \
+        ("select b.session_id, b.purchased_item, c.category, c.consumed_share, "
+         "cast(coalesce(ih.k, 0) as double) / 1 purchased_share from bought b "
+         "join consumed c on c.session_id = b.session_id "
+         "left join item_hits ih on ih.item_id = b.purchased_item and ih.category = c.category")
+
+
+def sample_sessions() -> str:
+    unit = "cast('0x' || substr(md5(concat('42:', cast(session_id as varchar))), 1, 8) as bigint) / 4294967296.0"
+    frac = ("case when nb_items between 20 and 30 then 0.7::double when nb_items between 31 and 50 then 0.8::double "
+            "when nb_items between 51 and 100 then 1.0::double end")
+    return _with(s=CUSTOMER_SESSIONS, **EMB_BASE, lens=LENS,
+                 kept=f"select session_id from lens where {unit} < {frac}") + \
+        (f"select s.session_id, s.date, s.item_id, {_cols('enc.')} from s join enc on s.item_id = enc.item_id "
+         "where s.session_id in (select session_id from kept)")
+
+
+def time_spent() -> str:
+    return _with(s=EVENT_SESSIONS) + \
+        ("select session_id, item_id, date, date_diff('microsecond', date, lead(date) over "
+         "(partition by session_id order by date, item_id)) / 1e6 as time_spent from s")
+
+
+def recent_items() -> str:
+    return _with(s=EVENT_SESSIONS) + \
+        ("select * from (select session_id, item_id, date, row_number() over "
+         "(partition by session_id order by date desc, item_id) recency from s) where recency <= 10")
 
 
 ORACLE: dict[str, str] = {
-    "session_preferences": session_preferences(),
+    name: fn() for name, fn in {
+        "session_lengths": session_lengths,
+        "session_count": session_count,
+        "item_views": item_views,
+        "item_purchases": item_purchases,
+        "views_vs_purchases": views_vs_purchases,
+        "length_distribution": length_distribution,
+        "clean_features": clean_features,
+        "encode_features": encode_features,
+        "short_session_rows": short_session_rows,
+        "session_feature_rows": session_feature_rows,
+        "session_feature_means": session_feature_means,
+        "session_preferences": session_preferences,
+        "stratum_sessions": stratum_sessions,
+        "stratum_purchases": stratum_purchases,
+        "feature_profile": feature_profile,
+        "profile_comparison": profile_comparison,
+        "sample_sessions": sample_sessions,
+        "time_spent": time_spent,
+        "recent_items": recent_items,
+    }.items()
 }

@@ -1,6 +1,9 @@
 """Named queries: each takes ``(spark, sf_dir)`` and returns a DataFrame.
 
 Column names match the DuckDB oracle in ``cartlens.plans.oracle``.
+Inputs (see FIXTURES.md): ``event_sessions`` with the embedding features for
+preferences, profiles, k-modes and k-NN; ``order_sessions`` for lengths and
+short strata; ``customer_sessions`` for long sessions and sampling.
 """
 
 from __future__ import annotations
@@ -9,19 +12,134 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cartlens.operators import features as FT
+from cartlens.operators import popularity as PO
+from cartlens.operators import profiles as PR
 from cartlens.operators import sessions as S
-from cartlens.plans.inputs import EMB_COLS, emb_encoded
-from cartlens.sources import fixtures
+from cartlens.plans.inputs import EMB_CATS, EMB_COLS, PART_CATS, emb_encoded
+from cartlens.sources import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def q_session_lengths(spark, sf_dir):
+    """A1: items per order session."""
+    return S.session_lengths(X.order_sessions(spark, sf_dir))
+
+
+def q_session_count(spark, sf_dir):
+    """A4: number of order sessions."""
+    return S.session_count(S.session_lengths(X.order_sessions(spark, sf_dir)))
+
+
+def q_item_views(spark, sf_dir):
+    """A2: views per item."""
+    return PO.item_views(X.event_sessions(spark, sf_dir))
+
+
+def q_item_purchases(spark, sf_dir):
+    """A3: purchases per item."""
+    return PO.item_purchases(X.event_purchases(spark, sf_dir))
+
+
+def q_views_vs_purchases(spark, sf_dir):
+    """Top 100 items by views with their purchases."""
+    return PO.views_vs_purchases(X.event_sessions(spark, sf_dir), X.event_purchases(spark, sf_dir), 100)
+
+
+def q_length_distribution(spark, sf_dir):
+    """C14: items per customer session, longest first."""
+    return PO.length_distribution(X.customer_sessions(spark, sf_dir))
+
+
+def q_clean_features(spark, sf_dir):
+    """One row per (item, category) of the raw embedding features."""
+    return FT.clean_features(X.embedding_features(spark, sf_dir))
+
+
+def q_encode_features(spark, sf_dir):
+    """Multi-hot table of the 73 part categories."""
+    return FT.encode_features(FT.clean_features(X.part_features(spark, sf_dir)), PART_CATS)
+
+
+def q_short_session_rows(spark, sf_dir):
+    """Rows of event sessions of at most 20 items."""
+    return S.sessions_in_band(X.event_sessions(spark, sf_dir), hi=20)
+
+
+def q_session_feature_rows(spark, sf_dir):
+    """Event sessions joined to the encoded item features."""
+    return S.session_feature_rows(X.event_sessions(spark, sf_dir), emb_encoded(spark, sf_dir))
+
+
+def q_session_feature_means(spark, sf_dir):
+    """Mean of each feature over the joined rows, sessions <= 20 items."""
+    return S.session_feature_means(X.event_sessions(spark, sf_dir), emb_encoded(spark, sf_dir),
+                                   EMB_COLS, hi=20)
+
+
 def q_session_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of at most 20 items -> binary preference vector."""
-    return S.session_preferences(fixtures.event_sessions(spark, sf_dir),
+    return S.session_preferences(X.event_sessions(spark, sf_dir),
                                  emb_encoded(spark, sf_dir), EMB_COLS, hi=20)
 
 
+def q_stratum_sessions(spark, sf_dir):
+    """Four order sessions of exactly 5 items, by session id."""
+    return S.stratum_sessions(X.order_sessions(spark, sf_dir), 5, 4)
+
+
+def q_stratum_purchases(spark, sf_dir):
+    """Purchases of event sessions of exactly 20 items."""
+    stratum = S.stratum_sessions(X.event_sessions(spark, sf_dir), 20)
+    return PR.stratum_purchases(X.event_purchases(spark, sf_dir), stratum)
+
+
+def q_feature_profile(spark, sf_dir):
+    """Category shares of every event session's items."""
+    return PR.feature_profile(X.event_sessions(spark, sf_dir), X.embedding_features(spark, sf_dir),
+                              EMB_CATS)
+
+
+def q_profile_comparison(spark, sf_dir):
+    """Consumed versus purchased profile, event sessions of 20 items."""
+    return PR.profile_comparison(X.event_sessions(spark, sf_dir), X.event_purchases(spark, sf_dir),
+                                 X.embedding_features(spark, sf_dir), EMB_CATS, 20)
+
+
+def q_sample_sessions(spark, sf_dir):
+    """Seeded stratified sample of customer sessions, with features."""
+    return S.sample_sessions(X.customer_sessions(spark, sf_dir), emb_encoded(spark, sf_dir), EMB_COLS)
+
+
+def q_time_spent(spark, sf_dir):
+    """Seconds to the next view of the same event session."""
+    return S.time_spent(X.event_sessions(spark, sf_dir))
+
+
+def q_recent_items(spark, sf_dir):
+    """The 10 most recent views of each event session."""
+    return S.recent_items(X.event_sessions(spark, sf_dir), 10)
+
+
 QUERIES: dict[str, Query] = {
+    "session_lengths": q_session_lengths,
+    "session_count": q_session_count,
+    "item_views": q_item_views,
+    "item_purchases": q_item_purchases,
+    "views_vs_purchases": q_views_vs_purchases,
+    "length_distribution": q_length_distribution,
+    "clean_features": q_clean_features,
+    "encode_features": q_encode_features,
+    "short_session_rows": q_short_session_rows,
+    "session_feature_rows": q_session_feature_rows,
+    "session_feature_means": q_session_feature_means,
     "session_preferences": q_session_preferences,
+    "stratum_sessions": q_stratum_sessions,
+    "stratum_purchases": q_stratum_purchases,
+    "feature_profile": q_feature_profile,
+    "profile_comparison": q_profile_comparison,
+    "sample_sessions": q_sample_sessions,
+    "time_spent": q_time_spent,
+    "recent_items": q_recent_items,
 }
