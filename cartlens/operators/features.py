@@ -58,7 +58,7 @@ def pack_features(features: DataFrame, categories: Sequence[int], item: str = IT
     words = []
     for j in range(n_words(len(categories))):
         in_word = (F.col("_i") >= j * 64) & (F.col("_i") < (j + 1) * 64)
-        bit = F.shiftleft(F.lit(1).cast("long"), F.col("_i") - j * 64)
+        bit = F.expr(f"shiftleft(1L, _i - {j * 64})")
         words.append(F.coalesce(F.bit_or(F.when(in_word, bit)), F.lit(0).cast("long")).alias(f"{prefix}{j}"))
     return df.groupBy(item).agg(*words)
 

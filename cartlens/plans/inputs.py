@@ -5,13 +5,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartlens.operators.features import clean_features, encode_features, pack_features
+from cartlens.functions.bits import word_names
+from cartlens.operators.features import clean_features, encode_features, pack_features, wide_to_words
+from cartlens.operators.sessions import session_preferences
 from cartlens.sources import fixtures
 
 EMB_CATS = fixtures.EMBEDDING_CATEGORIES
 PART_CATS = fixtures.PART_CATEGORIES
 EMB_COLS = [str(c) for c in EMB_CATS]
 PART_COLS = [str(c) for c in PART_CATS]
+EMB_WORDS = word_names(len(EMB_CATS))
 
 
 def emb_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,3 +30,9 @@ def emb_encoded_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def emb_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item vectors as packed words (one word for 64 categories)."""
     return pack_features(fixtures.embedding_features(spark, sf_dir), EMB_CATS)
+
+
+def pref_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed preference vector of every event session of at most 20 items."""
+    prefs = session_preferences(fixtures.event_sessions(spark, sf_dir), emb_encoded(spark, sf_dir), EMB_COLS)
+    return wide_to_words(prefs, EMB_COLS, ["session_id"])

@@ -176,6 +176,57 @@ def recent_items() -> str:
          "(partition by session_id order by date desc, item_id) recency from s) where recency <= 10")
 
 
+def _dist(a: str, b: str, cols=EMB) -> str:
+    return "(" + " + ".join(f"({a}.\"{c}\" <> {b}.\"{c}\")::int" for c in cols) + ")"
+
+
+def _prefs_ctes() -> dict:
+    cols = ", ".join(f"case when avg(j.\"{c}\") >= 0.4 then 1 else 0 end as \"{c}\"" for c in EMB)
+    return dict(**_short_joined(), prefs=f"select session_id, {cols} from j group by session_id",
+                p=EVENT_PURCHASES,
+                target=("select session_id, item_id from (select session_id, item_id, row_number() over "
+                        "(partition by session_id order by date desc, event_id desc) r from p) where r = 1"))
+
+
+def _knn_ctes() -> dict:
+    return dict(**_prefs_ctes(),
+                d=f"select prefs.session_id, enc.item_id, {_dist('prefs', 'enc')} distance from prefs cross join enc",
+                knn=("select * from (select session_id, row_number() over (partition by session_id "
+                     "order by distance, item_id) rank, item_id, distance from d) where rank <= 10"))
+
+
+def pairwise_hamming() -> str:
+    return _with(**_prefs_ctes()) + \
+        (f"select target.session_id, target.item_id, {_dist('prefs', 'enc')} distance from target "
+         "join prefs on prefs.session_id = target.session_id join enc on enc.item_id = target.item_id")
+
+
+def knn_items() -> str:
+    return _with(**_knn_ctes()) + "select session_id, rank, item_id, distance from knn"
+
+
+def knn_mrr() -> str:
+    return _with(**_knn_ctes()) + \
+        ("select avg(coalesce(1.0 / knn.rank, 0.0)) mrr, count(*) n_sessions from target "
+         "left join knn on knn.session_id = target.session_id and knn.item_id = target.item_id "
+         "where target.session_id in (select session_id from knn)")
+
+
+def list_reciprocal() -> str:
+    return _with(**_knn_ctes()) + "select session_id, avg(1.0 / rank) score from knn group by session_id"
+
+
+def distance_multiplicity() -> str:
+    return _with(**_knn_ctes()) + \
+        "select session_id, distance, count(*) multiplicity from d group by session_id, distance"
+
+
+def next_distance() -> str:
+    return _with(**_knn_ctes(), m="select session_id, distance from d group by session_id, distance") + \
+        ("select session_id, distance, lead(distance) over (partition by session_id order by distance) "
+         "next_distance from m")
+
+
 ORACLE: dict[str, str] = {
     name: fn() for name, fn in {
         "session_lengths": session_lengths,
@@ -197,5 +248,11 @@ ORACLE: dict[str, str] = {
         "sample_sessions": sample_sessions,
         "time_spent": time_spent,
         "recent_items": recent_items,
+        "pairwise_hamming": pairwise_hamming,
+        "knn_items": knn_items,
+        "knn_mrr": knn_mrr,
+        "list_reciprocal": list_reciprocal,
+        "distance_multiplicity": distance_multiplicity,
+        "next_distance": next_distance,
     }.items()
 }

@@ -12,11 +12,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cartlens.operators import distance as D
 from cartlens.operators import features as FT
 from cartlens.operators import popularity as PO
 from cartlens.operators import profiles as PR
+from cartlens.operators import recommend as RC
 from cartlens.operators import sessions as S
-from cartlens.plans.inputs import EMB_CATS, EMB_COLS, PART_CATS, emb_encoded
+from cartlens.plans.inputs import EMB_CATS, EMB_COLS, EMB_WORDS, PART_CATS, emb_encoded, emb_packed, pref_words
 from cartlens.sources import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,6 +124,41 @@ def q_recent_items(spark, sf_dir):
     return S.recent_items(X.event_sessions(spark, sf_dir), 10)
 
 
+KNN_K = 10
+
+
+def q_pairwise_hamming(spark, sf_dir):
+    """distance from each session's preference vector to the vector of
+    the item it bought last."""
+    left = pref_words(spark, sf_dir).join(X.last_purchases(spark, sf_dir), "session_id")
+    return D.hamming_pairs(left, emb_packed(spark, sf_dir), "item_id", EMB_WORDS, keep=["session_id"])
+
+
+def q_knn_items(spark, sf_dir):
+    """The 10 items nearest to each session's preference."""
+    return D.knn(pref_words(spark, sf_dir), emb_packed(spark, sf_dir), KNN_K, EMB_WORDS)
+
+
+def q_knn_mrr(spark, sf_dir):
+    """Mean reciprocal rank of the last purchase in the k-NN list."""
+    return RC.mrr(q_knn_items(spark, sf_dir), X.last_purchases(spark, sf_dir))
+
+
+def q_list_reciprocal(spark, sf_dir):
+    """The list-only reciprocal score of each k-NN list."""
+    return RC.list_reciprocal(q_knn_items(spark, sf_dir))
+
+
+def q_distance_multiplicity(spark, sf_dir):
+    """Each session's distances to all items, with multiplicity."""
+    return D.distance_multiplicity(pref_words(spark, sf_dir), emb_packed(spark, sf_dir), EMB_WORDS)
+
+
+def q_next_distance(spark, sf_dir):
+    """Next larger distance value for each stored one."""
+    return D.next_distance(q_distance_multiplicity(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "session_lengths": q_session_lengths,
     "session_count": q_session_count,
@@ -142,4 +179,10 @@ QUERIES: dict[str, Query] = {
     "sample_sessions": q_sample_sessions,
     "time_spent": q_time_spent,
     "recent_items": q_recent_items,
+    "pairwise_hamming": q_pairwise_hamming,
+    "knn_items": q_knn_items,
+    "knn_mrr": q_knn_mrr,
+    "list_reciprocal": q_list_reciprocal,
+    "distance_multiplicity": q_distance_multiplicity,
+    "next_distance": q_next_distance,
 }
