@@ -88,7 +88,7 @@ def hamming_arrays(a: Column | str, b: Column | str) -> Column:
 def complement_words(words: Sequence[Column | str], n_features: int) -> list[Column]:
     """``1 - q`` for every feature bit (F2)."""
     col = lambda c: F.col(c) if isinstance(c, str) else c
-    return [F.bitwiseNOT(col(w)).bitwiseAND(F.lit(valid_mask(n_features, j)))
+    return [F.bitwise_not(col(w)).bitwiseAND(F.lit(valid_mask(n_features, j)))
             for j, w in enumerate(words)]
 
 

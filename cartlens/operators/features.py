@@ -89,8 +89,11 @@ def value_domain(wide: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
 
 def value_frequency(wide: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
     """How often each value occurs in each feature column (A10):
-    ``(category, value, n)``, zero counts left out."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).cast("long").alias("value"))
+    ``(category, value, n)``, zero counts left out; ``category`` is the
+    column name read as an int when it is one."""
+    def cat(c: str):
+        return F.lit(int(c)) if c.isdigit() else F.lit(c)
+    pairs = F.explode(F.array(*[F.struct(cat(c).alias("category"), F.col(c).cast("long").alias("value"))
                                 for c in feature_cols]))
     return (wide.select(pairs.alias("_c")).select("_c.category", "_c.value")
                 .groupBy("category", "value").agg(F.count(F.lit(1)).alias("n")))

@@ -227,6 +227,140 @@ def next_distance() -> str:
          "next_distance from m")
 
 
+# ---------------------------------------------------------------- k-modes
+KMODES_ROUNDS = 20
+_IDX = list(enumerate(EMB))
+
+
+def _sum(terms) -> str:
+    return "(" + " + ".join(terms) + ")"
+
+
+def _kmodes_ctes(rows: str, limit: str = "n") -> dict:
+    """Seeds and KMODES_ROUNDS unrolled rounds over CTE ``rows``
+    (session_id, item_id, date, "1".."64"); newest row first wins ties.
+    Final round of a session: least(KMODES_ROUNDS, its row count)."""
+    o = ", ".join(f"sum(\"{c}\") o{i}" for i, c in _IDX)
+    tot = _sum([f"o{i}" for i, _ in _IDX])
+    q1 = ", ".join(f"case when nv = 2 then ((case when 2 * o{i} > n then 1 else 0 end) + {i}) % 2 else 0 end q{i}"
+                   for i, _ in _IDX)
+    d_q1 = _sum([f"(r.\"{c}\" <> q.q{i})::int" for i, c in _IDX])
+    d_q2 = _sum([f"(r.\"{c}\" <> 1 - q.q{i})::int" for i, c in _IDX])
+    ctes = {
+        "gs": f"select session_id, count(*) n, {o} from {rows} group by session_id",
+        "gq": f"select session_id, n, case when {tot} = 0 or {tot} = n * {len(EMB)} then 1 else 2 end nv, "
+              + ", ".join(f"o{i}" for i, _ in _IDX) + " from gs",
+        "q": f"select session_id, {q1} from gq",
+        "s0": f"select * from (select r.*, row_number() over (partition by r.session_id order by {d_q1}, "
+              f"r.date desc, r.item_id) rn from {rows} r join q on q.session_id = r.session_id) where rn = 1",
+        "s1": f"select * from (select r.*, row_number() over (partition by r.session_id order by {d_q2}, "
+              f"r.date desc, r.item_id) rn from {rows} r join q on q.session_id = r.session_id) where rn = 1",
+        "m0": "select s0.session_id, " + ", ".join(f"s0.\"{c}\" a{i}, s1.\"{c}\" b{i}" for i, c in _IDX)
+              + " from s0 join s1 on s0.session_id = s1.session_id",
+    }
+    d0 = _sum([f"(r.\"{c}\" <> m.a{i})::int" for i, c in _IDX])
+    d1 = _sum([f"(r.\"{c}\" <> m.b{i})::int" for i, c in _IDX])
+    upd = ", ".join(
+        f"(2 * sum(case when cl = 0 then \"{c}\" else 0 end) > count(*) filter (where cl = 0))::int a{i}, "
+        f"(2 * sum(case when cl = 1 then \"{c}\" else 0 end) > count(*) filter (where cl = 1))::int b{i}"
+        for i, c in _IDX)
+    for r in range(1, KMODES_ROUNDS + 1):
+        ctes[f"a{r}"] = (f"select r.*, case when {d1} < {d0} then 1 else 0 end cl from {rows} r "
+                         f"join m{r - 1} m on m.session_id = r.session_id")
+        ctes[f"m{r}"] = f"select session_id, {upd} from a{r} group by session_id"
+    ctes["fin"] = f"select session_id, least({KMODES_ROUNDS}, {limit}) f from gs"
+    ctes["fa"] = " union all ".join(
+        f"select a{r}.* , {r} rnd from a{r} join fin on fin.session_id = a{r}.session_id and fin.f = {r}"
+        for r in range(1, KMODES_ROUNDS + 1))
+    ctes["fm"] = " union all ".join(
+        f"select m{r}.* from m{r} join fin on fin.session_id = m{r}.session_id and fin.f = {r}"
+        for r in range(1, KMODES_ROUNDS + 1))
+    return ctes
+
+
+def _long_rows() -> dict:
+    return dict(s=EVENT_SESSIONS, **EMB_BASE, lens=LENS,
+                kr=("select s.session_id, s.item_id, s.date, " + _cols("enc.") + " from s join enc on "
+                    "s.item_id = enc.item_id where s.session_id in (select session_id from lens where nb_items > 10)"))
+
+
+def _enc_raw() -> dict:
+    return dict(e=EMB_E, emb_raw=EMB_RAW, encr=_encode("emb_raw"),
+                cells="unpivot encr on columns(* exclude (item_id)) into name c value v")
+
+
+def value_domain() -> str:
+    return _with(**_enc_raw()) + "select distinct cast(v as bigint) as value from cells"
+
+
+def value_frequency() -> str:
+    return _with(**_enc_raw()) + \
+        "select cast(c as int) category, cast(v as bigint) as value, count(*) n from cells group by 1, 2"
+
+
+def group_mode() -> str:
+    cols = ", ".join(f"(2 * sum(\"{c}\") > count(*))::int as \"{c}\"" for c in EMB)
+    return _with(**_long_rows()) + f"select session_id, {cols} from kr group by session_id"
+
+
+def kmodes_seeds() -> str:
+    return _with(**_long_rows(), **_kmodes_ctes("kr")) + \
+        "select session_id, 0 seed, item_id, date from s0 union all select session_id, 1, item_id, date from s1"
+
+
+def kmodes_assign() -> str:
+    return _with(**_long_rows(), **_kmodes_ctes("kr")) + "select session_id, item_id, date, cl as cluster from a1"
+
+
+def kmodes_fit() -> str:
+    return _with(**_long_rows(), **_kmodes_ctes("kr")) + "select session_id, item_id, date, cl as cluster from fa"
+
+
+def cluster_sizes() -> str:
+    return _with(**_long_rows(), **_kmodes_ctes("kr")) + \
+        "select session_id, cl as cluster, count(*) n from fa group by 1, 2"
+
+
+def clustered_preferences() -> str:
+    d0 = _sum([f"(r.\"{c}\" <> m.a{i})::int" for i, c in _IDX])
+    d1 = _sum([f"(r.\"{c}\" <> m.b{i})::int" for i, c in _IDX])
+    bits = ", ".join(f"case when v.chosen = 1 then m.b{i} else m.a{i} end as \"{c}\"" for i, c in _IDX)
+    return _with(**_long_rows(), **_kmodes_ctes("kr"),
+                 rec=("select * from (select kr.*, row_number() over (partition by session_id order by date desc, "
+                      "item_id) rr from kr) where rr <= 10"),
+                 vote=(f"select r.session_id, case when sum(case when {d1} < {d0} then 1 else 0 end) > 0.5 * count(*) "
+                       "then 1 else 0 end chosen from rec r join fm m on m.session_id = r.session_id group by 1")) + \
+        f"select v.session_id, {bits} from vote v join fm m on m.session_id = v.session_id"
+
+
+def cluster_statistics() -> str:
+    unit = "cast('0x' || substr(md5(concat('42:', cast(session_id as varchar))), 1, 8) as bigint) / 4294967296.0"
+    frac = ("case when nb_items between 20 and 30 then 0.7::double when nb_items between 31 and 50 then 0.8::double "
+            "when nb_items between 51 and 100 then 1.0::double end")
+    d_own = _sum([f"(f.\"{c}\" <> case when f.cl = 1 then m.b{i} else m.a{i} end)::int" for i, c in _IDX])
+    t0 = _sum([f"(t.\"{c}\" <> m.a{i})::int" for i, c in _IDX])
+    t1 = _sum([f"(t.\"{c}\" <> m.b{i})::int" for i, c in _IDX])
+    return _with(s=EVENT_SESSIONS, **EMB_BASE, lens=LENS, p=EVENT_PURCHASES,
+                 kept=f"select session_id from lens where {unit} < {frac}",
+                 kr0=(f"select s.session_id, s.date, s.item_id, {_cols('enc.')} from s join enc on s.item_id = enc.item_id "
+                      "where s.session_id in (select session_id from kept)"),
+                 kr=("select kr0.*, date_diff('microsecond', date, lead(date) over (partition by session_id "
+                     "order by date, item_id)) / 1e6 as time_spent from kr0"),
+                 **_kmodes_ctes("kr"),
+                 own=f"select f.session_id, f.cl, f.time_spent, {d_own} d from fa f join fm m on m.session_id = f.session_id",
+                 st=("select session_id, cast(count(*) as int) session_length, "
+                     "cast(coalesce(var_pop(d) filter (where cl = 0), 0) as float) var1_d, "
+                     "cast(coalesce(var_pop(d) filter (where cl = 1), 0) as float) var2_d, "
+                     "cast(coalesce(var_pop(time_spent) filter (where cl = 0), 0) as float) var1_t, "
+                     "cast(coalesce(var_pop(time_spent) filter (where cl = 1), 0) as float) var2_t "
+                     "from own group by session_id"),
+                 target=("select session_id, item_id from (select session_id, item_id, row_number() over "
+                         "(partition by session_id order by date desc, event_id desc) r from p) where r = 1"),
+                 tc=(f"select tg.session_id, case when {t1} < {t0} then 1 else 0 end true_cluster from target tg "
+                     "join enc t on t.item_id = tg.item_id join fm m on m.session_id = tg.session_id")) + \
+        "select st.*, tc.true_cluster from st join tc on st.session_id = tc.session_id"
+
+
 ORACLE: dict[str, str] = {
     name: fn() for name, fn in {
         "session_lengths": session_lengths,
@@ -254,5 +388,14 @@ ORACLE: dict[str, str] = {
         "list_reciprocal": list_reciprocal,
         "distance_multiplicity": distance_multiplicity,
         "next_distance": next_distance,
+        "value_domain": value_domain,
+        "value_frequency": value_frequency,
+        "group_mode": group_mode,
+        "kmodes_seeds": kmodes_seeds,
+        "kmodes_assign": kmodes_assign,
+        "kmodes_fit": kmodes_fit,
+        "cluster_sizes": cluster_sizes,
+        "clustered_preferences": clustered_preferences,
+        "cluster_statistics": cluster_statistics,
     }.items()
 }

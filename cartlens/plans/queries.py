@@ -14,11 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cartlens.operators import distance as D
 from cartlens.operators import features as FT
+from cartlens.operators import kmodes as KM
 from cartlens.operators import popularity as PO
+from cartlens.operators import preference as PF
 from cartlens.operators import profiles as PR
 from cartlens.operators import recommend as RC
 from cartlens.operators import sessions as S
-from cartlens.plans.inputs import EMB_CATS, EMB_COLS, EMB_WORDS, PART_CATS, emb_encoded, emb_packed, pref_words
+from cartlens.plans.inputs import (EMB_CATS, EMB_COLS, EMB_WORDS, PART_CATS, emb_encoded, emb_encoded_raw,
+                                  emb_packed, pref_words)
 from cartlens.sources import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,6 +162,74 @@ def q_next_distance(spark, sf_dir):
     return D.next_distance(q_distance_multiplicity(spark, sf_dir))
 
 
+def _long_rows(spark, sf_dir):
+    """Event sessions of more than 10 items joined to packed item vectors."""
+    return PF.clustering_rows(X.event_sessions(spark, sf_dir), emb_packed(spark, sf_dir), lo=11)
+
+
+def _unpacked(df: DataFrame, keep) -> DataFrame:
+    return FT.words_to_wide(df, EMB_CATS, keep)
+
+
+def q_value_domain(spark, sf_dir):
+    """Distinct cell values of the raw multi-hot item table."""
+    return FT.value_domain(emb_encoded_raw(spark, sf_dir), EMB_COLS)
+
+
+def q_value_frequency(spark, sf_dir):
+    """A10: count of each value in each column of the raw multi-hot table."""
+    return FT.value_frequency(emb_encoded_raw(spark, sf_dir), EMB_COLS)
+
+
+def q_group_mode(spark, sf_dir):
+    """Column-wise mode of each long session's item vectors."""
+    modes = KM.group_mode(_long_rows(spark, sf_dir), "session_id", EMB_WORDS, len(EMB_CATS))
+    return _unpacked(modes, ["session_id"])
+
+
+def q_kmodes_seeds(spark, sf_dir):
+    """The two seed rows of each long session."""
+    seeds = KM.seeds(_long_rows(spark, sf_dir), "session_id", PF.newest_first(), EMB_WORDS,
+                     len(EMB_CATS), payload=["item_id", "date"])
+    return seeds.select("session_id", "seed", "item_id", "date")
+
+
+def q_kmodes_assign(spark, sf_dir):
+    """First assignment of each row to its nearest seed."""
+    rows = _long_rows(spark, sf_dir)
+    seeds = KM.seeds(rows, "session_id", PF.newest_first(), EMB_WORDS, len(EMB_CATS)) \
+        .withColumnRenamed("seed", "cluster")
+    return KM.assign(rows, seeds, "session_id", EMB_WORDS).select("session_id", "item_id", "date", "cluster")
+
+
+def _fit(spark, sf_dir):
+    return PF.fit_sessions(_long_rows(spark, sf_dir), EMB_WORDS, len(EMB_CATS))
+
+
+def q_kmodes_fit(spark, sf_dir):
+    """Final cluster of every row of every long session."""
+    return _fit(spark, sf_dir).assignments.select("session_id", "item_id", "date", "cluster")
+
+
+def q_cluster_sizes(spark, sf_dir):
+    """Rows per non-empty cluster after the fit."""
+    return KM.cluster_sizes(_fit(spark, sf_dir).assignments, "session_id")
+
+
+def q_clustered_preferences(spark, sf_dir):
+    """Preference of each long session by k-modes and vote."""
+    rows = _long_rows(spark, sf_dir)
+    prefs = PF.clustered_preferences(rows, PF.fit_sessions(rows, EMB_WORDS, len(EMB_CATS)), EMB_WORDS)
+    return _unpacked(prefs, ["session_id"])
+
+
+def q_cluster_statistics(spark, sf_dir):
+    """Cluster statistics of the sampled event sessions."""
+    packed = emb_packed(spark, sf_dir)
+    sample = S.sample_sessions(X.event_sessions(spark, sf_dir), packed, EMB_WORDS)
+    return PF.cluster_statistics(sample, X.last_purchases(spark, sf_dir), packed, EMB_WORDS, len(EMB_CATS))
+
+
 QUERIES: dict[str, Query] = {
     "session_lengths": q_session_lengths,
     "session_count": q_session_count,
@@ -185,4 +256,13 @@ QUERIES: dict[str, Query] = {
     "list_reciprocal": q_list_reciprocal,
     "distance_multiplicity": q_distance_multiplicity,
     "next_distance": q_next_distance,
+    "value_domain": q_value_domain,
+    "value_frequency": q_value_frequency,
+    "group_mode": q_group_mode,
+    "kmodes_seeds": q_kmodes_seeds,
+    "kmodes_assign": q_kmodes_assign,
+    "kmodes_fit": q_kmodes_fit,
+    "cluster_sizes": q_cluster_sizes,
+    "clustered_preferences": q_clustered_preferences,
+    "cluster_statistics": q_cluster_statistics,
 }
