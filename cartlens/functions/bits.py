@@ -42,12 +42,22 @@ def valid_mask(n_features: int, word: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def pack_columns(cols: Sequence[Column | str]) -> list[Column]:
     """0/1 columns, in category order, to packed words (per row).
-    A value other than 0 sets the bit; null counts as 0."""
+    A value other than 0 sets the bit; null counts as 0.  Column names are
+    turned into one SQL expression per word (one JVM call, not one per bit)."""
     words = []
     for j in range(n_words(len(cols))):
         part = cols[j * WORD_BITS:(j + 1) * WORD_BITS]
+        if all(isinstance(c, str) for c in part):
+            text = " | ".join(f"shiftleft(cast(coalesce({_q(c)}, 0) <> 0 as bigint), {b})"
+                              for b, c in enumerate(part))
+            words.append(F.expr(text))
+            continue
         terms = [F.when(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0)) != 0, _bit(b))
                   .otherwise(F.lit(0).cast("long")) for b, c in enumerate(part)]
         words.append(reduce(lambda a, b: a.bitwiseOR(b), terms))
@@ -59,8 +69,10 @@ def unpack_words(words: Sequence[Column | str], n_features: int) -> list[Column]
     out = []
     for i in range(n_features):
         j, b = bit_position(i)
-        w = F.col(words[j]) if isinstance(words[j], str) else words[j]
-        out.append(F.shiftright(w, b).bitwiseAND(F.lit(1)).cast("int"))
+        if isinstance(words[j], str):
+            out.append(F.expr(f"cast(shiftright({_q(words[j])}, {b}) & 1 as int)"))
+            continue
+        out.append(F.shiftright(words[j], b).bitwiseAND(F.lit(1)).cast("int"))
     return out
 
 

@@ -27,7 +27,6 @@ sums are two-phase aggregates.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -40,29 +39,31 @@ from cartlens.runtime import checkpoint_dir
 CLUSTER = "cluster"
 
 
-def _bit_sums(words: Sequence[str], n_features: int, cond: Column | None = None) -> list[Column]:
-    """``sum`` of every feature bit over the rows (optionally where ``cond``)."""
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _bit_sums(words: Sequence[str], n_features: int, cond: str | None = None) -> list[Column]:
+    """``sum`` of every feature bit over the rows (optionally where the SQL
+    condition ``cond`` holds), as columns ``_o{i}``.  Written as SQL text:
+    one call per expression instead of a dozen per bit."""
     out = []
     for i in range(n_features):
         j, b = divmod(i, WORD_BITS)
-        bit = F.shiftright(F.col(words[j]), b).bitwiseAND(F.lit(1))
+        bit = f"(shiftright({_q(words[j])}, {b}) & 1)"
         if cond is not None:
-            bit = F.when(cond, bit)
-        out.append(F.coalesce(F.sum(bit), F.lit(0)).alias(f"_o{i}"))
+            bit = f"(case when {cond} then {bit} end)"
+        out.append(F.expr(f"coalesce(sum({bit}), 0)").alias(f"_o{i}"))
     return out
 
 
-def _majority_words(n_col: Column, n_features: int, prefix: str = "w") -> list[Column]:
+def _majority_words(n_col: str, n_features: int, prefix: str = "w") -> list[Column]:
     """Pack ``2 * ones > n`` of every feature (columns ``_o{i}``) into words."""
     words = []
     for j in range(-(-n_features // WORD_BITS)):
-        acc = F.lit(0).cast("long")
-        for b in range(min(WORD_BITS, n_features - j * WORD_BITS)):
-            i = j * WORD_BITS + b
-            on = F.when(F.col(f"_o{i}") * 2 > n_col, F.shiftleft(F.lit(1).cast("long"), b)) \
-                  .otherwise(F.lit(0).cast("long"))
-            acc = acc.bitwiseOR(on)
-        words.append(acc.alias(f"{prefix}{j}"))
+        terms = [f"shiftleft(cast(_o{j * WORD_BITS + b} * 2 > {_q(n_col)} as bigint), {b})"
+                 for b in range(min(WORD_BITS, n_features - j * WORD_BITS))]
+        words.append(F.expr(" | ".join(terms)).alias(f"{prefix}{j}"))
     return words
 
 
@@ -79,7 +80,7 @@ def value_count(rows: DataFrame, group: str, words: Sequence[str], n_features: i
     cell is equal, else 2 for binary rows) and the feature sums ``_o{i}``."""
     sums = _bit_sums(words, n_features)
     agg = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *sums)
-    total = sum((F.col(f"_o{i}") for i in range(n_features)), F.lit(0))
+    total = F.expr(" + ".join(f"_o{i}" for i in range(n_features)))
     n_values = F.when((total == 0) | (total == F.col("n") * n_features), F.lit(1)).otherwise(F.lit(2))
     return agg.withColumn("n_values", n_values)
 
@@ -89,7 +90,7 @@ def group_mode(rows: DataFrame, group: Sequence[str] | str, words: Sequence[str]
     """Column-wise mode of each group (A11): ``(group..., w0, ...)``."""
     group = [group] if isinstance(group, str) else list(group)
     agg = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), *_bit_sums(words, n_features))
-    return agg.select(*group, *_majority_words(F.col("_n"), n_features))
+    return agg.select(*group, *_majority_words("_n", n_features))
 
 
 def _salted(rows: DataFrame, group: str, order: Sequence[str], rows_per_task: int) -> DataFrame:
@@ -125,7 +126,7 @@ def seeds(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[
         raise ValueError("seeding is defined for k = 2; pass distinct seeds for other k")
     words = list(words)
     stats = value_count(rows, group, words, n_features)
-    maj = stats.select(group, "n_values", *_majority_words(F.col("n"), n_features, "_m"))
+    maj = stats.select(group, "n_values", *_majority_words("n", n_features, "_m"))
     q1 = shift_seed_words([f"_m{j}" for j in range(len(words))], "n_values", n_features)
     q2 = complement_words(q1, n_features)
     targets = maj.select(group, F.array(
@@ -167,7 +168,7 @@ def update_modes(assigned: DataFrame, group: str, words: Sequence[str], n_featur
     """Modes from an assignment (A11): ``(group, cluster, w...)``; a cluster
     without rows gets the zero vector."""
     agg = assigned.groupBy(group, CLUSTER).agg(F.count(F.lit(1)).alias("_n"), *_bit_sums(words, n_features))
-    modes = agg.select(group, CLUSTER, *_majority_words(F.col("_n"), n_features))
+    modes = agg.select(group, CLUSTER, *_majority_words("_n", n_features))
     groups = (groups if groups is not None else assigned.select(group).distinct())
     grid = groups.select(group, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(CLUSTER))
     return grid.join(modes, [group, CLUSTER], "left").select(
@@ -181,11 +182,43 @@ def cluster_sizes(assigned: DataFrame, group: str) -> DataFrame:
 
 @dataclass
 class KModesResult:
-    assignments: DataFrame   # (group, payload..., cluster, rounds)
+    assignments: DataFrame   # (group, payload..., cluster, rounds, _ord, w...)
     modes: DataFrame         # (group, cluster, w...)
     rounds: int              # rounds run by the slowest group
 
 
+def _modes_exprs(words: Sequence[str], n_features: int, k: int, carry: Sequence[str]):
+    """Aggregate and projection expressions of ``_modes_by_group``.  Built
+    once per fit and reused every round (they are unresolved expressions)."""
+    aggs = [F.max("_moved").alias("_any")] + [F.first(c).alias(c) for c in carry]
+    for c in range(k):
+        aggs.append(F.count_if(F.col(CLUSTER) == c).alias(f"_n{c}"))
+        aggs += [e.alias(f"_o{c}_{i}") for i, e in
+                 enumerate(_bit_sums(words, n_features, cond=f"{CLUSTER} = {c}"))]
+    structs = []
+    for c in range(k):
+        ws = []
+        for j in range(len(words)):
+            terms = [f"shiftleft(cast(_o{c}_{j * WORD_BITS + b} * 2 > _n{c} as bigint), {b})"
+                     for b in range(min(WORD_BITS, n_features - j * WORD_BITS))]
+            ws.append(F.expr(" | ".join(terms)).alias(words[j]))
+        structs.append(F.struct(F.lit(c).alias("c"), *ws))
+    return aggs, F.array(*structs).alias("_modes")
+
+
+def _modes_by_group(assigned: DataFrame, group: str, exprs, carry: Sequence[str] = ()) -> DataFrame:
+    """One aggregate per group: the k modes as an array ``_modes`` of
+    ``struct(c, w...)`` (an empty cluster gets the zero vector, as its
+    count is 0), ``_any`` = 1 if a row moved, plus ``first`` of ``carry``."""
+    aggs, modes = exprs
+    return assigned.groupBy(group).agg(*aggs).select(group, "_any", *carry, modes)
+
+
+def _explode_modes(df: DataFrame, group: str, words: Sequence[str]) -> DataFrame:
+    return (df.select(group, F.explode("_modes").alias("_m"))
+              .select(group, F.col("_m.c").alias(CLUSTER), *[F.col(f"_m.{w}").alias(w) for w in words]))
+
+
 def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[str], n_features: int,
         k: int = 2, max_iter: int | str = 50, payload: Sequence[str] = (),
         rows_per_task: int = 1 << 20, spark: SparkSession | None = None) -> KModesResult:
@@ -193,44 +226,57 @@ def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[st
 
     ``max_iter`` is a round limit: an int for all groups, or ``"rows"`` for
     each group's row count (as the reference's session clustering uses).
-    Returns the final assignment and the modes computed from it."""
+    Returns the final assignment and the modes computed from it.
+
+    A round is one join and one aggregate: rows of unfinished groups meet
+    their group's k modes (one row per group and salt bucket) and take the
+    nearest; one ``groupBy(group)`` then yields the k new modes, whether a
+    row moved, and so whether the group is finished.  Both results are
+    checkpointed.  Finished groups leave the loop; their rows are kept as a
+    semi join of that round's two checkpoints, so no round rewrites the
+    rows of groups that are already done."""
     spark = spark or rows.sparkSession
+    checkpoint_dir(spark)
     words = list(words)
-    base = checkpoint_dir(spark).rstrip("/") + f"/kmodes-{uuid.uuid4().hex}"
-    out_rows, out_modes = f"{base}/assignments", f"{base}/modes"
-
-    ordk = _order_key(order)
-    prepared = rows.select(group, ordk.alias("_ord"), *payload, *words)
+    prepared = rows.select(group, _order_key(order).alias("_ord"), *payload, *words)
     salted = _salted(prepared, group, ["_ord"], rows_per_task)
-    init_modes = seeds(rows, group, order, words, n_features, k, rows_per_task=rows_per_task) \
-        .withColumnRenamed("seed", CLUSTER)
-    sizes = salted.groupBy(group).agg(F.count(F.lit(1)).alias("_gn"), F.first("_nsalt").alias("_nsalt"))
+    sizes = salted.groupBy(group).agg(F.count(F.lit(1)).alias("_gn"))
     limit = F.col("_gn") if max_iter == "rows" else F.lit(int(max_iter))
-    groups = sizes.select(group, "_nsalt", limit.cast("int").alias("_limit")).checkpoint()
-
-    active = salted.withColumn(CLUSTER, F.lit(-1)).checkpoint()
-    modes = init_modes.checkpoint()
+    active = (salted.join(sizes.select(group, limit.cast("int").alias("_limit")), group)
+                    .withColumn(CLUSTER, F.lit(-1))).checkpoint()
+    seeded = seeds(active, group, [F.col("_ord")], words, n_features, k, rows_per_task=rows_per_task)
+    state = (seeded.groupBy(group).agg(F.sort_array(F.collect_list(
+                 F.struct(F.col("seed").alias("c"), *[F.col(w) for w in words]))).alias("_modes"))
+                   .join(active.groupBy(group).agg(F.first("_nsalt").alias("_nsalt")), group))
+
+    exprs = _modes_exprs(words, n_features, k, ["_nsalt", "_limit"])
+    finished_rows, finished_modes = [], []
     r = 0
     while True:
         r += 1
-        arr = _spread(_modes_array(modes, group, words), group, groups.select(group, "_nsalt"))
-        new = (active.join(arr, [group, "_salt"])
+        spread = (state.select(group, "_modes", F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1))
+                               .alias("_salt")))
+        new = (active.join(spread, [group, "_salt"])
                      .withColumn("_new", nearest_mode(words))
                      .withColumn("_moved", (F.col("_new") != F.col(CLUSTER)).cast("int"))
                      .drop("_modes", CLUSTER).withColumnRenamed("_new", CLUSTER)).checkpoint()
-        new_modes = update_modes(new, group, words, n_features, k,
-                                 groups.join(new.select(group).distinct(), group, "left_semi")).checkpoint()
-        status = (new.groupBy(group).agg(F.max("_moved").alias("_any"))
-                     .join(groups.select(group, "_limit"), group))
         done_cond = (F.col("_limit") <= r) | ((F.col("_any") == 0) & F.lit(r >= 2))
-        done = status.where(done_cond).select(group).checkpoint()
-        (new.join(done, group, "left_semi").drop("_moved", "_salt", "_nsalt")
-            .withColumn("rounds", F.lit(r)).write.mode("append").parquet(out_rows))
-        new_modes.join(done, group, "left_semi").write.mode("append").parquet(out_modes)
-        active = new.join(done, group, "left_anti").drop("_moved").checkpoint()
-        modes = new_modes.join(done, group, "left_anti").checkpoint()
-        if active.isEmpty():
+        state = (_modes_by_group(new, group, exprs, carry=["_nsalt", "_limit"])
+                 .withColumn("_done", done_cond)).checkpoint()
+        done = state.where("_done").select(group)
+        finished_rows.append(new.join(done, group, "left_semi").drop("_moved", "_salt", "_nsalt", "_limit")
+                                .withColumn("rounds", F.lit(r)))
+        finished_modes.append(_explode_modes(state.where("_done"), group, words))
+        state = state.where(~F.col("_done"))
+        if state.isEmpty():
             break
-    assignments = spark.read.parquet(out_rows)
-    assignments = assignments.select(group, *payload, CLUSTER, "rounds", "_ord", *words)
-    return KModesResult(assignments, spark.read.parquet(out_modes), r)
+        active = new.join(done, group, "left_anti").drop("_moved")
+    assignments = _union(finished_rows).select(group, *payload, CLUSTER, "rounds", "_ord", *words)
+    return KModesResult(assignments, _union(finished_modes), r)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
