@@ -64,14 +64,18 @@ def session_feature_means(sessions: DataFrame, encoded: DataFrame, feature_cols:
     a second aggregate."""
     enc = encoded.select(ITEM, F.lit(1).alias("_hit"), *[F.col(c) for c in feature_cols])
     joined = sessions.select(SESSION, ITEM).join(enc, ITEM, "left")
+    # one shared denominator and a sum per column: 2 + n aggregate buffers
+    # (``avg`` keeps a count per column), so the aggregate stays inside
+    # whole-stage codegen; sum / count equals avg for these integral cells
     aggs = [F.count(ITEM).alias("_len"), F.count("_hit").alias("_joined")]
-    aggs += [F.avg(c).alias(c) for c in feature_cols]
+    aggs += [F.sum(c).alias(c) for c in feature_cols]
     cond = F.col("_joined") > 0
     if lo is not None:
         cond = cond & (F.col("_len") >= lo)
     if hi is not None:
         cond = cond & (F.col("_len") <= hi)
-    return joined.groupBy(SESSION).agg(*aggs).where(cond).select(SESSION, *feature_cols)
+    return (joined.groupBy(SESSION).agg(*aggs).where(cond)
+                  .select(SESSION, *[(F.col(c).cast("double") / F.col("_joined")).alias(c) for c in feature_cols]))
 
 
 def session_preferences(sessions: DataFrame, encoded: DataFrame, feature_cols: Sequence[str],
