@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartlens.functions.bits import WORD_BITS, hamming
+from cartlens.runtime import checkpoint_dir
 
 # Distance-matrix cells computed at once inside a task (queries x candidates).
 _CELLS_PER_BATCH = 1 << 22
@@ -63,8 +64,21 @@ def _replicate(df: DataFrame, n: int, name: str) -> DataFrame:
 def _cogroup_blocks(queries: DataFrame, candidates: DataFrame, query_id: str, cand_id: str,
                     words: Sequence[str], query_block_rows: int, cand_block_rows: int,
                     n_queries: int | None, n_candidates: int | None):
-    nq = queries.count() if n_queries is None else n_queries
-    nc = candidates.count() if n_candidates is None else n_candidates
+    # block sizes need the row counts: materialise each input once in the
+    # checkpoint folder (counting is then a metadata-cheap scan, and the
+    # co-group reads the same rows instead of recomputing the input plan)
+    if n_queries is None:
+        checkpoint_dir(queries.sparkSession)
+        queries = queries.checkpoint()
+        nq = queries.count()
+    else:
+        nq = n_queries
+    if n_candidates is None:
+        checkpoint_dir(candidates.sparkSession)
+        candidates = candidates.checkpoint()
+        nc = candidates.count()
+    else:
+        nc = n_candidates
     qb, cb = _blocks(nq, query_block_rows), _blocks(nc, cand_block_rows)
     q = queries.select(F.col(query_id).alias("_qid"), *words) \
                .withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(qb)))

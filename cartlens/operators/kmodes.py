@@ -75,11 +75,13 @@ def _dist_to(words: Sequence[str], other: Sequence[Column]) -> Column:
     return total.cast("int")
 
 
-def value_count(rows: DataFrame, group: str, words: Sequence[str], n_features: int) -> DataFrame:
+def value_count(rows: DataFrame, group: str, words: Sequence[str], n_features: int,
+                carry: Sequence[str] = ()) -> DataFrame:
     """Per group: rows ``n``, distinct cell values ``n_values`` (1 when every
-    cell is equal, else 2 for binary rows) and the feature sums ``_o{i}``."""
+    cell is equal, else 2 for binary rows), the feature sums ``_o{i}`` and
+    ``first`` of each ``carry`` column."""
     sums = _bit_sums(words, n_features)
-    agg = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *sums)
+    agg = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in carry], *sums)
     total = F.expr(" + ".join(f"_o{i}" for i in range(n_features)))
     n_values = F.when((total == 0) | (total == F.col("n") * n_features), F.lit(1)).otherwise(F.lit(2))
     return agg.withColumn("n_values", n_values)
@@ -125,15 +127,23 @@ def seeds(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[
     if k != 2:
         raise ValueError("seeding is defined for k = 2; pass distinct seeds for other k")
     words = list(words)
-    stats = value_count(rows, group, words, n_features)
-    maj = stats.select(group, "n_values", *_majority_words("n", n_features, "_m"))
+    salted = "_salt" in rows.columns and "_nsalt" in rows.columns
+    stats = value_count(rows, group, words, n_features, carry=["_nsalt"] if salted else [])
+    maj = stats.select(group, "n_values", *(["_nsalt"] if salted else []),
+                       *_majority_words("n", n_features, "_m"))
     q1 = shift_seed_words([f"_m{j}" for j in range(len(words))], "n_values", n_features)
     q2 = complement_words(q1, n_features)
-    targets = maj.select(group, F.array(
+    targets = maj.select(group, *(["_nsalt"] if salted else []), F.array(
         F.struct(F.lit(0).alias("seed"), *[q.alias(w) for q, w in zip(q1, words)]),
         F.struct(F.lit(1).alias("seed"), *[q.alias(w) for q, w in zip(q2, words)])).alias("_q"))
-    per_row = rows.select(group, _order_key(order).alias("_ord"), *payload, *words) \
-                  .join(targets, group) \
+    keys = [group]
+    if salted:
+        # copy the two targets to every salt bucket of the group, so the
+        # rows of a hot group are matched in many tasks
+        targets = targets.select(group, "_q", F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1)).alias("_salt"))
+        keys = [group, "_salt"]
+    per_row = rows.select(*keys, _order_key(order).alias("_ord"), *payload, *words) \
+                  .join(targets, keys) \
                   .select(group, "_ord", *payload, *words, F.explode("_q").alias("_t"))
     dist = _dist_to(words, [F.col("_t")[w] for w in words])
     best = F.min(F.struct(dist.alias("d"), F.col("_ord"), *[F.col(p) for p in payload],

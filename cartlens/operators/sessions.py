@@ -100,13 +100,42 @@ def stratum_sessions(sessions: DataFrame, length: int, n: int | None = None,
     return out
 
 
-def time_spent(sessions: DataFrame, order: Sequence[str] = (DATE, ITEM)) -> DataFrame:
+def time_spent(sessions: DataFrame, order: Sequence[str] = (DATE, ITEM),
+               rows_per_task: int = 1 << 20) -> DataFrame:
     """Seconds from each view to the next one of the same session (W1);
-    null for the last view."""
-    w = Window.partitionBy(SESSION).orderBy(*[F.col(c) for c in order])
-    nxt = F.lead(DATE).over(w)
-    return sessions.select(SESSION, ITEM, DATE,
-                           (F.timestamp_diff("MICROSECOND", F.col(DATE), nxt) / F.lit(1e6)).alias("time_spent"))
+    null for the last view.  Rows follow ``order`` (date, then item id).
+
+    A session of ``n`` rows is cut into ``ceil(n / rows_per_task)`` time
+    buckets of equal width, so a hot session is spread over many tasks
+    instead of one: ``lead`` runs inside each bucket, and the last row of a
+    bucket takes the first row of the session's next non-empty bucket (a
+    window over one row per bucket).  For ordinary sessions there is one
+    bucket and this is the plain window."""
+    t = F.unix_micros(F.col(DATE).cast("timestamp"))
+    rows = sessions.select(SESSION, ITEM, DATE)
+    stats = rows.groupBy(SESSION).agg(F.count(F.lit(1)).alias("_n"), F.min(t).alias("_lo"),
+                                      F.max(t).alias("_hi"))
+    n_chunks = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(rows_per_task)))
+    width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / n_chunks))
+    chunked = (rows.join(stats.select(SESSION, "_lo", width.alias("_w")), SESSION)
+                   .withColumn("_b", F.floor((t - F.col("_lo")) / F.col("_w")))
+                   # one column as the window key, so a session-hashed input
+                   # does not already count as clustered by it
+                   .withColumn("_chunk", F.struct(SESSION, "_b")))
+    w = Window.partitionBy("_chunk").orderBy(*[F.col(c) for c in order])
+    inner = (chunked.withColumn("_next", F.lead(DATE).over(w))
+                    .withColumn("_first", F.lag(DATE).over(w).isNull()))
+    heads = inner.where("_first").select(SESSION, "_b", F.col(DATE).alias("_head"))
+    next_head = heads.select(
+        F.struct(SESSION, "_b").alias("_chunk"),
+        F.lead("_head").over(Window.partitionBy(SESSION).orderBy("_b")).alias("_nh"))
+    done = inner.where(F.col("_next").isNotNull())
+    last = (inner.where(F.col("_next").isNull()).join(next_head, "_chunk", "left")
+                 .withColumn("_next", F.col("_nh")))
+    out = done.select(SESSION, ITEM, DATE, "_next").unionByName(last.select(SESSION, ITEM, DATE, "_next"))
+    return out.select(SESSION, ITEM, DATE,
+                      (F.timestamp_diff("MICROSECOND", F.col(DATE), F.col("_next")) / F.lit(1e6))
+                      .alias("time_spent"))
 
 
 def recent_items(sessions: DataFrame, n: int = 10, tie: Sequence[str] = (ITEM,)) -> DataFrame:

@@ -132,3 +132,17 @@ def test_pack_features_sets_bits(spark):
     feats = spark.createDataFrame([(1, 1), (1, 3), (1, 3), (2, 70)], "item_id long, feature_category_id int")
     got = {r["item_id"]: (r["w0"], r["w1"]) for r in pack_features(feats, list(range(1, 74))).collect()}
     assert got == {1: (0b101, 0), 2: (0, 1 << 5)}
+
+
+def test_time_spent_across_buckets_equals_plain_window(spark):
+    # 3 sessions, one long; a tiny rows_per_task forces many time buckets
+    rows = [(1, i % 7, _ts(i * 3 + (i % 4))) for i in range(200)] + \
+           [(2, 5, _ts(1)), (2, 6, _ts(1)), (2, 1, _ts(9))] + [(3, 4, _ts(2))]
+    sess = _sessions(spark, rows)
+    from pyspark.sql import Window
+    w = Window.partitionBy("session_id").orderBy("date", "item_id")
+    want = {(r[0], r[1], r[2], r[3]) for r in sess.select(
+        "session_id", "item_id", "date",
+        (F.timestamp_diff("MICROSECOND", F.col("date"), F.lead("date").over(w)) / 1e6)).collect()}
+    got = {(r[0], r[1], r[2], r[3]) for r in S.time_spent(sess, rows_per_task=7).collect()}
+    assert got == want and len(got) == len(rows) - 0
