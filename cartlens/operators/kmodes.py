@@ -252,8 +252,13 @@ def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[st
     salted = _salted(prepared, group, ["_ord"], rows_per_task)
     sizes = salted.groupBy(group).agg(F.count(F.lit(1)).alias("_gn"))
     limit = F.col("_gn") if max_iter == "rows" else F.lit(int(max_iter))
+    # partitioned once by (group, salt) and checkpointed with that
+    # partitioning: every round's join to the modes reuses it, so the rows
+    # never move again; only the small per-group mode table is shuffled
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     active = (salted.join(sizes.select(group, limit.cast("int").alias("_limit")), group)
-                    .withColumn(CLUSTER, F.lit(-1))).checkpoint()
+                    .withColumn(CLUSTER, F.lit(-1))
+                    .repartition(n_parts, group, "_salt")).checkpoint()
     seeded = seeds(active, group, [F.col("_ord")], words, n_features, k, rows_per_task=rows_per_task)
     state = (seeded.groupBy(group).agg(F.sort_array(F.collect_list(
                  F.struct(F.col("seed").alias("c"), *[F.col(w) for w in words]))).alias("_modes"))
@@ -280,7 +285,8 @@ def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[st
         state = state.where(~F.col("_done"))
         if state.isEmpty():
             break
-        active = new.join(done, group, "left_anti").drop("_moved")
+        # rows of finished groups find no modes in the next join and drop out
+        active = new.drop("_moved")
     assignments = _union(finished_rows).select(group, *payload, CLUSTER, "rounds", "_ord", *words)
     return KModesResult(assignments, _union(finished_modes), r)
 
