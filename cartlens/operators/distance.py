@@ -134,12 +134,44 @@ def knn(queries: DataFrame, candidates: DataFrame, k: int, words: Sequence[str],
                                        "distance": dist[keep].astype(np.int32)}))
         return pd.concat(parts, ignore_index=True)
 
+    if not exclude_self:
+        vecs = _distinct_vectors(queries, words)
+        out_schema = T.StructType([T.StructField("_qid", T.LongType()), T.StructField("_cid", cid_type),
+                                   T.StructField("distance", T.IntegerType())])
+        ranked = knn_blocks(vecs, "_vid", candidates, cand_id, words, k, local_topk, out_schema,
+                            query_block_rows, cand_block_rows, None, n_candidates)
+        return _expand(queries, query_id, vecs, ranked, words).select(query_id, "rank", cand_id, "distance")
+    ranked = knn_blocks(queries, query_id, candidates, cand_id, words, k, local_topk, out_schema,
+                        query_block_rows, cand_block_rows, n_queries, n_candidates)
+    return ranked.select(F.col("_qid").alias(query_id), "rank", F.col("_cid").alias(cand_id), "distance")
+
+
+def knn_blocks(queries, query_id, candidates, cand_id, words, k, kernel, out_schema,
+               query_block_rows, cand_block_rows, n_queries, n_candidates) -> DataFrame:
     grouped = _cogroup_blocks(queries, candidates, query_id, cand_id, words, query_block_rows,
                               cand_block_rows, n_queries, n_candidates)
-    local = grouped.applyInPandas(local_topk, out_schema)
+    local = grouped.applyInPandas(kernel, out_schema)
     w = Window.partitionBy("_qid").orderBy("distance", "_cid")
     return (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-                 .select(F.col("_qid").alias(query_id), "rank", F.col("_cid").alias(cand_id), "distance"))
+                 .select("_qid", "rank", F.col("_cid").alias(cand_id), "distance"))
+
+
+def _distinct_vectors(queries: DataFrame, words: Sequence[str]) -> DataFrame:
+    """Distinct query vectors with an id ``_vid``.  A vector shared by many
+    queries (a hot vector) is scored once.  The ids are fixed by the
+    checkpoint taken right away, so a recomputation cannot renumber them."""
+    checkpoint_dir(queries.sparkSession)
+    return (queries.select(*words).distinct()
+                   .withColumn("_vid", F.monotonically_increasing_id())).checkpoint()
+
+
+def _expand(queries: DataFrame, query_id: str, vecs: DataFrame, per_vector: DataFrame,
+            words: Sequence[str]) -> DataFrame:
+    """Results per distinct vector back to every query holding it: the
+    small side is keyed by the vector words, the join spreads a hot vector
+    with AQE's skew split."""
+    keyed = per_vector.join(vecs, per_vector["_qid"] == vecs["_vid"]).drop("_qid", "_vid")
+    return queries.select(query_id, *words).join(keyed, list(words)).drop(*words)
 
 
 def distance_multiplicity(queries: DataFrame, candidates: DataFrame, words: Sequence[str],
@@ -172,11 +204,14 @@ def distance_multiplicity(queries: DataFrame, candidates: DataFrame, words: Sequ
                                        "multiplicity": hist[r, v].astype(np.int64)}))
         return pd.concat(parts, ignore_index=True)
 
-    grouped = _cogroup_blocks(queries, candidates, query_id, cand_id, words, query_block_rows,
-                              cand_block_rows, n_queries, n_candidates)
-    return (grouped.applyInPandas(local_hist, out_schema)
-                   .groupBy("_qid", "distance").agg(F.sum("multiplicity").alias("multiplicity"))
-                   .select(F.col("_qid").alias(query_id), "distance", "multiplicity"))
+    vecs = _distinct_vectors(queries, words)
+    out_schema = T.StructType([T.StructField("_qid", T.LongType()), T.StructField("distance", T.IntegerType()),
+                               T.StructField("multiplicity", T.LongType())])
+    grouped = _cogroup_blocks(vecs, candidates, "_vid", cand_id, words, query_block_rows,
+                              cand_block_rows, None, n_candidates)
+    hist = (grouped.applyInPandas(local_hist, out_schema)
+                   .groupBy("_qid", "distance").agg(F.sum("multiplicity").alias("multiplicity")))
+    return _expand(queries, query_id, vecs, hist, words).select(query_id, "distance", "multiplicity")
 
 
 def next_distance(multiset: DataFrame, query_id: str = "session_id") -> DataFrame:

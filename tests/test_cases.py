@@ -146,3 +146,21 @@ def test_time_spent_across_buckets_equals_plain_window(spark):
         (F.timestamp_diff("MICROSECOND", F.col("date"), F.lead("date").over(w)) / 1e6)).collect()}
     got = {(r[0], r[1], r[2], r[3]) for r in S.time_spent(sess, rows_per_task=7).collect()}
     assert got == want and len(got) == len(rows) - 0
+
+
+def test_knn_shared_query_vectors_match_brute_force(spark):
+    cands = [(i, (i * 40503) % 1024) for i in range(60)]
+    queries = [(q, [0, 5, 1023][q % 3] if q < 90 else q * 7) for q in range(100)]   # hot vectors
+    c = spark.createDataFrame(cands, "item_id long, w0 long")
+    q = spark.createDataFrame(queries, "session_id long, w0 long")
+    got = {tuple(r) for r in D.knn(q, c, 4, ["w0"], cand_block_rows=16).collect()}
+    want = set()
+    for qid, v in queries:
+        ranked = sorted((bin(v ^ w).count("1"), cid) for cid, w in cands)[:4]
+        want |= {(qid, rank + 1, cid, d) for rank, (d, cid) in enumerate(ranked)}
+    assert got == want
+    hist = {tuple(r) for r in D.distance_multiplicity(q, c, ["w0"], cand_block_rows=16).collect()}
+    from collections import Counter
+    want_h = {(qid, d, n) for qid, v in queries
+              for d, n in Counter(bin(v ^ w).count("1") for _, w in cands).items()}
+    assert hist == want_h
