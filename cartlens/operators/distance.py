@@ -143,7 +143,7 @@ def knn(queries: DataFrame, candidates: DataFrame, k: int, words: Sequence[str],
         return _expand(queries, query_id, vecs, ranked, words).select(query_id, "rank", cand_id, "distance")
     ranked = knn_blocks(queries, query_id, candidates, cand_id, words, k, local_topk, out_schema,
                         query_block_rows, cand_block_rows, n_queries, n_candidates)
-    return ranked.select(F.col("_qid").alias(query_id), "rank", F.col("_cid").alias(cand_id), "distance")
+    return ranked.select(F.col("_qid").alias(query_id), "rank", cand_id, "distance")
 
 
 def knn_blocks(queries, query_id, candidates, cand_id, words, k, kernel, out_schema,
