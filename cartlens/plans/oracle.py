@@ -172,8 +172,8 @@ def time_spent() -> str:
 
 def recent_items() -> str:
     return _with(s=EVENT_SESSIONS) + \
-        ("select * from (select session_id, item_id, date, row_number() over "
-         "(partition by session_id order by date desc, item_id) recency from s) where recency <= 10")
+        ("select * from (select session_id, item_id, date, cast(row_number() over "
+         "(partition by session_id order by date desc, item_id) as int) recency from s) where recency <= 10")
 
 
 def _dist(a: str, b: str, cols=EMB) -> str:
@@ -191,8 +191,8 @@ def _prefs_ctes() -> dict:
 def _knn_ctes() -> dict:
     return dict(**_prefs_ctes(),
                 d=f"select prefs.session_id, enc.item_id, {_dist('prefs', 'enc')} distance from prefs cross join enc",
-                knn=("select * from (select session_id, row_number() over (partition by session_id "
-                     "order by distance, item_id) rank, item_id, distance from d) where rank <= 10"))
+                knn=("select * from (select session_id, cast(row_number() over (partition by session_id "
+                     "order by distance, item_id) as int) rank, item_id, distance from d) where rank <= 10"))
 
 
 def pairwise_hamming() -> str:
