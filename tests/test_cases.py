@@ -164,3 +164,18 @@ def test_knn_shared_query_vectors_match_brute_force(spark):
     want_h = {(qid, d, n) for qid, v in queries
               for d, n in Counter(bin(v ^ w).count("1") for _, w in cands).items()}
     assert hist == want_h
+
+
+def test_kmodes_salting_does_not_change_results(spark):
+    from cartlens.plans import queries as Q
+    from cartlens.operators import preference as PF
+    rows = Q._long_rows(spark, "/root/testdata/sf0.001")
+    order = PF.newest_first()
+
+    def run(rpt):
+        res = KM.fit(rows, "session_id", order, Q.EMB_WORDS, 64, max_iter="rows",
+                     payload=["item_id", "date"], rows_per_task=rpt)
+        a = {(r["session_id"], r["item_id"], r["date"], r["cluster"]) for r in res.assignments.collect()}
+        m = {(r["session_id"], r["cluster"], r["w0"]) for r in res.modes.collect()}
+        return a, m
+    assert run(1 << 20) == run(3)
