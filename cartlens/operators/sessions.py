@@ -59,7 +59,8 @@ def session_feature_means(sessions: DataFrame, encoded: DataFrame, feature_cols:
     One left join and one aggregate give both the length (all rows, as A1
     counts them) and the means (joined rows only, as the inner join and
     ``avg`` of the reference give them); sessions with no joined row are
-    dropped, as the inner join drops them.  This reads the sessions once
+    dropped, as the inner join drops them.  Cells are non-null, as
+    ``encode_features`` gives them.  This reads the sessions once
     and shuffles them once, instead of a length aggregate, a semi join and
     a second aggregate."""
     enc = encoded.select(ITEM, F.lit(1).alias("_hit"), *[F.col(c) for c in feature_cols])
@@ -124,7 +125,7 @@ def time_spent(sessions: DataFrame, order: Sequence[str] = (DATE, ITEM),
                    .withColumn("_chunk", F.struct(SESSION, "_b")))
     w = Window.partitionBy("_chunk").orderBy(*[F.col(c) for c in order])
     inner = (chunked.withColumn("_next", F.lead(DATE).over(w))
-                    .withColumn("_first", F.lag(DATE).over(w).isNull()))
+                    .withColumn("_first", F.row_number().over(w) == 1))
     heads = inner.where("_first").select(SESSION, "_b", F.col(DATE).alias("_head"))
     next_head = heads.select(
         F.struct(SESSION, "_b").alias("_chunk"),

@@ -179,3 +179,12 @@ def test_kmodes_salting_does_not_change_results(spark):
         m = {(r["session_id"], r["cluster"], r["w0"]) for r in res.modes.collect()}
         return a, m
     assert run(1 << 20) == run(3)
+
+
+def test_time_spent_with_null_dates_keeps_every_row(spark):
+    rows = [(1, 1, None), (1, 2, None), (1, 3, _ts(1)), (1, 4, _ts(5)), (2, 1, None)]
+    sess = _sessions(spark, rows)
+    out = S.time_spent(sess, rows_per_task=1).collect()
+    assert len(out) == len(rows)
+    got = {(r["session_id"], r["item_id"]): r["time_spent"] for r in out}
+    assert got[(1, 3)] == 240.0 and got[(1, 4)] is None
