@@ -188,3 +188,11 @@ def test_time_spent_with_null_dates_keeps_every_row(spark):
     assert len(out) == len(rows)
     got = {(r["session_id"], r["item_id"]): r["time_spent"] for r in out}
     assert got[(1, 3)] == 240.0 and got[(1, 4)] is None
+
+
+def test_clustering_band_excludes_length_10(spark):
+    from cartlens.operators import preference as PF
+    sess = _sessions(spark, [(1, i, _ts(i)) for i in range(10)] + [(2, i, _ts(i)) for i in range(11)])
+    packed = spark.createDataFrame([(i, i) for i in range(11)], "item_id long, w0 long")
+    got = {r["session_id"] for r in PF.clustering_rows(sess, packed).collect()}
+    assert got == {2}

@@ -30,3 +30,19 @@ def test_mrr_in_unit_interval(spark):
     import __spark_entry__ as E
     row = E.queries()["knn_mrr"](spark, "/root/testdata/sf0.001").collect()[0]
     assert 0.0 <= row["mrr"] <= 1.0
+
+
+def test_kmodes_cost_never_rises(spark):
+    """Total distance of rows to their own mode, after 1, 2, 3, 4 rounds."""
+    from cartlens.operators import kmodes as KM
+    from cartlens.operators import preference as PF
+    from cartlens.plans import queries as Q
+    rows = Q._long_rows(spark, "/root/testdata/sf0.001")
+    costs = []
+    for it in (1, 2, 3, 4):
+        res = KM.fit(rows, "session_id", PF.newest_first(), Q.EMB_WORDS, 64, max_iter=it, payload=["item_id"])
+        own = res.assignments.join(res.modes.withColumnRenamed("w0", "m0"), ["session_id", "cluster"])
+        per = own.groupBy("session_id").agg(F.sum(F.bit_count(F.col("w0").bitwiseXOR(F.col("m0")))).alias("c"))
+        costs.append({r["session_id"]: r["c"] for r in per.collect()})
+    for a, b in zip(costs, costs[1:]):
+        assert all(b[g] <= a[g] for g in a)
