@@ -96,10 +96,16 @@ def group_mode(rows: DataFrame, group: Sequence[str] | str, words: Sequence[str]
 
 
 def _salted(rows: DataFrame, group: str, order: Sequence[str], rows_per_task: int) -> DataFrame:
-    """Add ``_salt`` in ``[0, _nsalt)`` with ``_nsalt = ceil(n / rows_per_task)``."""
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_gn"))
-    nsalt = F.greatest(F.lit(1), F.ceil(F.col("_gn") / F.lit(rows_per_task)).cast("int"))
-    sized = rows.join(sizes.select(group, nsalt.alias("_nsalt")), group)
+    """Add ``_salt`` in ``[0, _nsalt)`` with ``_nsalt = ceil(n / rows_per_task)``.
+
+    Only groups above ``rows_per_task`` rows get more than one bucket; at
+    most (all rows / rows_per_task) groups can, so the table joined back is
+    small and Spark broadcasts it on its runtime size check."""
+    hot = (rows.groupBy(group).agg(F.count(F.lit(1)).alias("_gn"))
+               .where(F.col("_gn") > rows_per_task)
+               .select(group, F.ceil(F.col("_gn") / F.lit(rows_per_task)).cast("int").alias("_hs")))
+    sized = (rows.join(hot, group, "left")
+                 .withColumn("_nsalt", F.coalesce(F.col("_hs"), F.lit(1))).drop("_hs"))
     return sized.withColumn("_salt", F.pmod(F.xxhash64(*order), F.col("_nsalt")).cast("int"))
 
 
@@ -216,12 +222,15 @@ def _modes_exprs(words: Sequence[str], n_features: int, k: int, carry: Sequence[
     return aggs, F.array(*structs).alias("_modes")
 
 
-def _modes_by_group(assigned: DataFrame, group: str, exprs, carry: Sequence[str] = ()) -> DataFrame:
+def _modes_by_group(assigned: DataFrame, group: str, exprs, carry: Sequence[str] = (),
+                    limit: Column | None = None) -> DataFrame:
     """One aggregate per group: the k modes as an array ``_modes`` of
     ``struct(c, w...)`` (an empty cluster gets the zero vector, as its
-    count is 0), ``_any`` = 1 if a row moved, plus ``first`` of ``carry``."""
+    count is 0), ``_any`` = 1 if a row moved, plus ``first`` of ``carry``
+    and the group's round limit ``_limit`` when given."""
     aggs, modes = exprs
-    return assigned.groupBy(group).agg(*aggs).select(group, "_any", *carry, modes)
+    extra = [limit.cast("int").alias("_limit")] if limit is not None else []
+    return assigned.groupBy(group).agg(*aggs).select(group, "_any", *carry, *extra, modes)
 
 
 def _explode_modes(df: DataFrame, group: str, words: Sequence[str]) -> DataFrame:
@@ -250,21 +259,21 @@ def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[st
     words = list(words)
     prepared = rows.select(group, _order_key(order).alias("_ord"), *payload, *words)
     salted = _salted(prepared, group, ["_ord"], rows_per_task)
-    sizes = salted.groupBy(group).agg(F.count(F.lit(1)).alias("_gn"))
-    limit = F.col("_gn") if max_iter == "rows" else F.lit(int(max_iter))
     # partitioned once by (group, salt) and checkpointed with that
     # partitioning: every round's join to the modes reuses it, so the rows
     # never move again; only the small per-group mode table is shuffled
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    active = (salted.join(sizes.select(group, limit.cast("int").alias("_limit")), group)
-                    .withColumn(CLUSTER, F.lit(-1))
+    active = (salted.withColumn(CLUSTER, F.lit(-1))
                     .repartition(n_parts, group, "_salt")).checkpoint()
     seeded = seeds(active, group, [F.col("_ord")], words, n_features, k, rows_per_task=rows_per_task)
     state = (seeded.groupBy(group).agg(F.sort_array(F.collect_list(
                  F.struct(F.col("seed").alias("c"), *[F.col(w) for w in words]))).alias("_modes"))
                    .join(active.groupBy(group).agg(F.first("_nsalt").alias("_nsalt")), group))
 
-    exprs = _modes_exprs(words, n_features, k, ["_nsalt", "_limit"])
+    exprs = _modes_exprs(words, n_features, k, ["_nsalt"])
+    # round limit per group: its row count (every round sees all its rows)
+    limit = (sum((F.col(f"_n{c}") for c in range(k)), F.lit(0)) if max_iter == "rows"
+             else F.lit(int(max_iter)))
     finished_rows, finished_modes = [], []
     r = 0
     while True:
@@ -276,10 +285,10 @@ def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[st
                      .withColumn("_moved", (F.col("_new") != F.col(CLUSTER)).cast("int"))
                      .drop("_modes", CLUSTER).withColumnRenamed("_new", CLUSTER)).checkpoint()
         done_cond = (F.col("_limit") <= r) | ((F.col("_any") == 0) & F.lit(r >= 2))
-        state = (_modes_by_group(new, group, exprs, carry=["_nsalt", "_limit"])
+        state = (_modes_by_group(new, group, exprs, carry=["_nsalt"], limit=limit)
                  .withColumn("_done", done_cond)).checkpoint()
         done = state.where("_done").select(group)
-        finished_rows.append(new.join(done, group, "left_semi").drop("_moved", "_salt", "_nsalt", "_limit")
+        finished_rows.append(new.join(done, group, "left_semi").drop("_moved", "_salt", "_nsalt")
                                 .withColumn("rounds", F.lit(r)))
         finished_modes.append(_explode_modes(state.where("_done"), group, words))
         state = state.where(~F.col("_done"))

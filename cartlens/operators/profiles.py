@@ -22,6 +22,20 @@ def _long(wide: DataFrame, keys: Sequence[str], categories: Sequence[int], value
                .select(*keys, "category", value)
 
 
+def _shares_wide(items: DataFrame, counts: DataFrame, categories: Sequence[int], key: str) -> DataFrame:
+    """Per key, one share column per category: feature rows / list length."""
+    joined = items.select(key, ITEM).join(counts, ITEM, "left")
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    aggs += [F.coalesce(F.sum(str(c)), F.lit(0)).alias(str(c)) for c in categories]
+    per_key = joined.groupBy(key).agg(*aggs)
+    return per_key.select(key, *[(F.col(str(c)) / F.col("_n")).alias(str(c)) for c in categories])
+
+
+def _item_counts(features: DataFrame, categories: Sequence[int], dedupe: bool) -> DataFrame:
+    feats = clean_features(features) if dedupe else features
+    return encode_features(feats, categories).select(ITEM, *[F.col(str(c)) for c in categories])
+
+
 def feature_profile(items: DataFrame, features: DataFrame, categories: Sequence[int],
                     key: str = SESSION, dedupe: bool = False) -> DataFrame:
     """Share of each category over an item list (A7, J5):
@@ -35,13 +49,7 @@ def feature_profile(items: DataFrame, features: DataFrame, categories: Sequence[
     Items are joined once to the per-item category counts (one row per
     item), aggregated per key, then unpivoted, so categories absent from a
     list come out as 0 without a join to the category list."""
-    feats = clean_features(features) if dedupe else features
-    counts = encode_features(feats, categories).select(ITEM, *[F.col(str(c)) for c in categories])
-    joined = items.select(key, ITEM).join(counts, ITEM, "left")
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    aggs += [F.coalesce(F.sum(str(c)), F.lit(0)).alias(str(c)) for c in categories]
-    per_key = joined.groupBy(key).agg(*aggs)
-    shares = per_key.select(key, *[(F.col(str(c)) / F.col("_n")).alias(str(c)) for c in categories])
+    shares = _shares_wide(items, _item_counts(features, categories, dedupe), categories, key)
     return _long(shares, [key], categories, "share")
 
 
@@ -54,17 +62,23 @@ def profile_comparison(sessions: DataFrame, purchases: DataFrame, features: Data
                        categories: Sequence[int], length: int, dedupe: bool = False) -> DataFrame:
     """Consumed versus purchased profile for every session of exactly
     ``length`` items (C15): ``(session_id, purchased_item, category,
-    consumed_share, purchased_share)``, one block per purchase."""
+    consumed_share, purchased_share)``, one block per purchase.
+
+    The purchased item is a list of one, so its shares are its own count
+    row.  Consumed shares (one aggregate per session) and the purchased
+    item's counts are joined wide, one row per purchase, and unpivoted
+    together: no join on (session, category)."""
+    counts = _item_counts(features, categories, dedupe)
     stratum = session_lengths(sessions).where(F.col("nb_items") == length).select(SESSION)
-    consumed = feature_profile(sessions.join(stratum, SESSION, "left_semi"), features, categories,
-                               SESSION, dedupe).withColumnRenamed("share", "consumed_share")
+    consumed = _shares_wide(sessions.join(stratum, SESSION, "left_semi"), counts, categories, SESSION)
+    consumed = consumed.select(SESSION, *[F.col(str(c)).alias(f"c{c}") for c in categories])
     bought = stratum_purchases(purchases, stratum).withColumnRenamed(ITEM, "purchased_item")
-    item_profile = feature_profile(
-        bought.select("purchased_item").distinct().select(F.col("purchased_item").alias("_key"),
-                                                          F.col("purchased_item").alias(ITEM)),
-        features, categories, "_key", dedupe).withColumnRenamed("share", "purchased_share")
-    return (bought.join(consumed, SESSION, "inner")
-                  .join(item_profile, (F.col("purchased_item") == F.col("_key"))
-                        & (consumed["category"] == item_profile["category"]), "inner")
-                  .select(SESSION, "purchased_item", consumed["category"], "consumed_share",
-                          "purchased_share"))
+    item_cells = counts.select(F.col(ITEM).alias("purchased_item"),
+                               *[F.col(str(c)).alias(f"p{c}") for c in categories])
+    wide = bought.join(consumed, SESSION, "inner").join(item_cells, "purchased_item", "left")
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("category"),
+                                         F.col(f"c{c}").alias("consumed_share"),
+                                         F.coalesce(F.col(f"p{c}"), F.lit(0)).cast("double").alias("purchased_share"))
+                                for c in categories]))
+    return wide.select(SESSION, "purchased_item", cells.alias("_x")).select(
+        SESSION, "purchased_item", "_x.category", "_x.consumed_share", "_x.purchased_share")

@@ -114,29 +114,33 @@ def time_spent(sessions: DataFrame, order: Sequence[str] = (DATE, ITEM),
     bucket and this is the plain window."""
     t = F.unix_micros(F.col(DATE).cast("timestamp"))
     rows = sessions.select(SESSION, ITEM, DATE)
-    stats = rows.groupBy(SESSION).agg(F.count(F.lit(1)).alias("_n"), F.min(t).alias("_lo"),
-                                      F.max(t).alias("_hi"))
-    n_chunks = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(rows_per_task)))
+    # only sessions above rows_per_task are cut; there are at most
+    # (all rows / rows_per_task) of them, so this side stays small and
+    # Spark broadcasts it on its runtime size check; the rows never move
+    # for this join
+    hot = (rows.groupBy(SESSION).agg(F.count(F.lit(1)).alias("_n"), F.min(t).alias("_lo"),
+                                     F.max(t).alias("_hi"))
+               .where(F.col("_n") > rows_per_task))
+    n_chunks = F.ceil(F.col("_n") / F.lit(rows_per_task))
     width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / n_chunks))
-    chunked = (rows.join(stats.select(SESSION, "_lo", width.alias("_w")), SESSION)
-                   .withColumn("_b", F.floor((t - F.col("_lo")) / F.col("_w")))
+    bucket = F.coalesce(F.floor((t - F.col("_lo")) / F.col("_w")), F.lit(0))
+    chunked = (rows.join(hot.select(SESSION, "_lo", width.alias("_w")), SESSION, "left")
+                   .withColumn("_b", F.when(F.col("_w").isNull(), F.lit(0)).otherwise(bucket))
                    # one column as the window key, so a session-hashed input
                    # does not already count as clustered by it
                    .withColumn("_chunk", F.struct(SESSION, "_b")))
+    # first row of every bucket (two-phase min), then the head of the
+    # session's next non-empty bucket (one row per bucket)
+    heads = chunked.groupBy(SESSION, "_b").agg(F.min(F.struct(*[F.col(c) for c in order]))[DATE].alias("_head"))
+    next_head = heads.select(F.struct(SESSION, "_b").alias("_chunk"),
+                             F.lead("_head").over(Window.partitionBy(SESSION).orderBy("_b")).alias("_nh"))
+    # one shuffle of the rows: the join and the window share the key
     w = Window.partitionBy("_chunk").orderBy(*[F.col(c) for c in order])
-    inner = (chunked.withColumn("_next", F.lead(DATE).over(w))
-                    .withColumn("_first", F.row_number().over(w) == 1))
-    heads = inner.where("_first").select(SESSION, "_b", F.col(DATE).alias("_head"))
-    next_head = heads.select(
-        F.struct(SESSION, "_b").alias("_chunk"),
-        F.lead("_head").over(Window.partitionBy(SESSION).orderBy("_b")).alias("_nh"))
-    done = inner.where(F.col("_next").isNotNull())
-    last = (inner.where(F.col("_next").isNull()).join(next_head, "_chunk", "left")
-                 .withColumn("_next", F.col("_nh")))
-    out = done.select(SESSION, ITEM, DATE, "_next").unionByName(last.select(SESSION, ITEM, DATE, "_next"))
-    return out.select(SESSION, ITEM, DATE,
-                      (F.timestamp_diff("MICROSECOND", F.col(DATE), F.col("_next")) / F.lit(1e6))
-                      .alias("time_spent"))
+    is_last = F.lead(F.lit(1)).over(w).isNull()
+    nxt = F.when(is_last, F.col("_nh")).otherwise(F.lead(DATE).over(w))
+    return (chunked.join(next_head, "_chunk", "left")
+                   .select(SESSION, ITEM, DATE,
+                           (F.timestamp_diff("MICROSECOND", F.col(DATE), nxt) / F.lit(1e6)).alias("time_spent")))
 
 
 def recent_items(sessions: DataFrame, n: int = 10, tie: Sequence[str] = (ITEM,)) -> DataFrame:
