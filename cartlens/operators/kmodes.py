@@ -166,11 +166,12 @@ def _modes_array(modes: DataFrame, group: str, words: Sequence[str]) -> DataFram
          .alias("_modes"))
 
 
-def nearest_mode(words: Sequence[str]) -> Column:
-    """Index of the nearest mode in ``_modes`` (lowest index on ties)."""
+def nearest_mode(words: Sequence[str], modes: str = "_modes") -> Column:
+    """Index of the nearest mode in the array column ``modes`` (lowest
+    index on ties); null when the array is null."""
     def one(m):
         return F.struct(_dist_to(words, [m[w] for w in words]).alias("d"), m["c"].alias("c"))
-    return F.array_min(F.transform("_modes", one))["c"]
+    return F.array_min(F.transform(modes, one))["c"]
 
 
 def assign(rows: DataFrame, modes: DataFrame, group: str, words: Sequence[str]) -> DataFrame:
@@ -247,57 +248,68 @@ def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[st
     each group's row count (as the reference's session clustering uses).
     Returns the final assignment and the modes computed from it.
 
-    A round is one join and one aggregate: rows of unfinished groups meet
-    their group's k modes (one row per group and salt bucket) and take the
-    nearest; one ``groupBy(group)`` then yields the k new modes, whether a
-    row moved, and so whether the group is finished.  Both results are
-    checkpointed.  Finished groups leave the loop; their rows are kept as a
-    semi join of that round's two checkpoints, so no round rewrites the
-    rows of groups that are already done."""
+    The rows are written once, partitioned by (group, salt).  A round's
+    assignment depends only on the rows and the previous round's modes, and
+    whether a row moved only on the two previous rounds' modes, so a round
+    keeps no per-row state: it joins the rows to a per-group state row
+    (current and previous modes, copied to each salt bucket), takes the
+    nearest of each, and one ``groupBy(group)`` yields the new modes,
+    whether any row moved and whether the group is finished.  Only that
+    per-group state is checkpointed each round; the rows are re-read, never
+    rewritten, and are compacted to the unfinished groups only when those
+    have halved.  The final assignment is the nearest of the modes each
+    group used in its last round."""
     spark = spark or rows.sparkSession
     checkpoint_dir(spark)
     words = list(words)
     prepared = rows.select(group, _order_key(order).alias("_ord"), *payload, *words)
     salted = _salted(prepared, group, ["_ord"], rows_per_task)
-    # partitioned once by (group, salt) and checkpointed with that
-    # partitioning: every round's join to the modes reuses it, so the rows
-    # never move again; only the small per-group mode table is shuffled
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    active = (salted.withColumn(CLUSTER, F.lit(-1))
-                    .repartition(n_parts, group, "_salt")).checkpoint()
-    seeded = seeds(active, group, [F.col("_ord")], words, n_features, k, rows_per_task=rows_per_task)
+    base = salted.repartition(n_parts, group, "_salt").checkpoint()
+    seeded = seeds(base, group, [F.col("_ord")], words, n_features, k, rows_per_task=rows_per_task)
     state = (seeded.groupBy(group).agg(F.sort_array(F.collect_list(
                  F.struct(F.col("seed").alias("c"), *[F.col(w) for w in words]))).alias("_modes"))
-                   .join(active.groupBy(group).agg(F.first("_nsalt").alias("_nsalt")), group))
-
-    exprs = _modes_exprs(words, n_features, k, ["_nsalt"])
-    # round limit per group: its row count (every round sees all its rows)
-    limit = (sum((F.col(f"_n{c}") for c in range(k)), F.lit(0)) if max_iter == "rows"
-             else F.lit(int(max_iter)))
-    finished_rows, finished_modes = [], []
+                   .join(base.groupBy(group).agg(F.first("_nsalt").alias("_nsalt")), group))
+    # no previous modes before the first round: every row counts as moved
+    state = state.withColumn("_prev", F.when(F.lit(False), F.col("_modes")))
+
+    aggs, new_modes = _modes_exprs(words, n_features, k, ["_nsalt"])
+    n_rows = sum((F.col(f"_n{c}") for c in range(k)), F.lit(0))
+    limit = n_rows if max_iter == "rows" else F.lit(int(max_iter))
+    rows_now, groups_at_compaction = base, None
+    finished = []
     r = 0
     while True:
         r += 1
-        spread = (state.select(group, "_modes", F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1))
-                               .alias("_salt")))
-        new = (active.join(spread, [group, "_salt"])
-                     .withColumn("_new", nearest_mode(words))
-                     .withColumn("_moved", (F.col("_new") != F.col(CLUSTER)).cast("int"))
-                     .drop("_modes", CLUSTER).withColumnRenamed("_new", CLUSTER)).checkpoint()
-        done_cond = (F.col("_limit") <= r) | ((F.col("_any") == 0) & F.lit(r >= 2))
-        state = (_modes_by_group(new, group, exprs, carry=["_nsalt"], limit=limit)
-                 .withColumn("_done", done_cond)).checkpoint()
-        done = state.where("_done").select(group)
-        finished_rows.append(new.join(done, group, "left_semi").drop("_moved", "_salt", "_nsalt")
-                                .withColumn("rounds", F.lit(r)))
-        finished_modes.append(_explode_modes(state.where("_done"), group, words))
-        state = state.where(~F.col("_done"))
-        if state.isEmpty():
+        spread = state.select(group, "_modes", "_prev",
+                              F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1)).alias("_salt"))
+        assigned = (rows_now.join(spread, [group, "_salt"])
+                            .withColumn(CLUSTER, nearest_mode(words, "_modes"))
+                            .withColumn("_moved", (F.coalesce(nearest_mode(words, "_prev"), F.lit(-1))
+                                                   != F.col(CLUSTER)).cast("int")))
+        done = (F.col("_limit") <= r) | ((F.col("_any") == 0) & F.lit(r >= 2))
+        state = (assigned.groupBy(group).agg(*aggs, F.first("_modes").alias("_used"))
+                         .select(group, "_any", "_nsalt", limit.cast("int").alias("_limit"),
+                                 new_modes, "_used")
+                         .withColumn("_done", done)).checkpoint()
+        finished.append(state.where("_done").select(group, "_nsalt", "_used", "_modes", F.lit(r).alias("rounds")))
+        state = state.where(~F.col("_done")).select(group, "_nsalt", "_modes", F.col("_used").alias("_prev"))
+        n_active = state.count()
+        if n_active == 0:
             break
-        # rows of finished groups find no modes in the next join and drop out
-        active = new.drop("_moved")
-    assignments = _union(finished_rows).select(group, *payload, CLUSTER, "rounds", "_ord", *words)
-    return KModesResult(assignments, _union(finished_modes), r)
+        if groups_at_compaction is None:
+            groups_at_compaction = n_active
+        elif 2 * n_active < groups_at_compaction:
+            keys = state.select(group, F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1)).alias("_salt"))
+            rows_now = rows_now.join(keys, [group, "_salt"], "left_semi").checkpoint()
+            groups_at_compaction = n_active
+    ended = _union(finished)
+    spread = ended.select(group, "_used", "rounds",
+                          F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1)).alias("_salt"))
+    assignments = (base.join(spread, [group, "_salt"])
+                       .withColumn(CLUSTER, nearest_mode(words, "_used"))
+                       .select(group, *payload, CLUSTER, "rounds", "_ord", *words))
+    return KModesResult(assignments, _explode_modes(ended, group, words), r)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
