@@ -199,7 +199,7 @@ def cluster_sizes(assigned: DataFrame, group: str) -> DataFrame:
 
 @dataclass
 class KModesResult:
-    assignments: DataFrame   # (group, payload..., cluster, rounds, _ord, w...)
+    assignments: DataFrame   # (group, payload..., cluster, distance to own mode, rounds, _ord, w...)
     modes: DataFrame         # (group, cluster, w...)
     rounds: int              # rounds run by the slowest group
 
@@ -304,11 +304,13 @@ def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[st
             rows_now = rows_now.join(keys, [group, "_salt"], "left_semi").checkpoint()
             groups_at_compaction = n_active
     ended = _union(finished)
-    spread = ended.select(group, "_used", "rounds",
+    spread = ended.select(group, "_used", "_modes", "rounds",
                           F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1)).alias("_salt"))
+    own = F.filter("_modes", lambda m: m["c"] == F.col(CLUSTER))[0]
     assignments = (base.join(spread, [group, "_salt"])
                        .withColumn(CLUSTER, nearest_mode(words, "_used"))
-                       .select(group, *payload, CLUSTER, "rounds", "_ord", *words))
+                       .withColumn("distance", _dist_to(words, [own[w] for w in words]))
+                       .select(group, *payload, CLUSTER, "distance", "rounds", "_ord", *words))
     return KModesResult(assignments, _explode_modes(ended, group, words), r)
 
 

@@ -55,13 +55,10 @@ def cluster_statistics(rows: DataFrame, targets: DataFrame, packed: DataFrame,
     (seconds to the next view; the last view has none), 0 for an empty or
     one-value cluster, and ``true_cluster``, the mode nearest to the vector
     of the session's target item.  Sessions without a target are left out."""
-    timed = rows.join(time_spent(rows.select(SESSION, ITEM, DATE)), [SESSION, ITEM, DATE])
+    words = list(words)
+    timed = time_spent(rows, keep=words)
     result = fit_sessions(timed, words, n_features, payload=(ITEM, DATE, "time_spent"))
-    own = result.assignments.join(
-        result.modes.select(SESSION, KM.CLUSTER, *[F.col(w).alias(f"_m{w}") for w in words]),
-        [SESSION, KM.CLUSTER])
-    dist = KM._dist_to(words, [F.col(f"_m{w}") for w in words])
-    per = own.select(SESSION, KM.CLUSTER, dist.alias("_d"), "time_spent")
+    per = result.assignments.select(SESSION, KM.CLUSTER, F.col("distance").alias("_d"), "time_spent")
 
     def var(c: str, cl: int) -> Column:
         return F.coalesce(F.var_pop(F.when(F.col(KM.CLUSTER) == cl, F.col(c))), F.lit(0.0)).cast("float")

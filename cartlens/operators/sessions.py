@@ -102,9 +102,10 @@ def stratum_sessions(sessions: DataFrame, length: int, n: int | None = None,
 
 
 def time_spent(sessions: DataFrame, order: Sequence[str] = (DATE, ITEM),
-               rows_per_task: int = 1 << 20) -> DataFrame:
+               rows_per_task: int = 1 << 20, keep: Sequence[str] = ()) -> DataFrame:
     """Seconds from each view to the next one of the same session (W1);
-    null for the last view.  Rows follow ``order`` (date, then item id).
+    null for the last view.  Rows follow ``order`` (date, then item id);
+    ``keep`` columns are carried through.
 
     A session of ``n`` rows is cut into ``ceil(n / rows_per_task)`` time
     buckets of equal width, so a hot session is spread over many tasks
@@ -113,7 +114,8 @@ def time_spent(sessions: DataFrame, order: Sequence[str] = (DATE, ITEM),
     window over one row per bucket).  For ordinary sessions there is one
     bucket and this is the plain window."""
     t = F.unix_micros(F.col(DATE).cast("timestamp"))
-    rows = sessions.select(SESSION, ITEM, DATE)
+    keep = [c for c in keep if c not in (SESSION, ITEM, DATE)]
+    rows = sessions.select(SESSION, ITEM, DATE, *keep)
     # only sessions above rows_per_task are cut; there are at most
     # (all rows / rows_per_task) of them, so this side stays small and
     # Spark broadcasts it on its runtime size check; the rows never move
@@ -139,7 +141,7 @@ def time_spent(sessions: DataFrame, order: Sequence[str] = (DATE, ITEM),
     is_last = F.lead(F.lit(1)).over(w).isNull()
     nxt = F.when(is_last, F.col("_nh")).otherwise(F.lead(DATE).over(w))
     return (chunked.join(next_head, "_chunk", "left")
-                   .select(SESSION, ITEM, DATE,
+                   .select(SESSION, ITEM, DATE, *keep,
                            (F.timestamp_diff("MICROSECOND", F.col(DATE), nxt) / F.lit(1e6)).alias("time_spent")))
 
 
