@@ -7,11 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Session-length bands of the stratified sample and their
-# sampling fractions (lengths 20-30, 31-50, 51-100).
-SAMPLE_BANDS = ((20, 30, 0.7), (31, 50, 0.8), (51, 100, 1.0))
-# Fixed value: a mean at or above this share marks the category as preferred.
-PREFERENCE_THRESHOLD = 0.4
+from cartlens.constants import PREFERENCE_THRESHOLD, SAMPLE_BANDS, VOTE_SHARE
 
 
 def _col(c: Column | str) -> Column:
@@ -40,7 +36,7 @@ def sample_unit(key: Column | str, seed: int = 42) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def majority_vote(cluster_sum: Column | str, n: Column | str, share: float = 0.5) -> Column:
+def majority_vote(cluster_sum: Column | str, n: Column | str, share: float = VOTE_SHARE) -> Column:
     """Cluster 1 when the 0/1 assignments sum to more than ``share * n``."""
     return F.when(_col(cluster_sum) > F.lit(share) * _col(n), F.lit(1)).otherwise(F.lit(0))
 

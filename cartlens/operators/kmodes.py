@@ -33,6 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartlens.constants import KMODES_CLUSTERS, KMODES_MAX_ITER
 from cartlens.functions.bits import WORD_BITS, complement_words, shift_seed_words, valid_mask
 from cartlens.runtime import checkpoint_dir
 
@@ -121,7 +122,7 @@ def _order_key(order: Sequence[Column]) -> Column:
 
 
 def seeds(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[str],
-          n_features: int, k: int = 2, payload: Sequence[str] = (),
+          n_features: int, k: int = KMODES_CLUSTERS, payload: Sequence[str] = (),
           rows_per_task: int = 1 << 20) -> DataFrame:
     """Initial modes (C7): ``(group, seed, payload..., w...)``, one row per
     seed, each an actual row of the group.
@@ -181,7 +182,7 @@ def assign(rows: DataFrame, modes: DataFrame, group: str, words: Sequence[str])
 
 
 def update_modes(assigned: DataFrame, group: str, words: Sequence[str], n_features: int,
-                 k: int = 2, groups: DataFrame | None = None) -> DataFrame:
+                 k: int = KMODES_CLUSTERS, groups: DataFrame | None = None) -> DataFrame:
     """Modes from an assignment (A11): ``(group, cluster, w...)``; a cluster
     without rows gets the zero vector."""
     agg = assigned.groupBy(group, CLUSTER).agg(F.count(F.lit(1)).alias("_n"), *_bit_sums(words, n_features))
@@ -240,7 +241,7 @@ def _explode_modes(df: DataFrame, group: str, words: Sequence[str]) -> DataFrame
 
 
 def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[str], n_features: int,
-        k: int = 2, max_iter: int | str = 50, payload: Sequence[str] = (),
+        k: int = KMODES_CLUSTERS, max_iter: int | str = KMODES_MAX_ITER, payload: Sequence[str] = (),
         rows_per_task: int = 1 << 20, spark: SparkSession | None = None) -> KModesResult:
     """k-modes of every group.
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartlens.constants import TOP_ITEMS
 from cartlens.operators.sessions import session_lengths
 
 ITEM, SESSION = "item_id", "session_id"
@@ -23,7 +24,7 @@ def item_purchases(purchases: DataFrame) -> DataFrame:
                      .orderBy(F.col("count_purchased").desc(), ITEM))
 
 
-def views_vs_purchases(sessions: DataFrame, purchases: DataFrame, n: int | None = 100) -> DataFrame:
+def views_vs_purchases(sessions: DataFrame, purchases: DataFrame, n: int | None = TOP_ITEMS) -> DataFrame:
     """Views and purchases side by side (C13, J3): inner join, so items
     never bought drop out; most viewed first; the top ``n`` (T3).
 

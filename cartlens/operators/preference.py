@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartlens.constants import KMODES_CLUSTERS, LONG_SESSION_MIN_ITEMS, RECENT_ITEMS
 from cartlens.functions.scalar import majority_vote
 from cartlens.operators import kmodes as KM
 from cartlens.operators.sessions import sessions_in_band, time_spent
@@ -20,21 +21,21 @@ def newest_first() -> list[Column]:
     return [-F.unix_micros(F.col(DATE).cast("timestamp")), F.col(ITEM)]
 
 
-def clustering_rows(sessions: DataFrame, packed: DataFrame, lo: int | None = 11,
+def clustering_rows(sessions: DataFrame, packed: DataFrame, lo: int | None = LONG_SESSION_MIN_ITEMS,
                     hi: int | None = None) -> DataFrame:
     """Rows of sessions in the length band joined to packed item vectors
     (J1, J2): ``(session_id, item_id, date, w...)``; featureless items drop."""
     return sessions_in_band(sessions.select(SESSION, ITEM, DATE), lo, hi).join(packed, ITEM, "inner")
 
 
-def fit_sessions(rows: DataFrame, words: Sequence[str], n_features: int, k: int = 2,
+def fit_sessions(rows: DataFrame, words: Sequence[str], n_features: int, k: int = KMODES_CLUSTERS,
                  payload: Sequence[str] = (ITEM, DATE)) -> KM.KModesResult:
     """k-modes of every session, round limit = the session's row count."""
     return KM.fit(rows, SESSION, newest_first(), words, n_features, k, max_iter="rows", payload=payload)
 
 
 def clustered_preferences(rows: DataFrame, result: KM.KModesResult, words: Sequence[str],
-                          n_recent: int = 10) -> DataFrame:
+                          n_recent: int = RECENT_ITEMS) -> DataFrame:
     """Preference of each long session (C4, T8, F4): the mode of the cluster
     most of its ``n_recent`` newest rows are nearest to (strict majority for
     cluster 1, else cluster 0).  ``(session_id, w...)``."""

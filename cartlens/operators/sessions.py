@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartlens.functions.scalar import PREFERENCE_THRESHOLD, band_fraction, sample_unit, threshold
+from cartlens.constants import PREFERENCE_THRESHOLD, RECENT_ITEMS, SHORT_SESSION_MAX_ITEMS
+from cartlens.functions.scalar import band_fraction, sample_unit, threshold
 
 SESSION, ITEM, DATE = "session_id", "item_id", "date"
 
@@ -52,7 +53,7 @@ def session_feature_rows(sessions: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def session_feature_means(sessions: DataFrame, encoded: DataFrame, feature_cols: Sequence[str],
-                          lo: int | None = None, hi: int | None = 20) -> DataFrame:
+                          lo: int | None = None, hi: int | None = SHORT_SESSION_MAX_ITEMS) -> DataFrame:
     """Per-session mean of every feature column over the joined rows (A6),
     for sessions whose length (A1) is in ``[lo, hi]``.
 
@@ -81,7 +82,7 @@ def session_feature_means(sessions: DataFrame, encoded: DataFrame, feature_cols:
 
 def session_preferences(sessions: DataFrame, encoded: DataFrame, feature_cols: Sequence[str],
                         threshold_value: float = PREFERENCE_THRESHOLD,
-                        lo: int | None = None, hi: int | None = 20) -> DataFrame:
+                        lo: int | None = None, hi: int | None = SHORT_SESSION_MAX_ITEMS) -> DataFrame:
     """Binary preference vector per session (C3, C5, P8): feature means over
     the joined rows, then ``mean >= threshold`` gives 1.  Default band is
     sessions of at most 20 items."""
@@ -145,7 +146,7 @@ def time_spent(sessions: DataFrame, order: Sequence[str] = (DATE, ITEM),
                            (F.timestamp_diff("MICROSECOND", F.col(DATE), nxt) / F.lit(1e6)).alias("time_spent")))
 
 
-def recent_items(sessions: DataFrame, n: int = 10, tie: Sequence[str] = (ITEM,)) -> DataFrame:
+def recent_items(sessions: DataFrame, n: int = RECENT_ITEMS, tie: Sequence[str] = (ITEM,)) -> DataFrame:
     """The ``n`` most recent rows of each session (T8) with their recency
     position from 1 (W2), newest first, ties by item id.  The filter on
     ``row_number`` is planned as a WindowGroupLimit, applied map-side

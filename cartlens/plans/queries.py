@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cartlens.constants import STRATUM_SESSIONS, TOP_ITEMS
 from cartlens.operators import distance as D
 from cartlens.operators import features as FT
 from cartlens.operators import kmodes as KM
@@ -49,7 +50,7 @@ def q_item_purchases(spark, sf_dir):
 
 def q_views_vs_purchases(spark, sf_dir):
     """Top 100 items by views with their purchases."""
-    return PO.views_vs_purchases(X.event_sessions(spark, sf_dir), X.event_purchases(spark, sf_dir), 100)
+    return PO.views_vs_purchases(X.event_sessions(spark, sf_dir), X.event_purchases(spark, sf_dir), TOP_ITEMS)
 
 
 def q_length_distribution(spark, sf_dir):
@@ -91,7 +92,7 @@ def q_session_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_stratum_sessions(spark, sf_dir):
     """Four order sessions of exactly 5 items, by session id."""
-    return S.stratum_sessions(X.order_sessions(spark, sf_dir), 5, 4)
+    return S.stratum_sessions(X.order_sessions(spark, sf_dir), 5, STRATUM_SESSIONS)
 
 
 def q_stratum_purchases(spark, sf_dir):
