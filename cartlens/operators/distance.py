@@ -27,6 +27,9 @@ from cartlens.runtime import checkpoint_dir
 
 # Distance-matrix cells computed at once inside a task (queries x candidates).
 _CELLS_PER_BATCH = 1 << 22
+# Distance cells per co-grouped task: about a few seconds of vectorised
+# XOR/popcount.  More work is split into more query blocks.
+_CELLS_PER_TASK = 1 << 32
 
 
 def hamming_pairs(left: DataFrame, right: DataFrame, on: Sequence[str] | str,
@@ -79,7 +82,13 @@ def _cogroup_blocks(queries: DataFrame, candidates: DataFrame, query_id: str, ca
         nc = candidates.count()
     else:
         nc = n_candidates
-    qb, cb = _blocks(nq, query_block_rows), _blocks(nc, cand_block_rows)
+    # candidate blocks bound the candidates held by one task; query blocks
+    # bound the queries held by one task and split the work so that each
+    # task computes about _CELLS_PER_TASK distances.  Shuffled rows:
+    # queries x cb + candidates x qb.
+    cb = _blocks(nc, cand_block_rows)
+    qb = max(_blocks(nq, query_block_rows), -(-(nq * nc) // (_CELLS_PER_TASK * cb)))
+    qb = max(1, min(qb, max(1, nq)))
     q = queries.select(F.col(query_id).alias("_qid"), *words) \
                .withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(qb)))
     c = candidates.select(F.col(cand_id).alias("_cid"), *words) \
@@ -91,7 +100,7 @@ def _cogroup_blocks(queries: DataFrame, candidates: DataFrame, query_id: str, ca
 
 def knn(queries: DataFrame, candidates: DataFrame, k: int, words: Sequence[str],
         query_id: str = "session_id", cand_id: str = "item_id", exclude_self: bool = False,
-        query_block_rows: int = 8192, cand_block_rows: int = 65536,
+        query_block_rows: int = 1 << 20, cand_block_rows: int = 1 << 16,
         n_queries: int | None = None, n_candidates: int | None = None) -> DataFrame:
     """The ``k`` candidates nearest to every query (C11, T4, W3):
     ``(query_id, rank, cand_id, distance)``, rank from 1.
@@ -176,7 +185,7 @@ def _expand(queries: DataFrame, query_id: str, vecs: DataFrame, per_vector: Data
 
 def distance_multiplicity(queries: DataFrame, candidates: DataFrame, words: Sequence[str],
                           query_id: str = "session_id", cand_id: str = "item_id",
-                          query_block_rows: int = 8192, cand_block_rows: int = 65536,
+                          query_block_rows: int = 1 << 20, cand_block_rows: int = 1 << 16,
                           n_queries: int | None = None, n_candidates: int | None = None) -> DataFrame:
     """Every distance value from a query to the candidates, with how many
     candidates lie at it (A12, T5): ``(query_id, distance, multiplicity)``.
