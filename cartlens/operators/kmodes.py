@@ -68,7 +68,7 @@ def _majority_words(n_col: str, n_features: int, prefix: str = "w") -> list[Colu
     return words
 
 
-def _dist_to(words: Sequence[str], other: Sequence[Column]) -> Column:
+def distance_to(words: Sequence[str], other: Sequence[Column]) -> Column:
     total = None
     for w, o in zip(words, other):
         t = F.bit_count(F.col(w).bitwiseXOR(o))
@@ -110,13 +110,6 @@ def _salted(rows: DataFrame, group: str, order: Sequence[str], rows_per_task: in
     return sized.withColumn("_salt", F.pmod(F.xxhash64(*order), F.col("_nsalt")).cast("int"))
 
 
-def _spread(modes_per_group: DataFrame, group: str, nsalt: DataFrame) -> DataFrame:
-    """Copy each group's mode row to every salt bucket of the group."""
-    return (modes_per_group.join(nsalt, group)
-            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1)))
-            .drop("_nsalt"))
-
-
 def _order_key(order: Sequence[Column]) -> Column:
     return F.struct(*[c.alias(f"_k{i}") for i, c in enumerate(order)])
 
@@ -152,7 +145,7 @@ def seeds(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[
     per_row = rows.select(*keys, _order_key(order).alias("_ord"), *payload, *words) \
                   .join(targets, keys) \
                   .select(group, "_ord", *payload, *words, F.explode("_q").alias("_t"))
-    dist = _dist_to(words, [F.col("_t")[w] for w in words])
+    dist = distance_to(words, [F.col("_t")[w] for w in words])
     best = F.min(F.struct(dist.alias("d"), F.col("_ord"), *[F.col(p) for p in payload],
                           *[F.col(w) for w in words])).alias("_b")
     return (per_row.groupBy(group, F.col("_t.seed").alias("seed")).agg(best)
@@ -160,8 +153,9 @@ def seeds(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[
                            *[F.col("_b")[w].alias(w) for w in words]))
 
 
-def _modes_array(modes: DataFrame, group: str, words: Sequence[str]) -> DataFrame:
-    """One row per group holding its k modes (a bounded array of k structs)."""
+def modes_array(modes: DataFrame, group: str, words: Sequence[str]) -> DataFrame:
+    """One row per group holding its k modes as ``_modes``, an array of
+    ``struct(c, w...)`` sorted by cluster (bounded: k entries)."""
     return modes.groupBy(group).agg(
         F.sort_array(F.collect_list(F.struct(F.col(CLUSTER).alias("c"), *[F.col(w) for w in words])))
          .alias("_modes"))
@@ -171,13 +165,13 @@ def nearest_mode(words: Sequence[str], modes: str = "_modes") -> Column:
     """Index of the nearest mode in the array column ``modes`` (lowest
     index on ties); null when the array is null."""
     def one(m):
-        return F.struct(_dist_to(words, [m[w] for w in words]).alias("d"), m["c"].alias("c"))
+        return F.struct(distance_to(words, [m[w] for w in words]).alias("d"), m["c"].alias("c"))
     return F.array_min(F.transform(modes, one))["c"]
 
 
 def assign(rows: DataFrame, modes: DataFrame, group: str, words: Sequence[str]) -> DataFrame:
     """Rows with the index of their nearest mode."""
-    arr = _modes_array(modes, group, words)
+    arr = modes_array(modes, group, words)
     return rows.join(arr, group).withColumn(CLUSTER, nearest_mode(words)).drop("_modes")
 
 
@@ -310,7 +304,7 @@ def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[st
     own = F.filter("_modes", lambda m: m["c"] == F.col(CLUSTER))[0]
     assignments = (base.join(spread, [group, "_salt"])
                        .withColumn(CLUSTER, nearest_mode(words, "_used"))
-                       .withColumn("distance", _dist_to(words, [own[w] for w in words]))
+                       .withColumn("distance", distance_to(words, [own[w] for w in words]))
                        .select(group, *payload, CLUSTER, "distance", "rounds", "_ord", *words))
     return KModesResult(assignments, _explode_modes(ended, group, words), r)
 

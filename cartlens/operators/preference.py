@@ -41,7 +41,7 @@ def clustered_preferences(rows: DataFrame, result: KM.KModesResult, words: Seque
     cluster 1, else cluster 0).  ``(session_id, w...)``."""
     w = Window.partitionBy(SESSION).orderBy(F.col(DATE).desc(), F.col(ITEM))
     recent = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_recent).drop("_r")
-    arr = KM._modes_array(result.modes, SESSION, words)
+    arr = KM.modes_array(result.modes, SESSION, words)
     votes = (recent.join(arr, SESSION).select(SESSION, KM.nearest_mode(words).alias("_c"))
                    .groupBy(SESSION).agg(F.sum("_c").alias("_s"), F.count(F.lit(1)).alias("_n")))
     chosen = votes.select(SESSION, majority_vote("_s", "_n").alias(KM.CLUSTER))
@@ -68,6 +68,6 @@ def cluster_statistics(rows: DataFrame, targets: DataFrame, packed: DataFrame,
         var("_d", 0).alias("var1_d"), var("_d", 1).alias("var2_d"),
         var("time_spent", 0).alias("var1_t"), var("time_spent", 1).alias("var2_t"))
     target_vec = targets.select(SESSION, ITEM).join(packed, ITEM, "inner")
-    arr = KM._modes_array(result.modes, SESSION, words)
+    arr = KM.modes_array(result.modes, SESSION, words)
     truth = target_vec.join(arr, SESSION).select(SESSION, KM.nearest_mode(words).alias("true_cluster"))
     return stats.join(truth, SESSION, "inner")

@@ -196,3 +196,10 @@ def test_clustering_band_excludes_length_10(spark):
     packed = spark.createDataFrame([(i, i) for i in range(11)], "item_id long, w0 long")
     got = {r["session_id"] for r in PF.clustering_rows(sess, packed).collect()}
     assert got == {2}
+
+
+def test_update_modes_majority_and_empty_cluster(spark):
+    rows = spark.createDataFrame([(1, 0b011, 0), (1, 0b001, 0), (1, 0b110, 0)],
+                                 "session_id long, w0 long, cluster int")
+    got = {(r["cluster"], r["w0"]) for r in KM.update_modes(rows, "session_id", ["w0"], 3, k=2).collect()}
+    assert got == {(0, 0b011), (1, 0)}
