@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 
 def reciprocal_ranks(ranked: DataFrame, targets: DataFrame, key: str = "session_id",
                      item: str = "item_id") -> DataFrame:
-    """Per evaluated session, 1/rank of its target item in its list, 0 when
-    the target is not in the list.  Evaluated = sessions that have both a
-    list and a target."""
-    listed = ranked.select(key).distinct()
-    evaluated = targets.select(key, item).join(listed, key, "left_semi")
-    hits = ranked.select(key, item, "rank")
-    return (evaluated.join(hits, [key, item], "left")
-                     .select(key, item, F.coalesce(F.lit(1.0) / F.col("rank"), F.lit(0.0)).alias("rr")))
+    """Per evaluated (session, target item), 1/rank of the target in the
+    session's list, 0 when it is not in the list.  Evaluated = sessions that
+    have both a list and a target.  The list is read once: every list row
+    meets the session's target, and one aggregate keeps the hit."""
+    t = targets.select(key, F.col(item).alias("_target"))
+    hit = F.when(F.col(item) == F.col("_target"), F.lit(1.0) / F.col("rank"))
+    return (ranked.select(key, item, "rank").join(t, key, "inner")
+                  .groupBy(key, "_target")
+                  .agg(F.coalesce(F.max(hit), F.lit(0.0)).alias("rr"))
+                  .select(key, F.col("_target").alias(item), "rr"))
 
 
 def mrr(ranked: DataFrame, targets: DataFrame, key: str = "session_id", item: str = "item_id") -> DataFrame:
