@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartlens.functions.bits import WORD_BITS, hamming
-from cartlens.runtime import checkpoint_dir
+from cartlens.runtime import checkpoint_dir, ship_package
 
 # Distance-matrix cells computed at once inside a task (queries x candidates).
 _CELLS_PER_BATCH = 1 << 22
@@ -67,6 +67,7 @@ def _replicate(df: DataFrame, n: int, name: str) -> DataFrame:
 def _cogroup_blocks(queries: DataFrame, candidates: DataFrame, query_id: str, cand_id: str,
                     words: Sequence[str], query_block_rows: int, cand_block_rows: int,
                     n_queries: int | None, n_candidates: int | None):
+    ship_package(queries.sparkSession)
     # block sizes need the row counts: materialise each input once in the
     # checkpoint folder (counting is then a metadata-cheap scan, and the
     # co-group reads the same rows instead of recomputing the input plan)

@@ -71,3 +71,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="cartlens-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``cartlens`` importable by the Python workers of every executor
+    (needed by the Arrow-batched k-NN kernel): the package's sources are
+    zipped once per context and added with ``addPyFile``, as
+    ``spark-submit --py-files`` would."""
+    import zipfile
+
+    import cartlens
+
+    sc = spark.sparkContext
+    if getattr(sc, "_cartlens_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(cartlens.__file__))
+    fd, path = tempfile.mkstemp(prefix="cartlens-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(root):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    full = os.path.join(dirpath, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._cartlens_shipped = True
