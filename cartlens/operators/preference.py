@@ -34,13 +34,16 @@ def fit_sessions(rows: DataFrame, words: Sequence[str], n_features: int, k: int
     return KM.fit(rows, SESSION, newest_first(), words, n_features, k, max_iter="rows", payload=payload)
 
 
-def clustered_preferences(rows: DataFrame, result: KM.KModesResult, words: Sequence[str],
+def clustered_preferences(result: KM.KModesResult, words: Sequence[str],
                           n_recent: int = RECENT_ITEMS) -> DataFrame:
     """Preference of each long session (C4, T8, F4): the mode of the cluster
     most of its ``n_recent`` newest rows are nearest to (strict majority for
     cluster 1, else cluster 0).  ``(session_id, w...)``."""
-    w = Window.partitionBy(SESSION).orderBy(F.col(DATE).desc(), F.col(ITEM))
-    recent = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_recent).drop("_r")
+    # the fit's rows (read from its checkpoint) carry the vectors and the
+    # newest-first order key, so the input is not computed again
+    w = Window.partitionBy(SESSION).orderBy("_ord")
+    recent = (result.assignments.select(SESSION, "_ord", *words)
+                    .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_recent).drop("_r"))
     arr = KM.modes_array(result.modes, SESSION, words)
     votes = (recent.join(arr, SESSION).select(SESSION, KM.nearest_mode(words).alias("_c"))
                    .groupBy(SESSION).agg(F.sum("_c").alias("_s"), F.count(F.lit(1)).alias("_n")))

@@ -220,7 +220,7 @@ def q_cluster_sizes(spark, sf_dir):
 def q_clustered_preferences(spark, sf_dir):
     """Preference of each long session by k-modes and vote."""
     rows = _long_rows(spark, sf_dir)
-    prefs = PF.clustered_preferences(rows, PF.fit_sessions(rows, EMB_WORDS, len(EMB_CATS)), EMB_WORDS)
+    prefs = PF.clustered_preferences(PF.fit_sessions(rows, EMB_WORDS, len(EMB_CATS)), EMB_WORDS)
     return _unpacked(prefs, ["session_id"])
 
 
