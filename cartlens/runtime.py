@@ -36,6 +36,9 @@ def build_session(master: str | None = None, app: str = "cartlens",
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
         .config("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
+        # iterative jobs checkpoint every round: let Spark delete checkpoint
+        # files once nothing refers to them
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
