@@ -23,6 +23,7 @@ from cartlens.operators import recommend as RC
 from cartlens.operators import sessions as S
 from cartlens.plans.inputs import (EMB_CATS, EMB_COLS, EMB_WORDS, PART_CATS, emb_encoded, emb_encoded_raw,
                                   emb_packed, pref_words)
+from cartlens.runtime import checkpoint_dir
 from cartlens.sources import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -188,16 +189,23 @@ def q_group_mode(spark, sf_dir):
     return _unpacked(modes, ["session_id"])
 
 
+def _long_rows_once(spark, sf_dir):
+    """The long-session rows, computed once into the checkpoint folder (the
+    seed search reads them twice, the assignment a third time)."""
+    checkpoint_dir(spark)
+    return _long_rows(spark, sf_dir).checkpoint()
+
+
 def q_kmodes_seeds(spark, sf_dir):
     """The two seed rows of each long session."""
-    seeds = KM.seeds(_long_rows(spark, sf_dir), "session_id", PF.newest_first(), EMB_WORDS,
+    seeds = KM.seeds(_long_rows_once(spark, sf_dir), "session_id", PF.newest_first(), EMB_WORDS,
                      len(EMB_CATS), payload=["item_id", "date"])
     return seeds.select("session_id", "seed", "item_id", "date")
 
 
 def q_kmodes_assign(spark, sf_dir):
     """First assignment of each row to its nearest seed."""
-    rows = _long_rows(spark, sf_dir)
+    rows = _long_rows_once(spark, sf_dir)
     seeds = KM.seeds(rows, "session_id", PF.newest_first(), EMB_WORDS, len(EMB_CATS)) \
         .withColumnRenamed("seed", "cluster")
     return KM.assign(rows, seeds, "session_id", EMB_WORDS).select("session_id", "item_id", "date", "cluster")
