@@ -27,6 +27,10 @@ def clean_features(features: DataFrame, keys: Sequence[str] = (ITEM, CATEGORY))
     payload = [c for c in features.columns if c not in keys]
     if not payload:
         return features.dropDuplicates(list(keys))
+    if len(payload) == 1:
+        # one payload column: its min is the smallest row, and a plain min
+        # keeps a fixed-width buffer (hash aggregate, no sort)
+        return features.groupBy(*keys).agg(F.min(payload[0]).alias(payload[0]))
     best = F.min(F.struct(*[F.col(c) for c in payload])).alias("_p")
     return (features.groupBy(*keys).agg(best)
                     .select(*keys, *[F.col("_p").getField(c).alias(c) for c in payload]))

@@ -283,9 +283,13 @@ def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[st
                             .withColumn("_moved", (F.coalesce(nearest_mode(words, "_prev"), F.lit(-1))
                                                    != F.col(CLUSTER)).cast("int")))
         done = (F.col("_limit") <= r) | ((F.col("_any") == 0) & F.lit(r >= 2))
-        state = (assigned.groupBy(group).agg(*aggs, F.first("_modes").alias("_used"))
-                         .select(group, "_any", "_nsalt", limit.cast("int").alias("_limit"),
-                                 new_modes, "_used")
+        # fixed-width buffers only, so this is a hash aggregate (an array
+        # buffer would turn it into a sort of all rows); the modes used
+        # this round come from the small per-group state instead
+        used = state.select(group, F.col("_modes").alias("_used"))
+        state = (assigned.groupBy(group).agg(*aggs)
+                         .select(group, "_any", "_nsalt", limit.cast("int").alias("_limit"), new_modes)
+                         .join(used, group)
                          .withColumn("_done", done)).checkpoint()
         finished.append(state.where("_done").select(group, "_nsalt", "_used", "_modes", F.lit(r).alias("rounds")))
         state = state.where(~F.col("_done")).select(group, "_nsalt", "_modes", F.col("_used").alias("_prev"))

@@ -134,7 +134,10 @@ def time_spent(sessions: DataFrame, order: Sequence[str] = (DATE, ITEM),
                    .withColumn("_chunk", F.struct(SESSION, "_b")))
     # first row of every bucket (two-phase min), then the head of the
     # session's next non-empty bucket (one row per bucket)
-    heads = chunked.groupBy(SESSION, "_b").agg(F.min(F.struct(*[F.col(c) for c in order]))[DATE].alias("_head"))
+    # the head's date is the bucket's least date: rows are ordered by date
+    # first, and null dates only occur in bucket 0, whose head is never
+    # anyone's successor (a plain min keeps this a hash aggregate)
+    heads = chunked.groupBy(SESSION, "_b").agg(F.min(DATE).alias("_head"))
     next_head = heads.select(F.struct(SESSION, "_b").alias("_chunk"),
                              F.lead("_head").over(Window.partitionBy(SESSION).orderBy("_b")).alias("_nh"))
     # one shuffle of the rows: the join and the window share the key

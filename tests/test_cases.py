@@ -203,3 +203,12 @@ def test_update_modes_majority_and_empty_cluster(spark):
                                  "session_id long, w0 long, cluster int")
     got = {(r["cluster"], r["w0"]) for r in KM.update_modes(rows, "session_id", ["w0"], 3, k=2).collect()}
     assert got == {(0, 0b011), (1, 0)}
+
+
+def test_clean_features_keeps_smallest_payload(spark):
+    from cartlens.operators.features import clean_features
+    one = spark.createDataFrame([(1, 5, 3), (1, 5, 2), (2, 5, 9)], "item_id long, feature_category_id int, v int")
+    assert sorted(map(tuple, clean_features(one).collect())) == [(1, 5, 2), (2, 5, 9)]
+    two = spark.createDataFrame([(1, 5, 2, "z"), (1, 5, 2, "a"), (1, 5, 3, "0")],
+                                "item_id long, feature_category_id int, v int, w string")
+    assert [tuple(r) for r in clean_features(two).collect()] == [(1, 5, 2, "a")]
