@@ -199,34 +199,35 @@ class KModesResult:
     rounds: int              # rounds run by the slowest group
 
 
-def _modes_exprs(words: Sequence[str], n_features: int, k: int, carry: Sequence[str]):
-    """Aggregate and projection expressions of ``_modes_by_group``.  Built
-    once per fit and reused every round (they are unresolved expressions)."""
-    aggs = [F.max("_moved").alias("_any")] + [F.first(c).alias(c) for c in carry]
+def _modes_exprs(words: Sequence[str], n_features: int, k: int):
+    """Expressions of the per-round mode update, built once per fit and
+    reused every round (they are unresolved expressions).
+
+    Step 1 groups by (group, cluster): row count, moved flag, salt count
+    and one bit sum per feature (n + 3 fixed-width buffers, so the
+    aggregate over all rows stays a codegen'd hash aggregate).  Step 2
+    groups the k rows of each group: its k modes (``max`` of the one row of
+    each cluster; null for an empty cluster, which becomes the zero
+    vector), whether any row moved, and its row count."""
+    step1 = ([F.count(F.lit(1)).alias("_n"), F.max("_moved").alias("_any"), F.first("_nsalt").alias("_nsalt")]
+             + _bit_sums(words, n_features))
+    mode_words = _majority_words("_n", n_features)
+    step2 = [F.max("_any").alias("_any"), F.first("_nsalt").alias("_nsalt"), F.sum("_n").alias("_rows")]
     for c in range(k):
-        aggs.append(F.count_if(F.col(CLUSTER) == c).alias(f"_n{c}"))
-        aggs += [e.alias(f"_o{c}_{i}") for i, e in
-                 enumerate(_bit_sums(words, n_features, cond=f"{CLUSTER} = {c}"))]
-    structs = []
-    for c in range(k):
-        ws = []
-        for j in range(len(words)):
-            terms = [f"shiftleft(cast(_o{c}_{j * WORD_BITS + b} * 2 > _n{c} as bigint), {b})"
-                     for b in range(min(WORD_BITS, n_features - j * WORD_BITS))]
-            ws.append(F.expr(" | ".join(terms)).alias(words[j]))
-        structs.append(F.struct(F.lit(c).alias("c"), *ws))
-    return aggs, F.array(*structs).alias("_modes")
-
-
-def _modes_by_group(assigned: DataFrame, group: str, exprs, carry: Sequence[str] = (),
-                    limit: Column | None = None) -> DataFrame:
-    """One aggregate per group: the k modes as an array ``_modes`` of
-    ``struct(c, w...)`` (an empty cluster gets the zero vector, as its
-    count is 0), ``_any`` = 1 if a row moved, plus ``first`` of ``carry``
-    and the group's round limit ``_limit`` when given."""
-    aggs, modes = exprs
-    extra = [limit.cast("int").alias("_limit")] if limit is not None else []
-    return assigned.groupBy(group).agg(*aggs).select(group, "_any", *carry, *extra, modes)
+        step2 += [F.max(F.when(F.col(CLUSTER) == c, F.col(w))).alias(f"_m{c}_{j}") for j, w in enumerate(words)]
+    modes = F.array(*[F.struct(F.lit(c).alias("c"),
+                               *[F.coalesce(F.col(f"_m{c}_{j}"), F.lit(0).cast("long")).alias(w)
+                                 for j, w in enumerate(words)])
+                      for c in range(k)]).alias("_modes")
+    return step1, mode_words, step2, modes
+
+
+def _update_state(assigned: DataFrame, group: str, exprs) -> DataFrame:
+    """Per group: ``_any``, ``_nsalt``, ``_rows`` and the new ``_modes``."""
+    step1, mode_words, step2, modes = exprs
+    per_cluster = (assigned.groupBy(group, CLUSTER).agg(*step1)
+                           .select(group, CLUSTER, "_n", "_any", "_nsalt", *mode_words))
+    return per_cluster.groupBy(group).agg(*step2).select(group, "_any", "_nsalt", "_rows", modes)
 
 
 def _explode_modes(df: DataFrame, group: str, words: Sequence[str]) -> DataFrame:
@@ -268,9 +269,8 @@ def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[st
     # no previous modes before the first round: every row counts as moved
     state = state.withColumn("_prev", F.when(F.lit(False), F.col("_modes")))
 
-    aggs, new_modes = _modes_exprs(words, n_features, k, ["_nsalt"])
-    n_rows = sum((F.col(f"_n{c}") for c in range(k)), F.lit(0))
-    limit = n_rows if max_iter == "rows" else F.lit(int(max_iter))
+    exprs = _modes_exprs(words, n_features, k)
+    limit = F.col("_rows") if max_iter == "rows" else F.lit(int(max_iter))
     rows_now, groups_at_compaction = base, None
     finished = []
     r = 0
@@ -287,8 +287,8 @@ def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[st
         # buffer would turn it into a sort of all rows); the modes used
         # this round come from the small per-group state instead
         used = state.select(group, F.col("_modes").alias("_used"))
-        state = (assigned.groupBy(group).agg(*aggs)
-                         .select(group, "_any", "_nsalt", limit.cast("int").alias("_limit"), new_modes)
+        state = (_update_state(assigned, group, exprs)
+                         .withColumn("_limit", limit.cast("int"))
                          .join(used, group)
                          .withColumn("_done", done)).checkpoint()
         finished.append(state.where("_done").select(group, "_nsalt", "_used", "_modes", F.lit(r).alias("rounds")))
