@@ -161,18 +161,24 @@ def modes_array(modes: DataFrame, group: str, words: Sequence[str]) -> DataFrame
          .alias("_modes"))
 
 
-def nearest_mode(words: Sequence[str], modes: str = "_modes") -> Column:
-    """Index of the nearest mode in the array column ``modes`` (lowest
-    index on ties); null when the array is null."""
-    def one(m):
-        return F.struct(distance_to(words, [m[w] for w in words]).alias("d"), m["c"].alias("c"))
-    return F.array_min(F.transform(modes, one))["c"]
+def nearest_mode(words: Sequence[str], modes: str = "_modes", k: int = KMODES_CLUSTERS) -> Column:
+    """Index of the nearest of the ``k`` modes in the array column ``modes``
+    (sorted by cluster), the lowest index on ties; null when the array is
+    null.  Plain expressions (k distances, ``least``, a CASE), so the row
+    loop stays in generated code."""
+    dists = [distance_to(words, [F.col(modes)[c][w] for w in words]) for c in range(k)]
+    best = F.least(*dists) if k > 1 else dists[0]
+    out = None
+    for c, d in enumerate(dists):
+        out = F.when(d == best, F.lit(c)) if out is None else out.when(d == best, F.lit(c))
+    return out
 
 
-def assign(rows: DataFrame, modes: DataFrame, group: str, words: Sequence[str]) -> DataFrame:
+def assign(rows: DataFrame, modes: DataFrame, group: str, words: Sequence[str],
+           k: int = KMODES_CLUSTERS) -> DataFrame:
     """Rows with the index of their nearest mode."""
     arr = modes_array(modes, group, words)
-    return rows.join(arr, group).withColumn(CLUSTER, nearest_mode(words)).drop("_modes")
+    return rows.join(arr, group).withColumn(CLUSTER, nearest_mode(words, k=k)).drop("_modes")
 
 
 def update_modes(assigned: DataFrame, group: str, words: Sequence[str], n_features: int,
@@ -279,8 +285,8 @@ def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[st
         spread = state.select(group, "_modes", "_prev",
                               F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1)).alias("_salt"))
         assigned = (rows_now.join(spread, [group, "_salt"])
-                            .withColumn(CLUSTER, nearest_mode(words, "_modes"))
-                            .withColumn("_moved", (F.coalesce(nearest_mode(words, "_prev"), F.lit(-1))
+                            .withColumn(CLUSTER, nearest_mode(words, "_modes", k))
+                            .withColumn("_moved", (F.coalesce(nearest_mode(words, "_prev", k), F.lit(-1))
                                                    != F.col(CLUSTER)).cast("int")))
         done = (F.col("_limit") <= r) | ((F.col("_any") == 0) & F.lit(r >= 2))
         # fixed-width buffers only, so this is a hash aggregate (an array
@@ -305,9 +311,9 @@ def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[st
     ended = _union(finished)
     spread = ended.select(group, "_used", "_modes", "rounds",
                           F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1)).alias("_salt"))
-    own = F.filter("_modes", lambda m: m["c"] == F.col(CLUSTER))[0]
+    own = F.col("_modes")[F.col(CLUSTER)]          # modes are sorted by cluster 0..k-1
     assignments = (base.join(spread, [group, "_salt"])
-                       .withColumn(CLUSTER, nearest_mode(words, "_used"))
+                       .withColumn(CLUSTER, nearest_mode(words, "_used", k))
                        .withColumn("distance", distance_to(words, [own[w] for w in words]))
                        .select(group, *payload, CLUSTER, "distance", "rounds", "_ord", *words))
     return KModesResult(assignments, _explode_modes(ended, group, words), r)
