@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartlens.functions.bits import bit_position, n_words
+from cartlens.functions.bits import n_words
 
 ITEM, CATEGORY = "item_id", "feature_category_id"
 

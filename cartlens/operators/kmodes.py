@@ -15,14 +15,15 @@ own; all groups advance together, one round per loop step:
 
 Reassignment is simultaneous (all rows against the modes of the previous
 round).  A group stops when a round moves no row or its round limit is
-reached; its rows and modes are then written to the output tables and leave
-the loop, so later rounds only touch unfinished groups.  The loop state is
-checkpointed every round into the session's checkpoint folder.
+reached.  The rows are written once, hash-partitioned by (group, salt); each
+round joins them to one state row per group and salt bucket (current and
+previous modes), so only the small per-group state is shuffled and
+checkpointed per round.  Finished groups drop out at that join.
 
 Hot groups: the row-to-mode join is salted.  A group of ``n`` rows is split
-into ``ceil(n / rows_per_task)`` salt buckets and its (k-row) modes are
-copied to each bucket, so no group lands whole in one task; the per-cluster
-sums are two-phase aggregates.
+into ``ceil(n / rows_per_task)`` salt buckets and its k modes are copied to
+each bucket, so no group lands whole in one task; the per-cluster sums are
+two-phase hash aggregates.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartlens.constants import KMODES_CLUSTERS, KMODES_MAX_ITER
-from cartlens.functions.bits import WORD_BITS, complement_words, shift_seed_words, valid_mask
+from cartlens.functions.bits import WORD_BITS, complement_words, shift_seed_words
 from cartlens.runtime import checkpoint_dir
 
 CLUSTER = "cluster"
