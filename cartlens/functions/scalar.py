@@ -14,9 +14,16 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def threshold_sql(name: str, t: float = PREFERENCE_THRESHOLD) -> str:
+    """SQL text of P8 for the column ``name``: 1 when ``>= t``, else 0."""
+    return f"case when `{name}` >= {float(t)!r}D then 1 else 0 end"
+
+
 def threshold(c: Column | str, t: float = PREFERENCE_THRESHOLD) -> Column:
     """1 when ``c >= t`` (inclusive), else 0."""
-    return F.when(_col(c) >= F.lit(t), F.lit(1)).otherwise(F.lit(0))
+    if isinstance(c, str):
+        return F.expr(threshold_sql(c, t))
+    return F.when(c >= F.lit(t), F.lit(1)).otherwise(F.lit(0))
 
 
 def band_fraction(length: Column | str,

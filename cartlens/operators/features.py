@@ -17,6 +17,14 @@ from cartlens.functions.bits import n_words
 ITEM, CATEGORY = "item_id", "feature_category_id"
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _lit(v) -> str:
+    return str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
+
+
 def clean_features(features: DataFrame, keys: Sequence[str] = (ITEM, CATEGORY)) -> DataFrame:
     """One row per (item, category).
 
@@ -43,7 +51,7 @@ def encode_features(features: DataFrame, categories: Sequence[int],
 
     One hash aggregate with a conditional count per category; categories
     outside the list are ignored, as an explicit pivot list does."""
-    counts = [F.count_if(F.col(category) == F.lit(c)).alias(str(c)) for c in categories]
+    counts = [F.expr(f"count_if({_q(category)} = {_lit(c)}) as {_q(str(c))}") for c in categories]
     return features.groupBy(item).agg(*counts)
 
 
@@ -69,25 +77,30 @@ def pack_features(features: DataFrame, categories: Sequence[int], item: str = IT
 
 def wide_to_words(df: DataFrame, feature_cols: Sequence[str], keep: Sequence[str],
                   prefix: str = "w") -> DataFrame:
-    """Wide 0/1 columns to packed words, row by row."""
-    from cartlens.functions.bits import pack_columns
-    words = pack_columns(list(feature_cols))
-    return df.select(*keep, *[w.alias(f"{prefix}{j}") for j, w in enumerate(words)])
+    """Wide 0/1 columns to packed words, row by row (one SQL expression per
+    word)."""
+    cols = list(feature_cols)
+    exprs = []
+    for j in range(n_words(len(cols))):
+        part = cols[j * 64:(j + 1) * 64]
+        text = " | ".join(f"shiftleft(cast(coalesce({_q(c)}, 0) <> 0 as bigint), {b})" for b, c in enumerate(part))
+        exprs.append(f"{text} as {_q(prefix + str(j))}")
+    return df.selectExpr(*[_q(k) for k in keep], *exprs)
 
 
 def words_to_wide(df: DataFrame, categories: Sequence[int], keep: Sequence[str],
                   prefix: str = "w") -> DataFrame:
     """Packed words to one 0/1 int column per category, named after it."""
-    from cartlens.functions.bits import unpack_words
-    words = [f"{prefix}{j}" for j in range(n_words(len(categories)))]
-    bits = unpack_words(words, len(categories))
-    return df.select(*keep, *[b.alias(str(c)) for b, c in zip(bits, categories)])
+    exprs = [f"cast(shiftright({_q(prefix + str(i // 64))}, {i % 64}) & 1 as int) as {_q(str(c))}"
+             for i, c in enumerate(categories)]
+    return df.selectExpr(*[_q(k) for k in keep], *exprs)
 
 
 def value_domain(wide: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
     """Distinct values over all feature cells (A9): unpivot, then a
     two-phase distinct, so each map task ships only the values it saw."""
-    cells = wide.select(F.explode(F.array(*[F.col(c).cast("long") for c in feature_cols])).alias("value"))
+    cells = wide.select(F.expr("explode(array(" + ", ".join(f"cast({_q(c)} as bigint)" for c in feature_cols)
+                               + ")) as value"))
     return cells.distinct()
 
 
@@ -95,9 +108,9 @@ def value_frequency(wide: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
     """How often each value occurs in each feature column (A10):
     ``(category, value, n)``, zero counts left out; ``category`` is the
     column name read as an int when it is one."""
-    def cat(c: str):
-        return F.lit(int(c)) if c.isdigit() else F.lit(c)
-    pairs = F.explode(F.array(*[F.struct(cat(c).alias("category"), F.col(c).cast("long").alias("value"))
-                                for c in feature_cols]))
-    return (wide.select(pairs.alias("_c")).select("_c.category", "_c.value")
+    def cat(c: str) -> str:
+        return c if c.isdigit() else "'" + c.replace("'", "''") + "'"
+    pairs = F.expr("explode(array(" + ", ".join(
+        f"named_struct('category', {cat(c)}, 'value', cast({_q(c)} as bigint))" for c in feature_cols) + ")) as _c")
+    return (wide.select(pairs).select("_c.category", "_c.value")
                 .groupBy("category", "value").agg(F.count(F.lit(1)).alias("n")))

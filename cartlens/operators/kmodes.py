@@ -55,7 +55,7 @@ def _bit_sums(words: Sequence[str], n_features: int, cond: str | None = None) ->
         bit = f"(shiftright({_q(words[j])}, {b}) & 1)"
         if cond is not None:
             bit = f"(case when {cond} then {bit} end)"
-        out.append(F.expr(f"coalesce(sum({bit}), 0)").alias(f"_o{i}"))
+        out.append(F.expr(f"coalesce(sum({bit}), 0) as _o{i}"))
     return out
 
 
@@ -65,7 +65,7 @@ def _majority_words(n_col: str, n_features: int, prefix: str = "w") -> list[Colu
     for j in range(-(-n_features // WORD_BITS)):
         terms = [f"shiftleft(cast(_o{j * WORD_BITS + b} * 2 > {_q(n_col)} as bigint), {b})"
                  for b in range(min(WORD_BITS, n_features - j * WORD_BITS))]
-        words.append(F.expr(" | ".join(terms)).alias(f"{prefix}{j}"))
+        words.append(F.expr(" | ".join(terms) + f" as {_q(prefix + str(j))}"))
     return words
 
 

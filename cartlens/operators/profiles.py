@@ -26,14 +26,14 @@ def _shares_wide(items: DataFrame, counts: DataFrame, categories: Sequence[int],
     """Per key, one share column per category: feature rows / list length."""
     joined = items.select(key, ITEM).join(counts, ITEM, "left")
     aggs = [F.count(F.lit(1)).alias("_n")]
-    aggs += [F.coalesce(F.sum(str(c)), F.lit(0)).alias(str(c)) for c in categories]
+    aggs += [F.expr(f"coalesce(sum(`{c}`), 0) as `{c}`") for c in categories]
     per_key = joined.groupBy(key).agg(*aggs)
-    return per_key.select(key, *[(F.col(str(c)) / F.col("_n")).alias(str(c)) for c in categories])
+    return per_key.selectExpr(f"`{key}`", *[f"`{c}` / _n as `{c}`" for c in categories])
 
 
 def _item_counts(features: DataFrame, categories: Sequence[int], dedupe: bool) -> DataFrame:
     feats = clean_features(features) if dedupe else features
-    return encode_features(feats, categories).select(ITEM, *[F.col(str(c)) for c in categories])
+    return encode_features(feats, categories).select(ITEM, *[str(c) for c in categories])
 
 
 def feature_profile(items: DataFrame, features: DataFrame, categories: Sequence[int],
@@ -71,14 +71,12 @@ def profile_comparison(sessions: DataFrame, purchases: DataFrame, features: Data
     counts = _item_counts(features, categories, dedupe)
     stratum = session_lengths(sessions).where(F.col("nb_items") == length).select(SESSION)
     consumed = _shares_wide(sessions.join(stratum, SESSION, "left_semi"), counts, categories, SESSION)
-    consumed = consumed.select(SESSION, *[F.col(str(c)).alias(f"c{c}") for c in categories])
+    consumed = consumed.selectExpr(SESSION, *[f"`{c}` as c{c}" for c in categories])
     bought = stratum_purchases(purchases, stratum).withColumnRenamed(ITEM, "purchased_item")
-    item_cells = counts.select(F.col(ITEM).alias("purchased_item"),
-                               *[F.col(str(c)).alias(f"p{c}") for c in categories])
+    item_cells = counts.selectExpr(f"{ITEM} as purchased_item", *[f"`{c}` as p{c}" for c in categories])
     wide = bought.join(consumed, SESSION, "inner").join(item_cells, "purchased_item", "left")
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("category"),
-                                         F.col(f"c{c}").alias("consumed_share"),
-                                         F.coalesce(F.col(f"p{c}"), F.lit(0)).cast("double").alias("purchased_share"))
-                                for c in categories]))
-    return wide.select(SESSION, "purchased_item", cells.alias("_x")).select(
+    cells = F.expr("explode(array(" + ", ".join(
+        f"named_struct('category', {c}, 'consumed_share', c{c}, "
+        f"'purchased_share', cast(coalesce(p{c}, 0) as double))" for c in categories) + ")) as _x")
+    return wide.select(SESSION, "purchased_item", cells).select(
         SESSION, "purchased_item", "_x.category", "_x.consumed_share", "_x.purchased_share")

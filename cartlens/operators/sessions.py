@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlens.constants import PREFERENCE_THRESHOLD, RECENT_ITEMS, SHORT_SESSION_MAX_ITEMS
-from cartlens.functions.scalar import band_fraction, sample_unit, threshold
+from cartlens.functions.scalar import band_fraction, sample_unit, threshold_sql
 
 SESSION, ITEM, DATE = "session_id", "item_id", "date"
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def session_lengths(sessions: DataFrame, name: str = "nb_items") -> DataFrame:
     """``count(item_id)`` per session (A1): non-null items, repeats counted.
     Partial counts are taken map-side, so a hot session reaches the reducer
@@ -64,20 +68,20 @@ def session_feature_means(sessions: DataFrame, encoded: DataFrame, feature_cols:
     ``encode_features`` gives them.  This reads the sessions once
     and shuffles them once, instead of a length aggregate, a semi join and
     a second aggregate."""
-    enc = encoded.select(ITEM, F.lit(1).alias("_hit"), *[F.col(c) for c in feature_cols])
+    enc = encoded.select(ITEM, F.lit(1).alias("_hit"), *feature_cols)
     joined = sessions.select(SESSION, ITEM).join(enc, ITEM, "left")
     # one shared denominator and a sum per column: 2 + n aggregate buffers
     # (``avg`` keeps a count per column), so the aggregate stays inside
     # whole-stage codegen; sum / count equals avg for these integral cells
     aggs = [F.count(ITEM).alias("_len"), F.count("_hit").alias("_joined")]
-    aggs += [F.sum(c).alias(c) for c in feature_cols]
+    aggs += [F.expr(f"sum({_q(c)}) as {_q(c)}") for c in feature_cols]
     cond = F.col("_joined") > 0
     if lo is not None:
         cond = cond & (F.col("_len") >= lo)
     if hi is not None:
         cond = cond & (F.col("_len") <= hi)
     return (joined.groupBy(SESSION).agg(*aggs).where(cond)
-                  .select(SESSION, *[(F.col(c).cast("double") / F.col("_joined")).alias(c) for c in feature_cols]))
+                  .selectExpr(SESSION, *[f"cast({_q(c)} as double) / _joined as {_q(c)}" for c in feature_cols]))
 
 
 def session_preferences(sessions: DataFrame, encoded: DataFrame, feature_cols: Sequence[str],
@@ -87,7 +91,7 @@ def session_preferences(sessions: DataFrame, encoded: DataFrame, feature_cols: S
     the joined rows, then ``mean >= threshold`` gives 1.  Default band is
     sessions of at most 20 items."""
     means = session_feature_means(sessions, encoded, feature_cols, lo, hi)
-    return means.select(SESSION, *[threshold(c, threshold_value).alias(c) for c in feature_cols])
+    return means.selectExpr(SESSION, *[f"{threshold_sql(c, threshold_value)} as {_q(c)}" for c in feature_cols])
 
 
 def stratum_sessions(sessions: DataFrame, length: int, n: int | None = None,
