@@ -145,6 +145,7 @@ def knn(queries: DataFrame, candidates: DataFrame, k: int, words: Sequence[str],
         return pd.concat(parts, ignore_index=True)
 
     if not exclude_self:
+        queries = _materialise(queries.select(query_id, *words))
         vecs = _distinct_vectors(queries, words)
         out_schema = T.StructType([T.StructField("_qid", T.LongType()), T.StructField("_cid", cid_type),
                                    T.StructField("distance", T.IntegerType())])
@@ -166,6 +167,13 @@ def knn_blocks(queries, query_id, candidates, cand_id, words, k, kernel, out_sch
                  .select("_qid", "rank", F.col("_cid").alias(cand_id), "distance"))
 
 
+def _materialise(df: DataFrame) -> DataFrame:
+    """Compute the query table once: it is read twice (its distinct vectors,
+    then the join back to every query)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def _distinct_vectors(queries: DataFrame, words: Sequence[str]) -> DataFrame:
     """Distinct query vectors with an id ``_vid``.  A vector shared by many
     queries (a hot vector) is scored once.  The ids are fixed by the
@@ -214,6 +222,7 @@ def distance_multiplicity(queries: DataFrame, candidates: DataFrame, words: Sequ
                                        "multiplicity": hist[r, v].astype(np.int64)}))
         return pd.concat(parts, ignore_index=True)
 
+    queries = _materialise(queries.select(query_id, *words))
     vecs = _distinct_vectors(queries, words)
     out_schema = T.StructType([T.StructField("_qid", T.LongType()), T.StructField("distance", T.IntegerType()),
                                T.StructField("multiplicity", T.LongType())])
