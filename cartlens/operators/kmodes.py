@@ -216,25 +216,33 @@ def _modes_exprs(words: Sequence[str], n_features: int, k: int):
     groups the k rows of each group: its k modes (``max`` of the one row of
     each cluster; null for an empty cluster, which becomes the zero
     vector), whether any row moved, and its row count."""
+    # the modes used this round are the same on every row of a group: they
+    # ride along as one fixed-width first() per cluster and word
+    used_cols = [f"_u{c}_{j}" for c in range(k) for j in range(len(words))]
     step1 = ([F.count(F.lit(1)).alias("_n"), F.max("_moved").alias("_any"), F.first("_nsalt").alias("_nsalt")]
-             + _bit_sums(words, n_features))
+             + [F.first(u).alias(u) for u in used_cols] + _bit_sums(words, n_features))
     mode_words = _majority_words("_n", n_features)
-    step2 = [F.max("_any").alias("_any"), F.first("_nsalt").alias("_nsalt"), F.sum("_n").alias("_rows")]
+    step2 = ([F.max("_any").alias("_any"), F.first("_nsalt").alias("_nsalt"), F.sum("_n").alias("_rows")]
+             + [F.first(u).alias(u) for u in used_cols])
     for c in range(k):
         step2 += [F.max(F.when(F.col(CLUSTER) == c, F.col(w))).alias(f"_m{c}_{j}") for j, w in enumerate(words)]
     modes = F.array(*[F.struct(F.lit(c).alias("c"),
                                *[F.coalesce(F.col(f"_m{c}_{j}"), F.lit(0).cast("long")).alias(w)
                                  for j, w in enumerate(words)])
                       for c in range(k)]).alias("_modes")
-    return step1, mode_words, step2, modes
+    used = F.array(*[F.struct(F.lit(c).alias("c"), *[F.col(f"_u{c}_{j}").alias(w) for j, w in enumerate(words)])
+                     for c in range(k)]).alias("_used")
+    spread_used = [F.col("_modes")[c][w].alias(f"_u{c}_{j}") for c in range(k) for j, w in enumerate(words)]
+    return step1, mode_words, step2, modes, used, used_cols, spread_used
 
 
 def _update_state(assigned: DataFrame, group: str, exprs) -> DataFrame:
-    """Per group: ``_any``, ``_nsalt``, ``_rows`` and the new ``_modes``."""
-    step1, mode_words, step2, modes = exprs
+    """Per group: ``_any``, ``_nsalt``, ``_rows``, the new ``_modes`` and
+    the modes ``_used`` for this round's assignment."""
+    step1, mode_words, step2, modes, used, used_cols, _ = exprs
     per_cluster = (assigned.groupBy(group, CLUSTER).agg(*step1)
-                           .select(group, CLUSTER, "_n", "_any", "_nsalt", *mode_words))
-    return per_cluster.groupBy(group).agg(*step2).select(group, "_any", "_nsalt", "_rows", modes)
+                           .select(group, CLUSTER, "_n", "_any", "_nsalt", *used_cols, *mode_words))
+    return per_cluster.groupBy(group).agg(*step2).select(group, "_any", "_nsalt", "_rows", modes, used)
 
 
 def _explode_modes(df: DataFrame, group: str, words: Sequence[str]) -> DataFrame:
@@ -286,17 +294,15 @@ def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[st
         spread = state.select(group, "_modes", "_prev",
                               F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1)).alias("_salt"))
         assigned = (rows_now.join(spread, [group, "_salt"])
+                            .select("*", *exprs[6])
                             .withColumn(CLUSTER, nearest_mode(words, "_modes", k))
                             .withColumn("_moved", (F.coalesce(nearest_mode(words, "_prev", k), F.lit(-1))
                                                    != F.col(CLUSTER)).cast("int")))
         done = (F.col("_limit") <= r) | ((F.col("_any") == 0) & F.lit(r >= 2))
-        # fixed-width buffers only, so this is a hash aggregate (an array
-        # buffer would turn it into a sort of all rows); the modes used
-        # this round come from the small per-group state instead
-        used = state.select(group, F.col("_modes").alias("_used"))
+        # fixed-width buffers only, so these are hash aggregates (an array
+        # buffer would turn them into a sort of all rows)
         state = (_update_state(assigned, group, exprs)
                          .withColumn("_limit", limit.cast("int"))
-                         .join(used, group)
                          .withColumn("_done", done)).checkpoint()
         finished.append(state.where("_done").select(group, "_nsalt", "_used", "_modes", F.lit(r).alias("rounds")))
         state = state.where(~F.col("_done")).select(group, "_nsalt", "_modes", F.col("_used").alias("_prev"))
