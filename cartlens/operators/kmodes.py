@@ -285,6 +285,7 @@ def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[st
     state = state.withColumn("_prev", F.when(F.lit(False), F.col("_modes")))
 
     exprs = _modes_exprs(words, n_features, k)
+    near_cur, near_prev = nearest_mode(words, "_modes", k), nearest_mode(words, "_prev", k)
     limit = F.col("_rows") if max_iter == "rows" else F.lit(int(max_iter))
     rows_now, groups_at_compaction = base, None
     finished = []
@@ -294,9 +295,8 @@ def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[st
         spread = state.select(group, "_modes", "_prev",
                               F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1)).alias("_salt"))
         assigned = (rows_now.join(spread, [group, "_salt"])
-                            .select("*", *exprs[6])
-                            .withColumn(CLUSTER, nearest_mode(words, "_modes", k))
-                            .withColumn("_moved", (F.coalesce(nearest_mode(words, "_prev", k), F.lit(-1))
+                            .select("*", *exprs[6], near_cur.alias(CLUSTER), near_prev.alias("_prev_cluster"))
+                            .withColumn("_moved", (F.coalesce("_prev_cluster", F.lit(-1))
                                                    != F.col(CLUSTER)).cast("int")))
         done = (F.col("_limit") <= r) | ((F.col("_any") == 0) & F.lit(r >= 2))
         # fixed-width buffers only, so these are hash aggregates (an array
