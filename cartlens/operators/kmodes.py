@@ -124,34 +124,50 @@ def seeds(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[
     ``order`` is a list of sortable columns giving the group order (for the
     reference's sessions: newest first); its first row wins distance ties.
     Only ``k = 2`` is defined: the reference's alternating complement repeats
-    seeds beyond two."""
+    seeds beyond two.
+
+    Two passes over the rows, no sort of them: a hash aggregate finds each
+    seed's least distance; the rows at that distance (the tie candidates,
+    usually one) are then the only ones ordered to pick the first.  When the
+    rows carry ``_salt``/``_nsalt`` (as in ``fit``), the per-group values are
+    copied to every salt bucket and joined on (group, salt), so the rows keep
+    their partitioning and a hot group is spread over many tasks."""
     if k != 2:
         raise ValueError("seeding is defined for k = 2; pass distinct seeds for other k")
     words = list(words)
     salted = "_salt" in rows.columns and "_nsalt" in rows.columns
-    stats = value_count(rows, group, words, n_features, carry=["_nsalt"] if salted else [])
-    maj = stats.select(group, "n_values", *(["_nsalt"] if salted else []),
-                       *_majority_words("n", n_features, "_m"))
+    carry = ["_nsalt"] if salted else []
+    keys = [group, "_salt"] if salted else [group]
+
+    def spread(per_group: DataFrame) -> DataFrame:
+        if not salted:
+            return per_group
+        return per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1))).drop("_nsalt")
+
+    stats = value_count(rows, group, words, n_features, carry=carry)
+    maj = stats.select(group, "n_values", *carry, *_majority_words("n", n_features, "_m"))
     q1 = shift_seed_words([f"_m{j}" for j in range(len(words))], "n_values", n_features)
     q2 = complement_words(q1, n_features)
-    targets = maj.select(group, *(["_nsalt"] if salted else []), F.array(
-        F.struct(F.lit(0).alias("seed"), *[q.alias(w) for q, w in zip(q1, words)]),
-        F.struct(F.lit(1).alias("seed"), *[q.alias(w) for q, w in zip(q2, words)])).alias("_q"))
-    keys = [group]
+    targets = maj.select(group, *carry, *[q.alias(f"_q0_{w}") for q, w in zip(q1, words)],
+                         *[q.alias(f"_q1_{w}") for q, w in zip(q2, words)])
+    d0 = distance_to(words, [F.col(f"_q0_{w}") for w in words]).alias("_d0")
+    d1 = distance_to(words, [F.col(f"_q1_{w}") for w in words]).alias("_d1")
+    per_row = (rows.select(*keys, _order_key(order).alias("_ord"), *payload, *words)
+                   .join(spread(targets), keys)
+                   .select(*keys, "_ord", *payload, *words, d0, d1))
+    # pass 1: least distance to each seed (fixed-width buffers: hash aggregate)
+    least = per_row.groupBy(group).agg(F.min("_d0").alias("_m0"), F.min("_d1").alias("_m1"))
     if salted:
-        # copy the two targets to every salt bucket of the group, so the
-        # rows of a hot group are matched in many tasks
-        targets = targets.select(group, "_q", F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1)).alias("_salt"))
-        keys = [group, "_salt"]
-    per_row = rows.select(*keys, _order_key(order).alias("_ord"), *payload, *words) \
-                  .join(targets, keys) \
-                  .select(group, "_ord", *payload, *words, F.explode("_q").alias("_t"))
-    dist = distance_to(words, [F.col("_t")[w] for w in words])
-    best = F.min(F.struct(dist.alias("d"), F.col("_ord"), *[F.col(p) for p in payload],
-                          *[F.col(w) for w in words])).alias("_b")
-    return (per_row.groupBy(group, F.col("_t.seed").alias("seed")).agg(best)
-                   .select(group, "seed", *[F.col("_b")[p].alias(p) for p in payload],
-                           *[F.col("_b")[w].alias(w) for w in words]))
+        least = least.join(stats.select(group, "_nsalt"), group)
+    # pass 2: only rows at that distance are ordered
+    cand = per_row.join(spread(least), keys)
+    fields = [F.col("_ord"), *[F.col(p) for p in payload], *[F.col(w) for w in words]]
+    tied = (cand.where(F.col("_d0") == F.col("_m0")).select(group, F.lit(0).alias("seed"), F.struct(*fields).alias("_r"))
+                .unionByName(cand.where(F.col("_d1") == F.col("_m1"))
+                                 .select(group, F.lit(1).alias("seed"), F.struct(*fields).alias("_r"))))
+    return (tied.groupBy(group, "seed").agg(F.min("_r").alias("_b"))
+                .select(group, "seed", *[F.col("_b")[p].alias(p) for p in payload],
+                        *[F.col("_b")[w].alias(w) for w in words]))
 
 
 def modes_array(modes: DataFrame, group: str, words: Sequence[str]) -> DataFrame:

@@ -29,7 +29,7 @@ def test_no_cross_product_and_no_row_udf(spark, name):
     assert "BatchEvalPython" not in plan            # no row-at-a-time Python UDF
     if "CoGroupsInPandas" in plan or "ArrowEvalPython" in plan:
         assert name in KNN_QUERIES                  # the one Arrow-batched kernel
-    if "SortAggregate" in plan:                     # only the seed arg-min sorts
+    if "SortAggregate" in plan:                     # only the seed arg-min over tied rows
         assert name in {"kmodes_seeds", "kmodes_assign"}, name
 
 
