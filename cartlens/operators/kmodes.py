@@ -139,10 +139,11 @@ def seeds(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[
     carry = ["_nsalt"] if salted else []
     keys = [group, "_salt"] if salted else [group]
 
-    def spread(per_group: DataFrame) -> DataFrame:
+    def spread(per_group: DataFrame, keep_nsalt: bool = False) -> DataFrame:
         if not salted:
             return per_group
-        return per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1))).drop("_nsalt")
+        out = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1)))
+        return out if keep_nsalt else out.drop("_nsalt")
 
     stats = value_count(rows, group, words, n_features, carry=carry)
     maj = stats.select(group, "n_values", *carry, *_majority_words("n", n_features, "_m"))
@@ -153,14 +154,13 @@ def seeds(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[
     d0 = distance_to(words, [F.col(f"_q0_{w}") for w in words]).alias("_d0")
     d1 = distance_to(words, [F.col(f"_q1_{w}") for w in words]).alias("_d1")
     per_row = (rows.select(*keys, _order_key(order).alias("_ord"), *payload, *words)
-                   .join(spread(targets), keys)
-                   .select(*keys, "_ord", *payload, *words, d0, d1))
+                   .join(spread(targets, keep_nsalt=True), keys)
+                   .select(*keys, *carry, "_ord", *payload, *words, d0, d1))
     # pass 1: least distance to each seed (fixed-width buffers: hash aggregate)
-    least = per_row.groupBy(group).agg(F.min("_d0").alias("_m0"), F.min("_d1").alias("_m1"))
-    if salted:
-        least = least.join(stats.select(group, "_nsalt"), group)
+    least = per_row.groupBy(group).agg(F.min("_d0").alias("_m0"), F.min("_d1").alias("_m1"),
+                                       *[F.first(c).alias(c) for c in carry])
     # pass 2: only rows at that distance are ordered
-    cand = per_row.join(spread(least), keys)
+    cand = per_row.drop(*carry).join(spread(least), keys)
     fields = [F.col("_ord"), *[F.col(p) for p in payload], *[F.col(w) for w in words]]
     tied = (cand.where(F.col("_d0") == F.col("_m0")).select(group, F.lit(0).alias("seed"), F.struct(*fields).alias("_r"))
                 .unionByName(cand.where(F.col("_d1") == F.col("_m1"))
