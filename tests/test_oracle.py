@@ -42,10 +42,20 @@ def test_every_query_has_an_oracle():
     assert set(E.queries()) == set(E.oracle_sql())
 
 
+SPARK_TYPES = {"bigint": "i64", "int": "i32", "double": "f64", "float": "f32", "string": "str",
+               "timestamp_ntz": "ts", "timestamp": "ts"}
+DUCK_TYPES = {"BIGINT": "i64", "INTEGER": "i32", "DOUBLE": "f64", "FLOAT": "f32", "VARCHAR": "str",
+              "TIMESTAMP": "ts"}
+
+
 @pytest.mark.parametrize("name", sorted(E.queries()))
 def test_query_matches_oracle(spark, con, name):
-    got = E.queries()[name](spark, SF).toPandas()
-    want = con.sql(E.oracle_sql()[name]).df()
+    sdf = E.queries()[name](spark, SF)
+    rel = con.sql(E.oracle_sql()[name])
+    assert {c: SPARK_TYPES.get(t, t) for c, t in sdf.dtypes} == \
+           {c: DUCK_TYPES.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+    got = sdf.toPandas()
+    want = rel.df()
     c1, r1 = _rows(got)
     c2, r2 = _rows(want)
     assert c1 == c2
