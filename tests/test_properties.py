@@ -46,3 +46,36 @@ def test_kmodes_cost_never_rises(spark):
         costs.append({r["session_id"]: r["c"] for r in per.collect()})
     for a, b in zip(costs, costs[1:]):
         assert all(b[g] <= a[g] for g in a)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 9)), min_size=1, max_size=60),
+       st.lists(st.tuples(st.integers(0, 7), st.integers(1, 3)), min_size=0, max_size=20),
+       st.integers(1, 6))
+def test_one_pass_means_equal_the_stepwise_plan(spark, views, feats, max_len):
+    """Length table, semi join, inner join, mean (the reference's steps, in
+    pandas) equals the one-join one-aggregate plan, for random sessions with
+    repeated views, featureless items and any length limit."""
+    import pandas as pd
+    from cartlens.operators.features import encode_features
+    from cartlens.operators.sessions import session_feature_means
+    cats = [1, 2, 3]
+    s = pd.DataFrame(views, columns=["session_id", "item_id"])
+    f = pd.DataFrame(feats, columns=["item_id", "feature_category_id"]) if feats else \
+        pd.DataFrame({"item_id": pd.Series([], dtype="int64"), "feature_category_id": pd.Series([], dtype="int64")})
+    wide = pd.crosstab(f["item_id"], f["feature_category_id"]).reindex(columns=cats, fill_value=0) \
+        if len(f) else pd.DataFrame(columns=cats)
+    wide.columns = [str(c) for c in wide.columns]
+    lens = s.groupby("session_id")["item_id"].count()
+    short = s[s["session_id"].isin(lens[lens <= max_len].index)]
+    joined = short.merge(wide, left_on="item_id", right_index=True, how="inner")
+    want = {sid: tuple(g[str(c)].mean() for c in cats) for sid, g in joined.groupby("session_id")}
+
+    sdf = spark.createDataFrame(s, "session_id long, item_id long")
+    fdf = spark.createDataFrame(f.astype("int64"), "item_id long, feature_category_id long") \
+        .withColumn("feature_category_id", F.col("feature_category_id").cast("int"))
+    got_rows = session_feature_means(sdf, encode_features(fdf, cats), [str(c) for c in cats], hi=max_len).collect()
+    got = {r["session_id"]: tuple(r[str(c)] for c in cats) for r in got_rows}
+    assert set(got) == set(want)
+    for sid in want:
+        assert all(abs(a - b) < 1e-12 for a, b in zip(got[sid], want[sid]))
