@@ -79,3 +79,22 @@ def test_one_pass_means_equal_the_stepwise_plan(spark, views, feats, max_len):
     assert set(got) == set(want)
     for sid in want:
         assert all(abs(a - b) < 1e-12 for a, b in zip(got[sid], want[sid]))
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 5), st.integers(0, 400)), min_size=1, max_size=80),
+       st.integers(1, 30))
+def test_bucketed_time_spent_equals_plain_window(spark, rows, rows_per_task):
+    import datetime as dt
+    from pyspark.sql import Window
+    from cartlens.operators.sessions import time_spent
+    t0 = dt.datetime(2024, 1, 1)
+    data = [(s, i, t0 + dt.timedelta(seconds=m)) for s, i, m in rows]
+    df = spark.createDataFrame(data, "session_id long, item_id long, date timestamp")
+    w = Window.partitionBy("session_id").orderBy("date", "item_id")
+    want = sorted((tuple(r) for r in df.select(
+        "session_id", "item_id", "date",
+        (F.timestamp_diff("MICROSECOND", F.col("date"), F.lead("date").over(w)) / 1e6).alias("t")).collect()),
+                  key=repr)
+    got = sorted((tuple(r) for r in time_spent(df, rows_per_task=rows_per_task).collect()), key=repr)
+    assert got == want
