@@ -98,3 +98,18 @@ def test_bucketed_time_spent_equals_plain_window(spark, rows, rows_per_task):
                   key=repr)
     got = sorted((tuple(r) for r in time_spent(df, rows_per_task=rows_per_task).collect()), key=repr)
     assert got == want
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.integers(0, 255), min_size=1, max_size=40), st.lists(st.integers(0, 255), min_size=1, max_size=40),
+       st.integers(1, 6), st.integers(1, 9), st.integers(1, 9))
+def test_block_knn_equals_brute_force(spark, qv, cv, k, qblock, cblock):
+    from cartlens.operators.distance import knn
+    q = spark.createDataFrame([(i, v) for i, v in enumerate(qv)], "session_id long, w0 long")
+    c = spark.createDataFrame([(i, v) for i, v in enumerate(cv)], "item_id long, w0 long")
+    got = {tuple(r) for r in knn(q, c, k, ["w0"], query_block_rows=qblock, cand_block_rows=cblock).collect()}
+    want = set()
+    for qi, v in enumerate(qv):
+        ranked = sorted((bin(v ^ w).count("1"), ci) for ci, w in enumerate(cv))[:k]
+        want |= {(qi, r + 1, ci, d) for r, (d, ci) in enumerate(ranked)}
+    assert got == want
