@@ -113,3 +113,44 @@ def test_block_knn_equals_brute_force(spark, qv, cv, k, qblock, cblock):
         ranked = sorted((bin(v ^ w).count("1"), ci) for ci, w in enumerate(cv))[:k]
         want |= {(qi, r + 1, ci, d) for r, (d, ci) in enumerate(ranked)}
     assert got == want
+
+
+def _kmodes_model(rows, nf, max_iter=50):
+    """NumPy model of the rule for one group; rows newest first."""
+    import numpy as np
+    X = np.array([[(v >> i) & 1 for i in range(nf)] for v in rows])
+    n, ones = len(X), X.sum(axis=0)
+    c = 1 if X.sum() in (0, n * nf) else 2
+    maj = (2 * ones > n).astype(int)
+    q1 = (maj + np.arange(nf)) % 2 if c == 2 else np.zeros(nf, int)
+    modes = []
+    for q in (q1, 1 - q1):
+        d = (X != q).sum(axis=1)
+        modes.append(X[int(np.argmin(d))])          # first row wins ties
+    modes = np.array(modes)
+    prev = None
+    for r in range(1, max_iter + 1):
+        d = np.stack([(X != m).sum(axis=1) for m in modes], axis=1)
+        assign = np.argmin(d, axis=1)               # lowest cluster wins ties
+        modes = np.array([(2 * X[assign == k].sum(axis=0) > (assign == k).sum()).astype(int) for k in (0, 1)])
+        if prev is not None and (assign == prev).all():
+            break
+        prev = assign
+    return list(assign), [sum(int(b) << i for i, b in enumerate(m)) for m in modes]
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 255), min_size=1, max_size=12), min_size=1, max_size=3))
+def test_kmodes_matches_numpy_model(spark, groups):
+    import datetime as dt
+    from cartlens.operators import kmodes as KM
+    t0 = dt.datetime(2024, 1, 1)
+    data = [(g, i, t0 - dt.timedelta(minutes=i), v) for g, rows in enumerate(groups) for i, v in enumerate(rows)]
+    df = spark.createDataFrame(data, "g long, pos long, date timestamp, w0 long")
+    res = KM.fit(df, "g", [F.col("pos")], ["w0"], 8, max_iter=50, payload=["pos"])
+    got_a = {(r["g"], r["pos"]): r["cluster"] for r in res.assignments.collect()}
+    got_m = {(r["g"], r["cluster"]): r["w0"] for r in res.modes.collect()}
+    for g, rows in enumerate(groups):
+        assign, modes = _kmodes_model(rows, 8)
+        assert [got_a[(g, i)] for i in range(len(rows))] == assign
+        assert [got_m[(g, c)] for c in (0, 1)] == modes
