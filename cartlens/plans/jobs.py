@@ -62,3 +62,35 @@ def sample(spark: SparkSession, sessions_path: str, encoded_path: str, dest: str
     enc = read_csv(spark, encoded_path, infer=True) if fmt == "csv" else spark.read.parquet(encoded_path)
     cols = [c for c in enc.columns if c != "item_id"]
     write_table(sample_sessions(_sessions(spark, sessions_path, fmt), enc, cols, seed), dest, fmt=fmt, mode=mode)
+
+
+# ---------------------------------------------------------------- analyses
+# The notebook's analyses over files (read as strings, as the notebook reads
+# them, and cast).  They return DataFrames; the caller collects or plots.
+
+def _purchases(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    df = read_csv(spark, path) if fmt == "csv" else spark.read.parquet(path)
+    return df.select(F.col("session_id").cast("long").alias("session_id"),
+                     F.col("item_id").cast("long").alias("item_id"))
+
+
+def popularity(spark: SparkSession, sessions_path: str, purchases_path: str, fmt: str = "csv",
+               top: int | None = 100) -> DataFrame:
+    """Views and purchases per item, most viewed first."""
+    from cartlens.operators.popularity import views_vs_purchases
+    return views_vs_purchases(_sessions(spark, sessions_path, fmt), _purchases(spark, purchases_path, fmt), top)
+
+
+def length_distribution(spark: SparkSession, sessions_path: str, fmt: str = "csv") -> DataFrame:
+    """Items per session, longest first (C14)."""
+    from cartlens.operators.popularity import length_distribution as dist
+    return dist(_sessions(spark, sessions_path, fmt))
+
+
+def stratum_profiles(spark: SparkSession, sessions_path: str, purchases_path: str, features_path: str,
+                     categories: Sequence[int], length: int, fmt: str = "csv") -> DataFrame:
+    """Consumed versus purchased feature shares for every session of exactly
+    ``length`` items (C15)."""
+    from cartlens.operators.profiles import profile_comparison
+    return profile_comparison(_sessions(spark, sessions_path, fmt), _purchases(spark, purchases_path, fmt),
+                              _features(spark, features_path, fmt), categories, length)

@@ -66,3 +66,23 @@ def test_file_jobs_match_the_in_memory_queries(spark):
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
     jobs.sample(spark, f"{d}/train_sessions", f"{d}/encoded", f"{d}/sample")
     assert read_csv(spark, f"{d}/sample").count() >= 0
+
+
+def test_file_analyses_match_the_queries(spark):
+    import __spark_entry__ as E
+    from cartlens.plans import jobs
+    from cartlens.plans.inputs import EMB_CATS
+    from cartlens.sources import fixtures as X
+    sf = "/root/testdata/sf0.001"
+    d = _tmp()
+    write_table(X.event_sessions(spark, sf), f"{d}/sessions", fmt="csv")
+    write_table(X.event_purchases(spark, sf).select("session_id", "item_id"), f"{d}/purchases", fmt="csv")
+    write_table(X.embedding_features(spark, sf), f"{d}/features", fmt="csv")
+
+    def same(a, b):
+        return sorted(map(tuple, a.select(*sorted(a.columns)).collect())) == \
+               sorted(map(tuple, b.select(*sorted(b.columns)).collect()))
+    assert same(jobs.popularity(spark, f"{d}/sessions", f"{d}/purchases"), E.queries()["views_vs_purchases"](spark, sf))
+    assert same(jobs.stratum_profiles(spark, f"{d}/sessions", f"{d}/purchases", f"{d}/features", EMB_CATS, 20),
+                E.queries()["profile_comparison"](spark, sf))
+    assert jobs.length_distribution(spark, f"{d}/sessions").count() == 15
