@@ -268,9 +268,14 @@ def _explode_modes(df: DataFrame, group: str, words: Sequence[str]) -> DataFrame
 
 def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[str], n_features: int,
         k: int = KMODES_CLUSTERS, max_iter: int | str = KMODES_MAX_ITER, payload: Sequence[str] = (),
-        rows_per_task: int = 1 << 20, spark: SparkSession | None = None) -> KModesResult:
+        rows_per_task: int = 1 << 20, spark: SparkSession | None = None,
+        initial: DataFrame | None = None) -> KModesResult:
     """k-modes of every group.
 
+    ``initial`` gives the starting modes ``(group, cluster, w...)`` with
+    clusters ``0..k-1`` for every group; without it the two seeds of
+    ``seeds`` are used, which is defined for ``k = 2`` only.
+
     ``max_iter`` is a round limit: an int for all groups, or ``"rows"`` for
     each group's row count (as the reference's session clustering uses).
     Returns the final assignment and the modes computed from it.
@@ -286,6 +291,8 @@ def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[st
     rewritten, and are compacted to the unfinished groups only when those
     have halved.  The final assignment is the nearest of the modes each
     group used in its last round."""
+    if initial is None and k != 2:
+        raise ValueError("seeding is defined for k = 2; pass initial modes for other k")
     spark = spark or rows.sparkSession
     checkpoint_dir(spark)
     words = list(words)
@@ -293,7 +300,11 @@ def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[st
     salted = _salted(prepared, group, ["_ord"], rows_per_task)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = salted.repartition(n_parts, group, "_salt").checkpoint()
-    seeded = seeds(base, group, [F.col("_ord")], words, n_features, k, rows_per_task=rows_per_task)
+    if initial is None:
+        seeded = seeds(base, group, [F.col("_ord")], words, n_features, k, rows_per_task=rows_per_task)
+    else:
+        seeded = initial.select(group, F.col(CLUSTER).alias("seed"), *words)
+    # k starting modes per group: a bounded array, sorted by cluster
     state = (seeded.groupBy(group).agg(F.sort_array(F.collect_list(
                  F.struct(F.col("seed").alias("c"), *[F.col(w) for w in words]))).alias("_modes"))
                    .join(base.groupBy(group).agg(F.first("_nsalt").alias("_nsalt")), group))

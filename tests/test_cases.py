@@ -212,3 +212,15 @@ def test_clean_features_keeps_smallest_payload(spark):
     two = spark.createDataFrame([(1, 5, 2, "z"), (1, 5, 2, "a"), (1, 5, 3, "0")],
                                 "item_id long, feature_category_id int, v int, w string")
     assert [tuple(r) for r in clean_features(two).collect()] == [(1, 5, 2, "a")]
+
+
+def test_kmodes_three_clusters_from_supplied_modes(spark):
+    vals = [0b11110000] * 4 + [0b00001111] * 3 + [0b10101010] * 2 + [0b11100000]
+    rows = spark.createDataFrame([(1, i, v) for i, v in enumerate(vals)], "g long, pos long, w0 long")
+    init = spark.createDataFrame([(1, 0, 0b11110000), (1, 1, 0b00001111), (1, 2, 0b10101010)],
+                                 "g long, cluster int, w0 long")
+    res = KM.fit(rows, "g", [F.col("pos")], ["w0"], 8, k=3, payload=["pos"], initial=init)
+    got = {r["pos"]: r["cluster"] for r in res.assignments.collect()}
+    assert [got[i] for i in range(len(vals))] == [0, 0, 0, 0, 1, 1, 1, 2, 2, 0]
+    with pytest.raises(ValueError):
+        KM.fit(rows, "g", [F.col("pos")], ["w0"], 8, k=3)
