@@ -7,11 +7,11 @@ from cartlens.functions.bits import (
     hamming, hamming_arrays, complement_words, shift_seed_words, valid_mask,
 )
 from cartlens.functions.scalar import (
-    threshold, band_fraction, sample_unit, majority_vote, category_int,
+    threshold, threshold_sql, band_fraction, sample_unit, majority_vote, category_int,
 )
 
 __all__ = [
     "WORD_BITS", "n_words", "word_names", "bit_position", "pack_columns", "unpack_words",
     "hamming", "hamming_arrays", "complement_words", "shift_seed_words", "valid_mask",
-    "threshold", "band_fraction", "sample_unit", "majority_vote", "category_int",
+    "threshold", "threshold_sql", "band_fraction", "sample_unit", "majority_vote", "category_int",
 ]

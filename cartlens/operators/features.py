@@ -63,9 +63,9 @@ def pack_features(features: DataFrame, categories: Sequence[int], item: str = IT
     ``categories[i]``; repeats are absorbed by ``bit_or``.  The category
     to bit-mask lookup is a literal map built from the list, a bounded
     constant, so no join is needed."""
-    index = {c: i for i, c in enumerate(categories)}
-    pos = F.create_map(*[x for c, i in index.items() for x in (F.lit(c), F.lit(i))])
-    df = (features.select(item, pos[F.col(category)].alias("_i"))
+    pairs = ", ".join(f"{_lit(c)}, {i}" for i, c in enumerate(categories))
+    pos = F.expr(f"map({pairs})[{_q(category)}]")
+    df = (features.select(item, pos.alias("_i"))
                   .where(F.col("_i").isNotNull()))
     words = []
     for j in range(n_words(len(categories))):
