@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.llm import chat, exactdedup, sharding
+from cartlens.llm import chat, exactdedup, packing, sharding, simhash, tokenfiles
 from cartlens.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,23 @@ def op4_byte_shards(spark, sf_dir):
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_retrieval_packing(spark, sf_dir):
+    """All documents packed into sequences of 2048 tokens with lexical neighbours."""
+    return packing.pack(table(spark, sf_dir, "documents"), window=2048)
+
+
+def op6_token_files(spark, sf_dir):
+    """All documents encoded into Arrow files of fixed-size lists, and read back."""
+    manifest = tokenfiles.write_token_files(table(spark, sf_dir, "documents"), length=2048)
+    return tokenfiles.read_token_files(spark, manifest)
+
+
+def op8_simhash_bktree(spark, sf_dir):
+    """All documents with their fingerprint and the component of fingerprints within 2 bits."""
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"), shingle_words=3, radius=2)
+    return groups.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op10_exact_dedup(spark, sf_dir):
     """All documents with their group of equal texts; the largest id stays."""
     return exactdedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
@@ -45,6 +62,9 @@ def op10_exact_dedup(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     "op3_chat_format": op3_chat_format,
     "op4_byte_shards": op4_byte_shards,
+    "op5_retrieval_packing": op5_retrieval_packing,
+    "op6_token_files": op6_token_files,
+    "op8_simhash_bktree": op8_simhash_bktree,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
