@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.llm import chat, exactdedup, packing, sharding, simhash, tokenfiles
+from cartlens.llm import chat, decontam, exactdedup, langid, packing, secretscan, sharding, simhash, tokenfiles, toxicity
 from cartlens.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 CONFLICT = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_decontamination(spark, sf_dir):
+    """All documents that hold a benchmark passage, one row per document and item."""
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_toxicity(spark, sf_dir):
+    """All documents scored for toxicity by a model learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_chat_format(spark, sf_dir):
     """All conversations, and one whose turns hold control strings, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -48,23 +60,38 @@ def op6_token_files(spark, sf_dir):
     return tokenfiles.read_token_files(spark, manifest)
 
 
+def op7_secret_scan(spark, sf_dir):
+    """Secrets in all documents: fixed patterns, and windows of high entropy."""
+    return secretscan.digest(secretscan.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op8_simhash_bktree(spark, sf_dir):
     """All documents with their fingerprint and the component of fingerprints within 2 bits."""
     groups = simhash.near_groups(table(spark, sf_dir, "documents"), shingle_words=3, radius=2)
     return groups.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_language_id(spark, sf_dir):
+    """The language of all documents by filters learned from those not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.learn(docs))
+
+
 def op10_exact_dedup(spark, sf_dir):
     """All documents with their group of equal texts; the largest id stays."""
     return exactdedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
+    "op2_toxicity": op2_toxicity,
     "op3_chat_format": op3_chat_format,
     "op4_byte_shards": op4_byte_shards,
     "op5_retrieval_packing": op5_retrieval_packing,
     "op6_token_files": op6_token_files,
+    "op7_secret_scan": op7_secret_scan,
     "op8_simhash_bktree": op8_simhash_bktree,
+    "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
 }
 

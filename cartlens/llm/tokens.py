@@ -11,10 +11,14 @@ any other text goes to the library whole.  Both ways give the library's ids.
 from __future__ import annotations
 
 import json
+import os
 import re
 
 import numpy as np
 
+# One thread per task: Spark runs the tasks in parallel already.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 # Letters, digits and spaces as the patterns below see them; a text with any other character is encoded whole.
