@@ -19,7 +19,7 @@ DataFrame functions only; no Python code touches a row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlens.llm.common import ascii_lower, checkpointed, partitions_of, text_of
@@ -29,16 +29,15 @@ _KEY = ["_p", "_h", "_s"]
 
 def _hot_list(rows: DataFrame, parts: int) -> DataFrame | None:
     """(_h, _n_salts) of the texts above a fair share by rows or bytes; None if there are none."""
-    seen = Observation()
-    counted = (rows.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("_b").alias("b"))
-               .groupBy("_h").agg(F.count(F.lit(1)).alias("_n"), F.sum("_b").alias("_nb"))
-               .where("_n > 1"))
-    shared = checkpointed(counted)
-    n, b = seen.get["n"] or 0, seen.get["b"] or 0
+    counted = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"), F.sum("_b").alias("_nb"))
+    # texts held once are folded into one row, of a null hash, for the totals
+    folded = checkpointed(counted.groupBy(F.when(F.col("_n") > 1, F.col("_h")).alias("_h")).agg(
+        F.sum("_n").alias("_n"), F.sum("_nb").alias("_nb")))
+    n, b = folded.agg(F.sum("_n"), F.sum("_nb")).first()
     if not n:
         return None
     ratio = F.greatest(F.col("_n") * F.lit(parts / n), F.col("_nb") * F.lit(parts / max(b, 1)))
-    hot = shared.where(ratio > 1).select("_h", F.ceil(ratio).cast("int").alias("_n_salts"))
+    hot = folded.where(F.col("_h").isNotNull() & (ratio > 1)).select("_h", F.ceil(ratio).cast("int").alias("_n_salts"))
     return None if hot.isEmpty() else hot
 
 

@@ -75,8 +75,9 @@ class _Sequences(_File):
     def add(self, ids: np.ndarray) -> None:
         self.held.append(ids.astype(self.dtype))
         self.n_held += len(ids)
-        if self.n_held >= self.length * BATCH_SEQUENCES:
-            self._flush(self.n_held // self.length * self.length)
+        whole = self.length * BATCH_SEQUENCES  # every batch but the last is full, so a row is found by arithmetic
+        if self.n_held >= whole:
+            self._flush(self.n_held // whole * whole)
 
     def _flush(self, n: int, pad: int = 0) -> None:
         ids = np.concatenate([*self.held, np.zeros(pad, self.dtype)]) if self.held else np.zeros(0, self.dtype)
@@ -169,7 +170,7 @@ class TokenFile:
     def ids(self, batch: int) -> np.ndarray:
         if self._batch[0] != batch:
             column = self.reader.get_batch(batch).column("ids")
-            self._batch = (batch, column.flatten().to_numpy(zero_copy_only=True))
+            self._batch = (batch, column.values.to_numpy(zero_copy_only=True))
         return self._batch[1]
 
     def document(self, start: int, n: int) -> np.ndarray:
@@ -178,6 +179,8 @@ class TokenFile:
         while n > 0:
             batch, at = divmod(start, per)
             piece = self.ids(batch)[at:at + n]
+            if not len(piece):
+                raise EOFError("the file ends before the document")
             out.append(piece)
             start, n = start + len(piece), n - len(piece)
         return out[0] if len(out) == 1 else np.concatenate(out)
