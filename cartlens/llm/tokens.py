@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -24,14 +25,14 @@ BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 # Letters, digits and spaces as the patterns below see them; a text with any other character is encoded whole.
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡ª«µº»¿-ÿ]*")
-# The split patterns of the two vocabularies.
+# The split patterns of the two vocabularies (letters come first: no other branch can begin with one).
 _SPLIT = {
-    "byte": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+"),
-    "word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+"),
+    "byte": re.compile(rf" ?[{_LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+"),
+    "word": re.compile(rf"[{_LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\s{_LETTER}0-9]+"),
 }
 
 # Distinct pieces remembered by a worker; beyond it the memory starts afresh, with the same ids.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 2_000_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -61,12 +62,13 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, pieces: list[str]) -> None:
-        """Remember the ids of new pieces.  They are encoded in one call with a
+        """Remember the ids of new pieces.  Many are encoded in one call with a
         newline after each, which both split patterns cut off as a piece of its
         own (or drop); white space and anything unexpected goes one by one."""
         joint = [p for p in pieces if not p.isspace()]
-        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(joint) + "\n"], add_special_tokens=False)[0].ids,
-                       dtype=np.uint32) if joint else np.zeros(0, np.uint32)
+        texts = ["\n".join(joint[at:at + 256]) + "\n" for at in range(0, len(joint), 256)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if joint else []
+        ids = np.array(list(chain.from_iterable(found)), dtype=np.uint32)
         if self.kind == "word":
             ends = np.flatnonzero(self.last[ids]) + 1
             starts = np.concatenate([[0], ends[:-1]])
@@ -75,28 +77,37 @@ class Encoder:
             starts = np.concatenate([[0], ends[:-1] + 1])
         if len(ends) == len(joint):
             raw = ids.tobytes()
-            self.cache.update(zip(joint, (raw[4 * a:4 * b] for a, b in zip(starts.tolist(), ends.tolist()))))
+            self.cache.update(zip(joint, map(raw.__getitem__, map(slice, (4 * starts).tolist(), (4 * ends).tolist()))))
+            pieces = [p for p in pieces if p.isspace()]
         for p in pieces:
-            if p not in self.cache:
-                self.cache[p] = np.array(self.whole(p), dtype=np.uint32).tobytes()
+            self.cache[p] = np.array(self.whole(p), dtype=np.uint32).tobytes()
 
     def encode(self, texts: list[str], end_id: int | None = None) -> list[np.ndarray]:
         """Ids (uint32) of each text, with ``end_id`` appended if given."""
-        cut = _SPLIT[self.kind].findall
-        pieces = [cut(t.lower() if self.kind == "word" else t) if _PLAIN.fullmatch(t) else None for t in texts]
-        needed = set().union(*filter(None, pieces))
-        new = needed.difference(self.cache)
-        if len(self.cache) + len(new) > self.cache_pieces:
-            self.cache.clear()
-            new = needed
-        if new:
-            self._learn(list(new))
+        cut, get = _SPLIT[self.kind].findall, self.cache.get
         tail = b"" if end_id is None else np.uint32(end_id).tobytes()
-        get, out = self.cache.__getitem__, []
-        for text, ps in zip(texts, pieces):
-            raw = np.array(self.whole(text), dtype=np.uint32).tobytes() if ps is None else b"".join(map(get, ps))
-            out.append(np.frombuffer(raw + tail, dtype=np.uint32))
-        return out
+        known: list[list[bytes | None]] = []
+        gaps: list[tuple[list, int, str]] = []  # pieces not met before: where they go
+        for text in texts:
+            if not _PLAIN.fullmatch(text):
+                known.append([np.array(self.whole(text), dtype=np.uint32).tobytes(), tail])
+                continue
+            pieces = cut(text.lower() if self.kind == "word" else text)
+            parts = list(map(get, pieces))
+            at = -1
+            for _ in range(parts.count(None)):
+                at = parts.index(None, at + 1)
+                gaps.append((parts, at, pieces[at]))
+            parts.append(tail)
+            known.append(parts)
+        if gaps:
+            new = list({piece for _, _, piece in gaps})
+            if len(self.cache) + len(new) > self.cache_pieces:
+                self.cache.clear()
+            self._learn(new)
+            for parts, at, piece in gaps:
+                parts[at] = self.cache[piece]
+        return [np.frombuffer(b"".join(parts), dtype=np.uint32) for parts in known]
 
 
 def encoder(path: str) -> Encoder:
