@@ -26,6 +26,8 @@ from cartlens.llm.common import held_out, is_held_out, map_arrow, slices, text_o
 
 UNKNOWN = "und"
 MAX_LANGUAGES = 64
+# Trigrams below which the lack of any known one is no evidence against a text.
+MIN_GRAMS = 12
 _SPACE = 0x20
 # Odd multipliers of the filters' hash functions.
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -86,6 +88,12 @@ class Model:
         best = int(share.argmax())
         return self.languages[best], float(share[best] / share.sum())
 
+    def known(self, text: str | None) -> bool:
+        """False for ``und``, and for a text of at least ``MIN_GRAMS`` trigrams in
+        which no language has a hit beyond its filter's false positives."""
+        lang, score = self.classify(text)
+        return lang != UNKNOWN and (score > 0 or len(trigrams(text)) < MIN_GRAMS)
+
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           min_share: float = 1e-5, ratio: float = 0.2, hashes: int = 4, bits: int = 20) -> Model:
@@ -150,14 +158,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text is in a known language, with all their
-    columns.  Rejected: ``und``, and texts in which no language has a hit
-    beyond its filter's false positives."""
+    columns; the others are ``und`` or in no language the model knows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def of(batches):
         for batch in slices(batches):
-            keep = [shared.value.classify(t)[1] > 0 for t in batch.column(at).to_pylist()]
+            keep = [shared.value.known(t) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return map_arrow(docs, of, docs.schema)

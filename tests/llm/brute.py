@@ -32,7 +32,7 @@ def corpus(seed=7, n=60):
         words = base.split(" ")
         words[rng.randrange(3000)] = "changed"
         rows.append((i, " ".join(words), "en", "src", 3))
-    odd = [None, "", "   ", "\n\t", "12345 !!", "x", "É", "one two", prose(rng, 40_000), "日本語のテキスト", "a b c"]
+    odd = [None, "", "   ", "\n\t", "12345 !!", "x", "É", "one two", prose(rng, 40_000), "日本語のテキスト" * 3, "a b c"]
     return rows + [(1000 + i, t, None, None, None) for i, t in enumerate(odd)]
 
 
