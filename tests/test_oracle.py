@@ -9,6 +9,8 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as E
+from cartlens.plans.oracle import ORACLE
+from cartlens.plans.queries import QUERIES
 from cartlens.sources.tables import TABLES
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
@@ -39,7 +41,8 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
 
 
 SPARK_TYPES = {"bigint": "i64", "int": "i32", "double": "f64", "float": "f32", "string": "str",
@@ -48,10 +51,10 @@ DUCK_TYPES = {"BIGINT": "i64", "INTEGER": "i32", "DOUBLE": "f64", "FLOAT": "f32"
               "TIMESTAMP": "ts"}
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    sdf = E.queries()[name](spark, SF)
-    rel = con.sql(E.oracle_sql()[name])
+    sdf = QUERIES[name](spark, SF)
+    rel = con.sql(ORACLE[name])
     assert {c: SPARK_TYPES.get(t, t) for c, t in sdf.dtypes} == \
            {c: DUCK_TYPES.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
     got = sdf.toPandas()

@@ -6,7 +6,7 @@ import io
 
 import pytest
 
-import __spark_entry__ as E
+from cartlens.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,9 +21,9 @@ def _plan(df) -> str:
 KNN_QUERIES = {"knn_items", "knn_mrr", "list_reciprocal", "distance_multiplicity", "next_distance"}
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_product_and_no_row_udf(spark, name):
-    plan = _plan(E.queries()[name](spark, SF))
+    plan = _plan(QUERIES[name](spark, SF))
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan            # no row-at-a-time Python UDF
@@ -34,7 +34,7 @@ def test_no_cross_product_and_no_row_udf(spark, name):
 
 
 def test_event_filter_and_columns_pushed_to_scan(spark):
-    plan = _plan(E.queries()["session_preferences"](spark, SF))
+    plan = _plan(QUERIES["session_preferences"](spark, SF))
     assert "PushedFilters: [IsNotNull(event_type), In(event_type, [click,view])]" in plan or \
            "In(event_type, [click,view])" in plan
     assert "ReadSchema: struct<user_id:bigint,event_type:string,props:string>" in plan
