@@ -42,7 +42,8 @@ def valid_mask(n_features: int, word: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def _q(name: str) -> str:
+def quoted(name: str) -> str:
+    """A column name as SQL text."""
     return "`" + name.replace("`", "``") + "`"
 
 
@@ -54,7 +55,7 @@ def pack_columns(cols: Sequence[Column | str]) -> list[Column]:
     for j in range(n_words(len(cols))):
         part = cols[j * WORD_BITS:(j + 1) * WORD_BITS]
         if all(isinstance(c, str) for c in part):
-            text = " | ".join(f"shiftleft(cast(coalesce({_q(c)}, 0) <> 0 as bigint), {b})"
+            text = " | ".join(f"shiftleft(cast(coalesce({quoted(c)}, 0) <> 0 as bigint), {b})"
                               for b, c in enumerate(part))
             words.append(F.expr(text))
             continue
@@ -70,7 +71,7 @@ def unpack_words(words: Sequence[Column | str], n_features: int) -> list[Column]
     for i in range(n_features):
         j, b = bit_position(i)
         if isinstance(words[j], str):
-            out.append(F.expr(f"cast(shiftright({_q(words[j])}, {b}) & 1 as int)"))
+            out.append(F.expr(f"cast(shiftright({quoted(words[j])}, {b}) & 1 as int)"))
             continue
         out.append(F.shiftright(words[j], b).bitwiseAND(F.lit(1)).cast("int"))
     return out
@@ -91,7 +92,7 @@ def hamming_arrays(a: Column | str, b: Column | str) -> Column:
     a = F.col(a) if isinstance(a, str) else a
     b = F.col(b) if isinstance(b, str) else b
     checked = F.when(F.size(a) == F.size(b), F.lit(0)).otherwise(
-        F.raise_error(F.lit("The two vectors are of different shapes")))
+        F.raise_error(F.format_string("arrays of unequal length: %d and %d", F.size(a), F.size(b))))
     diff = F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x != y, 1).otherwise(0)),
                        F.lit(0), lambda acc, x: acc + x)
     return diff + checked

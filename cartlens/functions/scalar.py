@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartlens.constants import PREFERENCE_THRESHOLD, SAMPLE_BANDS, VOTE_SHARE
 
@@ -48,6 +49,18 @@ def majority_vote(cluster_sum: Column | str, n: Column | str, share: float = VOT
     return F.when(_col(cluster_sum) > F.lit(share) * _col(n), F.lit(1)).otherwise(F.lit(0))
 
 
+def epoch_micros(c: Column | str, kind: T.DataType) -> Column:
+    """Microseconds since 1970-01-01 of a date or timestamp of type ``kind``.
+    A timestamp without zone is read on its own clock, never through the
+    session's zone, whose clock may jump."""
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(_col(c))
+    gap = _col(c).cast("timestamp_ntz") - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    part = lambda field: F.extract(F.lit(field), gap)
+    whole = part("DAY").cast("long") * 86_400 + part("HOUR").cast("long") * 3_600 + part("MINUTE").cast("long") * 60
+    return whole * 1_000_000 + (part("SECOND") * 1_000_000).cast("long")
+
+
 def category_int(c: Column | str) -> Column:
     """A category read as text becomes an int."""
     return _col(c).cast("int")

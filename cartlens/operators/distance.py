@@ -27,9 +27,10 @@ from cartlens.runtime import checkpoint_dir, ship_package
 
 # Distance-matrix cells computed at once inside a task (queries x candidates).
 _CELLS_PER_BATCH = 1 << 22
-# Distance cells per co-grouped task: about a few seconds of vectorised
-# XOR/popcount.  More work is split into more query blocks.
-_CELLS_PER_TASK = 1 << 32
+# Distance cells per co-grouped task, and the least worth a task of its own.
+# A task of 2^27 cells of one word takes about ten seconds.
+_CELLS_PER_TASK = 1 << 27
+_CELLS_WORTH_A_TASK = 1 << 20
 
 
 def hamming_pairs(left: DataFrame, right: DataFrame, on: Sequence[str] | str,
@@ -52,7 +53,8 @@ def _to_u64(df: pd.DataFrame, words: Sequence[str]) -> np.ndarray:
 
 
 def _distances(qw: np.ndarray, cw: np.ndarray) -> np.ndarray:
-    d = np.zeros((qw.shape[0], cw.shape[0]), dtype=np.int64)
+    """Distance matrix, in the smallest type that holds the width."""
+    d = np.zeros((qw.shape[0], cw.shape[0]), dtype=np.uint8 if qw.shape[1] * WORD_BITS < 256 else np.uint16)
     for j in range(qw.shape[1]):
         d += np.bitwise_count(qw[:, j:j + 1] ^ cw[None, :, j])
     return d
@@ -66,30 +68,23 @@ def _replicate(df: DataFrame, n: int, name: str) -> DataFrame:
 
 def _cogroup_blocks(queries: DataFrame, candidates: DataFrame, query_id: str, cand_id: str,
                     words: Sequence[str], query_block_rows: int, cand_block_rows: int,
-                    n_queries: int | None, n_candidates: int | None):
-    ship_package(queries.sparkSession)
-    # block sizes need the row counts: materialise each input once in the
-    # checkpoint folder (counting is then a metadata-cheap scan, and the
-    # co-group reads the same rows instead of recomputing the input plan)
-    if n_queries is None:
-        checkpoint_dir(queries.sparkSession)
-        queries = queries.checkpoint()
-        nq = queries.count()
-    else:
-        nq = n_queries
-    if n_candidates is None:
-        checkpoint_dir(candidates.sparkSession)
-        candidates = candidates.checkpoint()
+                    n_candidates: int | None):
+    """``queries`` is a checkpoint already; ``candidates`` is written once
+    unless their number is given, since block sizes need the counts."""
+    spark = queries.sparkSession
+    ship_package(spark)
+    nq, nc = queries.count(), n_candidates
+    if nc is None:
+        candidates = _materialise(candidates)
         nc = candidates.count()
-    else:
-        nc = n_candidates
     # candidate blocks bound the candidates held by one task; query blocks
-    # bound the queries held by one task and split the work so that each
-    # task computes about _CELLS_PER_TASK distances.  Shuffled rows:
-    # queries x cb + candidates x qb.
+    # bound the queries held by one task and split the work into tasks of
+    # _CELLS_PER_TASK distances, and over all cores where it is worth it.
+    # Shuffled rows: queries x cb + candidates x qb.
+    cells = nq * nc
+    tasks = max(-(-cells // _CELLS_PER_TASK), min(spark.sparkContext.defaultParallelism, -(-cells // _CELLS_WORTH_A_TASK)))
     cb = _blocks(nc, cand_block_rows)
-    qb = max(_blocks(nq, query_block_rows), -(-(nq * nc) // (_CELLS_PER_TASK * cb)))
-    qb = max(1, min(qb, max(1, nq)))
+    qb = max(1, min(max(_blocks(nq, query_block_rows), -(-tasks // cb)), max(1, nq)))
     q = queries.select(F.col(query_id).alias("_qid"), *words) \
                .withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(qb)))
     c = candidates.select(F.col(cand_id).alias("_cid"), *words) \
@@ -102,7 +97,7 @@ def _cogroup_blocks(queries: DataFrame, candidates: DataFrame, query_id: str, ca
 def knn(queries: DataFrame, candidates: DataFrame, k: int, words: Sequence[str],
         query_id: str = "session_id", cand_id: str = "item_id", exclude_self: bool = False,
         query_block_rows: int = 1 << 20, cand_block_rows: int = 1 << 16,
-        n_queries: int | None = None, n_candidates: int | None = None) -> DataFrame:
+        n_candidates: int | None = None) -> DataFrame:
     """The ``k`` candidates nearest to every query (C11, T4, W3):
     ``(query_id, rank, cand_id, distance)``, rank from 1.
 
@@ -131,17 +126,17 @@ def knn(queries: DataFrame, candidates: DataFrame, k: int, words: Sequence[str],
         parts = []
         for s in range(0, len(qids), step):
             d = _distances(qw[s:s + step], cw)
+            # (distance, candidate order) as one number
+            key = d.astype(np.int32 if (int(d.max()) + 1) * n_c < 1 << 31 else np.int64) * n_c + np.arange(n_c)[None, :]
             if exclude_self:
-                d[qids[s:s + step, None] == cids[None, :]] = 1 << 20
-            key = d * n_c + np.arange(n_c)[None, :]
+                key[qids[s:s + step, None] == cids[None, :]] = np.iinfo(key.dtype).max
             idx = np.argpartition(key, kk - 1, axis=1)[:, :kk] if kk < n_c else \
                 np.broadcast_to(np.arange(n_c), key.shape)
             rows = np.repeat(np.arange(idx.shape[0]), idx.shape[1])
             flat = idx.ravel()
-            dist = d[rows, flat]
-            keep = dist < (1 << 20)
+            keep = key[rows, flat] != np.iinfo(key.dtype).max
             parts.append(pd.DataFrame({"_qid": qids[s:s + step][rows[keep]], "_cid": cids[flat[keep]],
-                                       "distance": dist[keep].astype(np.int32)}))
+                                       "distance": d[rows, flat][keep].astype(np.int32)}))
         return pd.concat(parts, ignore_index=True)
 
     if not exclude_self:
@@ -150,17 +145,17 @@ def knn(queries: DataFrame, candidates: DataFrame, k: int, words: Sequence[str],
         out_schema = T.StructType([T.StructField("_qid", T.LongType()), T.StructField("_cid", cid_type),
                                    T.StructField("distance", T.IntegerType())])
         ranked = knn_blocks(vecs, "_vid", candidates, cand_id, words, k, local_topk, out_schema,
-                            query_block_rows, cand_block_rows, None, n_candidates)
+                            query_block_rows, cand_block_rows, n_candidates)
         return _expand(queries, query_id, vecs, ranked, words).select(query_id, "rank", cand_id, "distance")
-    ranked = knn_blocks(queries, query_id, candidates, cand_id, words, k, local_topk, out_schema,
-                        query_block_rows, cand_block_rows, n_queries, n_candidates)
+    ranked = knn_blocks(_materialise(queries.select(query_id, *words)), query_id, candidates, cand_id, words, k, local_topk,
+                        out_schema, query_block_rows, cand_block_rows, n_candidates)
     return ranked.select(F.col("_qid").alias(query_id), "rank", cand_id, "distance")
 
 
 def knn_blocks(queries, query_id, candidates, cand_id, words, k, kernel, out_schema,
-               query_block_rows, cand_block_rows, n_queries, n_candidates) -> DataFrame:
+               query_block_rows, cand_block_rows, n_candidates) -> DataFrame:
     grouped = _cogroup_blocks(queries, candidates, query_id, cand_id, words, query_block_rows,
-                              cand_block_rows, n_queries, n_candidates)
+                              cand_block_rows, n_candidates)
     local = grouped.applyInPandas(kernel, out_schema)
     w = Window.partitionBy("_qid").orderBy("distance", "_cid")
     return (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -195,7 +190,7 @@ def _expand(queries: DataFrame, query_id: str, vecs: DataFrame, per_vector: Data
 def distance_multiplicity(queries: DataFrame, candidates: DataFrame, words: Sequence[str],
                           query_id: str = "session_id", cand_id: str = "item_id",
                           query_block_rows: int = 1 << 20, cand_block_rows: int = 1 << 16,
-                          n_queries: int | None = None, n_candidates: int | None = None) -> DataFrame:
+                          n_candidates: int | None = None) -> DataFrame:
     """Every distance value from a query to the candidates, with how many
     candidates lie at it (A12, T5): ``(query_id, distance, multiplicity)``.
     At most ``64 * words + 1`` rows per query; blocks add up by a sum."""
@@ -216,7 +211,7 @@ def distance_multiplicity(queries: DataFrame, candidates: DataFrame, words: Sequ
         for s in range(0, len(qids), step):
             d = _distances(qw[s:s + step], cw)
             m = d.shape[0]
-            hist = np.bincount((d + width * np.arange(m)[:, None]).ravel(), minlength=m * width).reshape(m, width)
+            hist = np.bincount((d + np.int64(width) * np.arange(m)[:, None]).ravel(), minlength=m * width).reshape(m, width)
             r, v = np.nonzero(hist)
             parts.append(pd.DataFrame({"_qid": qids[s:s + step][r], "distance": v.astype(np.int32),
                                        "multiplicity": hist[r, v].astype(np.int64)}))
@@ -227,7 +222,7 @@ def distance_multiplicity(queries: DataFrame, candidates: DataFrame, words: Sequ
     out_schema = T.StructType([T.StructField("_qid", T.LongType()), T.StructField("distance", T.IntegerType()),
                                T.StructField("multiplicity", T.LongType())])
     grouped = _cogroup_blocks(vecs, candidates, "_vid", cand_id, words, query_block_rows,
-                              cand_block_rows, None, n_candidates)
+                              cand_block_rows, n_candidates)
     hist = (grouped.applyInPandas(local_hist, out_schema)
                    .groupBy("_qid", "distance").agg(F.sum("multiplicity").alias("multiplicity")))
     return _expand(queries, query_id, vecs, hist, words).select(query_id, "distance", "multiplicity")
@@ -238,3 +233,14 @@ def next_distance(multiset: DataFrame, query_id: str = "session_id") -> DataFram
     distinct value for the same query, null for the largest."""
     w = Window.partitionBy(query_id).orderBy("distance")
     return multiset.select(query_id, "distance", F.lead("distance").over(w).alias("next_distance"))
+
+
+def distance_listing(multiset: DataFrame, query_id: str = "session_id") -> DataFrame:
+    """The ascending listing of a query's distances, equal ones repeated (T5),
+    run by run: ``(query_id, distance, first_position, last_position)``,
+    positions from 1.  A run stands for its repeats, so a query has at most
+    one row per distance value however many candidates there are."""
+    w = Window.partitionBy(query_id).orderBy("distance").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.sum("multiplicity").over(w)
+    return multiset.select(query_id, "distance", (last - F.col("multiplicity") + 1).alias("first_position"),
+                           last.alias("last_position"))

@@ -12,15 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartlens.functions.bits import n_words
+from cartlens.functions.bits import n_words, quoted
 
 ITEM, CATEGORY = "item_id", "feature_category_id"
 
 
-def _q(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def _lit(v) -> str:
     return str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
 
@@ -29,18 +25,18 @@ def clean_features(features: DataFrame, keys: Sequence[str] = (ITEM, CATEGORY))
     """One row per (item, category).
 
     Where rows of one key differ in other columns, the smallest remaining
-    payload is kept, so the result does not depend on the input order.
+    payload is kept, column by column in order, a missing value after any
+    other, so the result does not depend on the input order.
     A two-phase aggregate: duplicates collapse map-side before the shuffle.
     """
     payload = [c for c in features.columns if c not in keys]
     if not payload:
         return features.dropDuplicates(list(keys))
     if len(payload) == 1:
-        # one payload column: its min is the smallest row, and a plain min
-        # keeps a fixed-width buffer (hash aggregate, no sort)
+        # a plain min keeps a fixed-width buffer (hash aggregate, no sort)
         return features.groupBy(*keys).agg(F.min(payload[0]).alias(payload[0]))
-    best = F.min(F.struct(*[F.col(c) for c in payload])).alias("_p")
-    return (features.groupBy(*keys).agg(best)
+    ranked = [x for c in payload for x in (F.col(c).isNull().alias(f"_null_{c}"), F.col(c))]
+    return (features.groupBy(*keys).agg(F.min(F.struct(*ranked)).alias("_p"))
                     .select(*keys, *[F.col("_p").getField(c).alias(c) for c in payload]))
 
 
@@ -51,7 +47,7 @@ def encode_features(features: DataFrame, categories: Sequence[int],
 
     One hash aggregate with a conditional count per category; categories
     outside the list are ignored, as an explicit pivot list does."""
-    counts = [F.expr(f"count_if({_q(category)} = {_lit(c)}) as {_q(str(c))}") for c in categories]
+    counts = [F.expr(f"count_if({quoted(category)} = {_lit(c)}) as {quoted(str(c))}") for c in categories]
     return features.groupBy(item).agg(*counts)
 
 
@@ -64,7 +60,7 @@ def pack_features(features: DataFrame, categories: Sequence[int], item: str = IT
     to bit-mask lookup is a literal map built from the list, a bounded
     constant, so no join is needed."""
     pairs = ", ".join(f"{_lit(c)}, {i}" for i, c in enumerate(categories))
-    pos = F.expr(f"map({pairs})[{_q(category)}]")
+    pos = F.expr(f"map({pairs})[{quoted(category)}]")
     df = (features.select(item, pos.alias("_i"))
                   .where(F.col("_i").isNotNull()))
     words = []
@@ -83,23 +79,23 @@ def wide_to_words(df: DataFrame, feature_cols: Sequence[str], keep: Sequence[str
     exprs = []
     for j in range(n_words(len(cols))):
         part = cols[j * 64:(j + 1) * 64]
-        text = " | ".join(f"shiftleft(cast(coalesce({_q(c)}, 0) <> 0 as bigint), {b})" for b, c in enumerate(part))
-        exprs.append(f"{text} as {_q(prefix + str(j))}")
-    return df.selectExpr(*[_q(k) for k in keep], *exprs)
+        text = " | ".join(f"shiftleft(cast(coalesce({quoted(c)}, 0) <> 0 as bigint), {b})" for b, c in enumerate(part))
+        exprs.append(f"{text} as {quoted(prefix + str(j))}")
+    return df.selectExpr(*[quoted(k) for k in keep], *exprs)
 
 
 def words_to_wide(df: DataFrame, categories: Sequence[int], keep: Sequence[str],
                   prefix: str = "w") -> DataFrame:
     """Packed words to one 0/1 int column per category, named after it."""
-    exprs = [f"cast(shiftright({_q(prefix + str(i // 64))}, {i % 64}) & 1 as int) as {_q(str(c))}"
+    exprs = [f"cast(shiftright({quoted(prefix + str(i // 64))}, {i % 64}) & 1 as int) as {quoted(str(c))}"
              for i, c in enumerate(categories)]
-    return df.selectExpr(*[_q(k) for k in keep], *exprs)
+    return df.selectExpr(*[quoted(k) for k in keep], *exprs)
 
 
 def value_domain(wide: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
     """Distinct values over all feature cells (A9): unpivot, then a
     two-phase distinct, so each map task ships only the values it saw."""
-    cells = wide.select(F.expr("explode(array(" + ", ".join(f"cast({_q(c)} as bigint)" for c in feature_cols)
+    cells = wide.select(F.expr("explode(array(" + ", ".join(f"cast({quoted(c)} as bigint)" for c in feature_cols)
                                + ")) as value"))
     return cells.distinct()
 
@@ -111,6 +107,6 @@ def value_frequency(wide: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
     def cat(c: str) -> str:
         return c if c.isdigit() else "'" + c.replace("'", "''") + "'"
     pairs = F.expr("explode(array(" + ", ".join(
-        f"named_struct('category', {cat(c)}, 'value', cast({_q(c)} as bigint))" for c in feature_cols) + ")) as _c")
+        f"named_struct('category', {cat(c)}, 'value', cast({quoted(c)} as bigint))" for c in feature_cols) + ")) as _c")
     return (wide.select(pairs).select("_c.category", "_c.value")
                 .groupBy("category", "value").agg(F.count(F.lit(1)).alias("n")))

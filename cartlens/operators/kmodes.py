@@ -2,7 +2,7 @@
 
 Rows are ``(group, order..., payload..., w0, w1, ...)`` with packed 0/1
 feature words.  Every group (for example every session) is clustered on its
-own; all groups advance together, one round per loop step:
+own; all groups advance together:
 
 * seeds (C7): per group and feature the majority value, shifted by the
   feature position modulo the number of distinct cell values (F3), and its
@@ -15,15 +15,14 @@ own; all groups advance together, one round per loop step:
 
 Reassignment is simultaneous (all rows against the modes of the previous
 round).  A group stops when a round moves no row or its round limit is
-reached.  The rows are written once, hash-partitioned by (group, salt); each
-round joins them to one state row per group and salt bucket (current and
-previous modes), so only the small per-group state is shuffled and
-checkpointed per round.  Finished groups drop out at that join.
-
-Hot groups: the row-to-mode join is salted.  A group of ``n`` rows is split
-into ``ceil(n / rows_per_task)`` salt buckets and its k modes are copied to
-each bucket, so no group lands whole in one task; the per-cluster sums are
-two-phase hash aggregates.
+reached; further rounds leave it as it is.
+
+Layout.  ``laid_out`` writes the rows once, hash-partitioned and sorted by
+(group, salt).  Seeds, rounds and the final assignment join one state row
+per group and salt to them on that key, so the rows are neither shuffled nor
+sorted again; only per-group state moves.  A group of ``n`` rows has
+``ceil(n / rows_per_task)`` salts, so no group lands whole in one task.
+Several rounds are planned together and written as one small table.
 """
 
 from __future__ import annotations
@@ -35,27 +34,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartlens.constants import KMODES_CLUSTERS, KMODES_MAX_ITER
-from cartlens.functions.bits import WORD_BITS, complement_words, shift_seed_words
-from cartlens.runtime import checkpoint_dir
+from cartlens.functions.bits import WORD_BITS, complement_words, quoted, shift_seed_words
+from cartlens.runtime import checkpoint_in_place, delete_folder, scratch_folder
 
 CLUSTER = "cluster"
+ROWS_PER_TASK = 1 << 20
+# Rounds planned together, between two looks at which groups are finished.
+ROUNDS_PER_STEP = 4
 
 
-def _q(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def _bit_sums(words: Sequence[str], n_features: int, cond: str | None = None) -> list[Column]:
-    """``sum`` of every feature bit over the rows (optionally where the SQL
-    condition ``cond`` holds), as columns ``_o{i}``.  Written as SQL text:
-    one call per expression instead of a dozen per bit."""
+def _bit_sums(words: Sequence[str], n_features: int) -> list[Column]:
+    """``sum`` of every feature bit over the rows, as columns ``_o{i}``.
+    Written as SQL text: one call per expression instead of a dozen per bit."""
     out = []
     for i in range(n_features):
         j, b = divmod(i, WORD_BITS)
-        bit = f"(shiftright({_q(words[j])}, {b}) & 1)"
-        if cond is not None:
-            bit = f"(case when {cond} then {bit} end)"
-        out.append(F.expr(f"coalesce(sum({bit}), 0) as _o{i}"))
+        out.append(F.expr(f"coalesce(sum(shiftright({quoted(words[j])}, {b}) & 1), 0) as _o{i}"))
     return out
 
 
@@ -63,9 +57,9 @@ def _majority_words(n_col: str, n_features: int, prefix: str = "w") -> list[Colu
     """Pack ``2 * ones > n`` of every feature (columns ``_o{i}``) into words."""
     words = []
     for j in range(-(-n_features // WORD_BITS)):
-        terms = [f"shiftleft(cast(_o{j * WORD_BITS + b} * 2 > {_q(n_col)} as bigint), {b})"
+        terms = [f"shiftleft(cast(_o{j * WORD_BITS + b} * 2 > {quoted(n_col)} as bigint), {b})"
                  for b in range(min(WORD_BITS, n_features - j * WORD_BITS))]
-        words.append(F.expr(" | ".join(terms) + f" as {_q(prefix + str(j))}"))
+        words.append(F.expr(" | ".join(terms) + f" as {quoted(prefix + str(j))}"))
     return words
 
 
@@ -97,27 +91,38 @@ def group_mode(rows: DataFrame, group: Sequence[str] | str, words: Sequence[str]
     return agg.select(*group, *_majority_words("_n", n_features))
 
 
-def _salted(rows: DataFrame, group: str, order: Sequence[str], rows_per_task: int) -> DataFrame:
-    """Add ``_salt`` in ``[0, _nsalt)`` with ``_nsalt = ceil(n / rows_per_task)``.
+def laid_out(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[str],
+             payload: Sequence[str] = (), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The rows as ``(group, _ord, payload..., w..., _nsalt, _salt)``, written
+    once, partitioned and sorted by (group, salt).
 
-    Only groups above ``rows_per_task`` rows get more than one bucket; at
-    most (all rows / rows_per_task) groups can, so the table joined back is
-    small and Spark broadcasts it on its runtime size check."""
-    hot = (rows.groupBy(group).agg(F.count(F.lit(1)).alias("_gn"))
-               .where(F.col("_gn") > rows_per_task)
-               .select(group, F.ceil(F.col("_gn") / F.lit(rows_per_task)).cast("int").alias("_hs")))
-    sized = (rows.join(hot, group, "left")
-                 .withColumn("_nsalt", F.coalesce(F.col("_hs"), F.lit(1))).drop("_hs"))
-    return sized.withColumn("_salt", F.pmod(F.xxhash64(*order), F.col("_nsalt")).cast("int"))
+    Only groups above ``rows_per_task`` rows get more than one salt; at most
+    (all rows / rows_per_task) groups can, so the table joined back is small
+    and Spark broadcasts it on its runtime size check.  Rows equal in every
+    column share a salt.  The number of partitions follows from the rows, a
+    quarter of ``ROWS_PER_TASK`` in each, but is at least the session's
+    ``spark.sql.shuffle.partitions``: a join shuffles a side with fewer."""
+    spark = rows.sparkSession
+    prepared = rows.select(group, F.struct(*[c.alias(f"_k{i}") for i, c in enumerate(order)]).alias("_ord"),
+                           *payload, *words)
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_gn"))
+    total = rows.count()
+    hot = (sizes.where(F.col("_gn") > rows_per_task)
+                .select(group, F.ceil(F.col("_gn") / F.lit(rows_per_task)).cast("int").alias("_hs")))
+    salted = (prepared.join(hot, group, "left").withColumn("_nsalt", F.coalesce(F.col("_hs"), F.lit(1))).drop("_hs")
+                      .withColumn("_salt", F.pmod(F.xxhash64("_ord", *payload, *words), F.col("_nsalt")).cast("int")))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-4 * total // ROWS_PER_TASK))
+    return checkpoint_in_place(salted.repartition(parts, group, "_salt").sortWithinPartitions(group, "_salt"))
 
 
-def _order_key(order: Sequence[Column]) -> Column:
-    return F.struct(*[c.alias(f"_k{i}") for i, c in enumerate(order)])
+def _spread(per_group: DataFrame) -> DataFrame:
+    """One row per group to one per group and salt."""
+    return per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1))).drop("_nsalt")
 
 
 def seeds(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[str],
           n_features: int, k: int = KMODES_CLUSTERS, payload: Sequence[str] = (),
-          rows_per_task: int = 1 << 20) -> DataFrame:
+          rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Initial modes (C7): ``(group, seed, payload..., w...)``, one row per
     seed, each an actual row of the group.
 
@@ -126,88 +131,69 @@ def seeds(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[
     Only ``k = 2`` is defined: the reference's alternating complement repeats
     seeds beyond two.
 
-    Two passes over the rows, no sort of them: a hash aggregate finds each
-    seed's least distance; the rows at that distance (the tie candidates,
-    usually one) are then the only ones ordered to pick the first.  When the
-    rows carry ``_salt``/``_nsalt`` (as in ``fit``), the per-group values are
-    copied to every salt bucket and joined on (group, salt), so the rows keep
-    their partitioning and a hot group is spread over many tasks."""
+    ``rows`` that come from ``laid_out`` are used as they are, others are laid
+    out first.  They are read twice: for the feature sums, and for the row
+    least by (distance, order) to each seed, both seeds at once.  That is a
+    sorted aggregate by (group, salt) over rows in that order already, so only
+    one candidate per seed, group and salt moves."""
     if k != 2:
         raise ValueError("seeding is defined for k = 2; pass distinct seeds for other k")
     words = list(words)
-    salted = "_salt" in rows.columns and "_nsalt" in rows.columns
-    carry = ["_nsalt"] if salted else []
-    keys = [group, "_salt"] if salted else [group]
-
-    def spread(per_group: DataFrame, keep_nsalt: bool = False) -> DataFrame:
-        if not salted:
-            return per_group
-        out = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1)))
-        return out if keep_nsalt else out.drop("_nsalt")
-
-    stats = value_count(rows, group, words, n_features, carry=carry)
-    maj = stats.select(group, "n_values", *carry, *_majority_words("n", n_features, "_m"))
+    if "_salt" not in rows.columns:
+        rows = laid_out(rows, group, order, words, payload, rows_per_task)
+    stats = value_count(rows, group, words, n_features, carry=["_nsalt"])
+    maj = stats.select(group, "n_values", "_nsalt", *_majority_words("n", n_features, "_m"))
     q1 = shift_seed_words([f"_m{j}" for j in range(len(words))], "n_values", n_features)
     q2 = complement_words(q1, n_features)
-    targets = maj.select(group, *carry, *[q.alias(f"_q0_{w}") for q, w in zip(q1, words)],
+    targets = maj.select(group, "_nsalt", *[q.alias(f"_q0_{w}") for q, w in zip(q1, words)],
                          *[q.alias(f"_q1_{w}") for q, w in zip(q2, words)])
-    d0 = distance_to(words, [F.col(f"_q0_{w}") for w in words]).alias("_d0")
-    d1 = distance_to(words, [F.col(f"_q1_{w}") for w in words]).alias("_d1")
-    per_row = (rows.select(*keys, _order_key(order).alias("_ord"), *payload, *words)
-                   .join(spread(targets, keep_nsalt=True), keys)
-                   .select(*keys, *carry, "_ord", *payload, *words, d0, d1))
-    # pass 1: least distance to each seed (fixed-width buffers: hash aggregate)
-    least = per_row.groupBy(group).agg(F.min("_d0").alias("_m0"), F.min("_d1").alias("_m1"),
-                                       *[F.first(c).alias(c) for c in carry])
-    # pass 2: only rows at that distance are ordered
-    cand = per_row.drop(*carry).join(spread(least), keys)
-    fields = [F.col("_ord"), *[F.col(p) for p in payload], *[F.col(w) for w in words]]
-    tied = (cand.where(F.col("_d0") == F.col("_m0")).select(group, F.lit(0).alias("seed"), F.struct(*fields).alias("_r"))
-                .unionByName(cand.where(F.col("_d1") == F.col("_m1"))
-                                 .select(group, F.lit(1).alias("seed"), F.struct(*fields).alias("_r"))))
-    return (tied.groupBy(group, "seed").agg(F.min("_r").alias("_b"))
-                .select(group, "seed", *[F.col("_b")[p].alias(p) for p in payload],
-                        *[F.col("_b")[w].alias(w) for w in words]))
-
-
-def modes_array(modes: DataFrame, group: str, words: Sequence[str]) -> DataFrame:
+    near = [F.struct(distance_to(words, [F.col(f"_q{s}_{w}") for w in words]).alias("_d"), "_ord", *payload, *words)
+            for s in range(2)]
+    per_salt = (rows.join(_spread(targets), [group, "_salt"]).groupBy(group, "_salt")
+                    .agg(*[F.min(n).alias(f"_b{s}") for s, n in enumerate(near)]))
+    best = per_salt.groupBy(group).agg(*[F.min(f"_b{s}").alias(f"_b{s}") for s in range(2)])
+    found = best.select(group, F.explode(F.array(*[
+        F.struct(F.lit(s).alias("seed"), F.col(f"_b{s}").alias("_b")) for s in range(2)])).alias("_s"))
+    return found.select(group, F.col("_s.seed").alias("seed"),
+                        *[F.col("_s")["_b"][c].alias(c) for c in [*payload, *words]])
+
+
+def modes_array(modes: DataFrame, group: str, words: Sequence[str], *also: Column) -> DataFrame:
     """One row per group holding its k modes as ``_modes``, an array of
     ``struct(c, w...)`` sorted by cluster (bounded: k entries)."""
     return modes.groupBy(group).agg(
         F.sort_array(F.collect_list(F.struct(F.col(CLUSTER).alias("c"), *[F.col(w) for w in words])))
-         .alias("_modes"))
+         .alias("_modes"), *also)
+
+
+def _nearest(words: Sequence[str], modes: Sequence[Sequence[Column]]) -> Column:
+    """Index of the nearest mode, the lowest on ties.  Plain expressions
+    (k distances, ``least``, a CASE), so the row loop stays in generated code."""
+    dists = [distance_to(words, m) for m in modes]
+    best = F.least(*dists) if len(dists) > 1 else dists[0]
+    out = F.when(dists[0] == best, F.lit(0))
+    for c, d in enumerate(dists[1:], 1):
+        out = out.when(d == best, F.lit(c))
+    return out
 
 
 def nearest_mode(words: Sequence[str], modes: str = "_modes", k: int = KMODES_CLUSTERS) -> Column:
     """Index of the nearest of the ``k`` modes in the array column ``modes``
-    (sorted by cluster), the lowest index on ties; null when the array is
-    null.  Plain expressions (k distances, ``least``, a CASE), so the row
-    loop stays in generated code."""
-    dists = [distance_to(words, [F.col(modes)[c][w] for w in words]) for c in range(k)]
-    best = F.least(*dists) if k > 1 else dists[0]
-    out = None
-    for c, d in enumerate(dists):
-        out = F.when(d == best, F.lit(c)) if out is None else out.when(d == best, F.lit(c))
-    return out
+    (sorted by cluster), the lowest index on ties; null when the array is null."""
+    return _nearest(words, [[F.col(modes)[c][w] for w in words] for c in range(k)])
 
 
 def assign(rows: DataFrame, modes: DataFrame, group: str, words: Sequence[str],
            k: int = KMODES_CLUSTERS) -> DataFrame:
-    """Rows with the index of their nearest mode."""
+    """Rows with the index of their nearest mode (C9, J7, T6).  Rows from
+    ``laid_out`` are joined on (group, salt) and keep their layout."""
     arr = modes_array(modes, group, words)
-    return rows.join(arr, group).withColumn(CLUSTER, nearest_mode(words, k=k)).drop("_modes")
-
-
-def update_modes(assigned: DataFrame, group: str, words: Sequence[str], n_features: int,
-                 k: int = KMODES_CLUSTERS, groups: DataFrame | None = None) -> DataFrame:
-    """Modes from an assignment (A11): ``(group, cluster, w...)``; a cluster
-    without rows gets the zero vector."""
-    agg = assigned.groupBy(group, CLUSTER).agg(F.count(F.lit(1)).alias("_n"), *_bit_sums(words, n_features))
-    modes = agg.select(group, CLUSTER, *_majority_words("_n", n_features))
-    groups = (groups if groups is not None else assigned.select(group).distinct())
-    grid = groups.select(group, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(CLUSTER))
-    return grid.join(modes, [group, CLUSTER], "left").select(
-        group, CLUSTER, *[F.coalesce(F.col(w), F.lit(0).cast("long")).alias(w) for w in words])
+    if "_salt" in rows.columns:
+        salts = rows.groupBy(group).agg(F.first("_nsalt").alias("_nsalt"))
+        joined = rows.join(_spread(arr.join(salts, group)), [group, "_salt"])
+    else:
+        joined = rows.join(arr, group)
+    return joined.withColumn(CLUSTER, nearest_mode(words, k=k)).drop("_modes")
 
 
 def cluster_sizes(assigned: DataFrame, group: str) -> DataFrame:
@@ -222,141 +208,129 @@ class KModesResult:
     rounds: int              # rounds run by the slowest group
 
 
-def _modes_exprs(words: Sequence[str], n_features: int, k: int):
-    """Expressions of the per-round mode update, built once per fit and
-    reused every round (they are unresolved expressions).
-
-    Step 1 groups by (group, cluster): row count, moved flag, salt count
-    and one bit sum per feature (n + 3 fixed-width buffers, so the
-    aggregate over all rows stays a codegen'd hash aggregate).  Step 2
-    groups the k rows of each group: its k modes (``max`` of the one row of
-    each cluster; null for an empty cluster, which becomes the zero
-    vector), whether any row moved, and its row count."""
-    # the modes used this round are the same on every row of a group: they
-    # ride along as one fixed-width first() per cluster and word
-    used_cols = [f"_u{c}_{j}" for c in range(k) for j in range(len(words))]
-    step1 = ([F.count(F.lit(1)).alias("_n"), F.max("_moved").alias("_any"), F.first("_nsalt").alias("_nsalt")]
-             + [F.first(u).alias(u) for u in used_cols] + _bit_sums(words, n_features))
-    mode_words = _majority_words("_n", n_features)
-    step2 = ([F.max("_any").alias("_any"), F.first("_nsalt").alias("_nsalt"), F.sum("_n").alias("_rows")]
-             + [F.first(u).alias(u) for u in used_cols])
-    for c in range(k):
-        step2 += [F.max(F.when(F.col(CLUSTER) == c, F.col(w))).alias(f"_m{c}_{j}") for j, w in enumerate(words)]
-    modes = F.array(*[F.struct(F.lit(c).alias("c"),
-                               *[F.coalesce(F.col(f"_m{c}_{j}"), F.lit(0).cast("long")).alias(w)
-                                 for j, w in enumerate(words)])
-                      for c in range(k)]).alias("_modes")
-    used = F.array(*[F.struct(F.lit(c).alias("c"), *[F.col(f"_u{c}_{j}").alias(w) for j, w in enumerate(words)])
-                     for c in range(k)]).alias("_used")
-    spread_used = [F.col("_modes")[c][w].alias(f"_u{c}_{j}") for c in range(k) for j, w in enumerate(words)]
-    return step1, mode_words, step2, modes, used, used_cols, spread_used
-
-
-def _update_state(assigned: DataFrame, group: str, exprs) -> DataFrame:
-    """Per group: ``_any``, ``_nsalt``, ``_rows``, the new ``_modes`` and
-    the modes ``_used`` for this round's assignment."""
-    step1, mode_words, step2, modes, used, used_cols, _ = exprs
-    per_cluster = (assigned.groupBy(group, CLUSTER).agg(*step1)
-                           .select(group, CLUSTER, "_n", "_any", "_nsalt", *used_cols, *mode_words))
-    return per_cluster.groupBy(group).agg(*step2).select(group, "_any", "_nsalt", "_rows", modes, used)
-
-
-def _explode_modes(df: DataFrame, group: str, words: Sequence[str]) -> DataFrame:
-    return (df.select(group, F.explode("_modes").alias("_m"))
-              .select(group, F.col("_m.c").alias(CLUSTER), *[F.col(f"_m.{w}").alias(w) for w in words]))
+class _Rounds:
+    """The per-group state and one round over it.
+
+    State columns: ``_m{c}_{j}`` the modes for the next assignment, ``_u{c}_{j}``
+    those used by the last one (null before the first), ``_nsalt``, ``_done`` and
+    ``_rounds``.  All are fixed-width, so the aggregates over the rows are hash
+    aggregates in generated code."""
+
+    def __init__(self, group: str, words: Sequence[str], n_features: int, k: int, limit: Column):
+        self.group, self.words, self.k = group, list(words), k
+        cells = [(c, j) for c in range(k) for j in range(len(self.words))]
+        self.now, self.used = [f"_m{c}_{j}" for c, j in cells], [f"_u{c}_{j}" for c, j in cells]
+        self.kept = [*self.now, *self.used, "_nsalt", "_done", "_rounds"]
+        n = len(self.words)
+        modes = lambda names: [[F.col(x) for x in names[c * n:(c + 1) * n]] for c in range(k)]
+        self.near_now, self.near_used = _nearest(words, modes(self.now)), _nearest(words, modes(self.used))
+        self.per_cluster = [F.count(F.lit(1)).alias("_n"), F.max("_moved").alias("_any"),
+                            *[F.first(c).alias(c) for c in self.kept], *_bit_sums(words, n_features)]
+        self.new_words = _majority_words("_n", n_features, "_w")
+        new = [F.coalesce(F.max(F.when(F.col(CLUSTER) == c, F.col(f"_w{j}"))), F.lit(0).cast("long")).alias(f"_new{c}_{j}")
+               for c, j in cells]
+        self.per_group = [F.max("_any").alias("_any"), F.sum("_n").alias("_rows"), *[F.first(c).alias(c) for c in self.kept], *new]
+        ended = (F.col("_rounds") + 1 >= limit) | ((F.col("_any") == 0) & (F.col("_rounds") >= 1))
+        keep = lambda old, value: F.when(F.col("_done"), F.col(old)).otherwise(value).alias(old)
+        self.advance = [
+            *[keep(m, F.col(f"_new{c}_{j}")) for m, (c, j) in zip(self.now, cells)],
+            *[keep(u, F.col(m)) for u, m in zip(self.used, self.now)],
+            F.col("_nsalt"), keep("_done", ended), keep("_rounds", F.col("_rounds") + 1)]
+
+    def start(self, modes: DataFrame) -> DataFrame:
+        """State before the first round, from ``_modes`` arrays and ``_nsalt``."""
+        first = [F.col("_modes")[c][w].alias(self.now[c * len(self.words) + j])
+                 for c in range(self.k) for j, w in enumerate(self.words)]
+        return modes.select(self.group, *first, *[F.lit(None).cast("long").alias(u) for u in self.used], "_nsalt",
+                            F.lit(False).alias("_done"), F.lit(0).alias("_rounds"))
+
+    def one(self, rows: DataFrame, state: DataFrame) -> DataFrame:
+        assigned = (rows.drop("_nsalt").join(state.withColumn(
+            "_salt", F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1))), [self.group, "_salt"])
+            .select(self.group, *self.kept, *self.words, self.near_now.alias(CLUSTER),
+                    F.coalesce(self.near_used, F.lit(-1)).alias("_before"))
+            .withColumn("_moved", (F.col("_before") != F.col(CLUSTER)).cast("int")))
+        clusters = (assigned.groupBy(self.group, CLUSTER).agg(*self.per_cluster)
+                            .select(self.group, CLUSTER, "_n", "_any", *self.kept, *self.new_words))
+        return clusters.groupBy(self.group).agg(*self.per_group).select(self.group, *self.advance)
 
 
 def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[str], n_features: int,
         k: int = KMODES_CLUSTERS, max_iter: int | str = KMODES_MAX_ITER, payload: Sequence[str] = (),
-        rows_per_task: int = 1 << 20, spark: SparkSession | None = None,
+        rows_per_task: int = ROWS_PER_TASK, spark: SparkSession | None = None,
         initial: DataFrame | None = None) -> KModesResult:
     """k-modes of every group.
 
-    ``initial`` gives the starting modes ``(group, cluster, w...)`` with
-    clusters ``0..k-1`` for every group; without it the two seeds of
-    ``seeds`` are used, which is defined for ``k = 2`` only.
+    ``initial`` gives the starting modes ``(group, cluster, w...)``, one row
+    for each of the clusters ``0..k-1`` of every group (a group with other
+    rows is an error); without it the two seeds of ``seeds`` are used, which
+    is defined for ``k = 2`` only.
 
     ``max_iter`` is a round limit: an int for all groups, or ``"rows"`` for
     each group's row count (as the reference's session clustering uses).
     Returns the final assignment and the modes computed from it.
 
-    The rows are written once, partitioned by (group, salt).  A round's
-    assignment depends only on the rows and the previous round's modes, and
-    whether a row moved only on the two previous rounds' modes, so a round
-    keeps no per-row state: it joins the rows to a per-group state row
-    (current and previous modes, copied to each salt bucket), takes the
-    nearest of each, and one ``groupBy(group)`` yields the new modes,
-    whether any row moved and whether the group is finished.  Only that
-    per-group state is checkpointed each round; the rows are re-read, never
-    rewritten, and are compacted to the unfinished groups only when those
-    have halved.  The final assignment is the nearest of the modes each
-    group used in its last round."""
+    A round's assignment depends only on the rows and the modes, and whether
+    a row moved only on the two last rounds' modes, so no per-row state is
+    kept.  The state is written as a small table every ``ROUNDS_PER_STEP``
+    rounds and the table before it is deleted; finished groups leave the
+    state, and the rows are compacted when the unfinished groups have halved.
+    The final assignment is the nearest of the modes each group used in its
+    last round."""
     if initial is None and k != 2:
         raise ValueError("seeding is defined for k = 2; pass initial modes for other k")
     spark = spark or rows.sparkSession
-    checkpoint_dir(spark)
     words = list(words)
-    prepared = rows.select(group, _order_key(order).alias("_ord"), *payload, *words)
-    salted = _salted(prepared, group, ["_ord"], rows_per_task)
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = salted.repartition(n_parts, group, "_salt").checkpoint()
+    base = laid_out(rows, group, order, words, payload, rows_per_task)
+    salts = base.groupBy(group).agg(F.first("_nsalt").alias("_nsalt"))
     if initial is None:
-        seeded = seeds(base, group, [F.col("_ord")], words, n_features, k, rows_per_task=rows_per_task)
+        seeded = seeds(base, group, [F.col("_ord")], words, n_features, k).withColumnRenamed("seed", CLUSTER)
+        starts = modes_array(seeded, group, words)
     else:
-        seeded = initial.select(group, F.col(CLUSTER).alias("seed"), *words)
-    # k starting modes per group: a bounded array, sorted by cluster
-    state = (seeded.groupBy(group).agg(F.sort_array(F.collect_list(
-                 F.struct(F.col("seed").alias("c"), *[F.col(w) for w in words]))).alias("_modes"))
-                   .join(base.groupBy(group).agg(F.first("_nsalt").alias("_nsalt")), group))
-    # no previous modes before the first round: every row counts as moved
-    state = state.withColumn("_prev", F.when(F.lit(False), F.col("_modes")))
-
-    exprs = _modes_exprs(words, n_features, k)
-    near_cur, near_prev = nearest_mode(words, "_modes", k), nearest_mode(words, "_prev", k)
-    limit = F.col("_rows") if max_iter == "rows" else F.lit(int(max_iter))
-    rows_now, groups_at_compaction = base, None
-    finished = []
-    r = 0
+        starts = modes_array(initial, group, words, F.count(F.lit(1)).alias("_k")).select(group, F.when(
+            (F.col("_k") == k) & (F.transform("_modes", lambda m: m["c"].cast("int")) == F.sequence(F.lit(0), F.lit(k - 1))),
+            F.col("_modes")).otherwise(F.raise_error(F.lit(f"initial modes: one row for each of {k} clusters"))).alias("_modes"))
+    rounds = _Rounds(group, words, n_features, k, F.col("_rows") if max_iter == "rows" else F.lit(int(max_iter)))
+    folder = scratch_folder(spark, "kmodes")
+
+    def written(state: DataFrame, name: str) -> DataFrame:
+        state.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    state = written(rounds.start(starts.join(salts, group)), "state-0")
+    rows_now, active_then, finished, step = base, None, [], 0
     while True:
-        r += 1
-        spread = state.select(group, "_modes", "_prev",
-                              F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1)).alias("_salt"))
-        assigned = (rows_now.join(spread, [group, "_salt"])
-                            .select("*", *exprs[6], near_cur.alias(CLUSTER), near_prev.alias("_prev_cluster"))
-                            .withColumn("_moved", (F.coalesce("_prev_cluster", F.lit(-1))
-                                                   != F.col(CLUSTER)).cast("int")))
-        done = (F.col("_limit") <= r) | ((F.col("_any") == 0) & F.lit(r >= 2))
-        # fixed-width buffers only, so these are hash aggregates (an array
-        # buffer would turn them into a sort of all rows)
-        state = (_update_state(assigned, group, exprs)
-                         .withColumn("_limit", limit.cast("int"))
-                         .withColumn("_done", done)).checkpoint()
-        finished.append(state.where("_done").select(group, "_nsalt", "_used", "_modes", F.lit(r).alias("rounds")))
-        state = state.where(~F.col("_done")).select(group, "_nsalt", "_modes", F.col("_used").alias("_prev"))
-        if state.isEmpty():
+        step += 1
+        ahead = state
+        for _ in range(ROUNDS_PER_STEP):
+            ahead = rounds.one(rows_now, ahead)
+        written(ahead, f"state-{step}")
+        delete_folder(spark, f"{folder}/state-{step - 1}" if step == 1 else f"{folder}/active-{step - 1}")
+        state = spark.read.parquet(f"{folder}/state-{step}")
+        finished.append(state.where("_done"))
+        active = state.where(~F.col("_done")).count()
+        if not active:
             break
-        if r % 3:                       # count (two jobs) only every third round
-            continue
-        n_active = state.count()
-        if groups_at_compaction is None:
-            groups_at_compaction = n_active
-        elif 2 * n_active < groups_at_compaction:
-            keys = state.select(group, F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1)).alias("_salt"))
-            rows_now = rows_now.join(keys, [group, "_salt"], "left_semi").checkpoint()
-            groups_at_compaction = n_active
-    ended = _union(finished)
-    spread = ended.select(group, "_used", "_modes", "rounds",
-                          F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1)).alias("_salt"))
-    own = F.col("_modes")[F.col(CLUSTER)]          # modes are sorted by cluster 0..k-1
-    assignments = (base.join(spread, [group, "_salt"])
-                       .withColumn(CLUSTER, nearest_mode(words, "_used", k))
-                       .withColumn("distance", distance_to(words, [own[w] for w in words]))
-                       .select(group, *payload, CLUSTER, "distance", "rounds", "_ord", *words))
-    return KModesResult(assignments, _explode_modes(ended, group, words), r)
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        state = written(state.where(~F.col("_done")), f"active-{step}")
+        if active_then is None:
+            active_then = active
+        elif 2 * active < active_then:
+            keys = _spread(state.select(group, "_nsalt"))
+            rows_now = checkpoint_in_place(rows_now.join(keys, [group, "_salt"], "left_semi")
+                                           .sortWithinPartitions(group, "_salt"))
+            active_then = active
+    ended = finished[0]
+    for more in finished[1:]:
+        ended = ended.unionByName(more)
+    n = len(words)
+    cells = [[F.col(x) for x in rounds.now[c * n:(c + 1) * n]] for c in range(k)]
+    used = [[F.col(x) for x in rounds.used[c * n:(c + 1) * n]] for c in range(k)]
+    joined = base.drop("_nsalt").join(ended.drop("_done").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1))), [group, "_salt"])
+    own = [F.coalesce(*[F.when(F.col(CLUSTER) == c, m[j]) for c, m in enumerate(cells)]) for j in range(n)]
+    assignments = (joined.withColumn(CLUSTER, _nearest(words, used)).withColumn("distance", distance_to(words, own))
+                         .select(group, *payload, CLUSTER, "distance", F.col("_rounds").alias("rounds"), "_ord", *words))
+    modes = ended.select(group, F.explode(F.array(*[
+        F.struct(F.lit(c).alias(CLUSTER), *[m.alias(w) for m, w in zip(cells[c], words)]) for c in range(k)])).alias("_s"))
+    most = max(f.agg(F.max("_rounds")).first()[0] or 0 for f in finished)
+    return KModesResult(assignments, modes.select(group, "_s.*"), most)

@@ -3,7 +3,7 @@ two analyses)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlens.constants import TOP_ITEMS
@@ -18,6 +18,13 @@ def item_views(sessions: DataFrame) -> DataFrame:
                     .orderBy(F.col("count_seen").desc(), ITEM))
 
 
+def top_items(sessions: DataFrame, n: int = TOP_ITEMS) -> DataFrame:
+    """The ``n`` items viewed most (T1, T3) with their position from 1.  The
+    position is numbered after the limit, on at most ``n`` rows."""
+    w = Window.orderBy(F.col("count_seen").desc(), ITEM)
+    return item_views(sessions).limit(n).withColumn("position", F.row_number().over(w))
+
+
 def item_purchases(purchases: DataFrame) -> DataFrame:
     """Purchases per item (A3), most bought first, ties by item id."""
     return (purchases.groupBy(ITEM).agg(F.count(ITEM).alias("count_purchased"))

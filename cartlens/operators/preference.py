@@ -9,16 +9,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlens.constants import KMODES_CLUSTERS, LONG_SESSION_MIN_ITEMS, RECENT_ITEMS
-from cartlens.functions.scalar import majority_vote
+from cartlens.functions.scalar import epoch_micros, majority_vote
 from cartlens.operators import kmodes as KM
 from cartlens.operators.sessions import sessions_in_band, time_spent
 
 SESSION, ITEM, DATE = "session_id", "item_id", "date"
 
 
-def newest_first() -> list[Column]:
-    """Group order of the clustered sessions: newest view first, then item id."""
-    return [-F.unix_micros(F.col(DATE).cast("timestamp")), F.col(ITEM)]
+def newest_first(rows: DataFrame) -> list[Column]:
+    """Group order of the clustered sessions: newest view first, then item id;
+    views without a date come last."""
+    return [F.col(DATE).isNull(), -epoch_micros(DATE, rows.schema[DATE].dataType), F.col(ITEM)]
 
 
 def clustering_rows(sessions: DataFrame, packed: DataFrame, lo: int | None = LONG_SESSION_MIN_ITEMS,
@@ -31,7 +32,7 @@ def clustering_rows(sessions: DataFrame, packed: DataFrame, lo: int | None = LON
 def fit_sessions(rows: DataFrame, words: Sequence[str], n_features: int, k: int = KMODES_CLUSTERS,
                  payload: Sequence[str] = (ITEM, DATE)) -> KM.KModesResult:
     """k-modes of every session, round limit = the session's row count."""
-    return KM.fit(rows, SESSION, newest_first(), words, n_features, k, max_iter="rows", payload=payload)
+    return KM.fit(rows, SESSION, newest_first(rows), words, n_features, k, max_iter="rows", payload=payload)
 
 
 def clustered_preferences(result: KM.KModesResult, words: Sequence[str],
@@ -58,7 +59,8 @@ def cluster_statistics(rows: DataFrame, targets: DataFrame, packed: DataFrame,
     cluster's rows to its mode, ``var1_t``/``var2_t`` of their time spent
     (seconds to the next view; the last view has none), 0 for an empty or
     one-value cluster, and ``true_cluster``, the mode nearest to the vector
-    of the session's target item.  Sessions without a target are left out."""
+    of the session's target item, null for a session without a target that
+    has features."""
     words = list(words)
     timed = time_spent(rows, keep=words)
     result = fit_sessions(timed, words, n_features, payload=(ITEM, DATE, "time_spent"))
@@ -73,4 +75,4 @@ def cluster_statistics(rows: DataFrame, targets: DataFrame, packed: DataFrame,
     target_vec = targets.select(SESSION, ITEM).join(packed, ITEM, "inner")
     arr = KM.modes_array(result.modes, SESSION, words)
     truth = target_vec.join(arr, SESSION).select(SESSION, KM.nearest_mode(words).alias("true_cluster"))
-    return stats.join(truth, SESSION, "inner")
+    return stats.join(truth, SESSION, "left")

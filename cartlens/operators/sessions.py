@@ -5,19 +5,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlens.constants import PREFERENCE_THRESHOLD, RECENT_ITEMS, SHORT_SESSION_MAX_ITEMS
-from cartlens.functions.scalar import band_fraction, sample_unit, threshold_sql
+from cartlens.functions.bits import quoted
+from cartlens.functions.scalar import band_fraction, epoch_micros, sample_unit, threshold_sql
+from cartlens.runtime import checkpoint_dir
 
 SESSION, ITEM, DATE = "session_id", "item_id", "date"
 
 
-def _q(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def session_lengths(sessions: DataFrame, name: str = "nb_items") -> DataFrame:
     """``count(item_id)`` per session (A1): non-null items, repeats counted.
     Partial counts are taken map-side, so a hot session reaches the reducer
@@ -74,14 +72,14 @@ def session_feature_means(sessions: DataFrame, encoded: DataFrame, feature_cols:
     # (``avg`` keeps a count per column), so the aggregate stays inside
     # whole-stage codegen; sum / count equals avg for these integral cells
     aggs = [F.count(ITEM).alias("_len"), F.count("_hit").alias("_joined")]
-    aggs += [F.expr(f"sum({_q(c)}) as {_q(c)}") for c in feature_cols]
+    aggs += [F.expr(f"sum({quoted(c)}) as {quoted(c)}") for c in feature_cols]
     cond = F.col("_joined") > 0
     if lo is not None:
         cond = cond & (F.col("_len") >= lo)
     if hi is not None:
         cond = cond & (F.col("_len") <= hi)
     return (joined.groupBy(SESSION).agg(*aggs).where(cond)
-                  .selectExpr(SESSION, *[f"cast({_q(c)} as double) / _joined as {_q(c)}" for c in feature_cols]))
+                  .selectExpr(SESSION, *[f"cast({quoted(c)} as double) / _joined as {quoted(c)}" for c in feature_cols]))
 
 
 def session_preferences(sessions: DataFrame, encoded: DataFrame, feature_cols: Sequence[str],
@@ -91,7 +89,7 @@ def session_preferences(sessions: DataFrame, encoded: DataFrame, feature_cols: S
     the joined rows, then ``mean >= threshold`` gives 1.  Default band is
     sessions of at most 20 items."""
     means = session_feature_means(sessions, encoded, feature_cols, lo, hi)
-    return means.selectExpr(SESSION, *[f"{threshold_sql(c, threshold_value)} as {_q(c)}" for c in feature_cols])
+    return means.selectExpr(SESSION, *[f"{threshold_sql(c, threshold_value)} as {quoted(c)}" for c in feature_cols])
 
 
 def stratum_sessions(sessions: DataFrame, length: int, n: int | None = None,
@@ -109,48 +107,43 @@ def stratum_sessions(sessions: DataFrame, length: int, n: int | None = None,
 def time_spent(sessions: DataFrame, order: Sequence[str] = (DATE, ITEM),
                rows_per_task: int = 1 << 20, keep: Sequence[str] = ()) -> DataFrame:
     """Seconds from each view to the next one of the same session (W1);
-    null for the last view.  Rows follow ``order`` (date, then item id);
-    ``keep`` columns are carried through.
-
-    A session of ``n`` rows is cut into ``ceil(n / rows_per_task)`` time
-    buckets of equal width, so a hot session is spread over many tasks
-    instead of one: ``lead`` runs inside each bucket, and the last row of a
-    bucket takes the first row of the session's next non-empty bucket (a
-    window over one row per bucket).  For ordinary sessions there is one
-    bucket and this is the plain window."""
-    t = F.unix_micros(F.col(DATE).cast("timestamp"))
+    null for the last view.  Rows follow ``order`` (date, then item id; null
+    dates first); ``keep`` columns are carried through.
+
+    Ordinary sessions take a plain window.  The rows of sessions above
+    ``rows_per_task`` are range-partitioned on (session, order), so they are
+    cut by rows whatever their dates are; ``lead`` runs inside each piece,
+    and the last row of a piece takes the first row of the session's next
+    piece (a window over one row per piece)."""
     keep = [c for c in keep if c not in (SESSION, ITEM, DATE)]
     rows = sessions.select(SESSION, ITEM, DATE, *keep)
-    # only sessions above rows_per_task are cut; there are at most
-    # (all rows / rows_per_task) of them, so this side stays small and
-    # Spark broadcasts it on its runtime size check; the rows never move
-    # for this join
-    hot = (rows.groupBy(SESSION).agg(F.count(F.lit(1)).alias("_n"), F.min(t).alias("_lo"),
-                                     F.max(t).alias("_hi"))
-               .where(F.col("_n") > rows_per_task))
-    n_chunks = F.ceil(F.col("_n") / F.lit(rows_per_task))
-    width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / n_chunks))
-    bucket = F.coalesce(F.floor((t - F.col("_lo")) / F.col("_w")), F.lit(0))
-    chunked = (rows.join(hot.select(SESSION, "_lo", width.alias("_w")), SESSION, "left")
-                   .withColumn("_b", F.when(F.col("_w").isNull(), F.lit(0)).otherwise(bucket))
-                   # one column as the window key, so a session-hashed input
-                   # does not already count as clustered by it
-                   .withColumn("_chunk", F.struct(SESSION, "_b")))
-    # first row of every bucket (two-phase min), then the head of the
-    # session's next non-empty bucket (one row per bucket)
-    # the head's date is the bucket's least date: rows are ordered by date
-    # first, and null dates only occur in bucket 0, whose head is never
-    # anyone's successor (a plain min keeps this a hash aggregate)
-    heads = chunked.groupBy(SESSION, "_b").agg(F.min(DATE).alias("_head"))
-    next_head = heads.select(F.struct(SESSION, "_b").alias("_chunk"),
-                             F.lead("_head").over(Window.partitionBy(SESSION).orderBy("_b")).alias("_nh"))
-    # one shuffle of the rows: the join and the window share the key
-    w = Window.partitionBy("_chunk").orderBy(*[F.col(c) for c in order])
-    is_last = F.lead(F.lit(1)).over(w).isNull()
-    nxt = F.when(is_last, F.col("_nh")).otherwise(F.lead(DATE).over(w))
-    return (chunked.join(next_head, "_chunk", "left")
-                   .select(SESSION, ITEM, DATE, *keep,
-                           (F.timestamp_diff("MICROSECOND", F.col(DATE), nxt) / F.lit(1e6)).alias("time_spent")))
+    kind = sessions.schema[DATE].dataType
+    by = [F.col(c) for c in order]
+
+    def gap(frame: DataFrame, following: Column) -> DataFrame:
+        seconds = (epoch_micros(following, kind) - epoch_micros(DATE, kind)) / F.lit(1e6)
+        return frame.select(SESSION, ITEM, DATE, *keep, seconds.alias("time_spent"))
+
+    plain = lambda frame: gap(frame, F.lead(DATE).over(Window.partitionBy(SESSION).orderBy(*by)))
+    # at most (all rows / rows_per_task) sessions are hot, so this side is small
+    hot = (rows.groupBy(SESSION).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_task))
+    pieces = hot.agg(F.sum(F.ceil(F.col("_n") / F.lit(rows_per_task)))).first()[0]
+    if not pieces:
+        return plain(rows)
+    hot = hot.select(F.col(SESSION).alias("_hot"))
+    in_hot = F.col(SESSION).eqNullSafe(F.col("_hot"))
+    checkpoint_dir(sessions.sparkSession)
+    # written once: both uses must see the same pieces
+    cut = (rows.join(hot, in_hot, "left_semi").repartitionByRange(int(pieces), SESSION, *by)
+               .withColumn("_piece", F.spark_partition_id()).checkpoint())
+    heads = cut.groupBy(SESSION, "_piece").agg(F.min(DATE).alias("_head"))
+    following = heads.select(F.col(SESSION).alias("_s"), F.col("_piece").alias("_p"),
+                             F.lead("_head").over(Window.partitionBy(SESSION).orderBy("_piece")).alias("_next"))
+    w = Window.partitionBy(SESSION, "_piece").orderBy(*by)
+    joined = (cut.withColumn("_lead", F.lead(DATE).over(w)).withColumn("_last", F.lead(F.lit(1)).over(w).isNull())
+                 .join(following, F.col(SESSION).eqNullSafe(F.col("_s")) & (F.col("_piece") == F.col("_p")), "left"))
+    linked = gap(joined, F.when(F.col("_last"), F.col("_next")).otherwise(F.col("_lead")))
+    return plain(rows.join(hot, in_hot, "left_anti")).unionByName(linked)
 
 
 def recent_items(sessions: DataFrame, n: int = RECENT_ITEMS, tie: Sequence[str] = (ITEM,)) -> DataFrame:

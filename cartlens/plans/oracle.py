@@ -66,7 +66,7 @@ def views_vs_purchases() -> str:
                  seen="select item_id, count(item_id) count_seen from s group by item_id",
                  bought="select item_id, count(item_id) count_purchased from p group by item_id") + \
         ("select seen.item_id, count_seen, count_purchased from seen join bought on seen.item_id = bought.item_id "
-         "order by count_seen desc, seen.item_id limit 100")
+         "order by count_seen desc, seen.item_id limit 30")
 
 
 def length_distribution() -> str:
@@ -180,23 +180,63 @@ def _dist(a: str, b: str, cols=EMB) -> str:
     return "(" + " + ".join(f"({a}.\"{c}\" <> {b}.\"{c}\")::int" for c in cols) + ")"
 
 
-def _prefs_ctes() -> dict:
-    cols = ", ".join(f"case when avg(j.\"{c}\") >= 0.4 then 1 else 0 end as \"{c}\"" for c in EMB)
-    return dict(**_short_joined(), prefs=f"select session_id, {cols} from j group by session_id",
-                p=EVENT_PURCHASES,
+def _vote(cols=EMB) -> dict:
+    """C4: the mode of the cluster that most of the ten newest rows are nearest to."""
+    idx = list(enumerate(cols))
+    d0, d1 = (_sum([f"(r.\"{c}\" <> m.{x}{i})::int" for i, c in idx]) for x in "ab")
+    bits = ", ".join(f"case when v.chosen = 1 then m.b{i} else m.a{i} end as \"{c}\"" for i, c in idx)
+    return dict(rec=("select * from (select kr.*, row_number() over (partition by session_id order by date desc, "
+                     "item_id) rr from kr) where rr <= 10"),
+                vote=(f"select r.session_id, case when sum(case when {d1} < {d0} then 1 else 0 end) > 0.5 * count(*) "
+                      "then 1 else 0 end chosen from rec r join fm m on m.session_id = r.session_id group by 1"),
+                clustered=f"select v.session_id, {bits} from vote v join fm m on m.session_id = v.session_id")
+
+
+def _above(n: int, cols=EMB) -> str:
+    """Rows of sessions of more than ``n`` items with their item vectors."""
+    return ("select s.session_id, s.item_id, s.date, " + _cols("enc.", cols) + " from s join enc on "
+            f"s.item_id = enc.item_id where s.session_id in (select session_id from lens where nb_items > {n})")
+
+
+def _prefs_ctes(cols=EMB) -> dict:
+    """C3 up to 20 items, C4 above, over CTEs s, lens, enc."""
+    means = ", ".join(f"case when avg(j.\"{c}\") >= 0.4 then 1 else 0 end as \"{c}\"" for c in cols)
+    return dict(short="select * from s where session_id in (select session_id from lens where nb_items <= 20)",
+                j="select short.session_id, enc.* exclude (item_id) from short join enc on short.item_id = enc.item_id",
+                kr=_above(20, cols), **_kmodes_ctes("kr", cols=cols), **_vote(cols),
+                prefs=(f"select session_id, {means} from j group by session_id union all "
+                       f"select session_id, {_cols('', cols)} from clustered"))
+
+
+def _target_ctes() -> dict:
+    return dict(p=EVENT_PURCHASES,
                 target=("select session_id, item_id from (select session_id, item_id, row_number() over "
                         "(partition by session_id order by date desc, event_id desc) r from p) where r = 1"))
 
 
-def _knn_ctes() -> dict:
-    return dict(**_prefs_ctes(),
-                d=f"select prefs.session_id, enc.item_id, {_dist('prefs', 'enc')} distance from prefs cross join enc",
+def _event_prefs() -> dict:
+    return dict(s=EVENT_SESSIONS, **EMB_BASE, lens=LENS, **_prefs_ctes(), **_target_ctes())
+
+
+def _wide_base() -> dict:
+    """Customer sessions and the 73 part categories."""
+    return dict(s=f"select session_id, item_id, date from ({CUSTOMER_SESSIONS})", part_raw=PART_RAW,
+                part_clean="select distinct item_id, feature_category_id, feature_value_id from part_raw",
+                enc=_encode("part_clean", PART), lens=LENS)
+
+
+def _knn(cols=EMB) -> dict:
+    return dict(d=f"select prefs.session_id, enc.item_id, {_dist('prefs', 'enc', cols)} distance from prefs cross join enc",
                 knn=("select * from (select session_id, cast(row_number() over (partition by session_id "
                      "order by distance, item_id) as int) rank, item_id, distance from d) where rank <= 10"))
 
 
+def _knn_ctes() -> dict:
+    return dict(**_event_prefs(), **_knn())
+
+
 def pairwise_hamming() -> str:
-    return _with(**_prefs_ctes()) + \
+    return _with(**_event_prefs()) + \
         (f"select target.session_id, target.item_id, {_dist('prefs', 'enc')} distance from target "
          "join prefs on prefs.session_id = target.session_id join enc on enc.item_id = target.item_id")
 
@@ -236,10 +276,13 @@ def _sum(terms) -> str:
     return "(" + " + ".join(terms) + ")"
 
 
-def _kmodes_ctes(rows: str, limit: str = "n") -> dict:
+def _kmodes_ctes(rows: str, limit: str = "n", cols=EMB) -> dict:
     """Seeds and KMODES_ROUNDS unrolled rounds over CTE ``rows``
-    (session_id, item_id, date, "1".."64"); newest row first wins ties.
-    Final round of a session: least(KMODES_ROUNDS, its row count)."""
+    (session_id, item_id, date, one column per category); newest row first
+    wins ties.  Final round of a session: least(KMODES_ROUNDS, its row count).
+    ``settled`` fails the query if a session that may go on still moved a row
+    in the last unrolled round."""
+    _IDX = list(enumerate(cols))
     o = ", ".join(f"sum(\"{c}\") o{i}" for i, c in _IDX)
     tot = _sum([f"o{i}" for i, _ in _IDX])
     q1 = ", ".join(f"case when nv = 2 then ((case when 2 * o{i} > n then 1 else 0 end) + {i}) % 2 else 0 end q{i}"
@@ -248,7 +291,7 @@ def _kmodes_ctes(rows: str, limit: str = "n") -> dict:
     d_q2 = _sum([f"(r.\"{c}\" <> 1 - q.q{i})::int" for i, c in _IDX])
     ctes = {
         "gs": f"select session_id, count(*) n, {o} from {rows} group by session_id",
-        "gq": f"select session_id, n, case when {tot} = 0 or {tot} = n * {len(EMB)} then 1 else 2 end nv, "
+        "gq": f"select session_id, n, case when {tot} = 0 or {tot} = n * {len(cols)} then 1 else 2 end nv, "
               + ", ".join(f"o{i}" for i, _ in _IDX) + " from gs",
         "q": f"select session_id, {q1} from gq",
         "s0": f"select * from (select r.*, row_number() over (partition by r.session_id order by {d_q1}, "
@@ -268,7 +311,13 @@ def _kmodes_ctes(rows: str, limit: str = "n") -> dict:
         ctes[f"a{r}"] = (f"select r.*, case when {d1} < {d0} then 1 else 0 end cl from {rows} r "
                          f"join m{r - 1} m on m.session_id = r.session_id")
         ctes[f"m{r}"] = f"select session_id, {upd} from a{r} group by session_id"
-    ctes["fin"] = f"select session_id, least({KMODES_ROUNDS}, {limit}) f from gs"
+    last, before = f"a{KMODES_ROUNDS}", f"a{KMODES_ROUNDS - 1}"
+    counts = "count(*) filter (where cl = 1) ones, sum(cl * (hash(item_id, date) % 1000003)) mark"
+    ctes["settled"] = (
+        f"select case when count(*) = 0 then 0 else error('k-modes needs more unrolled rounds') end ok from "
+        f"(select session_id, {counts} from {last} group by 1) x join (select session_id, {counts} from {before} group by 1) y "
+        f"using (session_id) join gs using (session_id) where gs.n > {KMODES_ROUNDS} and (x.ones, x.mark) is distinct from (y.ones, y.mark)")
+    ctes["fin"] = f"select session_id, least({KMODES_ROUNDS}, {limit}) + (select ok from settled) f from gs"
     ctes["fa"] = " union all ".join(
         f"select a{r}.* , {r} rnd from a{r} join fin on fin.session_id = a{r}.session_id and fin.f = {r}"
         for r in range(1, KMODES_ROUNDS + 1))
@@ -279,9 +328,7 @@ def _kmodes_ctes(rows: str, limit: str = "n") -> dict:
 
 
 def _long_rows() -> dict:
-    return dict(s=EVENT_SESSIONS, **EMB_BASE, lens=LENS,
-                kr=("select s.session_id, s.item_id, s.date, " + _cols("enc.") + " from s join enc on "
-                    "s.item_id = enc.item_id where s.session_id in (select session_id from lens where nb_items > 10)"))
+    return dict(s=EVENT_SESSIONS, **EMB_BASE, lens=LENS, kr=_above(10))
 
 
 def _enc_raw() -> dict:
@@ -322,28 +369,40 @@ def cluster_sizes() -> str:
 
 
 def clustered_preferences() -> str:
-    d0 = _sum([f"(r.\"{c}\" <> m.a{i})::int" for i, c in _IDX])
-    d1 = _sum([f"(r.\"{c}\" <> m.b{i})::int" for i, c in _IDX])
-    bits = ", ".join(f"case when v.chosen = 1 then m.b{i} else m.a{i} end as \"{c}\"" for i, c in _IDX)
-    return _with(**_long_rows(), **_kmodes_ctes("kr"),
-                 rec=("select * from (select kr.*, row_number() over (partition by session_id order by date desc, "
-                      "item_id) rr from kr) where rr <= 10"),
-                 vote=(f"select r.session_id, case when sum(case when {d1} < {d0} then 1 else 0 end) > 0.5 * count(*) "
-                       "then 1 else 0 end chosen from rec r join fm m on m.session_id = r.session_id group by 1")) + \
-        f"select v.session_id, {bits} from vote v join fm m on m.session_id = v.session_id"
+    return _with(**_long_rows(), **_kmodes_ctes("kr"), **_vote()) + "select * from clustered"
+
+
+def distance_listing() -> str:
+    return _with(**_knn_ctes()) + \
+        ("select session_id, distance, min(r) first_position, max(r) last_position from (select session_id, distance, "
+         "row_number() over (partition by session_id order by distance, item_id) r from d) group by 1, 2")
+
+
+def kmodes_fit_wide() -> str:
+    return _with(**_wide_base(), kr=_above(10, PART), **_kmodes_ctes("kr", cols=PART)) + \
+        "select session_id, item_id, date, cl as cluster from fa"
+
+
+def clustered_preferences_wide() -> str:
+    return _with(**_wide_base(), kr=_above(10, PART), **_kmodes_ctes("kr", cols=PART), **_vote(PART)) + "select * from clustered"
+
+
+def knn_items_wide() -> str:
+    return _with(**_wide_base(), **_prefs_ctes(PART), **_knn(PART)) + "select session_id, rank, item_id, distance from knn"
+
+
+def top_items() -> str:
+    return _with(s=EVENT_SESSIONS) + \
+        ("select item_id, count(item_id) count_seen, cast(row_number() over (order by count(item_id) desc, item_id) as int) position "
+         "from s group by item_id order by position limit 30")
 
 
 def cluster_statistics() -> str:
-    unit = "cast('0x' || substr(md5(concat('42:', cast(session_id as varchar))), 1, 8) as bigint) / 4294967296.0"
-    frac = ("case when nb_items between 20 and 30 then 0.7::double when nb_items between 31 and 50 then 0.8::double "
-            "when nb_items between 51 and 100 then 1.0::double end")
     d_own = _sum([f"(f.\"{c}\" <> case when f.cl = 1 then m.b{i} else m.a{i} end)::int" for i, c in _IDX])
     t0 = _sum([f"(t.\"{c}\" <> m.a{i})::int" for i, c in _IDX])
     t1 = _sum([f"(t.\"{c}\" <> m.b{i})::int" for i, c in _IDX])
     return _with(s=EVENT_SESSIONS, **EMB_BASE, lens=LENS, p=EVENT_PURCHASES,
-                 kept=f"select session_id from lens where {unit} < {frac}",
-                 kr0=(f"select s.session_id, s.date, s.item_id, {_cols('enc.')} from s join enc on s.item_id = enc.item_id "
-                      "where s.session_id in (select session_id from kept)"),
+                 kr0=_above(10),
                  kr=("select kr0.*, date_diff('microsecond', date, lead(date) over (partition by session_id "
                      "order by date, item_id)) / 1e6 as time_spent from kr0"),
                  **_kmodes_ctes("kr"),
@@ -358,7 +417,21 @@ def cluster_statistics() -> str:
                          "(partition by session_id order by date desc, event_id desc) r from p) where r = 1"),
                  tc=(f"select tg.session_id, case when {t1} < {t0} then 1 else 0 end true_cluster from target tg "
                      "join enc t on t.item_id = tg.item_id join fm m on m.session_id = tg.session_id")) + \
-        "select st.*, tc.true_cluster from st join tc on st.session_id = tc.session_id"
+        "select st.*, tc.true_cluster from st left join tc on st.session_id = tc.session_id"
+
+
+def csv_typed() -> str:
+    return "select l_orderkey session_id, l_partkey item_id, l_linenumber line from lineitem"
+
+
+def csv_strings() -> str:
+    return _with(part_raw=PART_RAW) + ("select cast(item_id as varchar) item_id, feature_category_id, "
+                                       "cast(feature_value_id as varchar) feature_value_id from part_raw")
+
+
+def csv_no_header() -> str:
+    return ("select cast(l_orderkey as varchar) _c0, cast(l_partkey as varchar) _c1, cast(l_linenumber as varchar) _c2 "
+            "from lineitem")
 
 
 ORACLE: dict[str, str] = {
@@ -388,6 +461,16 @@ ORACLE: dict[str, str] = {
         "list_reciprocal": list_reciprocal,
         "distance_multiplicity": distance_multiplicity,
         "next_distance": next_distance,
+        "distance_listing": distance_listing,
+        "knn_items_wide": knn_items_wide,
+        "kmodes_fit_wide": kmodes_fit_wide,
+        "clustered_preferences_wide": clustered_preferences_wide,
+        "top_items": top_items,
+        "csv_typed": csv_typed,
+        "csv_strings": csv_strings,
+        "csv_no_header": csv_no_header,
+        "csv_header_schema": encode_features,
+        "reused_counts": session_lengths,
         "value_domain": value_domain,
         "value_frequency": value_frequency,
         "group_mode": group_mode,

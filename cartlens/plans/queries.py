@@ -11,8 +11,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cartlens.constants import STRATUM_SESSIONS, TOP_ITEMS
+from cartlens.constants import STRATUM_SESSIONS
+from cartlens.functions.scalar import category_int
 from cartlens.operators import distance as D
 from cartlens.operators import features as FT
 from cartlens.operators import kmodes as KM
@@ -21,10 +23,14 @@ from cartlens.operators import preference as PF
 from cartlens.operators import profiles as PR
 from cartlens.operators import recommend as RC
 from cartlens.operators import sessions as S
-from cartlens.plans.inputs import (EMB_CATS, EMB_COLS, EMB_WORDS, PART_CATS, emb_encoded, emb_encoded_raw,
-                                  emb_packed, pref_words)
-from cartlens.runtime import checkpoint_dir
+from cartlens.plans.inputs import (EMB_CATS, EMB_COLS, EMB_WORDS, PART_CATS, PART_WORDS, customer_views, emb_encoded,
+                                  emb_encoded_raw, emb_packed, part_packed, pref_words, wide_pref_words)
+from cartlens.runtime import scratch_folder
 from cartlens.sources import fixtures as X
+from cartlens.sources.files import read_csv, read_csv_no_header, reuse_or_compute, schema_from_header, write_table
+
+# Rows of the top lists here: fewer than the fixture's 100 items, so order and limit show.
+SHOWN = 30
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,8 +56,13 @@ def q_item_purchases(spark, sf_dir):
 
 
 def q_views_vs_purchases(spark, sf_dir):
-    """Top 100 items by views with their purchases."""
-    return PO.views_vs_purchases(X.event_sessions(spark, sf_dir), X.event_purchases(spark, sf_dir), TOP_ITEMS)
+    """Top 30 items by views with their purchases."""
+    return PO.views_vs_purchases(X.event_sessions(spark, sf_dir), X.event_purchases(spark, sf_dir), SHOWN)
+
+
+def q_top_items(spark, sf_dir):
+    """The 30 items viewed most, with their position."""
+    return PO.top_items(X.event_sessions(spark, sf_dir), SHOWN)
 
 
 def q_length_distribution(spark, sf_dir):
@@ -164,6 +175,31 @@ def q_next_distance(spark, sf_dir):
     return D.next_distance(q_distance_multiplicity(spark, sf_dir))
 
 
+def q_distance_listing(spark, sf_dir):
+    """T5: each session's distances in ascending order, repeats as position ranges."""
+    return D.distance_listing(q_distance_multiplicity(spark, sf_dir))
+
+
+def q_knn_items_wide(spark, sf_dir):
+    """C11 over the 73 part categories (two words): customer sessions and parts."""
+    return D.knn(wide_pref_words(spark, sf_dir), part_packed(spark, sf_dir), KNN_K, PART_WORDS)
+
+
+def _wide_fit(spark, sf_dir):
+    rows = PF.clustering_rows(customer_views(spark, sf_dir), part_packed(spark, sf_dir), lo=11)
+    return PF.fit_sessions(rows, PART_WORDS, len(PART_CATS))
+
+
+def q_kmodes_fit_wide(spark, sf_dir):
+    """C8 over the 73 part categories (two words): every long customer session."""
+    return _wide_fit(spark, sf_dir).assignments.select("session_id", "item_id", "date", "cluster")
+
+
+def q_clustered_preferences_wide(spark, sf_dir):
+    """C4 over the 73 part categories (two words)."""
+    return FT.words_to_wide(PF.clustered_preferences(_wide_fit(spark, sf_dir), PART_WORDS), PART_CATS, ["session_id"])
+
+
 def _long_rows(spark, sf_dir):
     """Event sessions of more than 10 items joined to packed item vectors."""
     return PF.clustering_rows(X.event_sessions(spark, sf_dir), emb_packed(spark, sf_dir), lo=11)
@@ -189,25 +225,22 @@ def q_group_mode(spark, sf_dir):
     return _unpacked(modes, ["session_id"])
 
 
-def _long_rows_once(spark, sf_dir):
-    """The long-session rows, computed once into the checkpoint folder (the
-    seed search reads them twice, the assignment a third time)."""
-    checkpoint_dir(spark)
-    return _long_rows(spark, sf_dir).checkpoint()
+def _laid_out(spark, sf_dir):
+    rows = _long_rows(spark, sf_dir)
+    return KM.laid_out(rows, "session_id", PF.newest_first(rows), EMB_WORDS, ["item_id", "date"])
 
 
 def q_kmodes_seeds(spark, sf_dir):
     """The two seed rows of each long session."""
-    seeds = KM.seeds(_long_rows_once(spark, sf_dir), "session_id", PF.newest_first(), EMB_WORDS,
-                     len(EMB_CATS), payload=["item_id", "date"])
+    seeds = KM.seeds(_laid_out(spark, sf_dir), "session_id", [F.col("_ord")], EMB_WORDS, len(EMB_CATS),
+                     payload=["item_id", "date"])
     return seeds.select("session_id", "seed", "item_id", "date")
 
 
 def q_kmodes_assign(spark, sf_dir):
     """First assignment of each row to its nearest seed."""
-    rows = _long_rows_once(spark, sf_dir)
-    seeds = KM.seeds(rows, "session_id", PF.newest_first(), EMB_WORDS, len(EMB_CATS)) \
-        .withColumnRenamed("seed", "cluster")
+    rows = _laid_out(spark, sf_dir)
+    seeds = KM.seeds(rows, "session_id", [F.col("_ord")], EMB_WORDS, len(EMB_CATS)).withColumnRenamed("seed", "cluster")
     return KM.assign(rows, seeds, "session_id", EMB_WORDS).select("session_id", "item_id", "date", "cluster")
 
 
@@ -233,10 +266,52 @@ def q_clustered_preferences(spark, sf_dir):
 
 
 def q_cluster_statistics(spark, sf_dir):
-    """Cluster statistics of the sampled event sessions."""
+    """Cluster statistics of every long event session."""
     packed = emb_packed(spark, sf_dir)
-    sample = S.sample_sessions(X.event_sessions(spark, sf_dir), packed, EMB_WORDS)
-    return PF.cluster_statistics(sample, X.last_purchases(spark, sf_dir), packed, EMB_WORDS, len(EMB_CATS))
+    return PF.cluster_statistics(_long_rows(spark, sf_dir), X.last_purchases(spark, sf_dir), packed, EMB_WORDS, len(EMB_CATS))
+
+
+def _saved(spark, df, fmt="csv"):
+    """``df`` written whole (S4) to a new folder of the shared storage."""
+    folder = scratch_folder(spark, "table")
+    write_table(df, folder, fmt=fmt)
+    return folder
+
+
+def _line_items(spark, sf_dir):
+    return X.order_sessions(spark, sf_dir).select("session_id", "item_id", F.col("l_linenumber").alias("line"))
+
+
+def q_csv_typed(spark, sf_dir):
+    """Order lines through CSV, read with declared types."""
+    df = _line_items(spark, sf_dir)
+    return read_csv(spark, _saved(spark, df), schema=df.schema)
+
+
+def q_csv_strings(spark, sf_dir):
+    """Item features through CSV as strings, the category read as an int."""
+    raw = read_csv(spark, _saved(spark, X.part_features(spark, sf_dir)))
+    return raw.withColumn("feature_category_id", category_int("feature_category_id"))
+
+
+def q_csv_no_header(spark, sf_dir):
+    """S3: a CSV without header, columns named by place."""
+    folder = scratch_folder(spark, "table")
+    write_table(_line_items(spark, sf_dir), folder, fmt="csv", header=False)
+    return read_csv_no_header(spark, folder)
+
+
+def q_csv_header_schema(spark, sf_dir):
+    """The multi-hot item table through CSV, typed from its header."""
+    folder = _saved(spark, q_encode_features(spark, sf_dir))
+    return read_csv(spark, folder, schema=schema_from_header(spark, folder, "item_id"))
+
+
+def q_reused_counts(spark, sf_dir):
+    """Session lengths computed and saved once, then read from the saved copy."""
+    folder = scratch_folder(spark, "counts")
+    reuse_or_compute(spark, folder, lambda: S.session_lengths(X.order_sessions(spark, sf_dir)))
+    return reuse_or_compute(spark, folder, lambda: S.session_lengths(X.order_sessions(spark, sf_dir).limit(0)))
 
 
 QUERIES: dict[str, Query] = {
@@ -265,6 +340,16 @@ QUERIES: dict[str, Query] = {
     "list_reciprocal": q_list_reciprocal,
     "distance_multiplicity": q_distance_multiplicity,
     "next_distance": q_next_distance,
+    "distance_listing": q_distance_listing,
+    "knn_items_wide": q_knn_items_wide,
+    "kmodes_fit_wide": q_kmodes_fit_wide,
+    "clustered_preferences_wide": q_clustered_preferences_wide,
+    "top_items": q_top_items,
+    "csv_typed": q_csv_typed,
+    "csv_strings": q_csv_strings,
+    "csv_no_header": q_csv_no_header,
+    "csv_header_schema": q_csv_header_schema,
+    "reused_counts": q_reused_counts,
     "value_domain": q_value_domain,
     "value_frequency": q_value_frequency,
     "group_mode": q_group_mode,

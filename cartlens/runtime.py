@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app: str = "cartlens",
@@ -76,6 +77,43 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
+def checkpoint_in_place(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()`` that keeps its partitioning and order for later
+    plans.  With adaptive execution the layout of a checkpoint is unknown to
+    the plans that read it, so this one plan is made without it; the caller's
+    setting is put back at once."""
+    spark, key = df.sparkSession, "spark.sql.adaptive.enabled"
+    checkpoint_dir(spark)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(key, before)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/cartlens-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _place(spark: SparkSession, path: str):
+    """File system and path object of a folder or file in any Hadoop storage."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    fs, place = _place(spark, path)
+    fs.delete(place, True)
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _place(spark, path)
+    return bool(fs.exists(place))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``cartlens`` importable by the Python workers of every executor
     (needed by the Arrow-batched k-NN kernel): the package's sources are

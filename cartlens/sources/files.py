@@ -8,21 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from cartlens.runtime import folder_exists
+
 SESSIONS_SCHEMA = T.StructType([
-    T.StructField("session_id", T.IntegerType(), True),
-    T.StructField("item_id", T.IntegerType(), True),
+    T.StructField("session_id", T.LongType(), True),
+    T.StructField("item_id", T.LongType(), True),
     T.StructField("date", T.TimestampType(), True),
 ])
 
-PURCHASES_SCHEMA = T.StructType([
-    T.StructField("session_id", T.IntegerType(), True),
-    T.StructField("item_id", T.IntegerType(), True),
-    T.StructField("date", T.TimestampType(), True),
-])
+PURCHASES_SCHEMA = SESSIONS_SCHEMA
 
 FEATURES_SCHEMA = T.StructType([
     T.StructField("item_id", T.IntegerType(), True),
@@ -76,14 +73,31 @@ def feature_table_schema(categories: Sequence, key: str = "session_id",
     return T.StructType(fields)
 
 
+def schema_from_header(spark: SparkSession, path: str, key: str,
+                       value_type: T.DataType = T.LongType()) -> T.StructType:
+    """Schema of a saved wide feature table from its CSV header (S5): the
+    first column is the key, every other column a category.  Only the header
+    is looked at; the values are not scanned."""
+    names = read_csv(spark, path).columns
+    if names[:1] != [key]:
+        raise ValueError(f"the first column of {path} is not {key}")
+    return T.StructType([T.StructField(key, T.LongType(), True)]
+                        + [T.StructField(c, value_type, True) for c in names[1:]])
+
+
 def reuse_or_compute(spark: SparkSession, path: str, compute: Callable[[], DataFrame],
-                     fmt: str = "parquet") -> DataFrame:
+                     fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
     """Read a derived table if it was saved before, else compute, save and
-    read it back (S6).  The saved copy also cuts the lineage."""
-    try:
-        return spark.read.format(fmt).option("header", True).load(path) if fmt == "csv" \
-            else spark.read.format(fmt).load(path)
-    except AnalysisException:
-        write_table(compute(), path, fmt=fmt, mode="errorifexists")
-        return spark.read.format(fmt).option("header", True).load(path) if fmt == "csv" \
-            else spark.read.format(fmt).load(path)
+    read it back (S6).  The saved copy also cuts the lineage.
+
+    A table counts as saved when its folder holds the ``_SUCCESS`` mark that
+    the writer leaves at the end.  A folder without it is the rest of a job
+    that failed; the table is computed again and written over it.  CSV keeps
+    no types: it is read with ``schema``, or with the computed frame's."""
+    done = folder_exists(spark, f"{path}/_SUCCESS")
+    computed = None if done and (schema is not None or fmt != "csv") else compute()
+    if not done:
+        write_table(computed, path, fmt=fmt, mode="overwrite")
+    if fmt == "csv":
+        return read_csv(spark, path, schema=schema or computed.schema)
+    return spark.read.format(fmt).load(path)

@@ -170,7 +170,7 @@ def test_kmodes_salting_does_not_change_results(spark):
     from cartlens.plans import queries as Q
     from cartlens.operators import preference as PF
     rows = Q._long_rows(spark, "/root/testdata/sf0.001")
-    order = PF.newest_first()
+    order = PF.newest_first(rows)
 
     def run(rpt):
         res = KM.fit(rows, "session_id", order, Q.EMB_WORDS, 64, max_iter="rows",
@@ -198,11 +198,72 @@ def test_clustering_band_excludes_length_10(spark):
     assert got == {2}
 
 
-def test_update_modes_majority_and_empty_cluster(spark):
-    rows = spark.createDataFrame([(1, 0b011, 0), (1, 0b001, 0), (1, 0b110, 0)],
-                                 "session_id long, w0 long, cluster int")
-    got = {(r["cluster"], r["w0"]) for r in KM.update_modes(rows, "session_id", ["w0"], 3, k=2).collect()}
-    assert got == {(0, 0b011), (1, 0)}
+def test_empty_cluster_gets_the_zero_vector(spark):
+    rows = spark.createDataFrame([(1, i, v) for i, v in enumerate([0b011, 0b001, 0b110])], "g long, pos long, w0 long")
+    far = spark.createDataFrame([(1, 0, 0b011), (1, 1, 0b11111000)], "g long, cluster int, w0 long")
+    res = KM.fit(rows, "g", [F.col("pos")], ["w0"], 8, max_iter=1, payload=["pos"], initial=far)
+    assert {(r["cluster"], r["w0"]) for r in res.modes.collect()} == {(0, 0b011), (1, 0)}
+
+
+def test_initial_modes_are_checked(spark):
+    rows = spark.createDataFrame([(1, 0, 1)], "g long, pos long, w0 long")
+    twice = spark.createDataFrame([(1, 0, 1), (1, 0, 2)], "g long, cluster int, w0 long")
+    with pytest.raises(Exception, match="initial modes"):
+        KM.fit(rows, "g", [F.col("pos")], ["w0"], 8, payload=["pos"], initial=twice)
+
+
+def test_one_null_rule_for_any_number_of_payload_columns(spark):
+    from cartlens.operators.features import clean_features
+    rows = [(1, 5, None, 0), (1, 5, 5, 0), (2, 5, None, 0)]
+    both = spark.createDataFrame(rows, "item_id long, feature_category_id int, v int, w int")
+    assert sorted((r.item_id, r.v) for r in clean_features(both).collect()) == [(1, 5), (2, None)]
+    assert sorted((r.item_id, r.v) for r in clean_features(both.drop("w")).collect()) == [(1, 5), (2, None)]
+
+
+def test_views_without_a_date_come_last_in_both_orders(spark):
+    from cartlens.operators import preference as PF
+    sess = _sessions(spark, [(1, 1, None), (1, 2, _ts(1)), (1, 3, _ts(2))])
+    by_key = [r.item_id for r in sess.orderBy(*PF.newest_first(sess)).collect()]
+    by_recency = [r.item_id for r in S.recent_items(sess, 10).orderBy("recency").collect()]
+    assert by_key == by_recency == [3, 2, 1]
+
+
+@pytest.fixture
+def new_york(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    yield
+    spark.conf.set("spark.sql.session.timeZone", before)
+
+
+CLOCK = ["2021-03-14 01:10:00", "2021-03-14 01:30:00", "2021-03-14 02:30:00", "2021-03-14 03:10:00", "2021-03-14 03:30:00"]
+
+
+@pytest.mark.parametrize("rows_per_task", [1 << 20, 2, 1])
+def test_zone_free_gaps_where_the_zone_jumps(spark, new_york, rows_per_task):
+    """Dates without zone are subtracted on their own clock, with and without cutting."""
+    sess = spark.createDataFrame([(1, i, t) for i, t in enumerate(CLOCK)], "session_id long, item_id long, date string") \
+        .withColumn("date", F.col("date").cast("timestamp_ntz"))
+    got = {r.item_id: r.time_spent for r in S.time_spent(sess, rows_per_task=rows_per_task).collect()}
+    assert got == {0: 1200.0, 1: 3600.0, 2: 2400.0, 3: 1200.0, 4: None}
+
+
+def test_zone_free_order_where_the_zone_jumps(spark, new_york):
+    from cartlens.operators import preference as PF
+    sess = spark.createDataFrame([(1, i, t) for i, t in enumerate(CLOCK)], "session_id long, item_id long, date string") \
+        .withColumn("date", F.col("date").cast("timestamp_ntz"))
+    assert [r.item_id for r in sess.orderBy(*PF.newest_first(sess)).collect()] == [4, 3, 2, 1, 0]
+
+
+@pytest.mark.parametrize("times", [[5] * 400, [5] * 399 + [10**6], list(range(400))])
+def test_hot_sessions_are_cut_by_rows(spark, times):
+    """Equal dates, one outlier, or even gaps: pieces stay near rows_per_task and gaps are those of the plain window."""
+    sess = _sessions(spark, [(1, i, _ts(t)) for i, t in enumerate(times)] + [(2, 0, _ts(1)), (None, 1, _ts(2)), (None, 2, _ts(3))])
+    got = sorted((r.session_id or -1, r.item_id, r.time_spent) for r in S.time_spent(sess, rows_per_task=50).collect() if r.time_spent is not None)
+    plain = sorted((r.session_id or -1, r.item_id, r.time_spent) for r in S.time_spent(sess).collect() if r.time_spent is not None)
+    assert got == plain and len(got) == 400
+    hot = sess.where("session_id = 1").repartitionByRange(8, "session_id", "date", "item_id")
+    assert max(r["count"] for r in hot.groupBy(F.spark_partition_id()).count().collect()) <= 150
 
 
 def test_clean_features_keeps_smallest_payload(spark):

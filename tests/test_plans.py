@@ -18,7 +18,8 @@ def _plan(df) -> str:
     return buf.getvalue()
 
 
-KNN_QUERIES = {"knn_items", "knn_mrr", "list_reciprocal", "distance_multiplicity", "next_distance"}
+KNN_QUERIES = {"knn_items", "knn_items_wide", "knn_mrr", "list_reciprocal", "distance_multiplicity", "distance_listing",
+               "next_distance"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -29,7 +30,7 @@ def test_no_cross_product_and_no_row_udf(spark, name):
     assert "BatchEvalPython" not in plan            # no row-at-a-time Python UDF
     if "CoGroupsInPandas" in plan or "ArrowEvalPython" in plan:
         assert name in KNN_QUERIES                  # the one Arrow-batched kernel
-    if "SortAggregate" in plan:                     # only the seed arg-min over tied rows
+    if "SortAggregate" in plan:                     # only the seed arg-min, over rows sorted already
         assert name in {"kmodes_seeds", "kmodes_assign"}, name
 
 
@@ -38,3 +39,82 @@ def test_event_filter_and_columns_pushed_to_scan(spark):
     assert "PushedFilters: [IsNotNull(event_type), In(event_type, [click,view])]" in plan or \
            "In(event_type, [click,view])" in plan
     assert "ReadSchema: struct<user_id:bigint,event_type:string,props:string>" in plan
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Adaptive execution on, joins by shuffle: the plan a large input gets."""
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "true"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def _above_rows(plan: str) -> list[list[str]]:
+    """For every scan of the laid-out rows: the operators from it up to the next join or aggregate."""
+    lines, out = plan.splitlines(), []
+    for i, line in enumerate(lines):
+        if "Scan ExistingRDD" in line and "_salt" in line and "_ord" in line:
+            depth, chain = len(line) - len(line.lstrip(" :+-")), []
+            for up in reversed(lines[:i]):
+                d = len(up) - len(up.lstrip(" :+-"))
+                if d < depth:
+                    depth = d
+                    chain.append(up.strip(" :+-").split(" ")[0].split("(")[0])
+                    if "Join" in chain[-1] or "Aggregate" in chain[-1]:
+                        break
+            out.append(chain)
+    return out
+
+
+def _simple(df) -> str:
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    return buf.getvalue()
+
+
+def test_kmodes_rows_stay_put(spark, no_broadcast):
+    """Seeds, rounds and the final assignment read the laid-out rows without shuffling or sorting them."""
+    from pyspark.sql import functions as F
+
+    from cartlens.operators import kmodes as KM
+    from cartlens.operators import preference as PF
+    from cartlens.plans import queries as Q
+    rows = Q._long_rows(spark, SF)
+    words, n = Q.EMB_WORDS, len(Q.EMB_CATS)
+    base = KM.laid_out(rows, "session_id", PF.newest_first(rows), words, ["item_id", "date"], rows_per_task=5)
+    assert base.agg(F.max("_nsalt")).first()[0] > 1
+    seeds = KM.seeds(base, "session_id", [F.col("_ord")], words, n)
+    salts = base.groupBy("session_id").agg(F.first("_nsalt").alias("_nsalt"))
+    rounds = KM._Rounds("session_id", words, n, 2, F.lit(50))
+    start = spark.createDataFrame(rounds.start(KM.modes_array(seeds.withColumnRenamed("seed", "cluster"), "session_id", words)
+                                               .join(salts, "session_id")).collect(), rounds.start(
+        KM.modes_array(seeds.withColumnRenamed("seed", "cluster"), "session_id", words).join(salts, "session_id")).schema)
+    final = PF.fit_sessions(rows, words, n).assignments
+    for df, scans in ((seeds, 2), (rounds.one(base, rounds.one(base, start)), 2), (final, 1)):
+        chains = _above_rows(_simple(df))
+        assert len(chains) >= scans
+        for chain in chains:
+            assert "Exchange" not in chain and "Sort" not in chain, chain
+
+
+def test_seed_search_has_no_exchange_on_a_distance(spark, no_broadcast):
+    from cartlens.plans import queries as Q
+    plan = _simple(Q.q_kmodes_seeds(spark, SF))
+    assert "_d#" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+
+
+def test_knn_work_is_split(spark):
+    """More than one block at sf0.1's size, none for a handful of rows."""
+    from pyspark.sql import functions as F
+
+    from cartlens.operators import distance as D
+    q = spark.range(3000).select(F.col("id").alias("session_id"), F.xxhash64("id").alias("w0"))
+    c = spark.range(2000).select(F.col("id").alias("item_id"), F.xxhash64("id", F.lit(1)).alias("w0"))
+    out = D._cogroup_blocks(D._materialise(q), c, "session_id", "item_id", ["w0"], 1 << 20, 1 << 16, None)
+    blocks = out.applyInPandas(lambda key, a, b: a.assign(n=len(a))[["n"]].head(1), "n long").count()
+    assert blocks == min(spark.sparkContext.defaultParallelism, 6)

@@ -40,7 +40,7 @@ def test_kmodes_cost_never_rises(spark):
     rows = Q._long_rows(spark, "/root/testdata/sf0.001")
     costs = []
     for it in (1, 2, 3, 4):
-        res = KM.fit(rows, "session_id", PF.newest_first(), Q.EMB_WORDS, 64, max_iter=it, payload=["item_id"])
+        res = KM.fit(rows, "session_id", PF.newest_first(rows), Q.EMB_WORDS, 64, max_iter=it, payload=["item_id"])
         own = res.assignments.join(res.modes.withColumnRenamed("w0", "m0"), ["session_id", "cluster"])
         per = own.groupBy("session_id").agg(F.sum(F.bit_count(F.col("w0").bitwiseXOR(F.col("m0")))).alias("c"))
         costs.append({r["session_id"]: r["c"] for r in per.collect()})
