@@ -106,11 +106,14 @@ def laid_out(rows: DataFrame, group: str, order: Sequence[Column], words: Sequen
     prepared = rows.select(group, F.struct(*[c.alias(f"_k{i}") for i, c in enumerate(order)]).alias("_ord"),
                            *payload, *words)
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_gn"))
-    total = rows.count()
-    hot = (sizes.where(F.col("_gn") > rows_per_task)
-                .select(group, F.ceil(F.col("_gn") / F.lit(rows_per_task)).cast("int").alias("_hs")))
-    salted = (prepared.join(hot, group, "left").withColumn("_nsalt", F.coalesce(F.col("_hs"), F.lit(1))).drop("_hs")
-                      .withColumn("_salt", F.pmod(F.xxhash64("_ord", *payload, *words), F.col("_nsalt")).cast("int")))
+    total, most = sizes.agg(F.coalesce(F.sum("_gn"), F.lit(0)), F.coalesce(F.max("_gn"), F.lit(0))).first()
+    if most > rows_per_task:
+        hot = (sizes.where(F.col("_gn") > rows_per_task)
+                    .select(group, F.ceil(F.col("_gn") / F.lit(rows_per_task)).cast("int").alias("_hs")))
+        prepared = prepared.join(hot, group, "left").withColumn("_nsalt", F.coalesce(F.col("_hs"), F.lit(1))).drop("_hs")
+    else:
+        prepared = prepared.withColumn("_nsalt", F.lit(1))
+    salted = prepared.withColumn("_salt", F.pmod(F.xxhash64("_ord", *payload, *words), F.col("_nsalt")).cast("int"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-4 * total // ROWS_PER_TASK))
     return checkpoint_in_place(salted.repartition(parts, group, "_salt").sortWithinPartitions(group, "_salt"))
 
