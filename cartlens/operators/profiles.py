@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartlens.operators.cells import cell_sums, cell_words, planes_of
 from cartlens.operators.features import clean_features, encode_features
 from cartlens.operators.sessions import session_lengths
 
@@ -24,11 +25,10 @@ def _long(wide: DataFrame, keys: Sequence[str], categories: Sequence[int], value
 
 def _shares_wide(items: DataFrame, counts: DataFrame, categories: Sequence[int], key: str) -> DataFrame:
     """Per key, one share column per category: feature rows / list length."""
-    joined = items.select(key, ITEM).join(counts, ITEM, "left")
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    aggs += [F.expr(f"coalesce(sum(`{c}`), 0) as `{c}`") for c in categories]
-    per_key = joined.groupBy(key).agg(*aggs)
-    return per_key.selectExpr(f"`{key}`", *[f"`{c}` / _n as `{c}`" for c in categories])
+    cols = [str(c) for c in categories]
+    planes = planes_of(counts, cols)
+    per_key = cell_sums(items, cell_words(counts, cols, planes), cols, key, planes)
+    return per_key.selectExpr(f"`{key}`", *[f"`{c}` / _n as `{c}`" for c in cols])
 
 
 def _item_counts(features: DataFrame, categories: Sequence[int], dedupe: bool) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cartlens.constants import PREFERENCE_THRESHOLD, RECENT_ITEMS, SHORT_SESSION_MAX_ITEMS
 from cartlens.functions.bits import quoted
 from cartlens.functions.scalar import band_fraction, epoch_micros, sample_unit, threshold_sql
+from cartlens.operators.cells import cell_sums, cell_words, planes_of
 from cartlens.runtime import checkpoint_dir
 
 SESSION, ITEM, DATE = "session_id", "item_id", "date"
@@ -55,40 +56,38 @@ def session_feature_rows(sessions: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def session_feature_means(sessions: DataFrame, encoded: DataFrame, feature_cols: Sequence[str],
-                          lo: int | None = None, hi: int | None = SHORT_SESSION_MAX_ITEMS) -> DataFrame:
+                          lo: int | None = None, hi: int | None = SHORT_SESSION_MAX_ITEMS,
+                          planes: int | None = None) -> DataFrame:
     """Per-session mean of every feature column over the joined rows (A6),
     for sessions whose length (A1) is in ``[lo, hi]``.
 
-    One left join and one aggregate give both the length (all rows, as A1
-    counts them) and the means (joined rows only, as the inner join and
-    ``avg`` of the reference give them); sessions with no joined row are
-    dropped, as the inner join drops them.  Cells are non-null, as
-    ``encode_features`` gives them.  This reads the sessions once
-    and shuffles them once, instead of a length aggregate, a semi join and
-    a second aggregate."""
-    enc = encoded.select(ITEM, F.lit(1).alias("_hit"), *feature_cols)
-    joined = sessions.select(SESSION, ITEM).join(enc, ITEM, "left")
-    # one shared denominator and a sum per column: 2 + n aggregate buffers
-    # (``avg`` keeps a count per column), so the aggregate stays inside
-    # whole-stage codegen; sum / count equals avg for these integral cells
-    aggs = [F.count(ITEM).alias("_len"), F.count("_hit").alias("_joined")]
-    aggs += [F.expr(f"sum({quoted(c)}) as {quoted(c)}") for c in feature_cols]
+    One pass gives both the length (all rows, as A1 counts them) and the
+    means (joined rows only, as the inner join and ``avg`` of the reference
+    give them); sessions with no joined row are dropped, as the inner join
+    drops them.  Cells are non-null counts, as ``encode_features`` gives
+    them; ``planes`` is the number of bits of the largest (1 for a cleaned
+    table), looked up if not given.  The rows are shuffled by session with their items' packed words;
+    see ``cells``."""
+    cols = list(feature_cols)
+    planes = planes or planes_of(encoded, cols)
+    sums = cell_sums(sessions, cell_words(encoded, cols, planes), cols, SESSION, planes)
     cond = F.col("_joined") > 0
     if lo is not None:
         cond = cond & (F.col("_len") >= lo)
     if hi is not None:
         cond = cond & (F.col("_len") <= hi)
-    return (joined.groupBy(SESSION).agg(*aggs).where(cond)
-                  .selectExpr(SESSION, *[f"cast({quoted(c)} as double) / _joined as {quoted(c)}" for c in feature_cols]))
+    return sums.where(cond).selectExpr(
+        SESSION, *[f"cast({quoted(c)} as double) / _joined as {quoted(c)}" for c in feature_cols])
 
 
 def session_preferences(sessions: DataFrame, encoded: DataFrame, feature_cols: Sequence[str],
                         threshold_value: float = PREFERENCE_THRESHOLD,
-                        lo: int | None = None, hi: int | None = SHORT_SESSION_MAX_ITEMS) -> DataFrame:
+                        lo: int | None = None, hi: int | None = SHORT_SESSION_MAX_ITEMS,
+                        planes: int | None = None) -> DataFrame:
     """Binary preference vector per session (C3, C5, P8): feature means over
     the joined rows, then ``mean >= threshold`` gives 1.  Default band is
     sessions of at most 20 items."""
-    means = session_feature_means(sessions, encoded, feature_cols, lo, hi)
+    means = session_feature_means(sessions, encoded, feature_cols, lo, hi, planes)
     return means.selectExpr(SESSION, *[f"{threshold_sql(c, threshold_value)} as {quoted(c)}" for c in feature_cols])
 
 

@@ -41,7 +41,7 @@ def session_words(sessions: DataFrame, features: DataFrame, categories, boundary
     clustering above it (C4)."""
     cols, words = [str(c) for c in categories], word_names(len(categories))
     encoded = encode_features(clean_features(features), categories)
-    short = wide_to_words(session_preferences(sessions, encoded, cols, hi=boundary), cols, ["session_id"])
+    short = wide_to_words(session_preferences(sessions, encoded, cols, hi=boundary, planes=1), cols, ["session_id"])
     rows = PF.clustering_rows(sessions, pack_features(features, categories), lo=boundary + 1)
     return short.unionByName(PF.clustered_preferences(PF.fit_sessions(rows, words, len(cols)), words))
 

@@ -93,13 +93,13 @@ def q_session_feature_rows(spark, sf_dir):
 def q_session_feature_means(spark, sf_dir):
     """Mean of each feature over the joined rows, sessions <= 20 items."""
     return S.session_feature_means(X.event_sessions(spark, sf_dir), emb_encoded(spark, sf_dir),
-                                   EMB_COLS, hi=20)
+                                   EMB_COLS, hi=20, planes=1)
 
 
 def q_session_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of at most 20 items -> binary preference vector."""
     return S.session_preferences(X.event_sessions(spark, sf_dir),
-                                 emb_encoded(spark, sf_dir), EMB_COLS, hi=20)
+                                 emb_encoded(spark, sf_dir), EMB_COLS, hi=20, planes=1)
 
 
 def q_stratum_sessions(spark, sf_dir):

@@ -285,3 +285,25 @@ def test_kmodes_three_clusters_from_supplied_modes(spark):
     assert [got[i] for i in range(len(vals))] == [0, 0, 0, 0, 1, 1, 1, 2, 2, 0]
     with pytest.raises(ValueError):
         KM.fit(rows, "g", [F.col("pos")], ["w0"], 8, k=3)
+
+
+@pytest.mark.parametrize("rows_per_task", [1 << 20, 5])
+def test_cell_sums_equal_plain_sums(spark, rows_per_task):
+    """Counts of several bits, two words, hot sessions spread or not, items without features, null keys and items."""
+    import random
+    from cartlens.operators.cells import cell_sums, cell_words, planes_of
+    rng, cols = random.Random(3), [str(i) for i in range(70)]
+    items = [(i, *[rng.choice([0, 0, 1, 2, 5]) for _ in cols]) for i in range(6)]
+    views = [(rng.choice([1, 1, 1, 2, 3, None]), rng.choice([0, 1, 2, 3, 4, 5, 9, None])) for _ in range(120)]
+    enc = spark.createDataFrame(items, "item_id long, " + ", ".join(f"`{c}` long" for c in cols))
+    sess = spark.createDataFrame(views, "session_id long, item_id long")
+    planes = planes_of(enc, cols)
+    assert planes == 3
+    got = {r["session_id"]: r for r in cell_sums(sess, cell_words(enc, cols, planes), cols, "session_id", planes, rows_per_task).collect()}
+    cells = {i: v for i, *v in items}
+    for key in {k for k, _ in views}:
+        own = [i for k, i in views if k == key]
+        assert (got[key]["_n"], got[key]["_len"], got[key]["_joined"]) == (
+            len(own), sum(i is not None for i in own), sum(i in cells for i in own))
+        assert [got[key][c] for c in cols] == [sum(cells[i][j] for i in own if i in cells) for j in range(70)]
+    assert len(got) == len({k for k, _ in views})
