@@ -51,7 +51,7 @@ def _runs(rows: DataFrame, parts: int, newest: bool) -> DataFrame:
     numbered = marked.withColumn("_run", F.sum("_start").over(
         w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return numbered.withColumn("_sha", F.sha2("_norm", 256)).withColumn(
-        "_head", F.when((F.col("_start") == 1) & (F.col("_n_salts") > 1), F.col("_norm"))).drop("_norm", "_t")
+        "_head", F.when((F.col("_start") == 1) & (F.col("_n_salts") > 1), F.col("_norm"))).drop("_norm")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max",
@@ -72,7 +72,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("keep must be 'max' or 'min'")
     newest = keep == "max"
     parts = partitions_of(docs.sparkSession, partitions)
-    extra = [F.struct(*[F.col(c) for c in carry]).alias("_row")] if carry else []
+    # the text travels once: as _t, with a mark for null
+    extra = [F.struct(*[F.col(c) for c in carry if c != text_col], F.col(text_col).isNull().alias("_no_text")).alias("_row")] \
+        if carry else []
     base = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"), *extra)
     norm = ascii_lower(F.col("_t"))
     keyed = (base.withColumn("_h", F.xxhash64(norm)).withColumn("_p", F.substring(norm, 1, 32))
@@ -88,10 +90,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     best = F.max if newest else F.min
     w_run = Window.partitionBy(*_KEY, "_run")
     runs = _runs(salted, parts, newest)
+    if not carry:
+        runs = runs.drop("_t")
     out = (runs.withColumn("_size", F.count(F.lit(1)).over(w_run))
            .withColumn("_keep", best("_id").over(w_run)).withColumn("_first", F.col("_start") == 1))
     if hot is not None:
-        heads = (_runs(salted.drop("_row").where("_n_salts > 1"), parts, newest)
+        heads = (_runs(salted.drop("_row").where("_n_salts > 1"), parts, newest).drop("_t")
                  .withColumn("_size", F.count(F.lit(1)).over(w_run))
                  .withColumn("_keep", best("_id").over(w_run)).where("_head is not null"))
         w_text = Window.partitionBy("_h", "_head")
@@ -108,7 +112,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(
         F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"),
         F.col("_size").cast("bigint").alias("group_size"), F.col("_first").alias("kept"),
-        F.col("_sha").alias("text_sha256"), *([F.col("_row").alias("carried")] if carry else []))
+        F.col("_sha").alias("text_sha256"), *([F.struct(*[_carried(c, text_col) for c in carry]).alias("carried")] if carry else []))
+
+
+def _carried(name: str, text_col: str) -> Column:
+    if name != text_col:
+        return F.col("_row").getField(name).alias(name)
+    return F.when(~F.col("_row").getField("_no_text"), F.col("_t")).alias(name)
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
