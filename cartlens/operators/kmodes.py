@@ -18,11 +18,14 @@ round).  A group stops when a round moves no row or its round limit is
 reached; further rounds leave it as it is.
 
 Layout.  ``laid_out`` writes the rows once, hash-partitioned and sorted by
-(group, salt).  Seeds, rounds and the final assignment join one state row
-per group and salt to them on that key, so the rows are neither shuffled nor
-sorted again; only per-group state moves.  A group of ``n`` rows has
-``ceil(n / rows_per_task)`` salts, so no group lands whole in one task.
-Several rounds are planned together and written as one small table.
+group.  Seeds, rounds and the final assignment join one state row per group
+to them on that key, so the rows are neither shuffled nor sorted again; the
+state of a round comes out in the same layout, so rounds planned together
+run without any shuffle.  If some group has more than ``rows_per_task`` rows,
+the layout key is (group, salt): a group of ``n`` rows has
+``ceil(n / rows_per_task)`` salts, its state is copied to each, and only the
+sums of each salt move.  Several rounds are planned together and written as
+one small table.
 """
 
 from __future__ import annotations
@@ -39,6 +42,9 @@ from cartlens.runtime import checkpoint_in_place, delete_folder, scratch_folder
 
 CLUSTER = "cluster"
 ROWS_PER_TASK = 1 << 20
+# Three counters of 21 bits share a bigint where a group has fewer rows than that.
+LANE_BITS = 21
+_LANES = sum(1 << LANE_BITS * i for i in range(3))
 # Rounds planned together, between two looks at which groups are finished.
 ROUNDS_PER_STEP = 4
 
@@ -53,11 +59,31 @@ def _bit_sums(words: Sequence[str], n_features: int) -> list[Column]:
     return out
 
 
-def _majority_words(n_col: str, n_features: int, prefix: str = "w") -> list[Column]:
-    """Pack ``2 * ones > n`` of every feature (columns ``_o{i}``) into words."""
+def _lane_sums(words: Sequence[str], n_features: int) -> list[Column]:
+    """As ``_bit_sums``, three features to a sum: bits b, b + 21 and b + 42 of
+    word j are counted in the lanes of ``_l{j}_{b}`` (bit 63 in ``_l{j}_63``)."""
+    out = []
+    for j, w in enumerate(words):
+        used = min(WORD_BITS, n_features - j * WORD_BITS)
+        out += [F.expr(f"coalesce(sum(shiftright({quoted(w)}, {b}) & {_LANES}L), 0) as _l{j}_{b}")
+                for b in range(min(LANE_BITS, used))]
+        if used == WORD_BITS:
+            out.append(F.expr(f"coalesce(sum(shiftrightunsigned({quoted(w)}, 63)), 0) as _l{j}_63"))
+    return out
+
+
+def _lane(i: int) -> str:
+    """SQL text of the count of feature ``i`` in its lane."""
+    j, b = divmod(i, WORD_BITS)
+    lane, at = divmod(b, LANE_BITS)
+    return f"_l{j}_63" if b == 63 else f"(shiftright(_l{j}_{at}, {lane * LANE_BITS}) & {(1 << LANE_BITS) - 1}L)"
+
+
+def _majority_words(n_col: str, n_features: int, prefix: str = "w", ones=lambda i: f"_o{i}") -> list[Column]:
+    """Pack ``2 * ones > n`` of every feature (SQL text of its count) into words."""
     words = []
     for j in range(-(-n_features // WORD_BITS)):
-        terms = [f"shiftleft(cast(_o{j * WORD_BITS + b} * 2 > {quoted(n_col)} as bigint), {b})"
+        terms = [f"shiftleft(cast({ones(j * WORD_BITS + b)} * 2 > {quoted(n_col)} as bigint), {b})"
                  for b in range(min(WORD_BITS, n_features - j * WORD_BITS))]
         words.append(F.expr(" | ".join(terms) + f" as {quoted(prefix + str(j))}"))
     return words
@@ -93,33 +119,48 @@ def group_mode(rows: DataFrame, group: Sequence[str] | str, words: Sequence[str]
 
 def laid_out(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[str],
              payload: Sequence[str] = (), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """The rows as ``(group, _ord, payload..., w..., _nsalt, _salt)``, written
-    once, partitioned and sorted by (group, salt).
-
-    Only groups above ``rows_per_task`` rows get more than one salt; at most
-    (all rows / rows_per_task) groups can, so the table joined back is small
-    and Spark broadcasts it on its runtime size check.  Rows equal in every
-    column share a salt.  The number of partitions follows from the rows, a
-    quarter of ``ROWS_PER_TASK`` in each, but is at least the session's
-    ``spark.sql.shuffle.partitions``: a join shuffles a side with fewer."""
+    """The rows as ``(group, _ord, payload..., w...)``, written once,
+    partitioned and sorted by group; with ``_nsalt`` and ``_salt``, and laid out
+    by (group, salt), if some group has more than ``rows_per_task`` rows.
+
+    At most (all rows / rows_per_task) groups can, so the table joined for the
+    salts is small and Spark broadcasts it on its runtime size check.  Rows
+    equal in every column share a salt.  The number of partitions follows from
+    the rows, a quarter of ``ROWS_PER_TASK`` in each, but is at least the
+    session's ``spark.sql.shuffle.partitions``: a join shuffles a side with
+    fewer."""
     spark = rows.sparkSession
     prepared = rows.select(group, F.struct(*[c.alias(f"_k{i}") for i, c in enumerate(order)]).alias("_ord"),
                            *payload, *words)
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_gn"))
     total, most = sizes.agg(F.coalesce(F.sum("_gn"), F.lit(0)), F.coalesce(F.max("_gn"), F.lit(0))).first()
+    keys = [group]
     if most > rows_per_task:
         hot = (sizes.where(F.col("_gn") > rows_per_task)
                     .select(group, F.ceil(F.col("_gn") / F.lit(rows_per_task)).cast("int").alias("_hs")))
         prepared = prepared.join(hot, group, "left").withColumn("_nsalt", F.coalesce(F.col("_hs"), F.lit(1))).drop("_hs")
-    else:
-        prepared = prepared.withColumn("_nsalt", F.lit(1))
-    salted = prepared.withColumn("_salt", F.pmod(F.xxhash64("_ord", *payload, *words), F.col("_nsalt")).cast("int"))
+        prepared = prepared.withColumn("_salt", F.pmod(F.xxhash64("_ord", *payload, *words), F.col("_nsalt")).cast("int"))
+        keys = [group, "_salt"]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-4 * total // ROWS_PER_TASK))
-    return checkpoint_in_place(salted.repartition(parts, group, "_salt").sortWithinPartitions(group, "_salt"))
+    return checkpoint_in_place(prepared.repartition(parts, *keys).sortWithinPartitions(*keys))
+
+
+def _keys(rows: DataFrame, group: str) -> list[str]:
+    """The layout key of laid-out rows."""
+    return [group, "_salt"] if "_salt" in rows.columns else [group]
+
+
+def _salts(rows: DataFrame, group: str, per_group: DataFrame) -> DataFrame:
+    """``per_group`` with the ``_nsalt`` of each group, if the rows are salted."""
+    if "_salt" not in rows.columns:
+        return per_group
+    return per_group.join(rows.groupBy(group).agg(F.first("_nsalt").alias("_nsalt")), group)
 
 
 def _spread(per_group: DataFrame) -> DataFrame:
-    """One row per group to one per group and salt."""
+    """One row per group to one per layout key."""
+    if "_nsalt" not in per_group.columns:
+        return per_group
     return per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1))).drop("_nsalt")
 
 
@@ -137,24 +178,27 @@ def seeds(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[
     ``rows`` that come from ``laid_out`` are used as they are, others are laid
     out first.  They are read twice: for the feature sums, and for the row
     least by (distance, order) to each seed, both seeds at once.  That is a
-    sorted aggregate by (group, salt) over rows in that order already, so only
-    one candidate per seed, group and salt moves."""
+    sorted aggregate by the layout key over rows in that order already, so at
+    most one candidate per seed and key moves."""
     if k != 2:
         raise ValueError("seeding is defined for k = 2; pass distinct seeds for other k")
     words = list(words)
-    if "_salt" not in rows.columns:
+    if "_ord" not in rows.columns:
         rows = laid_out(rows, group, order, words, payload, rows_per_task)
-    stats = value_count(rows, group, words, n_features, carry=["_nsalt"])
-    maj = stats.select(group, "n_values", "_nsalt", *_majority_words("n", n_features, "_m"))
+    keys = _keys(rows, group)
+    carry = ["_nsalt"] if len(keys) > 1 else []
+    stats = value_count(rows, group, words, n_features, carry=carry)
+    maj = stats.select(group, "n_values", *carry, *_majority_words("n", n_features, "_m"))
     q1 = shift_seed_words([f"_m{j}" for j in range(len(words))], "n_values", n_features)
     q2 = complement_words(q1, n_features)
-    targets = maj.select(group, "_nsalt", *[q.alias(f"_q0_{w}") for q, w in zip(q1, words)],
+    targets = maj.select(group, *carry, *[q.alias(f"_q0_{w}") for q, w in zip(q1, words)],
                          *[q.alias(f"_q1_{w}") for q, w in zip(q2, words)])
     near = [F.struct(distance_to(words, [F.col(f"_q{s}_{w}") for w in words]).alias("_d"), "_ord", *payload, *words)
             for s in range(2)]
-    per_salt = (rows.join(_spread(targets), [group, "_salt"]).groupBy(group, "_salt")
-                    .agg(*[F.min(n).alias(f"_b{s}") for s, n in enumerate(near)]))
-    best = per_salt.groupBy(group).agg(*[F.min(f"_b{s}").alias(f"_b{s}") for s in range(2)])
+    best = (rows.join(_spread(targets), keys).groupBy(*keys)
+                .agg(*[F.min(n).alias(f"_b{s}") for s, n in enumerate(near)]))
+    if carry:
+        best = best.groupBy(group).agg(*[F.min(f"_b{s}").alias(f"_b{s}") for s in range(2)])
     found = best.select(group, F.explode(F.array(*[
         F.struct(F.lit(s).alias("seed"), F.col(f"_b{s}").alias("_b")) for s in range(2)])).alias("_s"))
     return found.select(group, F.col("_s.seed").alias("seed"),
@@ -189,13 +233,9 @@ def nearest_mode(words: Sequence[str], modes: str = "_modes", k: int = KMODES_CL
 def assign(rows: DataFrame, modes: DataFrame, group: str, words: Sequence[str],
            k: int = KMODES_CLUSTERS) -> DataFrame:
     """Rows with the index of their nearest mode (C9, J7, T6).  Rows from
-    ``laid_out`` are joined on (group, salt) and keep their layout."""
-    arr = modes_array(modes, group, words)
-    if "_salt" in rows.columns:
-        salts = rows.groupBy(group).agg(F.first("_nsalt").alias("_nsalt"))
-        joined = rows.join(_spread(arr.join(salts, group)), [group, "_salt"])
-    else:
-        joined = rows.join(arr, group)
+    ``laid_out`` are joined on their layout key and stay as they are."""
+    arr = _salts(rows, group, modes_array(modes, group, words))
+    joined = rows.join(_spread(arr), _keys(rows, group))
     return joined.withColumn(CLUSTER, nearest_mode(words, k=k)).drop("_modes")
 
 
@@ -211,25 +251,37 @@ class KModesResult:
     rounds: int              # rounds run by the slowest group
 
 
+def _copied(state: DataFrame) -> DataFrame:
+    """``_spread`` that keeps ``_nsalt``."""
+    if "_nsalt" not in state.columns:
+        return state
+    return state.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1)))
+
+
 class _Rounds:
     """The per-group state and one round over it.
 
     State columns: ``_m{c}_{j}`` the modes for the next assignment, ``_u{c}_{j}``
-    those used by the last one (null before the first), ``_nsalt``, ``_done`` and
-    ``_rounds``.  All are fixed-width, so the aggregates over the rows are hash
-    aggregates in generated code."""
+    those used by the last one (null before the first), ``_done``, ``_rounds`` and,
+    for salted rows, ``_nsalt``.  All are fixed-width, so the aggregates over the
+    rows are hash aggregates in generated code.  Rows that are not salted have
+    groups of at most ``rows_per_task`` rows, so their counts fit in lanes."""
 
-    def __init__(self, group: str, words: Sequence[str], n_features: int, k: int, limit: Column):
+    def __init__(self, group: str, words: Sequence[str], n_features: int, k: int, limit: Column, salted: bool,
+                 rows_per_task: int = ROWS_PER_TASK):
         self.group, self.words, self.k = group, list(words), k
+        lanes = not salted and rows_per_task < 1 << LANE_BITS
+        extra = ["_nsalt"] if salted else []
         cells = [(c, j) for c in range(k) for j in range(len(self.words))]
         self.now, self.used = [f"_m{c}_{j}" for c, j in cells], [f"_u{c}_{j}" for c, j in cells]
-        self.kept = [*self.now, *self.used, "_nsalt", "_done", "_rounds"]
+        self.kept = [*self.now, *self.used, *extra, "_done", "_rounds"]
         n = len(self.words)
         modes = lambda names: [[F.col(x) for x in names[c * n:(c + 1) * n]] for c in range(k)]
         self.near_now, self.near_used = _nearest(words, modes(self.now)), _nearest(words, modes(self.used))
         self.per_cluster = [F.count(F.lit(1)).alias("_n"), F.max("_moved").alias("_any"),
-                            *[F.first(c).alias(c) for c in self.kept], *_bit_sums(words, n_features)]
-        self.new_words = _majority_words("_n", n_features, "_w")
+                            *[F.first(c).alias(c) for c in self.kept],
+                            *(_lane_sums if lanes else _bit_sums)(words, n_features)]
+        self.new_words = _majority_words("_n", n_features, "_w", *([_lane] if lanes else []))
         new = [F.coalesce(F.max(F.when(F.col(CLUSTER) == c, F.col(f"_w{j}"))), F.lit(0).cast("long")).alias(f"_new{c}_{j}")
                for c, j in cells]
         self.per_group = [F.max("_any").alias("_any"), F.sum("_n").alias("_rows"), *[F.first(c).alias(c) for c in self.kept], *new]
@@ -238,18 +290,17 @@ class _Rounds:
         self.advance = [
             *[keep(m, F.col(f"_new{c}_{j}")) for m, (c, j) in zip(self.now, cells)],
             *[keep(u, F.col(m)) for u, m in zip(self.used, self.now)],
-            F.col("_nsalt"), keep("_done", ended), keep("_rounds", F.col("_rounds") + 1)]
+            *[F.col(c) for c in extra], keep("_done", ended), keep("_rounds", F.col("_rounds") + 1)]
 
     def start(self, modes: DataFrame) -> DataFrame:
-        """State before the first round, from ``_modes`` arrays and ``_nsalt``."""
+        """State before the first round, from ``_modes`` arrays (and ``_nsalt``)."""
         first = [F.col("_modes")[c][w].alias(self.now[c * len(self.words) + j])
                  for c in range(self.k) for j, w in enumerate(self.words)]
-        return modes.select(self.group, *first, *[F.lit(None).cast("long").alias(u) for u in self.used], "_nsalt",
-                            F.lit(False).alias("_done"), F.lit(0).alias("_rounds"))
+        return modes.select(self.group, *first, *[F.lit(None).cast("long").alias(u) for u in self.used],
+                            *[c for c in self.kept if c == "_nsalt"], F.lit(False).alias("_done"), F.lit(0).alias("_rounds"))
 
     def one(self, rows: DataFrame, state: DataFrame) -> DataFrame:
-        assigned = (rows.drop("_nsalt").join(state.withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1))), [self.group, "_salt"])
+        assigned = (rows.drop("_nsalt").join(_copied(state), _keys(rows, self.group))
             .select(self.group, *self.kept, *self.words, self.near_now.alias(CLUSTER),
                     F.coalesce(self.near_used, F.lit(-1)).alias("_before"))
             .withColumn("_moved", (F.col("_before") != F.col(CLUSTER)).cast("int")))
@@ -285,7 +336,7 @@ def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[st
     spark = spark or rows.sparkSession
     words = list(words)
     base = laid_out(rows, group, order, words, payload, rows_per_task)
-    salts = base.groupBy(group).agg(F.first("_nsalt").alias("_nsalt"))
+    keys = _keys(base, group)
     if initial is None:
         seeded = seeds(base, group, [F.col("_ord")], words, n_features, k).withColumnRenamed("seed", CLUSTER)
         starts = modes_array(seeded, group, words)
@@ -293,14 +344,15 @@ def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[st
         starts = modes_array(initial, group, words, F.count(F.lit(1)).alias("_k")).select(group, F.when(
             (F.col("_k") == k) & (F.transform("_modes", lambda m: m["c"].cast("int")) == F.sequence(F.lit(0), F.lit(k - 1))),
             F.col("_modes")).otherwise(F.raise_error(F.lit(f"initial modes: one row for each of {k} clusters"))).alias("_modes"))
-    rounds = _Rounds(group, words, n_features, k, F.col("_rows") if max_iter == "rows" else F.lit(int(max_iter)))
+    rounds = _Rounds(group, words, n_features, k, F.col("_rows") if max_iter == "rows" else F.lit(int(max_iter)),
+                     len(keys) > 1, rows_per_task)
     folder = scratch_folder(spark, "kmodes")
 
     def written(state: DataFrame, name: str) -> DataFrame:
         state.write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    state = written(rounds.start(starts.join(salts, group)), "state-0")
+    state = written(rounds.start(_salts(base, group, starts)), "state-0")
     rows_now, active_then, finished, step = base, None, [], 0
     while True:
         step += 1
@@ -318,9 +370,8 @@ def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[st
         if active_then is None:
             active_then = active
         elif 2 * active < active_then:
-            keys = _spread(state.select(group, "_nsalt"))
-            rows_now = checkpoint_in_place(rows_now.join(keys, [group, "_salt"], "left_semi")
-                                           .sortWithinPartitions(group, "_salt"))
+            left = _spread(state.select(group, *[c for c in state.columns if c == "_nsalt"]))
+            rows_now = checkpoint_in_place(rows_now.join(left, keys, "left_semi").sortWithinPartitions(*keys))
             active_then = active
     ended = finished[0]
     for more in finished[1:]:
@@ -328,8 +379,7 @@ def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[st
     n = len(words)
     cells = [[F.col(x) for x in rounds.now[c * n:(c + 1) * n]] for c in range(k)]
     used = [[F.col(x) for x in rounds.used[c * n:(c + 1) * n]] for c in range(k)]
-    joined = base.drop("_nsalt").join(ended.drop("_done").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.col("_nsalt") - 1))), [group, "_salt"])
+    joined = base.drop("_nsalt").join(_copied(ended.drop("_done")), keys)
     own = [F.coalesce(*[F.when(F.col(CLUSTER) == c, m[j]) for c, m in enumerate(cells)]) for j in range(n)]
     assignments = (joined.withColumn(CLUSTER, _nearest(words, used)).withColumn("distance", distance_to(words, own))
                          .select(group, *payload, CLUSTER, "distance", F.col("_rounds").alias("rounds"), "_ord", *words))
