@@ -31,8 +31,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartlens.llm.common import checkpointed, map_arrow, partitions_of, shared_folder, slices, text_of
+from cartlens.llm.common import checkpointed, map_arrow, partitions_of, slices, text_of
 from cartlens.llm.tokens import WORD_BPE, encoder, vocabulary
+from cartlens.runtime import scratch_folder
 
 BATCH_SEQUENCES = 256
 
@@ -116,7 +117,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, id_col: str =
     """
     spark = docs.sparkSession
     parts = partitions_of(spark, partitions)
-    folder = folder or shared_folder(spark, "tokens")
+    folder = folder or scratch_folder(spark, "tokens")
     path = vocab_path or vocabulary(WORD_BPE)
     filesystem(folder)[0].create_dir(filesystem(folder)[1], recursive=True)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))

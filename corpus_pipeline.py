@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cartlens.llm import decontam, exactdedup, langid, packing, simhash
-from cartlens.llm.common import shared_folder
+from cartlens.runtime import scratch_folder
 from cartlens.sources.tables import table
 
 
@@ -59,7 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark, "pipeline")
+    docs, folder = table(spark, sf_dir, "documents"), scratch_folder(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES, 1):
         out = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)

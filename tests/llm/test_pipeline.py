@@ -86,3 +86,20 @@ def test_clean_documents_stay(spark):
 
 def test_stages_are_the_dealt_ones():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "simhash_dedup", "decontaminate", "packing"]
+
+
+def test_null_ids_repeats_and_extra_columns(spark, tmp_path):
+    """Rows without an id, rows repeated whole, and null texts go through every stage."""
+    rows = [(None, "the water was right there and small", "en", None, None), (None, None, None, None, None),
+            (5, "other things between the houses", "en", "s", 1), (5, "other things between the houses", "en", "s", 1),
+            (5, "with that small thing from there was", "en", "s", 1), (6, "", "en", "s", 0), (7, "the other of that", None, None, None)]
+    tables(tmp_path, rows, [(1, None), (None, "of water and small things")])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs.selectExpr("*"), str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    got = sorted((str(r.doc_id), r.text) for r in docs.collect())
+    assert got == sorted({(str(r[0]), r[1]) for r in rows if r[1]})
+    e = encoder(vocabulary(BYTE_BPE))
+    assert sum(r.length for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sum(len(e.whole(t)) + 1 for _, t in got)
