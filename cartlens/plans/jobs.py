@@ -46,7 +46,8 @@ def _encoded(spark: SparkSession, path: str, fmt: str) -> DataFrame:
 
 def _sessions(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     df = _scan(spark, path, fmt)
-    date = F.col("date") if fmt != "csv" else F.col("date").cast("timestamp")
+    # text carries no zone, so it is read as a clock time and not through the session's zone
+    date = F.col("date") if fmt != "csv" else F.col("date").cast("timestamp_ntz")
     return df.select(F.col("session_id").cast("long").alias("session_id"),
                      F.col("item_id").cast("long").alias("item_id"), date.alias("date"))
 
