@@ -36,6 +36,8 @@ from cartlens.llm.common import checkpointed, held_out, is_held_out, map_arrow,
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 _CACHE_WORDS = 500_000
+# Sums closer than this are equal: a segment has no start that adds up to 0, whatever the rounding.
+_EQUAL = 1e-9
 
 
 def features(word: str) -> list[str]:
@@ -56,9 +58,9 @@ def maximal_segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[
         total += score
         while True:
             j = len(segments) - 1
-            while j >= 0 and segments[j][2] >= new[2]:
+            while j >= 0 and segments[j][2] >= new[2] - _EQUAL:
                 j -= 1
-            if j < 0 or segments[j][3] >= new[3]:
+            if j < 0 or segments[j][3] >= new[3] - _EQUAL:
                 segments.append(new)
                 break
             new = (segments[j][0], new[1], segments[j][2], new[3])

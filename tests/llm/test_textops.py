@@ -103,13 +103,15 @@ def test_language_empty_tables(spark):
 # --- toxicity
 
 def plain_segments(scores):
-    """All maximal segments by their definition: recursively the best segment, then left and right of it."""
+    """All maximal segments by their definition: recursively the best segment, of
+    equal ones the shortest (no start of a segment adds up to 0), then left and right of it."""
     best = None
     for a in range(len(scores)):
         total = 0.0
         for b in range(a, len(scores)):
             total += scores[b]
-            if total > 1e-12 and (best is None or total > best[2] + 1e-9):
+            better = best is None or total > best[2] + 1e-9
+            if total > 1e-9 and (better or (total > best[2] - 1e-9 and b - a < best[1] - best[0])):
                 best = (a, b, total)
     if best is None:
         return []
