@@ -145,3 +145,45 @@ def test_packing_nulls_repeats_and_empty(spark):
     got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 4 and sorted(r.offset for r in got)[0] == 0
     assert packing.pack(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_neighbours_come_from_the_whole_corpus(spark):
+    """With shards of three documents, each document's list is that of one index over all of them."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    words = [f"w{i:03d}" for i in range(120)]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(4, 30)))) for i in range(90)]
+    path, k = vocabulary(BYTE_BPE), 5
+    encoded = packing.encode_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text", path, 1)
+    encoded = encoded.localCheckpoint()
+    n, mean, df = packing.document_frequencies(encoded, encoder(path).size)
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    got = {}
+    for r in packing.neighbours(encoded, n, mean, idf, "<u2", 24, k, 3, 1 << 20, 4).collect():
+        keys, _, near, scores = packing._unpack(r.data, *packing.LISTS)
+        assert (near >= 0).all()
+        got.update(zip(keys.tolist(), scores.reshape(-1, k)))
+    held = encoded.where("part = 0").orderBy("key").collect()
+    index = packing.Index([np.frombuffer(r.ids, "<u2") for r in held], idf, mean, 24)
+    for i, r in enumerate(held):
+        want = np.delete(index.scores(index.query[i]), i)
+        assert np.allclose(got[r.key], np.sort(want)[::-1][:k])
+def test_seeds_take_their_best_unused_neighbours():
+    import numpy as np
+    near = np.array([[3, 1], [0, -1], [4, 0], [0, 4], [2, -1]], np.int32)
+    # 0, then its neighbours 3 and 1; 1 runs into the next window and has none left, so 2 and its neighbour 4 follow
+    assert packing.places(np.array([4, 5, 3, 4, 2]), near, 10).tolist() == [0, 8, 13, 4, 16]
+
+
+def test_best_of_a_large_shard_equals_a_full_sort():
+    import numpy as np
+    rng = np.random.default_rng(8)
+    docs = [rng.integers(0, 60, n).astype(np.uint16) for n in rng.integers(1, 40, 900)]
+    docs += [docs[0]] * 40
+    index = packing.Index(docs, rng.random(60), 20.0, 6)
+    keys = np.arange(len(docs)) * 7
+    for q in range(0, 940, 13):
+        found, scores = index.best(index.query[q], q * 7, keys, 4)
+        all_scores = index.scores(index.query[q])
+        want = sorted((i for i in range(940) if i != q), key=lambda i: (-all_scores[i], (i - q) % (1 << 64)))[:4]
+        assert found.tolist() == [7 * i for i in want] and np.allclose(scores, all_scores[want])
