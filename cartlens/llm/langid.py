@@ -3,7 +3,8 @@
 Every language has a Bloom filter of the letter trigrams that are typical of
 it.  The filters are bit-sliced: slot ``s`` of one array holds, in bit ``L``,
 slot ``s`` of language ``L``'s filter, so one look-up of ``hashes`` slots and
-an AND returns the mask of all languages that contain a trigram.  A text's
+an AND returns the mask of all languages that contain a trigram.  Beyond 64
+languages there is one more such array for each 64.  A text's
 hits per language are the popcounts of its masks; the share of hits expected
 from false positives alone is taken off, and the largest share decides.
 
@@ -15,7 +16,7 @@ and at least ``ratio`` of its largest share in any language.  At most
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from cartlens.llm.common import held_out, is_held_out, map_arrow, slices, text_of
 
 UNKNOWN = "und"
-MAX_LANGUAGES = 64
+# Languages of one array of masks.
+WORD = 64
 # Trigrams below which the lack of any known one is no evidence against a text.
 MIN_GRAMS = 12
 _SPACE = 0x20
@@ -62,7 +64,8 @@ def _slots(grams: np.ndarray, hashes: int, bits: int) -> list[np.ndarray]:
 
 @dataclass
 class Model:
-    """Bit-sliced filters of ``languages`` and each filter's false-positive rate."""
+    """Bit-sliced filters of ``languages`` and each filter's false-positive rate.
+    ``masks`` holds the first 64 languages, ``more`` an array for each 64 after them."""
 
     languages: list[str]
     masks: np.ndarray
@@ -70,6 +73,7 @@ class Model:
     hashes: int
     bits: int
     common: int
+    more: list[np.ndarray] = field(default_factory=list)
 
     def classify(self, text: str | None) -> tuple[str, float]:
         """(language, score).  ``und`` with score 0 if the text is null or has no
@@ -78,10 +82,14 @@ class Model:
         grams = trigrams(text or "")
         if not len(grams) or not self.languages:
             return UNKNOWN, 0.0
-        found = None
-        for slot in _slots(grams, self.hashes, self.bits):
-            found = self.masks[slot] if found is None else found & self.masks[slot]
-        hits = np.array([np.count_nonzero(found >> np.uint64(i) & np.uint64(1)) for i in range(len(self.languages))])
+        slots, hits = _slots(grams, self.hashes, self.bits), []
+        for masks in (self.masks, *self.more):
+            found = masks[slots[0]]
+            for slot in slots[1:]:
+                found = found & masks[slot]
+            n = min(WORD, len(self.languages) - len(hits))
+            hits += [np.count_nonzero(found >> np.uint64(i) & np.uint64(1)) for i in range(n)]
+        hits = np.array(hits)
         share = np.clip((hits / len(grams) - self.false_rate) / (1 - self.false_rate), 0, None)
         if not share.any():
             return self.languages[self.common], 0.0
@@ -111,27 +119,30 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     names=["lang", "gram", "n"])
 
     counts = map_arrow(rows, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sums = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    totals = {r["lang"]: r["total"] for r in sums.collect()}
     languages = sorted(totals)
     if not languages:
         return Model([], np.zeros(1, np.uint64), np.zeros(0), hashes, bits, 0)
-    total = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(totals[lang]))])
-    shares = counts.withColumn("share", F.col("n") / total[F.col("lang")])
+    if len(languages) <= WORD:
+        total = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(totals[lang]))])
+        shares = counts.withColumn("share", F.col("n") / total[F.col("lang")])
+    else:
+        shares = counts.join(sums, "lang").withColumn("share", F.col("n") / F.col("total"))
     typical = shares.withColumn("top", F.max("share").over(Window.partitionBy("gram"))).where(
         (F.col("share") >= min_share) & (F.col("share") >= ratio * F.col("top")))
     chosen = typical.select("lang", "gram").toPandas()  # at most 1 / min_share rows a language
-    masks, false_rate = np.zeros(1 << bits, np.uint64), []
+    masks, false_rate = [np.zeros(1 << bits, np.uint64) for _ in range(0, len(languages), WORD)], []
+    by_lang = dict(list(chosen.groupby("lang")["gram"]))
     for i, lang in enumerate(languages):
-        grams = chosen.loc[chosen["lang"] == lang, "gram"].to_numpy(np.int64)
+        grams = by_lang[lang].to_numpy(np.int64) if lang in by_lang else np.zeros(0, np.int64)
         own = np.zeros(1 << bits, bool)
         for slot in _slots(grams, hashes, bits):
             own[slot] = True
-        masks |= own.astype(np.uint64) << np.uint64(i)
+        masks[i // WORD] |= own.astype(np.uint64) << np.uint64(i % WORD)
         false_rate.append(own.mean() ** hashes)
     common = max(range(len(languages)), key=lambda i: totals[languages[i]])
-    return Model(languages, masks, np.array(false_rate), hashes, bits, common)
+    return Model(languages, masks[0], np.array(false_rate), hashes, bits, common, masks[1:])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

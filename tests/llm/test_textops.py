@@ -92,6 +92,18 @@ def test_labels_are_never_an_input(spark):
     assert np.array_equal(model.masks, again.masks)
 
 
+def test_more_than_64_languages(spark):
+    """Each of 130 languages has its own letters, and is told from all others."""
+    words = [chr(0x4E00 + 3 * k) + chr(0x4E01 + 3 * k) + chr(0x4E02 + 3 * k) for k in range(130)]
+    ids = [i for i in range(400) if not is_held_out(i)][:130]
+    docs = spark.createDataFrame([(i, w * 9, f"l{k:03d}") for k, (i, w) in enumerate(zip(ids, words))], "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert len(model.languages) == 130 and len(model.more) == 2
+    assert [model.classify(w * 2)[0] for w in words] == [f"l{k:03d}" for k in range(130)]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
+    assert got == {i: f"l{k:03d}" for k, i in enumerate(ids)}
+
+
 def test_language_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     model = langid.learn(empty)
