@@ -154,6 +154,12 @@ def profile_comparison() -> str:
          "left join item_hits ih on ih.item_id = b.purchased_item and ih.category = c.category")
 
 
+def profile_comparison_strata() -> str:
+    return " union all ".join(
+        f"select x.*, {n} as length from ({profile_comparison().replace('count(item_id) = 20', f'count(item_id) = {n}')}) x"
+        for n in (100, 20, 5, 1))
+
+
 def sample_sessions() -> str:
     unit = "cast('0x' || substr(md5(concat('42:', cast(session_id as varchar))), 1, 8) as bigint) / 4294967296.0"
     frac = ("case when nb_items between 20 and 30 then 0.7::double when nb_items between 31 and 50 then 0.8::double "
@@ -452,6 +458,7 @@ ORACLE: dict[str, str] = {
         "stratum_purchases": stratum_purchases,
         "feature_profile": feature_profile,
         "profile_comparison": profile_comparison,
+        "profile_comparison_strata": profile_comparison_strata,
         "sample_sessions": sample_sessions,
         "time_spent": time_spent,
         "recent_items": recent_items,

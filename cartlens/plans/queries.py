@@ -9,6 +9,7 @@ short strata; ``customer_sessions`` for long sessions and sampling.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,12 +120,22 @@ def q_feature_profile(spark, sf_dir):
                               EMB_CATS)
 
 
+PROFILE_LENGTHS = (100, 20, 5, 1)
+
+
 def q_profile_comparison(spark, sf_dir):
     """Consumed versus purchased profile, event sessions of 20 items."""
     return PR.profile_comparison(X.event_sessions(spark, sf_dir), X.event_purchases(spark, sf_dir),
                                  X.embedding_features(spark, sf_dir), EMB_CATS, 20)
 
 
+def q_profile_comparison_strata(spark, sf_dir):
+    """The same for event sessions of 100, 20, 5 and 1 items, with the length."""
+    sessions, bought, features = X.event_sessions(spark, sf_dir), X.event_purchases(spark, sf_dir), X.embedding_features(spark, sf_dir)
+    strata = [PR.profile_comparison(sessions, bought, features, EMB_CATS, n).withColumn("length", F.lit(n)) for n in PROFILE_LENGTHS]
+    return reduce(DataFrame.unionByName, strata)
+
+
 def q_sample_sessions(spark, sf_dir):
     """Seeded stratified sample of customer sessions, with features."""
     return S.sample_sessions(X.customer_sessions(spark, sf_dir), emb_encoded(spark, sf_dir), EMB_COLS)
@@ -331,6 +342,7 @@ QUERIES: dict[str, Query] = {
     "stratum_purchases": q_stratum_purchases,
     "feature_profile": q_feature_profile,
     "profile_comparison": q_profile_comparison,
+    "profile_comparison_strata": q_profile_comparison_strata,
     "sample_sessions": q_sample_sessions,
     "time_spent": q_time_spent,
     "recent_items": q_recent_items,

@@ -307,3 +307,18 @@ def test_cell_sums_equal_plain_sums(spark, rows_per_task):
             len(own), sum(i is not None for i in own), sum(i in cells for i in own))
         assert [got[key][c] for c in cols] == [sum(cells[i][j] for i in own if i in cells) for j in range(70)]
     assert len(got) == len({k for k, _ in views})
+
+
+def test_profiles_are_compared_in_all_strata(spark, monkeypatch):
+    """C15 has the strata 100, 20, 5 and 1."""
+    from cartlens.plans import queries as Q
+    lengths = (100, 20, 7, 5, 1)
+    tables = {"event_sessions": spark.createDataFrame([(n, f"2020-01-01 00:{i % 60:02d}:00", i) for n in lengths for i in range(n)],
+                                                      "session_id long, date string, item_id long"),
+              "event_purchases": spark.createDataFrame([(n, 0) for n in lengths], "session_id long, item_id long"),
+              "embedding_features": spark.createDataFrame([(0, Q.EMB_CATS[0], 1)], "item_id long, feature_category_id int, feature_value_id int")}
+    for name, df in tables.items():
+        monkeypatch.setattr(Q.X, name, lambda spark, sf_dir, df=df: df)
+    got = Q.QUERIES["profile_comparison_strata"](spark, "").where(f"category = {Q.EMB_CATS[0]}").collect()
+    assert sorted((r.session_id, r.length, r.consumed_share, r.purchased_share) for r in got) == [
+        (n, n, 1 / n, 1.0) for n in (1, 5, 20, 100)]
