@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.llm import chat, decontam, exactdedup, langid, packing, secretscan, sharding, simhash, tokenfiles, toxicity
+from cartlens.llm import (
+    chat, decontam, exactdedup, langid, negatives, packing, secretscan, sharding, simhash, tokenfiles, toxicity, whitening)
 from cartlens.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +83,19 @@ def op10_exact_dedup(spark, sf_dir):
     return exactdedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op12_hard_negatives(spark, sf_dir):
+    """Hard negatives of every hundredth vector against all vectors; every seventh id has the next label."""
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_whitening(spark, sf_dir):
+    """All vectors whitened on up to 16 components."""
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return white.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -93,6 +107,8 @@ QUERIES: dict[str, Query] = {
     "op8_simhash_bktree": op8_simhash_bktree,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_whitening": op13_whitening,
 }
 
 _ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -125,4 +141,24 @@ ORACLE: dict[str, str] = {
                row_number() over (partition by t order by doc_id desc nulls last) = 1 as kept,
                sha256(t) as text_sha256
         from n""",
+    "op12_hard_negatives": """
+        with given as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                   list_transform(embedding, lambda c: cast(floor(256 * cast(c as double)) as bigint)) as v
+            from embeddings
+            where vec_id is not null and label is not null and embedding is not null
+                  and len(list_filter(embedding, lambda c: c is null or isnan(c) or isinf(c))) = 0),
+        scored as (
+            select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
+                   cast(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) as bigint) as score
+            from given a, given b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+        positive as (
+            select anchor_id, other_id as positive_id, score as positive_score from scored where same
+            qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+        select anchor_id, positive_id,
+               cast(row_number() over (partition by anchor_id, positive_id order by score desc, other_id) as integer) as rank,
+               other_id as negative_id, positive_score, score as negative_score
+        from positive join scored using (anchor_id)
+        where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+        qualify rank <= 5""",
 }
