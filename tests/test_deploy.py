@@ -1,11 +1,15 @@
 """The queries run from any working directory: the Python workers get the
-package shipped by the session, not from the driver's path."""
+package shipped by the session, not from the driver's path.  The corpus
+operators can be left out."""
 
 import os
+import shutil
 import subprocess
 import sys
 import tempfile
 
+import pytest
+
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 SCRIPT = f"""
@@ -24,3 +28,16 @@ def test_knn_runs_outside_the_repo():
     out = subprocess.run([sys.executable, "-c", SCRIPT], cwd=tempfile.gettempdir(), env=env,
                          capture_output=True, text=True, timeout=600)
     assert "ROWS" in out.stdout, out.stderr[-2000:]
+
+
+@pytest.mark.parametrize("without", [[], ["corpus_pipeline.py"]])
+def test_entry_imports_without_the_corpus_operators(tmp_path, without):
+    """With their folders deleted (and the pipeline or not), the other queries are all there."""
+    skip = shutil.ignore_patterns("llm", ".git", "__pycache__", *without)
+    shutil.copytree(REPO, tmp_path / "copy", ignore=skip)
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, set(e.oracle_sql()) == set(q))"
+    said = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True,
+                          env={**os.environ, "PYTHONPATH": str(tmp_path / "copy")})
+    assert said.returncode == 0, said.stderr
+    from cartlens.plans.queries import QUERIES
+    assert said.stdout.split() == [str(len(QUERIES)), "False", "True"]
