@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartlens.llm import (
-    chat, decontam, exactdedup, langid, negatives, packing, secretscan, sharding, simhash, tokenfiles, toxicity, whitening)
+    chat, decontam, exactdedup, langid, maxent, negatives, packing, secretscan, sharding, simhash, tokenfiles, toxicity, whitening)
 from cartlens.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,11 @@ def op10_exact_dedup(spark, sf_dir):
     return exactdedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op11_maxent_lm(spark, sf_dir):
+    """All documents scored by a maximum-entropy model of those that are not held out."""
+    return maxent.score(maxent.learn(table(spark, sf_dir, "documents")))
+
+
 def op12_hard_negatives(spark, sf_dir):
     """Hard negatives of every hundredth vector against all vectors; every seventh id has the next label."""
     rows = table(spark, sf_dir, "embeddings")
@@ -107,6 +112,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash_bktree": op8_simhash_bktree,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_maxent_lm": op11_maxent_lm,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_whitening": op13_whitening,
 }
