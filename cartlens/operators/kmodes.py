@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 
 from cartlens.constants import KMODES_CLUSTERS, KMODES_MAX_ITER
 from cartlens.functions.bits import WORD_BITS, complement_words, quoted, shift_seed_words
-from cartlens.runtime import checkpoint_in_place, delete_folder, scratch_folder
+from cartlens.operators import kmodes_rows as R
+from cartlens.runtime import checkpoint_dir, checkpoint_in_place, delete_folder, scratch_folder
 
 CLUSTER = "cluster"
 ROWS_PER_TASK = 1 << 20
@@ -172,8 +173,8 @@ def seeds(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[
 
     ``order`` is a list of sortable columns giving the group order (for the
     reference's sessions: newest first); its first row wins distance ties.
-    Only ``k = 2`` is defined: the reference's alternating complement repeats
-    seeds beyond two.
+    Only ``k = 2`` is defined: an alternating complement repeats seeds beyond
+    two; ``density_seeds`` takes any k.
 
     ``rows`` that come from ``laid_out`` are used as they are, others are laid
     out first.  They are read twice: for the feature sums, and for the row
@@ -181,7 +182,7 @@ def seeds(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[
     sorted aggregate by the layout key over rows in that order already, so at
     most one candidate per seed and key moves."""
     if k != 2:
-        raise ValueError("seeding is defined for k = 2; pass distinct seeds for other k")
+        raise ValueError("this seeding is defined for k = 2; see density_seeds for other k")
     words = list(words)
     if "_ord" not in rows.columns:
         rows = laid_out(rows, group, order, words, payload, rows_per_task)
@@ -205,6 +206,64 @@ def seeds(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[
                         *[F.col("_s")["_b"][c].alias(c) for c in [*payload, *words]])
 
 
+def _agreement(words: Sequence[str], n_features: int) -> Column:
+    """Cells of the group that agree with the row's, over all features: ``ones``
+    of each feature the row has, the rest of the others."""
+    terms = []
+    for i in range(n_features):
+        j, b = divmod(i, WORD_BITS)
+        terms.append(f"if(shiftright({quoted(words[j])}, {b}) & 1 = 1, _o{i}, n - _o{i})")
+    return F.expr(" + ".join(terms))
+
+
+def density_seeds(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[str], n_features: int, k: int,
+                  payload: Sequence[str] = ()) -> DataFrame:
+    """Initial modes for any ``k``: ``(group, seed, payload..., w...)``, k distinct rows of each group.
+
+    The density of a row is the number of cells of the group that agree with it,
+    feature by feature.  The first seed is the densest row; each later one is
+    the row with the greatest product of density and distance to the nearest
+    seed so far, so that seeds are typical but apart.  Of equal products the
+    first row in the group order (``order``, then payload, then words) is
+    taken.  A group with fewer than ``k`` distinct rows is an error, as its
+    products are all 0 at some seed.
+
+    One aggregate per seed for all groups at once: the products are computed
+    where the rows lie, and only the best row of each task and group moves.
+    Rows are laid out by group once and keep their density there, so each
+    aggregate joins one row per layout key, and a group above a task's rows stays
+    split.  The seeds so far are k * words numbers a group."""
+    words, spark = list(words), rows.sparkSession
+    base = rows if "_ord" in rows.columns else laid_out(rows, group, order, words, payload)
+    keys = _keys(base, group)
+    counts = value_count(base, group, words, n_features, carry=["_nsalt"] if len(keys) > 1 else []).drop("n_values")
+    dense = checkpoint_in_place(base.drop("_nsalt").join(_spread(counts), keys).select(
+        *keys, "_ord", *payload, *words, _agreement(words, n_features).alias("_density")))
+    folder = scratch_folder(spark, "seeds")
+    chosen = None  # (group, _s0_w0, ..., _s{s}_w{j}): the seeds so far
+    for s in range(k):
+        entry = F.struct("_score", "_ord", *payload, *words)
+        if s == 0:
+            scored = dense.withColumn("_score", -F.col("_density"))
+        else:
+            near = [distance_to(words, [F.col(f"_s{t}_{w}") for w in words]) for t in range(s)]
+            away = F.least(*near) if s > 1 else near[0]
+            so_far = _spread(_salts(base, group, chosen.drop(*[f"_p{t}" for t in range(s)])))
+            scored = dense.join(so_far, keys).withColumn("_score", -F.col("_density") * away)
+        best = scored.groupBy(group).agg(F.min(entry).alias("_b"))
+        if s:  # a product of 0: every row equals a seed
+            best = best.withColumn("_b", F.when(F.col("_b._score") < 0, F.col("_b")).otherwise(
+                F.raise_error(F.lit(f"density seeds: a group has fewer than {k} distinct rows"))))
+        best = best.select(group, *[F.col("_b")[w].alias(f"_s{s}_{w}") for w in words],
+                           F.struct(F.lit(s).alias("seed"), *[F.col("_b")[c].alias(c) for c in [*payload, *words]]).alias(f"_p{s}"))
+        chosen = best if s == 0 else chosen.join(best, group)
+        chosen.write.parquet(f"{folder}/{s}")
+        chosen = spark.read.parquet(f"{folder}/{s}")
+        if s:
+            delete_folder(spark, f"{folder}/{s - 1}")
+    return chosen.select(group, F.explode(F.array(*[f"_p{s}" for s in range(k)])).alias("_p")).select(group, "_p.*")
+
+
 def modes_array(modes: DataFrame, group: str, words: Sequence[str], *also: Column) -> DataFrame:
     """One row per group holding its k modes as ``_modes``, an array of
     ``struct(c, w...)`` sorted by cluster (bounded: k entries)."""
@@ -309,73 +368,122 @@ class _Rounds:
         return clusters.groupBy(self.group).agg(*self.per_group).select(self.group, *self.advance)
 
 
+def _checked(initial: DataFrame, group: str, words: Sequence[str], k: int) -> DataFrame:
+    """``initial`` modes as ``_modes`` arrays, with an error in a group that has other rows than one for each cluster."""
+    arrays = modes_array(initial, group, words, F.count(F.lit(1)).alias("_k"))
+    return arrays.select(group, F.when(
+        (F.col("_k") == k) & (F.transform("_modes", lambda m: m["c"].cast("int")) == F.sequence(F.lit(0), F.lit(k - 1))),
+        F.col("_modes")).otherwise(F.raise_error(F.lit(f"initial modes: one row for each of {k} clusters"))).alias("_modes"))
+
+
 def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[str], n_features: int,
         k: int = KMODES_CLUSTERS, max_iter: int | str = KMODES_MAX_ITER, payload: Sequence[str] = (),
         rows_per_task: int = ROWS_PER_TASK, spark: SparkSession | None = None,
-        initial: DataFrame | None = None) -> KModesResult:
+        initial: DataFrame | None = None, in_row: int = R.IN_ROW) -> KModesResult:
     """k-modes of every group.
 
     ``initial`` gives the starting modes ``(group, cluster, w...)``, one row
     for each of the clusters ``0..k-1`` of every group (a group with other
-    rows is an error); without it the two seeds of ``seeds`` are used, which
-    is defined for ``k = 2`` only.
+    rows is an error); without it the seeds of ``seeds`` are used.
 
     ``max_iter`` is a round limit: an int for all groups, or ``"rows"`` for
     each group's row count (as the reference's session clustering uses).
     Returns the final assignment and the modes computed from it.
 
+    Groups of at most ``in_row`` rows are gathered into one row each, where all
+    rounds are one expression (``kmodes_rows``): one stage, whatever the number of
+    rounds.  Larger groups are laid out and advance together, a job for every
+    few rounds (``_fit_by_rounds``).  Both give the same result; only where
+    groups of both kinds occur are the rows written first, as each way then reads its own."""
+    spark, words = spark or rows.sparkSession, list(words)
+    order = [c.alias(f"_o{i}") for i, c in enumerate(order)]
+    rows = rows.select(group, *payload, *words, *order).where(F.col(group).isNotNull())
+    order = [F.col(f"_o{i}") for i in range(len(order))]
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_gn"))
+    least, most = sizes.agg(F.coalesce(F.min("_gn"), F.lit(0)), F.coalesce(F.max("_gn"), F.lit(0))).first()
+    if initial is None and k != 2:
+        initial = density_seeds(rows, group, order, words, n_features, k, payload).withColumnRenamed("seed", CLUSTER)
+    parts, how = [], (group, order, words, n_features, k, max_iter, payload)
+    if most > in_row >= least:
+        checkpoint_dir(spark)
+        rows = rows.checkpoint()
+    # at most (all rows / in_row) groups are large, so this side is small and Spark may broadcast it
+    large = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_gn")).where(F.col("_gn") > in_row).select(group)
+    if least <= in_row:
+        small = rows.join(large, group, "left_anti") if most > in_row else rows
+        parts.append(_fit_in_rows(small, *how, initial, min(most, in_row)))
+    if most > in_row:
+        some = rows.join(large, group, "left_semi") if least <= in_row else rows
+        parts.append(_fit_by_rounds(some, *how, initial, rows_per_task, spark))
+    if len(parts) == 1:
+        return parts[0]
+    return KModesResult(parts[0].assignments.unionByName(parts[1].assignments), parts[0].modes.unionByName(parts[1].modes),
+                        max(p.rounds for p in parts))
+
+
+def _fit_in_rows(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[str], n_features: int, k: int,
+                 max_iter: int | str, payload: Sequence[str], initial: DataFrame | None, most: int) -> KModesResult:
+    """``fit`` of groups of at most ``most`` rows, each in a row of its own."""
+    groups, planes = R.gathered(rows, group, order, words, payload), R.planes_for(most)
+    if initial is None:
+        starts = R.seed_words(words, n_features, planes)
+    else:
+        groups = groups.join(_checked(initial, group, words, k), group)
+        starts = f"flatten(transform(_modes, m -> array({', '.join('m.' + quoted(w) for w in words)})))"
+    checkpoint_dir(rows.sparkSession)
+    done = R.fitted(groups, words, k, "size(_rows)" if max_iter == "rows" else str(int(max_iter)), planes, starts).checkpoint()
+    return KModesResult(R.assignments_of(done, group, words, payload, CLUSTER), R.modes_of(done, group, words, k, CLUSTER),
+                        done.agg(F.max("_fit.rounds")).first()[0] or 0)
+
+
+def _fit_by_rounds(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[str], n_features: int, k: int,
+                   max_iter: int | str, payload: Sequence[str], initial: DataFrame | None, rows_per_task: int,
+                   spark: SparkSession) -> KModesResult:
+    """``fit`` of groups of any size.
+
     A round's assignment depends only on the rows and the modes, and whether
     a row moved only on the two last rounds' modes, so no per-row state is
     kept.  The state is written as a small table every ``ROUNDS_PER_STEP``
-    rounds and the table before it is deleted; finished groups leave the
-    state, and the rows are compacted when the unfinished groups have halved.
-    The final assignment is the nearest of the modes each group used in its
-    last round."""
-    if initial is None and k != 2:
-        raise ValueError("seeding is defined for k = 2; pass initial modes for other k")
-    spark = spark or rows.sparkSession
-    words = list(words)
+    rounds and the table before it is deleted; finished groups go to a table
+    of their own, and the rows are compacted when the unfinished groups have
+    halved.  The final assignment is the nearest of the modes each group used
+    in its last round."""
     base = laid_out(rows, group, order, words, payload, rows_per_task)
     keys = _keys(base, group)
     if initial is None:
         seeded = seeds(base, group, [F.col("_ord")], words, n_features, k).withColumnRenamed("seed", CLUSTER)
         starts = modes_array(seeded, group, words)
     else:
-        starts = modes_array(initial, group, words, F.count(F.lit(1)).alias("_k")).select(group, F.when(
-            (F.col("_k") == k) & (F.transform("_modes", lambda m: m["c"].cast("int")) == F.sequence(F.lit(0), F.lit(k - 1))),
-            F.col("_modes")).otherwise(F.raise_error(F.lit(f"initial modes: one row for each of {k} clusters"))).alias("_modes"))
+        starts = _checked(initial, group, words, k)
     rounds = _Rounds(group, words, n_features, k, F.col("_rows") if max_iter == "rows" else F.lit(int(max_iter)),
                      len(keys) > 1, rows_per_task)
     folder = scratch_folder(spark, "kmodes")
 
-    def written(state: DataFrame, name: str) -> DataFrame:
-        state.write.parquet(f"{folder}/{name}")
+    def written(state: DataFrame, name: str, mode: str = "errorifexists") -> DataFrame:
+        state.write.mode(mode).parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
     state = written(rounds.start(_salts(base, group, starts)), "state-0")
-    rows_now, active_then, finished, step = base, None, [], 0
+    rows_now, active_then, step = base, None, 0
     while True:
         step += 1
         ahead = state
         for _ in range(ROUNDS_PER_STEP):
             ahead = rounds.one(rows_now, ahead)
-        written(ahead, f"state-{step}")
-        delete_folder(spark, f"{folder}/state-{step - 1}" if step == 1 else f"{folder}/active-{step - 1}")
-        state = spark.read.parquet(f"{folder}/state-{step}")
-        finished.append(state.where("_done"))
-        active = state.where(~F.col("_done")).count()
+        ahead = written(ahead, f"ahead-{step}")
+        delete_folder(spark, f"{folder}/state-{step - 1}")
+        ended = written(ahead.where("_done"), "finished", "append")
+        state = written(ahead.where(~F.col("_done")), f"state-{step}")
+        delete_folder(spark, f"{folder}/ahead-{step}")
+        active = state.count()
         if not active:
             break
-        state = written(state.where(~F.col("_done")), f"active-{step}")
         if active_then is None:
             active_then = active
         elif 2 * active < active_then:
             left = _spread(state.select(group, *[c for c in state.columns if c == "_nsalt"]))
             rows_now = checkpoint_in_place(rows_now.join(left, keys, "left_semi").sortWithinPartitions(*keys))
             active_then = active
-    ended = finished[0]
-    for more in finished[1:]:
-        ended = ended.unionByName(more)
     n = len(words)
     cells = [[F.col(x) for x in rounds.now[c * n:(c + 1) * n]] for c in range(k)]
     used = [[F.col(x) for x in rounds.used[c * n:(c + 1) * n]] for c in range(k)]
@@ -385,5 +493,4 @@ def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[st
                          .select(group, *payload, CLUSTER, "distance", F.col("_rounds").alias("rounds"), "_ord", *words))
     modes = ended.select(group, F.explode(F.array(*[
         F.struct(F.lit(c).alias(CLUSTER), *[m.alias(w) for m, w in zip(cells[c], words)]) for c in range(k)])).alias("_s"))
-    most = max(f.agg(F.max("_rounds")).first()[0] or 0 for f in finished)
-    return KModesResult(assignments, modes.select(group, "_s.*"), most)
+    return KModesResult(assignments, modes.select(group, "_s.*"), ended.agg(F.max("_rounds")).first()[0] or 0)

@@ -284,7 +284,7 @@ def test_kmodes_three_clusters_from_supplied_modes(spark):
     got = {r["pos"]: r["cluster"] for r in res.assignments.collect()}
     assert [got[i] for i in range(len(vals))] == [0, 0, 0, 0, 1, 1, 1, 2, 2, 0]
     with pytest.raises(ValueError):
-        KM.fit(rows, "g", [F.col("pos")], ["w0"], 8, k=3)
+        KM.seeds(rows, "g", [F.col("pos")], ["w0"], 8, k=3)
 
 
 @pytest.mark.parametrize("rows_per_task", [1 << 20, 5])

@@ -94,7 +94,7 @@ def test_kmodes_rows_stay_put(spark, no_broadcast, rows_per_task):
     rounds = KM._Rounds("session_id", words, n, 2, F.lit(50), salted, rows_per_task)
     start = rounds.start(KM._salts(base, "session_id", KM.modes_array(
         seeds.withColumnRenamed("seed", "cluster"), "session_id", words))).checkpoint()
-    final = KM.fit(rows, "session_id", PF.newest_first(rows), words, n, rows_per_task=rows_per_task).assignments
+    final = KM.fit(rows, "session_id", PF.newest_first(rows), words, n, rows_per_task=rows_per_task, in_row=0).assignments
     two = rounds.one(base, rounds.one(base, start))
     for df, scans in ((seeds, 2), (two, 2), (final, 1)):
         chains = _above_rows(_simple(df))
