@@ -68,7 +68,7 @@ def _replicate(df: DataFrame, n: int, name: str) -> DataFrame:
 
 def _cogroup_blocks(queries: DataFrame, candidates: DataFrame, query_id: str, cand_id: str,
                     words: Sequence[str], query_block_rows: int, cand_block_rows: int,
-                    n_candidates: int | None):
+                    n_candidates: int | None, carry: Sequence[str] = ()):
     """``queries`` is a checkpoint already; ``candidates`` is written once
     unless their number is given, since block sizes need the counts."""
     spark = queries.sparkSession
@@ -87,7 +87,7 @@ def _cogroup_blocks(queries: DataFrame, candidates: DataFrame, query_id: str, ca
     qb = max(1, min(max(_blocks(nq, query_block_rows), -(-tasks // cb)), max(1, nq)))
     q = queries.select(F.col(query_id).alias("_qid"), *words) \
                .withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(qb)))
-    c = candidates.select(F.col(cand_id).alias("_cid"), *words) \
+    c = candidates.select(F.col(cand_id).alias("_cid"), *words, *carry) \
                   .withColumn("_cb", F.pmod(F.xxhash64("_cid"), F.lit(cb)))
     q = _replicate(q, cb, "_cb")
     c = _replicate(c, qb, "_qb")
@@ -107,9 +107,22 @@ def knn(queries: DataFrame, candidates: DataFrame, k: int, words: Sequence[str],
     if k < 1:
         raise ValueError("k must be at least 1")
     words = list(words)
-    qid_type = queries.schema[query_id].dataType
-    cid_type = candidates.schema[cand_id].dataType
-    out_schema = T.StructType([T.StructField("_qid", qid_type), T.StructField("_cid", cid_type),
+    blocks = {"query_block_rows": query_block_rows, "cand_block_rows": cand_block_rows, "n_candidates": n_candidates}
+    queries = _materialise(queries.select(query_id, *words))
+    if exclude_self:
+        return scan(queries, query_id, candidates, cand_id, words, k, True, **blocks)
+    vecs = _distinct_vectors(queries, words)
+    ranked = scan(vecs, "_vid", candidates, cand_id, words, k, **blocks)
+    return _expand(queries, query_id, vecs, ranked, "_vid", words).select(query_id, "rank", cand_id, "distance")
+
+
+def scan(queries: DataFrame, query_id: str, candidates: DataFrame, cand_id: str, words: Sequence[str], k: int,
+         exclude_self: bool = False, query_block_rows: int = 1 << 20, cand_block_rows: int = 1 << 16,
+         n_candidates: int | None = None) -> DataFrame:
+    """The block kernel over a written table of queries, each on its own:
+    ``(query_id, rank, cand_id, distance)``."""
+    out_schema = T.StructType([T.StructField("_qid", queries.schema[query_id].dataType),
+                               T.StructField("_cid", candidates.schema[cand_id].dataType),
                                T.StructField("distance", T.IntegerType())])
 
     def local_topk(_key, qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
@@ -139,27 +152,11 @@ def knn(queries: DataFrame, candidates: DataFrame, k: int, words: Sequence[str],
                                        "distance": d[rows, flat][keep].astype(np.int32)}))
         return pd.concat(parts, ignore_index=True)
 
-    if not exclude_self:
-        queries = _materialise(queries.select(query_id, *words))
-        vecs = _distinct_vectors(queries, words)
-        out_schema = T.StructType([T.StructField("_qid", T.LongType()), T.StructField("_cid", cid_type),
-                                   T.StructField("distance", T.IntegerType())])
-        ranked = knn_blocks(vecs, "_vid", candidates, cand_id, words, k, local_topk, out_schema,
-                            query_block_rows, cand_block_rows, n_candidates)
-        return _expand(queries, query_id, vecs, ranked, words).select(query_id, "rank", cand_id, "distance")
-    ranked = knn_blocks(_materialise(queries.select(query_id, *words)), query_id, candidates, cand_id, words, k, local_topk,
-                        out_schema, query_block_rows, cand_block_rows, n_candidates)
-    return ranked.select(F.col("_qid").alias(query_id), "rank", cand_id, "distance")
-
-
-def knn_blocks(queries, query_id, candidates, cand_id, words, k, kernel, out_schema,
-               query_block_rows, cand_block_rows, n_candidates) -> DataFrame:
-    grouped = _cogroup_blocks(queries, candidates, query_id, cand_id, words, query_block_rows,
-                              cand_block_rows, n_candidates)
-    local = grouped.applyInPandas(kernel, out_schema)
+    grouped = _cogroup_blocks(queries, candidates, query_id, cand_id, words, query_block_rows, cand_block_rows, n_candidates)
+    local = grouped.applyInPandas(local_topk, out_schema)
     w = Window.partitionBy("_qid").orderBy("distance", "_cid")
     return (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-                 .select("_qid", "rank", F.col("_cid").alias(cand_id), "distance"))
+                 .select(F.col("_qid").alias(query_id), "rank", F.col("_cid").alias(cand_id), "distance"))
 
 
 def _materialise(df: DataFrame) -> DataFrame:
@@ -178,40 +175,52 @@ def _distinct_vectors(queries: DataFrame, words: Sequence[str]) -> DataFrame:
                    .withColumn("_vid", F.monotonically_increasing_id())).checkpoint()
 
 
-def _expand(queries: DataFrame, query_id: str, vecs: DataFrame, per_vector: DataFrame,
+def _expand(queries: DataFrame, query_id: str, vecs: DataFrame, per_vector: DataFrame, vector_id: str,
             words: Sequence[str]) -> DataFrame:
     """Results per distinct vector back to every query holding it: the
     small side is keyed by the vector words, the join spreads a hot vector
     with AQE's skew split."""
-    keyed = per_vector.join(vecs, per_vector["_qid"] == vecs["_vid"]).drop("_qid", "_vid")
+    keyed = per_vector.join(vecs.withColumnRenamed("_vid", vector_id), vector_id).drop(vector_id)
     return queries.select(query_id, *words).join(keyed, list(words)).drop(*words)
 
 
+def weighed_vectors(candidates: DataFrame, words: Sequence[str]) -> DataFrame:
+    """Equal candidates as one: ``(w..., _weight, _cid)`` with how many there
+    are and a number (a hash of the vector) that deals them to blocks.  A hot vector
+    reaches its reducer as one row per task."""
+    return (candidates.select(*words).groupBy(*words).agg(F.count(F.lit(1)).alias("_weight"))
+                      .withColumn("_cid", F.xxhash64(*words)))
+
+
 def distance_multiplicity(queries: DataFrame, candidates: DataFrame, words: Sequence[str],
-                          query_id: str = "session_id", cand_id: str = "item_id",
-                          query_block_rows: int = 1 << 20, cand_block_rows: int = 1 << 16,
-                          n_candidates: int | None = None) -> DataFrame:
+                          query_id: str = "session_id", query_block_rows: int = 1 << 20,
+                          cand_block_rows: int = 1 << 16) -> DataFrame:
     """Every distance value from a query to the candidates, with how many
     candidates lie at it (A12, T5): ``(query_id, distance, multiplicity)``.
-    At most ``64 * words + 1`` rows per query; blocks add up by a sum."""
+    At most ``64 * words + 1`` rows per query; blocks add up by a sum.
+
+    Equal queries are scored once and equal candidates are one weighted vector,
+    so the work is distinct queries x distinct candidates, however many rows share a
+    vector."""
     words = list(words)
     width = WORD_BITS * len(words) + 1
-    out_schema = T.StructType([T.StructField("_qid", queries.schema[query_id].dataType),
-                               T.StructField("distance", T.IntegerType()),
-                               T.StructField("multiplicity", T.LongType())])
 
     def local_hist(_key, qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
         if qdf.empty or cdf.empty:
             return pd.DataFrame({"_qid": pd.Series([], dtype="int64"), "distance": pd.Series([], dtype="int32"),
                                  "multiplicity": pd.Series([], dtype="int64")})
-        cw = _to_u64(cdf, words)
+        cw, weight = _to_u64(cdf, words), cdf["_weight"].to_numpy(dtype=np.int64)
         qw, qids = _to_u64(qdf, words), qdf["_qid"].to_numpy()
         step = max(1, _CELLS_PER_BATCH // len(cw))
         parts = []
         for s in range(0, len(qids), step):
             d = _distances(qw[s:s + step], cw)
             m = d.shape[0]
-            hist = np.bincount((d + np.int64(width) * np.arange(m)[:, None]).ravel(), minlength=m * width).reshape(m, width)
+            cell = (d + np.int64(width) * np.arange(m)[:, None]).ravel()
+            hist = np.bincount(cell, minlength=m * width).reshape(m, width)
+            if weight.max() > 1:  # what the repeats add; a float sum is exact below 2^53
+                more = np.bincount(cell, np.broadcast_to(weight - 1.0, d.shape).ravel(), m * width).reshape(m, width)
+                hist = hist + more.astype(np.int64)
             r, v = np.nonzero(hist)
             parts.append(pd.DataFrame({"_qid": qids[s:s + step][r], "distance": v.astype(np.int32),
                                        "multiplicity": hist[r, v].astype(np.int64)}))
@@ -219,13 +228,13 @@ def distance_multiplicity(queries: DataFrame, candidates: DataFrame, words: Sequ
 
     queries = _materialise(queries.select(query_id, *words))
     vecs = _distinct_vectors(queries, words)
+    weighed = _materialise(weighed_vectors(candidates, words))
     out_schema = T.StructType([T.StructField("_qid", T.LongType()), T.StructField("distance", T.IntegerType()),
                                T.StructField("multiplicity", T.LongType())])
-    grouped = _cogroup_blocks(vecs, candidates, "_vid", cand_id, words, query_block_rows,
-                              cand_block_rows, n_candidates)
+    grouped = _cogroup_blocks(vecs, weighed, "_vid", "_cid", words, query_block_rows, cand_block_rows, weighed.count(), ["_weight"])
     hist = (grouped.applyInPandas(local_hist, out_schema)
                    .groupBy("_qid", "distance").agg(F.sum("multiplicity").alias("multiplicity")))
-    return _expand(queries, query_id, vecs, hist, words).select(query_id, "distance", "multiplicity")
+    return _expand(queries, query_id, vecs, hist, "_qid", words).select(query_id, "distance", "multiplicity")
 
 
 def next_distance(multiset: DataFrame, query_id: str = "session_id") -> DataFrame:

@@ -470,6 +470,8 @@ ORACLE: dict[str, str] = {
         "next_distance": next_distance,
         "distance_listing": distance_listing,
         "knn_items_wide": knn_items_wide,
+        "knn_items_indexed": knn_items,
+        "knn_items_wide_indexed": knn_items_wide,
         "kmodes_fit_wide": kmodes_fit_wide,
         "clustered_preferences_wide": clustered_preferences_wide,
         "top_items": top_items,

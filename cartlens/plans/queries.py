@@ -18,6 +18,7 @@ from cartlens.constants import STRATUM_SESSIONS
 from cartlens.functions.scalar import category_int
 from cartlens.operators import distance as D
 from cartlens.operators import features as FT
+from cartlens.operators import hamming_index as HI
 from cartlens.operators import kmodes as KM
 from cartlens.operators import popularity as PO
 from cartlens.operators import preference as PF
@@ -196,6 +197,25 @@ def q_knn_items_wide(spark, sf_dir):
     return D.knn(wide_pref_words(spark, sf_dir), part_packed(spark, sf_dir), KNN_K, PART_WORDS)
 
 
+def _wide_index(spark, sf_dir):
+    return HI.knn_indexed(wide_pref_words(spark, sf_dir), part_packed(spark, sf_dir), KNN_K, PART_WORDS, len(PART_CATS))
+
+
+def q_knn_items_indexed(spark, sf_dir):
+    """The 10 items nearest to each session's preference, by multi-index hashing."""
+    return HI.knn_indexed(pref_words(spark, sf_dir), emb_packed(spark, sf_dir), KNN_K, EMB_WORDS, len(EMB_CATS)).neighbours
+
+
+def q_knn_items_wide_indexed(spark, sf_dir):
+    """C11 over the 73 part categories by multi-index hashing."""
+    return _wide_index(spark, sf_dir).neighbours
+
+
+def q_knn_index_work(spark, sf_dir):
+    """C11: candidates that each customer session's search by index looked at."""
+    return _wide_index(spark, sf_dir).work.select("session_id", "looked", "probes", "radius", "scanned")
+
+
 def _wide_fit(spark, sf_dir):
     rows = PF.clustering_rows(customer_views(spark, sf_dir), part_packed(spark, sf_dir), lo=11)
     return PF.fit_sessions(rows, PART_WORDS, len(PART_CATS))
@@ -354,6 +374,9 @@ QUERIES: dict[str, Query] = {
     "next_distance": q_next_distance,
     "distance_listing": q_distance_listing,
     "knn_items_wide": q_knn_items_wide,
+    "knn_items_indexed": q_knn_items_indexed,
+    "knn_items_wide_indexed": q_knn_items_wide_indexed,
+    "knn_index_work": q_knn_index_work,
     "kmodes_fit_wide": q_kmodes_fit_wide,
     "clustered_preferences_wide": q_clustered_preferences_wide,
     "top_items": q_top_items,
