@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from cartlens.runtime import checkpoint_dir, ship_package
 
 # Rows handled at a time inside a Python task: bounds memory when texts are long.
 SLICE_ROWS = 256
+# Bytes of a text that are cut into words at a time; numbers of a piece of a long array.
+PIECE, NUMBERS = 1 << 20, 1 << 16
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -64,3 +68,61 @@ def held_out(doc_id: Column) -> Column:
 def is_held_out(doc_id: int | None) -> bool:
     """``held_out`` for one id, inside a Python task."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 0
+
+
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def words_of(text: str) -> Iterator[list[bytes]]:
+    """The words of a text in lower case, some at a time: bytes ``lower`` and
+    ``split`` act on A-Z and on the blanks 0x20 and 0x09-0x0D only."""
+    data, at = text.encode().lower(), 0
+    while at < len(data):
+        cut = _BLANK.search(data, at + PIECE)
+        to = cut.start() if cut else len(data)
+        yield data[at:to].split()
+        at = to
+
+
+def pieces_of(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """A long array of counts in numbered pieces; a piece with few counts as
+    their places and values.  The first byte tells which, and how wide a count is."""
+    kind, wide = (np.int32, b"4") if counts.max(initial=0) < 1 << 31 else (np.int64, b"8")
+    for at in range(0, len(counts), NUMBERS):
+        piece = counts[at:at + NUMBERS].astype(kind)
+        some = np.flatnonzero(piece)
+        if 3 * len(some) < len(piece):
+            yield at // NUMBERS, b"s" + wide + some.astype(np.uint16).tobytes() + piece[some].tobytes()
+        else:
+            yield at // NUMBERS, b"d" + wide + piece.tobytes()
+
+
+def add_piece(total: np.ndarray, uses: bytes) -> None:
+    """Add a piece of ``pieces_of`` to ``total``."""
+    kind, size = (np.int32, 4) if uses[1:2] == b"4" else (np.int64, 8)
+    if uses[:1] == b"d":
+        n = (len(uses) - 2) // size
+        total[:n] += np.frombuffer(uses, kind, n, 2)
+    else:
+        n = (len(uses) - 2) // (2 + size)
+        total[np.frombuffer(uses, np.uint16, n, 2)] += np.frombuffer(uses, kind, n, 2 + 2 * n)
+
+
+def summed(parts: DataFrame, size: int) -> np.ndarray:
+    """Arrays of ``size`` counts from all tasks, as rows (piece, uses), added up:
+    each piece in a task of its own.  The sums reach the driver, so ``size`` must
+    not grow with the corpus."""
+    def add(batches):
+        total, at = np.zeros(NUMBERS, np.int64), None
+        for batch in slices(batches, 16):
+            for piece, uses in zip(batch.column("piece").to_pylist(), batch.column("uses").to_pylist()):
+                add_piece(total, uses)
+                at = piece
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["piece", "uses"])
+
+    out = np.zeros(-(-size // NUMBERS) * NUMBERS, np.int64)
+    sums = map_arrow(parts.repartitionById(max(1, len(out) // NUMBERS), F.col("piece")), add, "piece int, uses binary").toArrow()
+    for piece, uses in zip(sums.column("piece").to_pylist(), sums.column("uses").to_pylist()):
+        out[piece * NUMBERS:(piece + 1) * NUMBERS] = np.frombuffer(uses, np.int64)
+    return out[:size]

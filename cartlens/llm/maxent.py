@@ -31,7 +31,6 @@ stay in a table and are joined to the few places that need them.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,20 +42,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartlens.llm.common import map_arrow, slices, text_of
+from cartlens.llm.common import map_arrow, pieces_of, slices, summed, text_of, words_of
 from cartlens.runtime import scratch_folder
 
 END = b""
-#: Bytes of a text that are cut into words at a time.
-PIECE = 1 << 20
-# Distinct words a task counts before it sends them on; tokens scored at a time;
-# weights of a piece of the gradient; uses added up at a time.
-WORDS, BATCH, WEIGHTS, USES = 1 << 19, 1 << 12, 1 << 16, 1 << 20
+# Distinct words a task counts before it sends them on; tokens scored at a time; uses added up at a time.
+WORDS, BATCH, USES = 1 << 19, 1 << 12, 1 << 20
 # Buckets of counts, so many for each factor of two.
 OCTAVE = 64
 FEATURES = 3
 
-_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -67,17 +62,6 @@ def training(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 != 2
 
 
-def words_of(text: str) -> Iterator[list[bytes]]:
-    """The words of a text, some at a time: bytes ``lower`` and ``split`` act on
-    A-Z and on the blanks 0x20 and 0x09-0x0D only."""
-    data, at = text.encode().lower(), 0
-    while at < len(data):
-        cut = _BLANK.search(data, at + PIECE)
-        to = cut.start() if cut else len(data)
-        yield data[at:to].split()
-        at = to
-
-
 def token_counts(docs: DataFrame, text: Column) -> DataFrame:
     """(word, n): occurrences of every token, the end included."""
     def count(batches):
@@ -258,8 +242,7 @@ class Tally:
 
     def pieces(self) -> Iterator[tuple[int, bytes]]:
         self.flush()
-        for at in range(0, len(self.total), WEIGHTS):
-            yield at // WEIGHTS, self.total[at:at + WEIGHTS].astype(np.int32 if self.total.max(initial=0) < 1 << 31 else np.int64).tobytes()
+        return pieces_of(self.total)
 
 
 def log_probability(out: Outputs, weights: Weights, ids, last, before, class_bits: int, word_bits: int) -> np.ndarray:
@@ -348,26 +331,6 @@ def expected(texts: DataFrame, shared_out, shared_weights, shape: tuple[int, int
     return map_arrow(texts, draw, "piece int, uses binary")
 
 
-def summed(parts: DataFrame, size: int) -> np.ndarray:
-    """The parts (piece, uses) of all tasks added up, each piece in a task of its
-    own; the sums, as long as the weights, reach the driver."""
-    def add(batches):
-        total, at = np.zeros(WEIGHTS, np.int64), None
-        for batch in slices(batches, 16):
-            for piece, uses in zip(batch.column("piece").to_pylist(), batch.column("uses").to_pylist()):
-                n = min(WEIGHTS, size - piece * WEIGHTS)
-                total[:n] += np.frombuffer(uses, np.int32 if len(uses) == 4 * n else np.int64)
-                at = piece
-        if at is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["piece", "uses"])
-
-    out = np.zeros(-(-size // WEIGHTS) * WEIGHTS, np.int64)
-    sums = map_arrow(parts.repartitionById(max(1, len(out) // WEIGHTS), F.col("piece")), add, "piece int, uses binary").toArrow()
-    for piece, uses in zip(sums.column("piece").to_pylist(), sums.column("uses").to_pylist()):
-        out[piece * WEIGHTS:(piece + 1) * WEIGHTS] = np.frombuffer(uses, np.int64)
-    return out[:size]
-
-
 def expected_of_base(out: Outputs, weights: Weights, observed: np.ndarray) -> np.ndarray:
     """Expected uses while all weights are zero: the uses of a row, shared out as
     the base model does."""

@@ -31,8 +31,12 @@ _SPLIT = {
     "word": re.compile(rf"[{_LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\s{_LETTER}0-9]+"),
 }
 
-# Distinct pieces remembered by a worker; beyond it the memory starts afresh, with the same ids.
-CACHE_PIECES = 2_000_000
+# Space, tab, newline, carriage return, vertical tab and form feed as a byte-level vocabulary writes them.
+_BYTE_BLANKS = "\u0120\u0109\u010a\u010d\u010b\u010c"
+
+# Distinct pieces remembered by a worker, in two generations: when the young one
+# has half of them, the old one is forgotten and it becomes the old one.
+CACHE_PIECES = 1_000_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -49,13 +53,17 @@ class Encoder:
             spec = json.load(f)
         # the word vocabulary lower-cases and drops white space, the byte vocabulary keeps texts as they are
         self.kind = "word" if spec.get("normalizer") else "byte"
+        vocab = self.tokenizer.get_vocab()
+        #: ids that begin a word, and ids after which the next one does
+        self.first, self.last = np.zeros(self.size, dtype=bool), np.zeros(self.size, dtype=bool)
         if self.kind == "word":  # the last id of each piece ends a word
-            vocab = self.tokenizer.get_vocab()
-            self.last = np.zeros(self.size, dtype=bool)
             self.last[[i for word, i in vocab.items() if word.endswith("</w>")]] = True
-        else:
+        else:  # a space goes with the word after it; other white space stands alone
             self.newline = self.whole("\n")[0]
+            self.first[[i for word, i in vocab.items() if word[:1] in _BYTE_BLANKS]] = True
+            self.last[[i for word, i in vocab.items() if word and not word.strip(_BYTE_BLANKS)]] = True
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.cache_pieces = cache_pieces
 
     def whole(self, text: str) -> list[int]:
@@ -102,14 +110,42 @@ class Encoder:
             known.append(parts)
         if gaps:
             new = list({piece for _, _, piece in gaps})
-            if len(self.cache) + len(new) > self.cache_pieces:
-                self.cache.clear()
-            self._learn(new)
+            if 2 * (len(self.cache) + len(new)) > self.cache_pieces:
+                self.cache, self.old = {}, self.cache
+            # what the old generation has moves up, as do pieces of these texts that were in it a moment ago
+            again = {p: ids for p in new if (ids := self.old.get(p)) is not None}
+            self.cache.update(again)
+            self._learn([p for p in new if p not in again])
             for parts, at, piece in gaps:
                 parts[at] = self.cache[piece]
         return [np.frombuffer(b"".join(parts), dtype=np.uint32) for parts in known]
 
 
+    def word_hashes(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """A 64-bit hash for every word of encoded texts, and the text it is in.
+        A word is a run of ids up to the next that begins one."""
+        sizes = np.array([len(t) for t in texts])
+        ids = np.concatenate([*texts, np.zeros(0, np.uint16)]).astype(np.int64)
+        if not len(ids):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        begins = self.first[ids]
+        begins[1:] |= self.last[ids[:-1]] | (owner[1:] != owner[:-1])
+        begins[0] = True
+        at = np.flatnonzero(begins)
+        place = np.arange(len(ids)) - np.repeat(at, np.diff(at, append=len(ids)))
+        # a sum of mixed ids, each turned by its place in the word
+        h = np.add.reduceat(mixed(mixed(ids.astype(np.uint64)) + place.astype(np.uint64)), at)
+        return mixed(h), owner[at]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit mix."""
+    x = (x ^ (x >> np.uint64(30)) ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file, loaded once."""
     if path not in _encoders:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cartlens.llm import maxent
+from cartlens.llm import common, maxent
 from tests.llm.brute import A_TO_Z, SCHEMA, clash, corpus
 
 SMALL = {"width": 4, "classes": 3, "max_words": 30, "class_bits": 6, "word_bits": 4}
@@ -98,10 +98,10 @@ def test_gradient_sums_equal_plain_sums(spark):
         for numbers in maxent.used(places, model.weights, places.cls, places.word):
             np.add.at(want, numbers, 1)
     shared = spark.sparkContext.broadcast(model.out)
-    observed = maxent.summed(maxent.encoded(spark.createDataFrame(rows, SCHEMA).repartition(3), "doc_id", "text", maxent.training(
+    observed = common.summed(maxent.encoded(spark.createDataFrame(rows, SCHEMA).repartition(3), "doc_id", "text", maxent.training(
         F.col("doc_id")), shared, model.shape).where("piece is not null").select("piece", "uses"), model.weights.size)
     assert (observed == want).all()
-    drawn = maxent.summed(maxent.expected(model.texts.where("not held_out").select("key", "ids"), shared, spark.sparkContext.broadcast(model.weights),
+    drawn = common.summed(maxent.expected(model.texts.where("not held_out").select("key", "ids"), shared, spark.sparkContext.broadcast(model.weights),
                                           model.shape, 1), model.weights.size)
     cut = model.weights.by_class.size
     shape = model.weights.by_class.shape
@@ -118,10 +118,10 @@ def test_held_out_texts_gain(spark):
 
 
 def test_long_words_and_texts(spark, monkeypatch):
-    monkeypatch.setattr(maxent, "PIECE", 16)
+    monkeypatch.setattr(common, "PIECE", 16)
     monkeypatch.setattr(maxent, "BATCH", 8)
     text = " ".join(["ab"] * 100 + ["x" * 100] + ["\t c\x0bd"] * 30)
-    assert [w for ws in maxent.words_of(text) for w in ws] == re.findall(rb"[^\x20\x09-\x0D]+", text.encode())
+    assert [w for ws in common.words_of(text) for w in ws] == re.findall(rb"[^\x20\x09-\x0D]+", text.encode())
     ids = np.arange(50, dtype=np.uint32)
     seen = list(maxent.contexts([ids, ids[:3], ids[:0]], 60))
     flat = [tuple(int(x) for x in row) for batch in seen for row in zip(*batch)]

@@ -1,9 +1,13 @@
+from collections import Counter
+
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cartlens.llm import packing, tokenfiles
 from cartlens.llm.tokens import BYTE_BPE, WORD_BPE, Encoder, encoder, vocabulary
+from cartlens.runtime import scratch_folder
 from tests.llm.brute import SCHEMA, clash, corpus, crc
 
 ODD = ["", " ", "  a  b ", "don't we'll I'M it's 's''s", "naïve Ünïcode ß ÿ × ÷ ª º µ", "ﬁ ½ ² x", "a b", "日本語 text",
@@ -98,34 +102,118 @@ def pieces_are_whole(got, texts, window):
     return sum(len(t) for t in texts.values()) / (window * len(by_seq))
 
 
-@pytest.mark.parametrize("window, shard_docs, shard_tokens", [(2048, 512, 1 << 20), (64, 3, 1 << 20), (100, 50, 200), (7, 1, 1)])
-def test_packing_is_whole(spark, window, shard_docs, shard_tokens):
+@pytest.mark.parametrize("window, how", [(2048, {}), (64, {"region_nodes": 10}), (100, {"region_nodes": 1, "members": 2}), (7, {"members": None})])
+def test_packing_is_whole(spark, window, how):
     rows = corpus()
-    got = packing.pack(clash(spark.createDataFrame(rows, SCHEMA)).repartition(3), window=window, shard_docs=shard_docs,
-                       shard_tokens=shard_tokens).collect()
+    got = packing.pack(clash(spark.createDataFrame(rows, SCHEMA)).repartition(3), window=window, sketch_bits=12, **how).collect()
     e = encoder(vocabulary(BYTE_BPE))
     full = pieces_are_whole(got, {i: [*e.whole(t or ""), 1] for i, t, *_ in rows}, window)
     assert full > 0.97
 
 
-def test_bm25_equals_plain_scores():
-    """The index ranks by the textbook sum over the query's heaviest terms."""
-    import numpy as np
-    rng = np.random.default_rng(5)
-    docs = [rng.integers(0, 40, n).astype(np.uint16) for n in rng.integers(1, 60, 30)]
-    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=40)
-    idf, mean = np.log(1 + (30 - df + 0.5) / (df + 0.5)), float(np.mean([len(d) for d in docs]))
-    index = packing.Index(docs, idf, mean, 6)
+def words_by_ids(text):
+    """The words of a text as tuples of ids, cut where an id begins with a space or follows white space."""
+    e, out = encoder(vocabulary(BYTE_BPE)), []
+    blank = lambda i: not e.tokenizer.decode([i]).strip() and e.tokenizer.decode([i]) != ""
+    for i in e.whole(text):
+        if not out or e.tokenizer.decode([i])[:1].isspace() or blank(out[-1][-1]):
+            out.append((i,))
+        else:
+            out[-1] += (i,)
+    return out
+
+
+def plain_scores(texts, query_terms):
+    """For each text the scores of all others by the textbook sum over its
+    heaviest words; nothing for words of equal weight at the cut, which a hash decides."""
+    import math
+    counts = [Counter(words_by_ids(t)) for t in texts]
+    n, mean = len(texts), sum(c.total() for c in counts) / len(texts)
+    df = Counter(w for c in counts for w in c)
+
+    def weight(c, w):
+        tf, size = c[w], c.total()
+        return math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)) if tf else 0.0
+
+    out = []
+    for i, c in enumerate(counts):
+        ranked = sorted((-weight(c, w), w) for w in c if df[w] > 1)
+        if len(ranked) > query_terms and abs(ranked[query_terms - 1][0] - ranked[query_terms][0]) < 1e-4:
+            out.append(None)
+            continue
+        out.append([sum(weight(d, w) for _, w in ranked[:query_terms]) if j != i else 0.0 for j, d in enumerate(counts)])
+    return out
+
+
+def found_lists(spark, texts, query_terms, members, k, parts, bits=20):
+    """Node of each text, and the lists of ``nearest``, by node."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)
+    folder, path = scratch_folder(spark, "test"), vocabulary(BYTE_BPE)
+    packing.encode_documents(df, "doc_id", "text", path, 1, bits).write.parquet(folder)
+    table = spark.read.parquet(folder)
+    n, words = table.selectExpr("count(key)", "sum(words)").first()
+    lists = packing.nearest(table, path, "<u2", n, words, query_terms, 0.01, members, k, bits)
+    nodes = {r.doc_id: r.node for r in table.where("key is not null").collect()}
+    return nodes, {r.node: np.frombuffer(r.near, np.int64).tolist() for r in lists.collect()}
+
+
+def zipf_texts(n, seed=3):
+    rng = np.random.default_rng(seed)
+    words = [f"w{i:03d}" for i in range(300)]
+    share = 1 / np.arange(1, 301)
+    return [" ".join(rng.choice(words, rng.integers(4, 40), p=share / share.sum())) for _ in range(n)]
+
+
+def test_words_are_cut_by_ids():
+    e = encoder(vocabulary(BYTE_BPE))
+    texts = ["the cat  the\tcat\nthe cat, strange", "", "one", " the cat"]
+    hashes, owner = e.word_hashes([np.array(e.whole(t), np.uint16) for t in texts])
+    want = [(i, w) for i, t in enumerate(texts) for w in words_by_ids(t)]
+    assert owner.tolist() == [i for i, _ in want]
+    by_word = {}
+    for (_, w), h in zip(want, hashes.tolist()):
+        assert by_word.setdefault(w, h) == h
+    assert len(set(by_word.values())) == len(by_word)
+    o, h, tf, sizes = packing.batch_terms(e, [np.array(e.whole(t), np.uint16) for t in texts])
+    assert sizes.tolist() == [sum(i == j for i, _ in want) for j in range(4)]
+    assert sorted(zip(o.tolist(), tf.tolist())) == sorted((i, n) for (i, _), n in Counter(want).items())
+
+
+def test_lists_equal_brute_force_over_the_whole_corpus(spark, monkeypatch):
+    """With all members and no stop words, each list has the best scores of the textbook sum over all documents."""
+    monkeypatch.setattr(packing, "FEW", 1000)
+    texts, k = zipf_texts(150), 6
+    nodes, got = found_lists(spark, texts, 8, None, k, 3)
+    text_of, checked = {node: i for i, node in nodes.items()}, 0
+    for i, scores in enumerate(plain_scores(texts, 8)):
+        if scores is not None:
+            found = [text_of[o] for o in got.get(nodes[i], [])]
+            best = [s for s in sorted(scores, reverse=True)[:k] if s > 0]
+            assert i not in found and len(found) == len(best)
+            assert np.allclose([scores[j] for j in found], best, atol=3e-3)
+            checked += 1
+    assert checked > 60
+
+
+def test_lists_do_not_depend_on_partitions(spark):
+    texts = zipf_texts(60)
+    assert found_lists(spark, texts, 8, 4, 6, 1) == found_lists(spark, texts, 8, 4, 6, 5)
+
 
-    def weight(d, t):
-        tf = int((docs[d] == t).sum())
-        return idf[t] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(docs[d]) / mean))
+def test_members_bound_the_pairs_and_copies_find_each_other(spark):
+    """A group of copies larger than ``members``: full lists of copies, not the same few for all."""
+    texts = ["one text that many documents hold word for word"] * 90 + zipf_texts(40)
+    nodes, got = found_lists(spark, texts, 8, 5, 5, 3)
+    copies = {nodes[i] for i in range(90)}
+    listed = Counter(o for i in range(90) for o in got[nodes[i]])
+    assert all(set(got[nodes[i]]) <= copies and len(got[nodes[i]]) == 5 for i in range(90))
+    assert len(listed) == 90 and max(listed.values()) == 5
 
-    for q in range(30):
-        terms = index.query[q].tolist()
-        assert np.allclose(sorted(weight(q, t) for t in terms), sorted(weight(q, t) for t in set(docs[q].tolist()))[-6:])
-        scores = np.array([sum(weight(d, t) for t in terms) for d in range(30)])
-        assert np.allclose(scores[index.ranked(q)], np.sort(scores)[::-1])
+
+def test_split_words_still_meet(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SPLIT", 10)
+    nodes, got = found_lists(spark, ["same words again"] * 60, 8, None, 4, 2)
+    assert all(got[nodes[i]] for i in range(60))
 
 
 def test_neighbours_share_a_window(spark):
@@ -147,43 +235,32 @@ def test_packing_nulls_repeats_and_empty(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_neighbours_come_from_the_whole_corpus(spark):
-    """With shards of three documents, each document's list is that of one index over all of them."""
-    import numpy as np
-    rng = np.random.default_rng(3)
-    words = [f"w{i:03d}" for i in range(120)]
-    rows = [(i, " ".join(rng.choice(words, rng.integers(4, 30)))) for i in range(90)]
-    path, k = vocabulary(BYTE_BPE), 5
-    encoded = packing.encode_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text", path, 1)
-    encoded = encoded.localCheckpoint()
-    n, mean, df = packing.document_frequencies(encoded, encoder(path).size)
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    got = {}
-    for r in packing.neighbours(encoded, n, mean, idf, "<u2", 24, k, 3, 1 << 20, 4).collect():
-        keys, _, near, scores = packing._unpack(r.data, *packing.LISTS)
-        assert (near >= 0).all()
-        got.update(zip(keys.tolist(), scores.reshape(-1, k)))
-    held = encoded.where("part = 0").orderBy("key").collect()
-    index = packing.Index([np.frombuffer(r.ids, "<u2") for r in held], idf, mean, 24)
-    for i, r in enumerate(held):
-        want = np.delete(index.scores(index.query[i]), i)
-        assert np.allclose(got[r.key], np.sort(want)[::-1][:k])
+def test_rows_of_one_node_lie_one_after_the_other(spark):
+    rows = [(1, "a b c d")] * 7 + [(2, "a b x")] + [(None, "a")] * 3
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), window=16, sketch_bits=10).collect()
+    at = sorted((r.sequence_id * 16 + r.offset, r.length, r.doc_id) for r in got)
+    assert all(a + n == b for (a, n, _), (b, _, _) in zip(at, at[1:])) and at[0][0] == 0
+    assert sum(1 for x, y in zip(at, at[1:]) if x[2] != y[2]) == 2
+
+
 def test_seeds_take_their_best_unused_neighbours():
-    import numpy as np
-    near = np.array([[3, 1], [0, -1], [4, 0], [0, 4], [2, -1]], np.int32)
+    near = [np.array(x, np.int64) for x in ([3, 1], [0], [4, 0], [0, 4], [2])]
     # 0, then its neighbours 3 and 1; 1 runs into the next window and has none left, so 2 and its neighbour 4 follow
-    assert packing.places(np.array([4, 5, 3, 4, 2]), near, 10).tolist() == [0, 8, 13, 4, 16]
+    at, missed = packing.places(np.array([4, 5, 3, 4, 2]), near, 10)
+    assert at.tolist() == [0, 8, 13, 4, 16] and missed == 1
+    # a seed without neighbours goes on with those of the documents placed since, the last one's first
+    near = [np.array(x, np.int64) for x in ([1], [2], [], [], [1])]
+    at, missed = packing.places(np.array([1, 1, 1, 1, 1]), near, 100, 7)
+    assert at.tolist() == [7, 8, 9, 10, 11] and missed == 2
 
 
-def test_best_of_a_large_shard_equals_a_full_sort():
-    import numpy as np
-    rng = np.random.default_rng(8)
-    docs = [rng.integers(0, 60, n).astype(np.uint16) for n in rng.integers(1, 40, 900)]
-    docs += [docs[0]] * 40
-    index = packing.Index(docs, rng.random(60), 20.0, 6)
-    keys = np.arange(len(docs)) * 7
-    for q in range(0, 940, 13):
-        found, scores = index.best(index.query[q], q * 7, keys, 4)
-        all_scores = index.scores(index.query[q])
-        want = sorted((i for i in range(940) if i != q), key=lambda i: (-all_scores[i], (i - q) % (1 << 64)))[:4]
-        assert found.tolist() == [7 * i for i in want] and np.allclose(scores, all_scores[want])
+def test_regions_keep_best_neighbours_together(spark):
+    texts = [f"topic{i % 40} subject{i % 40} theme{i % 40} number{i}" for i in range(400)]
+    nodes, lists = found_lists(spark, texts, 8, 64, 8, 4)
+    table = spark.createDataFrame([(v, 5) for v in nodes.values()], "node long, size long")
+    near = spark.createDataFrame([(v, n[0], bytearray(np.array(n, np.int64).tobytes())) for v, n in lists.items()], "node long, best long, near binary")
+    held, regions = packing.regions_of(table, near, 400, 50, scratch_folder(spark, "test"))
+    region = {r.node: r.region for r in held.collect()}
+    assert regions == 8 and len(region) == 400
+    together = sum(region[v] == region[n[0]] for v, n in lists.items()) / len(lists)
+    assert together > 0.9 and max(Counter(region.values()).values()) <= 150
