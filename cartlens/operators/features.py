@@ -72,14 +72,18 @@ def pack_features(features: DataFrame, categories: Sequence[int], item: str = IT
 
 
 def wide_to_words(df: DataFrame, feature_cols: Sequence[str], keep: Sequence[str],
-                  prefix: str = "w") -> DataFrame:
-    """Wide 0/1 columns to packed words, row by row (one SQL expression per
-    word)."""
+                  prefix: str = "w", binary: bool = False) -> DataFrame:
+    """Wide columns to packed words, row by row (one SQL expression per word).
+    A cell other than 0 sets its bit and a missing one does not; with
+    ``binary`` a cell that is neither 0, 1 nor missing is an error instead."""
     cols = list(feature_cols)
     exprs = []
     for j in range(n_words(len(cols))):
         part = cols[j * 64:(j + 1) * 64]
         text = " | ".join(f"shiftleft(cast(coalesce({quoted(c)}, 0) <> 0 as bigint), {b})" for b, c in enumerate(part))
+        if binary:
+            fits = " and ".join(f"coalesce({quoted(c)}, 0) in (0, 1)" for c in part)
+            text = f"case when {fits} then {text} else cast(raise_error('a feature cell is neither 0 nor 1') as bigint) end"
         exprs.append(f"{text} as {quoted(prefix + str(j))}")
     return df.selectExpr(*[quoted(k) for k in keep], *exprs)
 

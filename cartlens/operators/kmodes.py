@@ -206,18 +206,31 @@ def seeds(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[
                         *[F.col("_s")["_b"][c].alias(c) for c in [*payload, *words]])
 
 
-def _agreement(words: Sequence[str], n_features: int) -> Column:
-    """Cells of the group that agree with the row's, over all features: ``ones``
-    of each feature the row has, the rest of the others."""
-    terms = []
-    for i in range(n_features):
-        j, b = divmod(i, WORD_BITS)
-        terms.append(f"if(shiftright({quoted(words[j])}, {b}) & 1 = 1, _o{i}, n - _o{i})")
-    return F.expr(" + ".join(terms))
+@dataclass
+class Bits:
+    """What ``density_seeds`` asks of 0/1 cells in words."""
+
+    n_features: int
+
+    def sums(self, words: Sequence[str]) -> list[Column]:
+        """Counts of a group, as columns ``_o...``."""
+        return _bit_sums(words, self.n_features)
+
+    def agreement(self, words: Sequence[str]) -> Column:
+        """Cells of the group (``n`` rows) that agree with the row's, over all
+        features: the ones of each feature the row has, the rest of the others."""
+        terms = []
+        for i in range(self.n_features):
+            j, b = divmod(i, WORD_BITS)
+            terms.append(f"if(shiftright({quoted(words[j])}, {b}) & 1 = 1, _o{i}, n - _o{i})")
+        return F.expr(" + ".join(terms))
+
+    def distance(self, words: Sequence[str], other: Sequence[Column]) -> Column:
+        return distance_to(words, other)
 
 
 def density_seeds(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[str], n_features: int, k: int,
-                  payload: Sequence[str] = ()) -> DataFrame:
+                  payload: Sequence[str] = (), cells: Bits | None = None) -> DataFrame:
     """Initial modes for any ``k``: ``(group, seed, payload..., w...)``, k distinct rows of each group.
 
     The density of a row is the number of cells of the group that agree with it,
@@ -233,12 +246,13 @@ def density_seeds(rows: DataFrame, group: str, order: Sequence[Column], words: S
     Rows are laid out by group once and keep their density there, so each
     aggregate joins one row per layout key, and a group above a task's rows stays
     split.  The seeds so far are k * words numbers a group."""
-    words, spark = list(words), rows.sparkSession
+    words, spark, cells = list(words), rows.sparkSession, cells or Bits(n_features)
     base = rows if "_ord" in rows.columns else laid_out(rows, group, order, words, payload)
     keys = _keys(base, group)
-    counts = value_count(base, group, words, n_features, carry=["_nsalt"] if len(keys) > 1 else []).drop("n_values")
+    carry = [F.first("_nsalt").alias("_nsalt")] if len(keys) > 1 else []
+    counts = base.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *carry, *cells.sums(words))
     dense = checkpoint_in_place(base.drop("_nsalt").join(_spread(counts), keys).select(
-        *keys, "_ord", *payload, *words, _agreement(words, n_features).alias("_density")))
+        *keys, "_ord", *payload, *words, cells.agreement(words).alias("_density")))
     folder = scratch_folder(spark, "seeds")
     chosen = None  # (group, _s0_w0, ..., _s{s}_w{j}): the seeds so far
     for s in range(k):
@@ -246,7 +260,7 @@ def density_seeds(rows: DataFrame, group: str, order: Sequence[Column], words: S
         if s == 0:
             scored = dense.withColumn("_score", -F.col("_density"))
         else:
-            near = [distance_to(words, [F.col(f"_s{t}_{w}") for w in words]) for t in range(s)]
+            near = [cells.distance(words, [F.col(f"_s{t}_{w}") for w in words]) for t in range(s)]
             away = F.least(*near) if s > 1 else near[0]
             so_far = _spread(_salts(base, group, chosen.drop(*[f"_p{t}" for t in range(s)])))
             scored = dense.join(so_far, keys).withColumn("_score", -F.col("_density") * away)

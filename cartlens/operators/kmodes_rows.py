@@ -38,9 +38,9 @@ def _distance(row: str, words: Sequence[str], modes: str, at: int) -> str:
     return " + ".join(f"bit_count({row}.{quoted(w)} ^ {modes}[{at + j}])" for j, w in enumerate(words))
 
 
-def _nearest(row: str, words: Sequence[str], modes: str, k: int) -> str:
+def _nearest(row: str, words: Sequence[str], modes: str, k: int, distance=_distance) -> str:
     """Cluster of the nearest mode, the lowest on ties."""
-    pairs = [f"named_struct('d', {_distance(row, words, modes, c * len(words))}, 'c', {c})" for c in range(k)]
+    pairs = [f"named_struct('d', {distance(row, words, modes, c * len(words))}, 'c', {c})" for c in range(k)]
     return f"array_min(array({', '.join(pairs)})).c"
 
 
@@ -105,30 +105,31 @@ def seed_words(words: Sequence[str], n_features: int, planes: int) -> str:
     return _let(_mode("_rows", words, planes), "m", _let(mixed, "v", _let(f"array({', '.join(first)})", "q", both)))
 
 
-def fitted(groups: DataFrame, words: Sequence[str], k: int, limit: str, planes: int, starts: str) -> DataFrame:
+def fitted(groups: DataFrame, words: Sequence[str], k: int, limit: str, planes: int, starts: str, distance=_distance,
+           mode=_mode) -> DataFrame:
     """``groups`` with ``_fit``: ``m`` the final modes (k times the words),
     ``cl`` the cluster of every entry, ``done`` and ``rounds``.
 
     ``limit`` and ``starts`` are SQL text: the round limit, and the starting
-    modes.  A round assigns all rows at once and takes the modes of the
+    modes.  ``distance`` and ``mode`` write the SQL of those two for other cells
+    than bits (``categorical``).  A round assigns all rows at once and takes the modes of the
     clusters; it is the last if it moves no row (the first always moves) or is
     the ``limit``-th."""
-    n = len(words)
-    clusters = [_let(f"filter(_rows, (r, i) -> cl[i] = {c})", "own", _mode("own", words, planes)) for c in range(k)]
-    one = _let(f"transform(_rows, r -> {_nearest('r', words, 's.m', k)})", "cl",
+    clusters = [_let(f"filter(_rows, (r, i) -> cl[i] = {c})", "own", mode("own", words, planes)) for c in range(k)]
+    one = _let(f"transform(_rows, r -> {_nearest('r', words, 's.m', k, distance)})", "cl",
                f"named_struct('m', concat({', '.join(clusters)}), 'cl', cl, "
                f"'done', s.rounds + 1 >= ({limit}) or cl = s.cl, 'rounds', s.rounds + 1)")
     # before the first round no row has a cluster, so the first moves all of them
     start = f"named_struct('m', {starts}, 'cl', transform(_rows, r -> -1), 'done', false, 'rounds', 0)"
     rounds = f"aggregate(sequence(1, greatest(1, {limit})), {start}, (s, i) -> if(s.done, s, {one}))"
-    assert n * k > 0
     return groups.withColumn("_fit", F.expr(rounds))
 
 
-def assignments_of(done: DataFrame, group: str, words: Sequence[str], payload: Sequence[str], cluster: str) -> DataFrame:
+def assignments_of(done: DataFrame, group: str, words: Sequence[str], payload: Sequence[str], cluster: str, distance=_distance) -> DataFrame:
     """One row per entry: ``(group, payload..., cluster, distance, rounds, _ord, w...)``."""
     n = len(words)
-    away = " + ".join(f"bit_count(r.{quoted(w)} ^ _fit.m[_fit.cl[i] * {n} + {j}])" for j, w in enumerate(words))
+    own = f"slice(_fit.m, _fit.cl[i] * {n} + 1, {n})"
+    away = _let(own, "o", distance("r", words, "o", 0))
     fields = [*[f"'{p}', r.{quoted(p)}" for p in payload], f"'{cluster}', _fit.cl[i]", f"'distance', cast({away} as int)",
               "'rounds', _fit.rounds", "'_ord', r._ord", *[f"'{w}', r.{quoted(w)}" for w in words]]
     return done.select(group, F.expr(f"inline(transform(_rows, (r, i) -> named_struct({', '.join(fields)})))"))

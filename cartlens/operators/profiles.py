@@ -59,24 +59,27 @@ def stratum_purchases(purchases: DataFrame, stratum: DataFrame) -> DataFrame:
 
 
 def profile_comparison(sessions: DataFrame, purchases: DataFrame, features: DataFrame,
-                       categories: Sequence[int], length: int, dedupe: bool = False) -> DataFrame:
+                       categories: Sequence[int], length: int | Sequence[int], dedupe: bool = False) -> DataFrame:
     """Consumed versus purchased profile for every session of exactly
     ``length`` items (C15): ``(session_id, purchased_item, category,
-    consumed_share, purchased_share)``, one block per purchase.
+    consumed_share, purchased_share)``, one block per purchase.  With several
+    lengths, all their sessions in one pass, and their ``length``.
 
     The purchased item is a list of one, so its shares are its own count
     row.  Consumed shares (one aggregate per session) and the purchased
     item's counts are joined wide, one row per purchase, and unpivoted
     together: no join on (session, category)."""
     counts = _item_counts(features, categories, dedupe)
-    stratum = session_lengths(sessions).where(F.col("nb_items") == length).select(SESSION)
+    lengths, carry = ([length], []) if isinstance(length, int) else (list(length), ["length"])
+    stratum = session_lengths(sessions, "length").where(F.col("length").isin(lengths)).select(SESSION, *carry)
     consumed = _shares_wide(sessions.join(stratum, SESSION, "left_semi"), counts, categories, SESSION)
     consumed = consumed.selectExpr(SESSION, *[f"`{c}` as c{c}" for c in categories])
-    bought = stratum_purchases(purchases, stratum).withColumnRenamed(ITEM, "purchased_item")
+    bought = purchases.join(stratum, SESSION, "inner").select(SESSION, F.col(ITEM).alias("purchased_item"), *carry)
     item_cells = counts.selectExpr(f"{ITEM} as purchased_item", *[f"`{c}` as p{c}" for c in categories])
     wide = bought.join(consumed, SESSION, "inner").join(item_cells, "purchased_item", "left")
     cells = F.expr("explode(array(" + ", ".join(
         f"named_struct('category', {c}, 'consumed_share', c{c}, "
         f"'purchased_share', cast(coalesce(p{c}, 0) as double))" for c in categories) + ")) as _x")
-    return wide.select(SESSION, "purchased_item", cells).select(
-        SESSION, "purchased_item", "_x.category", "_x.consumed_share", "_x.purchased_share")
+    return wide.select(SESSION, "purchased_item", *carry, cells).select(
+        SESSION, "purchased_item", "_x.category", "_x.consumed_share", "_x.purchased_share",
+        *[F.col(c).cast("int").alias(c) for c in carry])

@@ -8,10 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartlens.constants import PREFERENCE_THRESHOLD, RECENT_ITEMS, SHORT_SESSION_MAX_ITEMS
+from cartlens.constants import PREFERENCE_THRESHOLD, RECENT_ITEMS, SAMPLE_BANDS, SHORT_SESSION_MAX_ITEMS
 from cartlens.functions.bits import quoted
 from cartlens.functions.scalar import band_fraction, epoch_micros, sample_unit, threshold_sql
 from cartlens.operators.cells import cell_sums, cell_words, planes_of
+from cartlens.operators.sampling import band_of, bottom_k, quotas
 from cartlens.runtime import checkpoint_dir
 
 SESSION, ITEM, DATE = "session_id", "item_id", "date"
@@ -103,6 +104,17 @@ def stratum_sessions(sessions: DataFrame, length: int, n: int | None = None,
     return out
 
 
+def _gaps(frame: DataFrame, following: Column, kind, keep: Sequence[str]) -> DataFrame:
+    seconds = (epoch_micros(following, kind) - epoch_micros(DATE, kind)) / F.lit(1e6)
+    return frame.select(SESSION, ITEM, DATE, *keep, seconds.alias("time_spent"))
+
+
+def plain_time_spent(sessions: DataFrame, order: Sequence[str] = (DATE, ITEM), keep: Sequence[str] = (), kind=None) -> DataFrame:
+    """``time_spent`` by one window per session, for sessions that fit a task."""
+    w = Window.partitionBy(SESSION).orderBy(*[F.col(c) for c in order])
+    return _gaps(sessions, F.lead(DATE).over(w), kind or sessions.schema[DATE].dataType, keep)
+
+
 def time_spent(sessions: DataFrame, order: Sequence[str] = (DATE, ITEM),
                rows_per_task: int = 1 << 20, keep: Sequence[str] = ()) -> DataFrame:
     """Seconds from each view to the next one of the same session (W1);
@@ -119,11 +131,8 @@ def time_spent(sessions: DataFrame, order: Sequence[str] = (DATE, ITEM),
     kind = sessions.schema[DATE].dataType
     by = [F.col(c) for c in order]
 
-    def gap(frame: DataFrame, following: Column) -> DataFrame:
-        seconds = (epoch_micros(following, kind) - epoch_micros(DATE, kind)) / F.lit(1e6)
-        return frame.select(SESSION, ITEM, DATE, *keep, seconds.alias("time_spent"))
-
-    plain = lambda frame: gap(frame, F.lead(DATE).over(Window.partitionBy(SESSION).orderBy(*by)))
+    gap = lambda frame, following: _gaps(frame, following, kind, keep)
+    plain = lambda frame: plain_time_spent(frame, order, keep, kind)
     # at most (all rows / rows_per_task) sessions are hot, so this side is small
     hot = (rows.groupBy(SESSION).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_task))
     pieces = hot.agg(F.sum(F.ceil(F.col("_n") / F.lit(rows_per_task)))).first()[0]
@@ -156,16 +165,23 @@ def recent_items(sessions: DataFrame, n: int = RECENT_ITEMS, tie: Sequence[str]
 
 
 def sample_sessions(sessions: DataFrame, encoded: DataFrame, feature_cols: Sequence[str],
-                    seed: int = 42, bands=None) -> DataFrame:
+                    seed: int = 42, bands=None, sample_size: int | None = None) -> DataFrame:
     """Stratified sample of whole sessions by length.
 
     Length 20-30 keeps 70%, 31-50 80%, 51-100 all; other lengths none.  A
     session is kept when its seeded hash unit is below its fraction, so the
-    sample repeats exactly and needs no driver-side fraction map.  Rows of
-    kept sessions are joined to the item features (inner)."""
+    sample repeats exactly and needs no driver-side fraction map.  With
+    ``sample_size`` exactly that many sessions are kept (or as many as the
+    fractions allow), shared out over the bands in proportion to fraction times
+    sessions, in each band those of smallest hash (``sampling``).  Rows of kept
+    sessions are joined to the item features (inner)."""
     lengths = session_lengths(sessions)
-    frac = band_fraction("nb_items") if bands is None else band_fraction("nb_items", bands)
-    kept = lengths.where(sample_unit(SESSION, seed) < frac).select(SESSION)
+    bands = SAMPLE_BANDS if bands is None else bands
+    if sample_size is None:
+        kept = lengths.where(sample_unit(SESSION, seed) < band_fraction("nb_items", bands)).select(SESSION)
+    else:
+        keyed = lengths.select(SESSION, band_of("nb_items", bands).alias("stratum")).where("stratum is not null")
+        kept = bottom_k(keyed, SESSION, quotas(keyed, [f for *_, f in bands], sample_size), seed).select(SESSION)
     rows = sessions.select(SESSION, DATE, ITEM).join(kept, SESSION, "left_semi")
     return rows.join(encoded.select(ITEM, *feature_cols), ITEM, "inner") \
                .select(SESSION, DATE, ITEM, *feature_cols)

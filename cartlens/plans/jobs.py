@@ -24,7 +24,7 @@ from cartlens.operators import preference as PF
 from cartlens.operators import recommend as RC
 from cartlens.operators.features import clean_features, encode_features, wide_to_words, words_to_wide
 from cartlens.operators.sessions import sample_sessions, session_lengths, session_preferences
-from cartlens.sources.files import read_csv, reuse_or_compute, schema_from_header, write_table
+from cartlens.sources.files import read_csv, reuse_if_unchanged, schema_from_header, write_table
 
 
 def _scan(spark: SparkSession, path: str, fmt: str) -> DataFrame:
@@ -76,31 +76,32 @@ def preprocess_sessions(spark: SparkSession, sessions_path: str, encoded_path: s
 
 
 def sample(spark: SparkSession, sessions_path: str, encoded_path: str, dest: str, fmt: str = "csv",
-           seed: int = 42, mode: str = "errorifexists") -> None:
+           seed: int = 42, mode: str = "errorifexists", sample_size: int | None = None) -> None:
     """Stratified sample of sessions of 20 to 100 items with their item
-    features (C6)."""
+    features (C6); exactly ``sample_size`` sessions if given."""
     enc = _encoded(spark, encoded_path, fmt)
     cols = [c for c in enc.columns if c != "item_id"]
-    write_table(sample_sessions(_sessions(spark, sessions_path, fmt), enc, cols, seed), dest, fmt=fmt, mode=mode)
+    sampled = sample_sessions(_sessions(spark, sessions_path, fmt), enc, cols, seed, sample_size=sample_size)
+    write_table(sampled, dest, fmt=fmt, mode=mode)
 
 
 def session_counts(spark: SparkSession, sessions_path: str, counts_path: str, fmt: str = "csv") -> DataFrame:
     """Items per session (A1), computed and saved at the first call and read
-    from ``counts_path`` afterwards (S6)."""
+    from ``counts_path`` afterwards, as long as the files of the sessions stay as they are (S6)."""
     schema = T.StructType([T.StructField("session_id", T.LongType()), T.StructField("nb_items", T.LongType())])
-    return reuse_or_compute(spark, counts_path, lambda: session_lengths(_sessions(spark, sessions_path, fmt)), fmt, schema)
+    return reuse_if_unchanged(spark, counts_path, lambda: session_lengths(_sessions(spark, sessions_path, fmt)), fmt, schema)
 
 
 def _packed(spark: SparkSession, encoded_path: str, fmt: str) -> tuple[DataFrame, list[str], list[str]]:
-    """Packed item vectors of a saved multi-hot table, its categories and its words."""
+    """Packed item vectors of a saved multi-hot table (cells must be 0 or 1), its categories and its words."""
     enc = _encoded(spark, encoded_path, fmt)
     cols = [c for c in enc.columns if c != "item_id"]
-    return wide_to_words(enc, cols, ["item_id"]), cols, word_names(len(cols))
+    return wide_to_words(enc, cols, ["item_id"], binary=True), cols, word_names(len(cols))
 
 
 def _words(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     prefs = read_csv(spark, path, schema=schema_from_header(spark, path, "session_id")) if fmt == "csv" else spark.read.parquet(path)
-    return wide_to_words(prefs, [c for c in prefs.columns if c != "session_id"], ["session_id"])
+    return wide_to_words(prefs, [c for c in prefs.columns if c != "session_id"], ["session_id"], binary=True)
 
 
 def _long_fit(spark: SparkSession, sessions_path: str, encoded_path: str, fmt: str, min_len: int):

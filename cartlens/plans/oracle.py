@@ -170,6 +170,34 @@ def sample_sessions() -> str:
          "where s.session_id in (select session_id from kept)")
 
 
+def sample_sessions_sized() -> str:
+    unit = "cast('0x' || substr(md5(concat('42:', cast(session_id as varchar))), 1, 8) as bigint) / 4294967296.0"
+    band = "case when nb_items between 20 and 30 then 0 when nb_items between 31 and 50 then 1 when nb_items between 51 and 100 then 2 end"
+    return _with(s=CUSTOMER_SESSIONS, **EMB_BASE, lens=LENS,
+                 keyed=f"select session_id, {unit} as u, {band} as band from lens where nb_items between 20 and 100",
+                 counts="select band, count(*) * [0.7::double, 0.8::double, 1.0::double][band + 1] as w from keyed group by band",
+                 up_to="select band, sum(w) over (order by band) as c, sum(w) over () as t from counts",
+                 rounded="select band, floor(least(100.0::double, floor(t)) * c / t) as r from up_to",
+                 quota="select band, r - coalesce(lag(r) over (order by band), 0) as q from rounded",
+                 ranked="select session_id, band, row_number() over (partition by band order by u, session_id) as n from keyed",
+                 kept="select session_id from ranked join quota using (band) where n <= q") + \
+        (f"select s.session_id, s.date, s.item_id, {_cols('enc.')} from s join enc on s.item_id = enc.item_id "
+         "where s.session_id in (select session_id from kept)")
+
+
+def group_mode_values() -> str:
+    cols = ", ".join(
+        f"case when count(*) filter (where r.\"{c}\" = 0) >= greatest(count(*) filter (where r.\"{c}\" = 1), count(*) filter (where r.\"{c}\" = 2)) "
+        f"then 0 when count(*) filter (where r.\"{c}\" = 1) >= count(*) filter (where r.\"{c}\" = 2) then 1 else 2 end::bigint as \"{c}\"" for c in EMB)
+    return _with(s=EVENT_SESSIONS, **EMB_BASE, raw=_encode("emb_raw"), lens=LENS) + \
+        (f"select s.session_id, {cols} from s join lens using (session_id) join raw r on r.item_id = s.item_id "
+         "where nb_items >= 11 group by s.session_id")
+
+
+def csv_inferred() -> str:
+    return _with(s=ORDER_SESSIONS) + "select cast(session_id as int) session_id, cast(item_id as int) item_id, cast(l_linenumber as int) line from s"
+
+
 def time_spent() -> str:
     return _with(s=EVENT_SESSIONS) + \
         ("select session_id, item_id, date, date_diff('microsecond', date, lead(date) over "
@@ -361,6 +389,23 @@ def kmodes_seeds() -> str:
         "select session_id, 0 seed, item_id, date from s0 union all select session_id, 1, item_id, date from s1"
 
 
+def kmodes_density_seeds() -> str:
+    """Three seeds: the densest row, then twice the greatest product of density
+    and distance to the nearest seed so far; the newest row of equal ones."""
+    ones = ", ".join(f"sum(\"{c}\") o{i}" for i, c in enumerate(EMB))
+    density = _sum([f"case when r.\"{c}\" = 1 then g.o{i} else g.n - g.o{i} end" for i, c in enumerate(EMB)])
+    away = lambda s: _sum([f"(r.\"{c}\" <> {s}.\"{c}\")::int" for c in EMB])
+    first = lambda score, frm: (f"select * exclude (rn) from (select r.*, row_number() over (partition by r.session_id "
+                                f"order by {score} desc, r.date desc, r.item_id) rn from {frm}) where rn = 1")
+    return _with(**_long_rows(), g=f"select session_id, count(*) n, {ones} from kr group by session_id",
+                 d=f"select r.*, {density} as density from kr r join g on g.session_id = r.session_id",
+                 s0=first("r.density", "d r"),
+                 s1=first(f"r.density * ({away('a')})", "d r join s0 a on a.session_id = r.session_id"),
+                 s2=first(f"r.density * least({away('a')}, {away('b')})",
+                          "d r join s0 a on a.session_id = r.session_id join s1 b on b.session_id = r.session_id")) + \
+        " union all ".join(f"select session_id, {i} seed, item_id, date from s{i}" for i in range(3))
+
+
 def kmodes_assign() -> str:
     return _with(**_long_rows(), **_kmodes_ctes("kr")) + "select session_id, item_id, date, cl as cluster from a1"
 
@@ -480,10 +525,19 @@ ORACLE: dict[str, str] = {
         "csv_no_header": csv_no_header,
         "csv_header_schema": encode_features,
         "reused_counts": session_lengths,
+        "reused_after_growth": session_lengths,
+        "csv_inferred": csv_inferred,
+        "sample_sessions_sized": sample_sessions_sized,
+        "session_preferences_loaded": session_preferences,
+        "time_spent_stored": time_spent,
+        "recent_items_stored": recent_items,
+        "short_session_rows_stored": short_session_rows,
+        "group_mode_values": group_mode_values,
         "value_domain": value_domain,
         "value_frequency": value_frequency,
         "group_mode": group_mode,
         "kmodes_seeds": kmodes_seeds,
+        "kmodes_density_seeds": kmodes_density_seeds,
         "kmodes_assign": kmodes_assign,
         "kmodes_fit": kmodes_fit,
         "cluster_sizes": cluster_sizes,

@@ -9,13 +9,13 @@ short strata; ``customer_sessions`` for long sessions and sampling.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartlens.constants import STRATUM_SESSIONS
 from cartlens.functions.scalar import category_int
+from cartlens.operators import categorical as CT
 from cartlens.operators import distance as D
 from cartlens.operators import features as FT
 from cartlens.operators import hamming_index as HI
@@ -25,11 +25,15 @@ from cartlens.operators import preference as PF
 from cartlens.operators import profiles as PR
 from cartlens.operators import recommend as RC
 from cartlens.operators import sessions as S
+from cartlens.operators.session_store import SessionSums, loads
 from cartlens.plans.inputs import (EMB_CATS, EMB_COLS, EMB_WORDS, PART_CATS, PART_WORDS, customer_views, emb_encoded,
                                   emb_encoded_raw, emb_packed, part_packed, pref_words, wide_pref_words)
 from cartlens.runtime import scratch_folder
 from cartlens.sources import fixtures as X
-from cartlens.sources.files import read_csv, read_csv_no_header, reuse_or_compute, schema_from_header, write_table
+from cartlens.sources.files import (read_csv, read_csv_no_header, reuse_if_unchanged, reuse_or_compute, schema_from_header,
+                                    write_table)
+from cartlens.sources.inference import read_inferred
+from cartlens.sources.stored import store_by_session
 
 # Rows of the top lists here: fewer than the fixture's 100 items, so order and limit show.
 SHOWN = 30
@@ -131,10 +135,9 @@ def q_profile_comparison(spark, sf_dir):
 
 
 def q_profile_comparison_strata(spark, sf_dir):
-    """The same for event sessions of 100, 20, 5 and 1 items, with the length."""
-    sessions, bought, features = X.event_sessions(spark, sf_dir), X.event_purchases(spark, sf_dir), X.embedding_features(spark, sf_dir)
-    strata = [PR.profile_comparison(sessions, bought, features, EMB_CATS, n).withColumn("length", F.lit(n)) for n in PROFILE_LENGTHS]
-    return reduce(DataFrame.unionByName, strata)
+    """The same for event sessions of 100, 20, 5 and 1 items, with the length, in one pass."""
+    return PR.profile_comparison(X.event_sessions(spark, sf_dir), X.event_purchases(spark, sf_dir),
+                                 X.embedding_features(spark, sf_dir), EMB_CATS, PROFILE_LENGTHS)
 
 
 def q_sample_sessions(spark, sf_dir):
@@ -142,6 +145,45 @@ def q_sample_sessions(spark, sf_dir):
     return S.sample_sessions(X.customer_sessions(spark, sf_dir), emb_encoded(spark, sf_dir), EMB_COLS)
 
 
+SAMPLE_SIZE = 100
+
+
+def q_sample_sessions_sized(spark, sf_dir):
+    """Exactly 100 customer sessions, shared out over the length bands, with features."""
+    return S.sample_sessions(X.customer_sessions(spark, sf_dir), emb_encoded(spark, sf_dir), EMB_COLS, sample_size=SAMPLE_SIZE)
+
+
+def q_session_preferences_loaded(spark, sf_dir):
+    """Preferences from sums that three loads of rows were merged into."""
+    layout, folder = SessionSums(EMB_COLS), scratch_folder(spark, "sums")
+    sums, encoded = None, emb_encoded(spark, sf_dir)
+    for part in loads(X.event_sessions(spark, sf_dir), 3, "item_id", "date"):
+        sums = layout.load(part, encoded, folder)
+    return layout.preferences(sums)
+
+
+def _stored_events(spark, sf_dir):
+    """Event sessions stored by session, under a name of their own."""
+    folder = scratch_folder(spark, "stored")
+    return store_by_session(X.event_sessions(spark, sf_dir).select("session_id", "item_id", "date"),
+                            folder.rsplit("/", 1)[1].replace("-", "_"), path=folder)
+
+
+def q_time_spent_stored(spark, sf_dir):
+    """W1 over sessions stored by session."""
+    return _stored_events(spark, sf_dir).time_spent()
+
+
+def q_recent_items_stored(spark, sf_dir):
+    """T8, W2, T2 over sessions stored by session."""
+    return _stored_events(spark, sf_dir).recent_items(10)
+
+
+def q_short_session_rows_stored(spark, sf_dir):
+    """J1, P4 over sessions stored by session."""
+    return _stored_events(spark, sf_dir).in_band(hi=20)
+
+
 def q_time_spent(spark, sf_dir):
     """Seconds to the next view of the same event session."""
     return S.time_spent(X.event_sessions(spark, sf_dir))
@@ -256,6 +298,33 @@ def q_group_mode(spark, sf_dir):
     return _unpacked(modes, ["session_id"])
 
 
+def _valued_rows(spark, sf_dir):
+    """Long event sessions with the raw cells (0, 1, 2) of their items in lanes."""
+    raw = emb_encoded_raw(spark, sf_dir)
+    codec = CT.dictionary(raw, EMB_COLS)
+    return codec, PF.clustering_rows(X.event_sessions(spark, sf_dir), CT.encode(raw, codec, ["item_id"]), lo=11)
+
+
+def q_group_mode_values(spark, sf_dir):
+    """A11 beyond 0/1: most frequent raw cell of each category in each long session, the lowest on ties."""
+    codec, rows = _valued_rows(spark, sf_dir)
+    return CT.group_modes(rows, "session_id", codec).select("session_id", *codec.decoded(dict.fromkeys(EMB_COLS, "bigint")))
+
+
+def q_kmodes_fit_values(spark, sf_dir):
+    """C8 beyond 0/1: k-modes of the raw cells of every long session, three clusters from density seeds."""
+    codec, rows = _valued_rows(spark, sf_dir)
+    fit = CT.fit(rows, "session_id", PF.newest_first(rows), codec, 3, "rows", ["item_id", "date"])
+    return fit.assignments.select("session_id", "item_id", "date", "cluster")
+
+
+def q_kmodes_density_seeds(spark, sf_dir):
+    """C7 for k = 3: density seeds of each long session."""
+    rows = _long_rows(spark, sf_dir)
+    return KM.density_seeds(rows, "session_id", PF.newest_first(rows), EMB_WORDS, len(EMB_CATS), 3, ["item_id", "date"]) \
+        .select("session_id", "seed", "item_id", "date")
+
+
 def _laid_out(spark, sf_dir):
     rows = _long_rows(spark, sf_dir)
     return KM.laid_out(rows, "session_id", PF.newest_first(rows), EMB_WORDS, ["item_id", "date"])
@@ -345,6 +414,22 @@ def q_reused_counts(spark, sf_dir):
     return reuse_or_compute(spark, folder, lambda: S.session_lengths(X.order_sessions(spark, sf_dir).limit(0)))
 
 
+def q_reused_after_growth(spark, sf_dir):
+    """Saved session lengths whose input has grown are computed again."""
+    source, saved = scratch_folder(spark, "source"), scratch_folder(spark, "counts")
+    first, second = loads(X.order_sessions(spark, sf_dir).select("session_id", "item_id"), 2, "session_id", "item_id")
+    lengths = lambda: S.session_lengths(spark.read.parquet(source))
+    first.write.parquet(source)
+    reuse_if_unchanged(spark, saved, lengths)
+    second.write.mode("append").parquet(source)
+    return reuse_if_unchanged(spark, saved, lengths)
+
+
+def q_csv_inferred(spark, sf_dir):
+    """Order lines through CSV, typed from a sample of every file; no row misfits."""
+    return read_inferred(spark, _saved(spark, _line_items(spark, sf_dir)), rows_per_file=500).rows
+
+
 QUERIES: dict[str, Query] = {
     "session_lengths": q_session_lengths,
     "session_count": q_session_count,
@@ -385,6 +470,16 @@ QUERIES: dict[str, Query] = {
     "csv_no_header": q_csv_no_header,
     "csv_header_schema": q_csv_header_schema,
     "reused_counts": q_reused_counts,
+    "reused_after_growth": q_reused_after_growth,
+    "csv_inferred": q_csv_inferred,
+    "sample_sessions_sized": q_sample_sessions_sized,
+    "session_preferences_loaded": q_session_preferences_loaded,
+    "time_spent_stored": q_time_spent_stored,
+    "recent_items_stored": q_recent_items_stored,
+    "short_session_rows_stored": q_short_session_rows_stored,
+    "group_mode_values": q_group_mode_values,
+    "kmodes_fit_values": q_kmodes_fit_values,
+    "kmodes_density_seeds": q_kmodes_density_seeds,
     "value_domain": q_value_domain,
     "value_frequency": q_value_frequency,
     "group_mode": q_group_mode,

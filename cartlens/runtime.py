@@ -114,6 +114,39 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(place))
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    fs, place = _place(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
+
+
+def file_status(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Size and time of change of a file."""
+    fs, place = _place(spark, path)
+    status = fs.getFileStatus(place)
+    return status.getLen(), status.getModificationTime()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file with this text, written over one that is there."""
+    fs, place = _place(spark, path)
+    out = fs.create(place, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    fs, place = _place(spark, path)
+    stream = fs.open(place)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``cartlens`` importable by the Python workers of every executor
     (needed by the Arrow-batched k-NN kernel): the package's sources are

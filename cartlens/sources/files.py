@@ -6,12 +6,19 @@ Whole folders are written and read back; no part file is renamed.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from cartlens.runtime import folder_exists
+from cartlens.runtime import file_status, folder_exists, read_text, write_text
+
+#: Beside ``_SUCCESS``; readers skip names that begin with an underscore.
+MANIFEST = "_INPUTS"
 
 SESSIONS_SCHEMA = T.StructType([
     T.StructField("session_id", T.LongType(), True),
@@ -101,3 +108,46 @@ def reuse_or_compute(spark: SparkSession, path: str, compute: Callable[[], DataF
     if fmt == "csv":
         return read_csv(spark, path, schema=schema or computed.schema)
     return spark.read.format(fmt).load(path)
+
+
+def manifest_of(df: DataFrame) -> dict:
+    """What ``df`` is computed from and how: the number of its input files, a
+    digest of each one's path, size and time, and a digest of the plan.
+
+    Files are listed as Spark lists them for the scan, and asked for their
+    state one by one; only digests are kept.  A plan's text is taken without the
+    numbers that Spark gives to its columns, so the same query has the same digest in
+    another session.  Rows that come from neither files nor the plan (made in the program, or
+    checkpointed) cannot be told from others, so such a frame never has the same digest twice."""
+    spark = df.sparkSession
+    files = sorted(df.inputFiles())
+    state = hashlib.sha256()
+    for path in files:
+        state.update(json.dumps([path, *file_status(spark, path)]).encode())
+    plan = df._jdf.queryExecution().analyzed().canonicalized().toString()
+    if re.search("LogicalRDD|ExternalRDD", plan):
+        plan += uuid.uuid4().hex
+    plan = re.sub(r"#-?\d+L?|@[0-9a-f]+|\[\d+\]", "", plan)
+    return {"files": len(files), "inputs": state.hexdigest(), "plan": hashlib.sha256(plan.encode()).hexdigest()}
+
+
+def reuse_if_unchanged(spark: SparkSession, path: str, compute: Callable[[], DataFrame], fmt: str = "parquet",
+                       schema: T.StructType | None = None) -> DataFrame:
+    """As ``reuse_or_compute``, but the saved table knows its input (S6): it is
+    computed again, and written over, if an input file has come, gone or changed,
+    or if the query is another one.
+
+    The manifest of the input is taken before the table is computed and saved
+    after it, so a file that changes meanwhile makes the table stale, never fresh.
+    ``compute`` is called each time, to see what it would read; its frame
+    must be lazy to save anything."""
+    computed = compute()
+    now = manifest_of(computed)
+    place = f"{path}/{MANIFEST}"
+    fresh = folder_exists(spark, f"{path}/_SUCCESS") and folder_exists(spark, place) and json.loads(read_text(spark, place)) == now
+    if not fresh:
+        write_table(computed, path, fmt=fmt, mode="overwrite")
+        write_text(spark, place, json.dumps(now))
+    if fmt == "csv":
+        return read_csv(spark, path, schema=schema or computed.schema)
+    return spark.read.format(fmt).load(path)

@@ -35,7 +35,7 @@ def test_entry_imports_without_the_corpus_operators(tmp_path, without):
     """With their folders deleted (and the pipeline or not), the other queries are all there."""
     skip = shutil.ignore_patterns("llm", ".git", "__pycache__", *without)
     shutil.copytree(REPO, tmp_path / "copy", ignore=skip)
-    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, set(e.oracle_sql()) == set(q))"
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, set(e.oracle_sql()) <= set(q))"
     said = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True,
                           env={**os.environ, "PYTHONPATH": str(tmp_path / "copy")})
     assert said.returncode == 0, said.stderr

@@ -40,8 +40,13 @@ def con():
     return c
 
 
+#: The work of an index, and rounds over cells of three values: held against plain models in
+#: ``test_hamming_index.py`` and ``test_categorical.py``.
+WITHOUT_SQL = {"knn_index_work", "kmodes_fit_values"}
+
+
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) - WITHOUT_SQL == set(ORACLE)
     assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
 
 
@@ -51,7 +56,7 @@ DUCK_TYPES = {"BIGINT": "i64", "INTEGER": "i32", "DOUBLE": "f64", "FLOAT": "f32"
               "TIMESTAMP": "ts"}
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, name):
     sdf = QUERIES[name](spark, SF)
     rel = con.sql(ORACLE[name])
