@@ -24,7 +24,8 @@ from cartlens.operators import preference as PF
 from cartlens.operators import recommend as RC
 from cartlens.operators.features import clean_features, encode_features, wide_to_words, words_to_wide
 from cartlens.operators.sessions import sample_sessions, session_lengths, session_preferences
-from cartlens.sources.files import read_csv, reuse_if_unchanged, schema_from_header, write_table
+from cartlens.runtime import folder_exists
+from cartlens.sources.files import read_csv, reuse_if_unchanged, reuse_or_compute, schema_from_header, write_table
 
 
 def _scan(spark: SparkSession, path: str, fmt: str) -> DataFrame:
@@ -87,9 +88,11 @@ def sample(spark: SparkSession, sessions_path: str, encoded_path: str, dest: str
 
 def session_counts(spark: SparkSession, sessions_path: str, counts_path: str, fmt: str = "csv") -> DataFrame:
     """Items per session (A1), computed and saved at the first call and read
-    from ``counts_path`` afterwards, as long as the files of the sessions stay as they are (S6)."""
+    from ``counts_path`` afterwards, as long as the files of the sessions stay
+    as they are (S6), or are gone altogether."""
     schema = T.StructType([T.StructField("session_id", T.LongType()), T.StructField("nb_items", T.LongType())])
-    return reuse_if_unchanged(spark, counts_path, lambda: session_lengths(_sessions(spark, sessions_path, fmt)), fmt, schema)
+    reuse = reuse_if_unchanged if folder_exists(spark, sessions_path) else reuse_or_compute
+    return reuse(spark, counts_path, lambda: session_lengths(_sessions(spark, sessions_path, fmt)), fmt, schema)
 
 
 def _packed(spark: SparkSession, encoded_path: str, fmt: str) -> tuple[DataFrame, list[str], list[str]]:

@@ -80,16 +80,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def checkpoint_in_place(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` that keeps its partitioning and order for later
     plans.  With adaptive execution the layout of a checkpoint is unknown to
-    the plans that read it, so this one plan is made without it; the caller's
-    setting is put back at once."""
-    spark, key = df.sparkSession, "spark.sql.adaptive.enabled"
+    the plans that read it, so this one plan is made without it, in a clone of
+    the session: the caller's settings stay as they are, also for queries that
+    run at the same time."""
+    spark = df.sparkSession
     checkpoint_dir(spark)
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        return df.checkpoint()
-    finally:
-        spark.conf.set(key, before)
+    clone = spark._jsparkSession.cloneSession()
+    clone.conf().set("spark.sql.adaptive.enabled", "false")
+    dataset = spark._jvm.org.apache.spark.sql.classic.Dataset
+    written = dataset.ofRows(clone, df._jdf.queryExecution().analyzed()).checkpoint()
+    return DataFrame(dataset.ofRows(spark._jsparkSession, written.logicalPlan()), spark)
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:

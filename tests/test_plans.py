@@ -19,7 +19,7 @@ def _plan(df) -> str:
 
 
 KNN_QUERIES = {"knn_items", "knn_items_wide", "knn_mrr", "list_reciprocal", "distance_multiplicity", "distance_listing",
-               "next_distance"}
+               "next_distance", "knn_items_indexed", "knn_items_wide_indexed"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -31,7 +31,7 @@ def test_no_cross_product_and_no_row_udf(spark, name):
     if "CoGroupsInPandas" in plan or "ArrowEvalPython" in plan:
         assert name in KNN_QUERIES                  # the one Arrow-batched kernel
     if "SortAggregate" in plan:                     # only the seed arg-min, over rows sorted already
-        assert name in {"kmodes_seeds", "kmodes_assign"}, name
+        assert name in {"kmodes_seeds", "kmodes_assign", "kmodes_density_seeds"}, name
 
 
 def test_event_filter_and_columns_pushed_to_scan(spark):
@@ -121,3 +121,19 @@ def test_knn_work_is_split(spark):
     out = D._cogroup_blocks(D._materialise(q), c, "session_id", "item_id", ["w0"], 1 << 20, 1 << 16, None)
     blocks = out.applyInPandas(lambda key, a, b: a.assign(n=len(a))[["n"]].head(1), "n long").count()
     assert blocks == min(spark.sparkContext.defaultParallelism, 6)
+
+
+def test_checkpoint_in_place_leaves_the_session_alone(spark):
+    """The layout is known to later plans; the caller's setting is never changed."""
+    from pyspark.sql import functions as F
+
+    from cartlens.runtime import checkpoint_in_place
+    seen, put = [], type(spark.conf).set
+    type(spark.conf).set = lambda self, *a: seen.append(a) or put(self, *a)
+    try:
+        rows = spark.range(500).withColumn("g", F.col("id") % 20).repartition(8, "g").sortWithinPartitions("g")
+        kept = checkpoint_in_place(rows)
+    finally:
+        type(spark.conf).set = put
+    assert not seen and spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert "Exchange" not in _simple(kept.groupBy("g").count()) and kept.count() == 500
