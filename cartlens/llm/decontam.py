@@ -11,9 +11,17 @@ half, so every such run of diagonals lies whole in one band; bands that reach
 the count within the chunk's length are regions, and each region is verified
 by an edit-distance alignment restricted to its band.
 
-The documents are scanned once per block of benchmark items.  A block has a
-bounded number of characters, which bounds the index every task holds; the
-documents are never joined with anything.
+Q-grams that very many chunks share (a common phrase) would give each
+document a pair for every such chunk.  A chunk defers up to one less than its needed
+count of its most common q-grams: a match must still share ``needed - deferred``
+others, and only chunks that do have their deferred q-grams counted too.  So
+the lemma holds, and the pairs of a document stay in proportion to its length.
+
+Items too short for a chunk with edits are searched as whole words, without edits.
+
+The documents are scanned once per block of benchmark items, one block at a
+time.  A block has a bounded number of characters, which bounds the index
+every task holds; the documents are never joined with anything.
 """
 
 from __future__ import annotations
@@ -26,8 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartlens.llm.common import map_arrow, slices, text_of
+from cartlens.runtime import delete_folder, scratch_folder
 
 CHUNK, RATE, Q, MIN_CHARS = 100, 0.1, 8, 40
+# Chunks that share a q-gram from which on it can be deferred; pairs looked at at a time.
+COMMON, PAIRS = 64, 1 << 21
 # Benchmark characters indexed at a time.
 BLOCK_CHARS = 4_000_000
 
@@ -101,31 +112,59 @@ class Index:
     gram_chunk: np.ndarray
     gram_at: np.ndarray
     seen: np.ndarray
+    first_need: np.ndarray      # of the q-grams that are not deferred
+    late_from: np.ndarray       # deferred q-grams of each chunk: numbers and places
+    late_gram: np.ndarray
+    late_at: np.ndarray
+    short: dict[int, list[tuple[int, np.ndarray]]]   # short items by length: (item, codes)
 
     @classmethod
-    def build(cls, items: list[tuple], q: int, chunk: int, rate: float, min_chars: int) -> Index:
-        ids, chunks, item_of = [], [], []
+    def build(cls, items: list[tuple], q: int, chunk: int, rate: float, min_chars: int, common: int = COMMON) -> Index:
+        ids, chunks, item_of, short = [], [], [], {}
         for item_id, text in items:
             codes, _ = normalised(text or "")
-            if len(codes) < min_chars:
+            codes = codes[:-1] if len(codes) and codes[-1] == 0x20 else codes
+            if not len(codes):
                 continue
             ids.append(item_id)
+            if len(codes) < min_chars:
+                short.setdefault(len(codes), []).append((len(ids) - 1, codes))
+                continue
             last = max(len(codes) - chunk, 0)
             for at in sorted({*range(0, last + 1, chunk // 2), last}):
                 chunks.append(codes[at:at + chunk])
                 item_of.append(len(ids) - 1)
         sizes = np.array([len(c) for c in chunks], dtype=np.int64)
         edits = np.floor(rate * sizes).astype(np.int64)
+        needed = np.maximum(sizes + 1 - q * (edits + 1), 1)
         hashes = [gram_hashes(c, q) for c in chunks]
         grams = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(chunks)), [len(h) for h in hashes])
         place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
-        order = np.argsort(grams, kind="stable")
         seen = np.zeros(1 << _FILTER_BITS, bool)
         seen[grams >> np.uint64(64 - _FILTER_BITS)] = True
-        distinct, first = np.unique(grams[order], return_index=True)
-        return cls(q, ids, np.array(item_of, dtype=np.int64), chunks, edits, np.maximum(sizes + 1 - q * (edits + 1), 1),
-                   sizes, distinct, np.append(first, len(grams)), owner[order], place[order], seen)
+        distinct, number, times = np.unique(grams, return_inverse=True, return_counts=True)
+        # of each chunk the most common q-grams are deferred, fewer than it needs
+        order = np.lexsort((-times[number], owner))
+        rank = np.arange(len(order)) - np.searchsorted(owner[order], np.arange(len(chunks)))[owner[order]] if len(order) else order
+        late = np.zeros(len(grams), bool)
+        late[order] = (times[number[order]] > common) & (rank < needed[owner[order]] - 1)
+        by_gram = np.flatnonzero(~late)
+        by_gram = by_gram[np.argsort(number[by_gram], kind="stable")]
+        by_chunk = np.flatnonzero(late)  # in order of chunks already
+        return cls(q, ids, np.array(item_of, dtype=np.int64), chunks, edits, needed, sizes, distinct,
+                   np.searchsorted(number[by_gram], np.arange(len(distinct) + 1)), owner[by_gram], place[by_gram], seen,
+                   needed - np.bincount(owner[by_chunk], minlength=len(chunks)),
+                   np.searchsorted(owner[by_chunk], np.arange(len(chunks) + 1)), number[by_chunk], place[by_chunk], short)
+
+    def _pairs(self, low: np.ndarray, n: np.ndarray):
+        """Numbers of postings, in pieces of about ``PAIRS``: (which q-gram of the text, posting)."""
+        ends, at = np.cumsum(n), 0
+        while at < len(n):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+            many = n[at:to]
+            yield np.repeat(np.arange(at, to), many), np.repeat(low[at:to] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            at = to
 
     def shared(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(chunk, diagonal, document position) of the q-grams shared with a
@@ -139,11 +178,57 @@ class Index:
         at, gram = at[known], gram[known]
         low = self.gram_from[gram]
         n = self.gram_from[gram + 1] - low
-        pair = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        chunk = self.gram_chunk[pair]
-        keep = (np.bincount(chunk, minlength=len(self.chunks)) >= self.needed)[chunk]
-        place = np.repeat(at, n)[keep]
-        return chunk[keep], place - self.gram_at[pair[keep]], place
+        pieces = self._pairs(low, n)
+        if n.sum() <= PAIRS:  # one piece, kept
+            pieces = list(pieces)
+        counts = np.zeros(len(self.chunks), np.int64)
+        for _, posting in pieces:
+            counts += np.bincount(self.gram_chunk[posting], minlength=len(counts))
+        wanted = counts >= self.first_need
+        if not wanted.any():
+            none = np.zeros(0, np.int64)
+            return none, none, none
+        found = []
+        for which, posting in pieces if isinstance(pieces, list) else self._pairs(low, n):
+            keep = wanted[self.gram_chunk[posting]]
+            found.append((self.gram_chunk[posting[keep]], at[which[keep]], self.gram_at[posting[keep]]))
+        some = np.flatnonzero(wanted)
+        much = self.late_from[some + 1] - self.late_from[some]
+        if much.any():  # the deferred q-grams of these chunks, wherever the text has them
+            by_gram = np.argsort(gram, kind="stable")
+            ordered = gram[by_gram]
+            late = np.repeat(self.late_from[some] - np.cumsum(much) + much, much) + np.arange(much.sum())
+            start = np.searchsorted(ordered, self.late_gram[late], "left")
+            times = np.searchsorted(ordered, self.late_gram[late], "right") - start
+            owner = np.repeat(some, much)
+            for which, spot in self._pairs(start, times):
+                found.append((owner[which], at[by_gram[spot]], self.late_at[late[which]]))
+        chunk, place, inside = (np.concatenate(c) for c in zip(*found))
+        if len(found) > 1:
+            keep = (np.bincount(chunk, minlength=len(self.chunks)) >= self.needed)[chunk]
+            chunk, place, inside = chunk[keep], place[keep], inside[keep]
+            order = np.argsort(place, kind="stable")
+            chunk, place, inside = chunk[order], place[order], inside[order]
+        return chunk, place - inside, place
+
+    def short_hits(self, codes: np.ndarray) -> list[tuple[int, int]]:
+        """(item, place) of the first whole-word occurrence of each short item."""
+        out = []
+        for size, items in self.short.items():
+            if size > len(codes):
+                continue
+            hashes = gram_hashes(codes, size)
+            edge = np.concatenate([[True], codes[:-1] == 0x20])[:len(hashes)]
+            after = np.concatenate([codes[size:] == 0x20, [True]])
+            spots = np.flatnonzero(edge & after)
+            spots = spots[np.argsort(hashes[spots], kind="stable")]
+            for item, own in items:
+                h = gram_hashes(own, size)[0]
+                low, high = np.searchsorted(hashes[spots], h, "left"), np.searchsorted(hashes[spots], h, "right")
+                same = [int(p) for p in spots[low:high] if (codes[p:p + size] == own).all()]
+                if same:
+                    out.append((item, min(same)))
+        return out
 
     def regions(self, codes: np.ndarray) -> list[tuple[int, int]]:
         """(chunk, band) of the bands that meet the lemma."""
@@ -167,7 +252,7 @@ class Index:
         first = i[good][np.unique(key[i[good]], return_index=True)[1]]
         return list(zip(chunk[first].tolist(), band[first].tolist()))
 
-    def leaks(self, texts: list[str]) -> list[list[tuple]]:
+    def leaks(self, texts: list[str], short: bool = True) -> list[list[tuple]]:
         """For each text: (item id, start, end, edits) of each item of which it
         holds a chunk, by the verified chunk with the fewest edits."""
         read = [normalised(t) for t in texts]
@@ -184,9 +269,16 @@ class Index:
                     np.array([band * (budget + 1) for _, _, band in some]), 2 * (budget + 1))
                 for (t, c, _), n, end in zip(some, edits.tolist(), ends.tolist()):
                     item, places = int(self.item_of[c]), read[t][1]
-                    if n <= budget and (item not in best[t] or n < best[t][item][3]):
-                        end = min(max(end, 1), len(places))
-                        best[t][item] = (self.item_ids[item], int(places[max(end - size, 0)]), int(places[end - 1]) + 1, n)
+                    end = min(max(end, 1), len(places))
+                    hit = (self.item_ids[item], int(places[max(end - size, 0)]), int(places[end - 1]) + 1, n)
+                    # fewest edits, then the first place
+                    if n <= budget and (item not in best[t] or (n, hit[1]) < (best[t][item][3], best[t][item][1])):
+                        best[t][item] = hit
+        if short and self.short:
+            for t, (codes, places) in enumerate(read):
+                for item, at in self.short_hits(codes):
+                    size = next(len(c) for group in self.short.values() for i, c in group if i == item)
+                    best[t][item] = (self.item_ids[item], int(places[at]), int(places[at + size - 1]) + 1, 0)
         return [[b[i] for i in sorted(b)] for b in best]
 
 
@@ -201,10 +293,13 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int):
 
 
 def _indexes(docs, benchmark, id_col, text_col, q, chunk, rate, min_chars, block_chars):
+    """The index of each block, broadcast; when the next is asked for, the one before is destroyed."""
     for items in _blocks(benchmark, id_col, text_col, block_chars):
         index = Index.build(items, q, chunk, rate, min_chars)
-        if index.chunks:
-            yield docs.sparkSession.sparkContext.broadcast(index)
+        if index.item_ids:
+            shared = docs.sparkSession.sparkContext.broadcast(index)
+            yield shared
+            shared.unpersist()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -212,21 +307,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document and benchmark item of which the document holds a
     chunk within the edit budget: ``doc_id``, ``item_id``, ``start``, ``end``
-    (code points of the document, the verified chunk) and ``edits``.
+    (code points of the document, the verified chunk) and ``edits``.  Of several chunks of an item the
+    one with the fewest edits counts, then the first place.
 
-    Items of fewer than ``min_chars`` compared characters are too common to be
-    evidence and are passed over, as are null items; a null text holds nothing.
+    Items of fewer than ``min_chars`` compared characters are found as whole
+    words without edits, at their first place.  Null items, and items without a letter or digit, are
+    passed over; a null text holds nothing.  Texts are compared whole; the pairs looked at for a very long one are
+    held ``PAIRS`` at a time.
     Items with one text each give a row, and so do repeated documents; an item
     repeated with the same id counts once for each row of it.  Empty tables
-    give no rows.  Other columns are ignored.
-    """
+    give no rows.  Other columns are ignored.  The hits of each block of items
+    are written to the shared folder, where the result reads them."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
     schema = "doc_id long, item_id long, start long, `end` long, edits int"
-    out = None
+    folder, n = scratch_folder(spark, "leaks"), 0
     for index in _indexes(docs, benchmark, item_col, item_text_col, q, chunk, rate, min_chars, block_chars):
-        found = map_arrow(rows, _finder(index), schema)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+        map_arrow(rows, _finder(index), schema).write.mode("append").parquet(folder)
+        n += 1
+    return spark.read.schema(schema).parquet(folder) if n else spark.createDataFrame([], schema)
 
 
 def _finder(index):
@@ -244,13 +343,28 @@ def _finder(index):
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                item_text_col: str = "text", q: int = Q, chunk: int = CHUNK, rate: float = RATE,
                min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark chunk, with all their columns."""
-    at = docs.columns.index(text_col)
-    out = docs
-    for index in _indexes(docs, benchmark, item_col, item_text_col, q, chunk, rate, min_chars, block_chars):
-        def of(batches, index=index):
+    """The rows of ``docs`` that hold no benchmark chunk, with all their columns.
+
+    As in ``find_leaks``, but items below ``min_chars`` are no reason to drop a
+    document: a few common words are no passage.  Rows with a null or empty text stay, and so
+    do all rows of a table compared with an empty benchmark; repeated rows are judged each.  With several blocks of
+    items the rows kept after each are written, so that one index is alive at a time."""
+    spark, at = docs.sparkSession, docs.columns.index(text_col)
+    out, waiting, folder, n = docs, None, scratch_folder(spark, "kept"), 0
+
+    def of(index):
+        def keep(batches):
             for batch in slices(batches):
-                keep = [not leaks for leaks in index.value.leaks([t or "" for t in batch.column(at).to_pylist()])]
-                yield batch.filter(pa.array(keep, pa.bool_()))
-        out = map_arrow(out, of, docs.schema)
-    return out
+                leaks = index.value.leaks([t or "" for t in batch.column(at).to_pylist()], short=False)
+                yield batch.filter(pa.array([not x for x in leaks], pa.bool_()))
+        return keep
+
+    for index in _indexes(docs, benchmark, item_col, item_text_col, q, chunk, rate, min_chars, block_chars):
+        if waiting is not None:
+            waiting.write.parquet(f"{folder}/{n}")
+            out = spark.read.parquet(f"{folder}/{n}")
+            if n:
+                delete_folder(spark, f"{folder}/{n - 1}")
+            n += 1
+        waiting = map_arrow(out, of(index), docs.schema)
+    return docs if waiting is None else waiting

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import zlib
 import re
 
 import numpy as np
@@ -112,6 +113,37 @@ def test_language_empty_tables(spark):
     assert [(r.lang_pred, r.score) for r in langid.predict(one, model).collect()] == [("und", 0.0)]
 
 
+def test_noise_and_unlearned_languages_go(spark):
+    """By evidence over the whole text; short texts and clean documents stay."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.learn(docs)
+    rng = random.Random(1)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(60)) for _ in range(40)]
+    foreign = ["w dniu wczorajszym odbyło się posiedzenie komisji sejmowej dotyczące zmian w ustawie o ochronie środowiska",
+               "bugün hava çok güzel olduğu için arkadaşlarımla birlikte parka gidip uzun uzun yürüyüş yaptık"]
+    assert not any(map(model.known, noise + foreign)) and model.known("hm ok") and not model.known("123 !") and not model.known(None)
+    kept = langid.keep_known(docs, model).count()
+    letters = sum(bool(len(langid.trigrams(r.text or ""))) for r in docs.select("text").collect())
+    assert kept >= 0.999 * letters
+
+
+def test_language_of_null_ids_and_repeated_rows(spark):
+    rng = random.Random(2)
+    rows = [(None, prose(rng, 50, lang), lang, "s", 1) for lang in ("en", "de") for _ in range(20)] * 2
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = langid.predict(df, langid.learn(df)).collect()
+    assert len(got) == 80 and {r.held_out for r in got} == {zlib.crc32(b"") % 5 == 0}
+
+
+def test_long_slices_are_cut_by_bytes():
+    import pyarrow as pa
+    from cartlens.llm.common import slices
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * n for n in (10, 5000, 5000, 10, 9000, 1)]})
+    got = [b.column("text").to_pylist() for b in slices(iter([batch]), 4, 6000)]
+    assert [t for b in got for t in b] == batch.column("text").to_pylist()
+    assert all(len(b) == 1 or sum(map(len, b)) < 6000 for b in got) and len(got) > 2
+
+
 # --- toxicity
 
 def plain_segments(scores):
@@ -256,23 +288,71 @@ def test_secrets_query_equals_the_plain_patterns(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(plain_base(texts[r.doc_id])).encode()).hexdigest()
 
 
-@settings(max_examples=150, deadline=None)
+def plain_kind(chars):
+    """Character class of a window, from the characters themselves."""
+    lower, upper = any(c.islower() for c in chars), any(c.isupper() for c in chars)
+    digits, others = any(c.isdigit() for c in chars), any(not c.isalnum() for c in chars)
+    if not lower and not upper:
+        return None
+    if not digits:
+        return "both_cases" if lower and upper else "one_case"
+    if not others and all(c in "0123456789abcdefABCDEF" for c in chars) and not (lower and upper):
+        return "hex"
+    if not others and not (lower and upper):
+        return "lower_digits" if lower else "upper_digits"
+    return "mixed"
+
+
+@settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from("abcdefxyz0189ABZ/+_"), min_size=1, max_size=60), st.integers(2, 20))
 def test_incremental_entropy_equals_the_plain_one(text, window):
+    """Counts by character and by class slide along; a text shorter than the window is one window."""
     from collections import Counter
+    size = min(window, len(text))
     marked = [False] * len(text)
-    for a in range(len(text) - window + 1):
-        counts = Counter(text[a:a + window])
-        h = -sum(n / window * math.log2(n / window) for n in counts.values())
-        kind = secretscan._kind_of(counts)
-        if kind and h >= secretscan.THRESHOLDS[kind] - 1e-9:
-            marked[a:a + window] = [True] * window
+    for a in range(len(text) - size + 1):
+        counts = Counter(text[a:a + size])
+        h = -sum(n / size * math.log2(n / size) for n in counts.values())
+        kind = plain_kind(text[a:a + size])
+        scale = math.log2(size) / math.log2(window) if size > 1 else 1.0
+        if size < window and kind in ("both_cases", "one_case"):
+            kind = None
+        if kind and h >= scale * secretscan.THRESHOLDS[kind] - 1e-9:
+            marked[a:a + size] = [True] * size
     got = [False] * len(text)
     for a, b in secretscan.entropy_spans(text, window):
         got[a:b] = [True] * (b - a)
     assert got == marked
 
 
+def test_allow_list_looks_at_the_part_not_the_candidate(spark):
+    secret = "q7Zt9Lw2Xc5Vb8Nm3Rk6Yp1Hd4"
+    texts = [f"api/sample/v1/{secret}", f"x/{secret}/example", f"see example{secret}", "0123456789abcdefghijklmnop", "k " + secret[:17]]
+    got = [r.spans for r in secretscan.find_secrets(spark.createDataFrame(
+        [(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)).orderBy("doc_id").collect()]
+    assert "entropy" in got[0] and "entropy" in got[1] and got[2] == "" and got[3] == "" and got[4] == "entropy:2:19"
+
+
+def recall(alphabet, length, n=300):
+    rng = random.Random(length + len(alphabet))
+    return sum(bool(secretscan.entropy_spans("".join(rng.choice(alphabet) for _ in range(length)))) for _ in range(n)) / n
+
+
+def test_recall_on_random_strings():
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    assert recall(lower + upper + digits, 32) > 0.99 and recall(lower + digits, 32) > 0.95 and recall(digits + "abcdef", 32) > 0.95
+    assert recall(lower + upper, 32) > 0.95 and recall(lower, 40) > 0.6
+    assert recall(lower + upper + digits, 16) > 0.6
+
+
+def test_secrets_odd_rows(spark):
+    long = "Zk3" + "aQ7xT9mB2vL5" * 90_000                                # one candidate of a megabyte
+    rows = [(None, "secret=abcdef", None, None, None), (1, long, None, None, None), (1, long[:30], None, None, None), (2, None, None, None, None)]
+    got = secretscan.find_secrets(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id or 0, len(r.base)) for r in got) == [(0, 1), (1, 0), (1, 0), (2, 0)]
+    assert max(len(r.added) for r in got) == 1
+
+
 def test_entropy_adds_random_strings_and_leaves_allowed_ones(spark):
     secret = "q7Zt9Lw2Xc5Vb8Nm3Rk6Yp1Hd4"
     texts = [f"key {secret} end", "see thendshheandonthewordsrun together", "path /some/long/path/of/words/here/and/there",
@@ -340,6 +420,73 @@ def test_leaks_equal_full_edit_distance(edits):
         assert [leak[0] for leak in index.leaks([text])[0]] == want
 
 
+def test_common_phrases_are_deferred_and_nothing_is_lost():
+    """A phrase that every chunk has: the same leaks as without deferring, for a fraction of the pairs."""
+    rng = random.Random(31)
+    phrase = "according to the official report of the house "
+    bench = [(i, phrase + prose(rng, 12) + " " + phrase + prose(rng, 12)) for i in range(200)]
+    args = (bench, decontam.Q, decontam.CHUNK, decontam.RATE, decontam.MIN_CHARS)
+    index, plain = decontam.Index.build(*args), decontam.Index.build(*args, common=1 << 30)
+    assert (index.first_need < index.needed).any() and (plain.first_need == plain.needed).all()
+    assert (index.first_need >= 1).all()
+    texts = [prose(rng, 40) + " " + phrase * 3 + prose(rng, 40) for _ in range(5)]
+    texts += [prose(rng, 30) + " " + bench[k][1].replace("report", "rep0rt") + " " + prose(rng, 30) for k in (3, 77, 150)]
+    texts += [bench[9][1][:70] + bench[10][1][60:]]
+    for text in texts:
+        codes = decontam.normalised(text)[0]
+        assert [x[0] for x in index.leaks([text])[0]] == [x[0] for x in plain.leaks([text])[0]]
+        assert all(sorted(zip(*map(list, a))) == sorted(zip(*map(list, b))) for a, b in [(index.shared(codes), plain.shared(codes))])
+    assert [x[0] for x in index.leaks(texts)[5]][:1] == [3]
+
+
+def test_a_hot_phrase_takes_bounded_work():
+    """Pairs for a text that repeats a phrase of all chunks grow with the text, not with text x chunks."""
+    rng = random.Random(32)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(n))
+    bench = [(i, "according to the " + words(11)) for i in range(3000)]
+    index = decontam.Index.build(bench, decontam.Q, decontam.CHUNK, decontam.RATE, decontam.MIN_CHARS)
+    text = " ".join(words(30) + " according to the" for _ in range(100)) + " " + bench[5][1]
+    looked, pairs = [], index._pairs
+    index._pairs = lambda low, n: looked.append(int(n.sum())) or pairs(low, n)
+    assert [x[0] for x in index.leaks([text])[0]] == [5]
+    plain = decontam.Index.build(bench, decontam.Q, decontam.CHUNK, decontam.RATE, decontam.MIN_CHARS, common=1 << 30)
+    without, plain_pairs = [], plain._pairs
+    plain._pairs = lambda low, n: without.append(int(n.sum())) or plain_pairs(low, n)
+    assert [x[0] for x in plain.leaks([text])[0]] == [5]
+    assert max(without) > 2_000_000 and max(looked) < max(without) // 20
+
+
+def test_pairs_in_pieces(monkeypatch):
+    rng = random.Random(33)
+    bench = bench_rows(6)
+    index = decontam.Index.build(bench, decontam.Q, decontam.CHUNK, decontam.RATE, decontam.MIN_CHARS)
+    text = prose(rng, 50) + " " + bench[2][1] + " " + prose(rng, 50)
+    whole = [list(map(int, x)) for x in index.shared(decontam.normalised(text)[0])]
+    monkeypatch.setattr(decontam, "PAIRS", 7)
+    assert sorted(zip(*[list(map(int, x)) for x in index.shared(decontam.normalised(text)[0])])) == sorted(zip(*whole))
+
+
+def test_short_items_are_found_as_whole_words(spark):
+    bench = [(1, "What is 6 x 7?"), (2, "forty-two"), (3, "a"), (4, "a longer question of more than forty letters, surely one")]
+    rows = [(1, "They asked: what is 6 X 7 today", None, None, None), (2, "forty two!", None, None, None), (3, "fortytwo", None, None, None),
+            (4, "banana", None, None, None), (5, "so A longer question, of more than forty letters - surely one.", None, None, None)]
+    docs, items = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(bench, BENCH)
+    found = {(r.doc_id, r.item_id): (r.start, r.end, r.edits) for r in decontam.find_leaks(docs, items).collect()}
+    assert set(found) == {(1, 1), (2, 2), (5, 3), (5, 4)}
+    assert found[1, 1] == (12, 25, 0) and found[2, 2] == (0, 9, 0) and found[5, 3] == (3, 4, 0)
+    assert sorted(r.doc_id for r in decontam.drop_leaks(docs, items).collect()) == [1, 2, 3, 4]
+
+
+def test_blocks_one_at_a_time(spark):
+    """Several blocks: the same rows found and kept as with one."""
+    bench, rng = bench_rows(), random.Random(6)
+    rows = [(i, prose(rng, 20) + " " + (bench[i][1] if i < 12 else "") + " " + prose(rng, 20), "en", "s", 1) for i in range(20)]
+    docs, items = clash(spark.createDataFrame(rows, SCHEMA)), spark.createDataFrame(bench, BENCH)
+    kept = decontam.drop_leaks(docs, items, block_chars=700)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(12, 20))
+    assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, items, block_chars=700).collect()} >= {(i, i) for i in range(12)}
+
+
 def test_banded_distance_equals_the_full_one():
     rng = random.Random(8)
     for _ in range(60):
