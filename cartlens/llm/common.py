@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cartlens.runtime import checkpoint_dir, ship_package
 
 # Rows handled at a time inside a Python task: bounds memory when texts are long.
-SLICE_ROWS = 256
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 24
 # Bytes of a text that are cut into words at a time; numbers of a piece of a long array.
 PIECE, NUMBERS = 1 << 20, 1 << 16
 
@@ -52,11 +52,20 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of at most ``rows`` rows."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows and ``size`` bytes (one row at least)."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+            yield from _cut(batch.slice(at, rows), size)
+
+
+def _cut(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    if batch.num_rows < 2 or batch.nbytes <= size:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from _cut(batch.slice(0, half), size)
+    yield from _cut(batch.slice(half), size)
 
 
 def held_out(doc_id: Column) -> Column:
