@@ -122,7 +122,11 @@ def _carried(name: str, text_col: str) -> Column:
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns.
+
+    As in ``exact_groups``: null and empty texts are one group; of rows with the
+    same id and text one stays; a null id stays only where the group has no
+    other; texts of any length are compared whole; an empty table gives no rows."""
     groups = exact_groups(docs, id_col, text_col, keep, carry=docs.columns)
     return groups.where("kept").select(*[_field(c) for c in docs.columns])
 

@@ -225,7 +225,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null text counts as empty; texts without words have fingerprint 0 and are
     linked like any other.  Null ids are passed over in the choice of the
     smallest unless a group has nothing else.  Rows repeated with one id each
-    get a row.  An empty table gives no rows.  Other columns are ignored.
+    get a row.  A very long text is read whole; its shingles are hashed and
+    counted as they come.  An empty table gives no rows.  Other columns are
+    ignored.  The trees of a shard stay with its rows and are not broadcast, as
+    all of them together grow with the input.
     """
     rows = checkpointed(fingerprints(docs, id_col, text_col, shingle_words))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie"))
@@ -247,7 +250,9 @@ def hex_fingerprint(fp: Column) -> Column:
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3,
                      radius: int = 2) -> DataFrame:
     """The rows of ``docs`` that stand for their groups, with all their columns.
-    Rows repeated with one id and one text stay or go together."""
+    Rows repeated with one id and one text stay or go together.  Null and empty
+    texts are one group (fingerprint 0); of a group the row with the smallest id stays, a null
+    id only where there is no other.  Texts are compared whole.  An empty table gives no rows."""
     groups = near_groups(docs, id_col, text_col, shingle_words, radius)
     gone = groups.where(~(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("tie") == F.col("component_tie"))))
     gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("tie").alias("_gone_tie")).distinct()

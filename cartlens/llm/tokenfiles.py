@@ -111,7 +111,8 @@ def write_token_files(docs: DataFrame, folder: str | None = None, id_col: str =
     ``part``, ``file``, ``n_docs``, ``n_tokens``; parts are in id order.
 
     A null text is empty and yields the end id alone.  Null ids come first;
-    rows with the same id are ordered by text and each is written.  Empty
+    rows with the same id are ordered by text and each is written.  A very long
+    text lies in as many fixed-size lists as it needs, across batches.  Empty
     parts write no file; an empty table gives an empty manifest.  Other
     columns are ignored.
     """

@@ -233,8 +233,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     A null text counts as empty; a text without words has no passage and the
     score of its empty statistic.  Without toxic learning rows nothing scores
-    0.5.  Repeated rows each get a row.  An empty table gives no rows.  Other
-    columns are ignored.
+    0.5.  Repeated rows each get a row.  A very long text is scanned whole, once
+    from left to right.  Of equal sums the earlier segment starts.  An empty
+    table gives no rows.  Other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
