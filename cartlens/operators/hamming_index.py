@@ -21,7 +21,8 @@ looking up the query's block with all changes of at most ``a`` features.
 4. A query is done when ``k`` candidates lie within the radius proven so far.
 
 Large buckets are split into pieces of bounded size before the join, so a hot
-block content is spread over tasks.  All of it but the kernel is Spark's own
+block content is spread over tasks.  The changes of a query are dealt to tasks by
+their number and are never the side of a join that is sent to all tasks.  All of it but the kernel is Spark's own
 expressions.  ``work`` tells how many candidates each query looked at.
 """
 
@@ -40,6 +41,10 @@ from cartlens.runtime import checkpoint_dir, delete_folder, scratch_folder
 
 # Vectors of a piece of a bucket.
 PIECE = 256
+# Rows of the index up to which it is sent to every task; a larger one is joined by shuffles.
+SENT = 1 << 16
+# Changed contents of a task, about.
+CHANGES = 1 << 22
 
 
 @dataclass
@@ -109,7 +114,7 @@ def _changed(keyed: DataFrame, words: Sequence[str], blocks: Blocks, a: int) ->
     if a:
         out = out.withColumn("_bits", F.expr(f"array({', '.join(arrays)})[_block]"))
     for step in range(a):  # positions rise, so each set of features comes once
-        later = "_bits" if step == 0 else "filter(_bits, b -> b.at > _last)"
+        later = "_bits" if step == 0 else "slice(_bits, _last + 2, size(_bits))"
         kept = [c for c in out.columns if c not in (*keys, "_last")]
         out = out.select(*[c for c in out.columns], F.expr(f"explode({later}) as _f")) \
                  .select(*kept, *[F.expr(f"{k} ^ _f.f{i} as {k}") for i, k in enumerate(keys)], F.expr("_f.at as _last"))
@@ -160,16 +165,23 @@ def knn_indexed(queries: DataFrame, candidates: DataFrame, k: int, words: Sequen
                              F.lit(-1).alias("radius")), "state-0")
     best, ended = None, []
     names = [f"_q{i}" for i in range(len(words))]
+
+    def met(df: DataFrame, other: DataFrame, on, rows: int, how: str = "inner") -> DataFrame:
+        # said here, as Spark takes the rows of an explode for no more than its input and would collect them for a broadcast
+        return df.join(F.broadcast(other) if rows <= SENT else other.hint("merge"), on, how)
+
     a = 0
     while n and a <= dealt.longest():
         probes = sum(comb(len(f), a) for f in dealt.features)
         open_ = written(state.where(F.lit(n) >= look_cost * (F.col("probes") + F.col("looked") + probes)), f"open-{a}")
         ended.append(state.join(open_.select("_vid"), "_vid", "left_anti").withColumn("scanned", F.lit(True)))
-        if open_.isEmpty():
+        n_open = open_.count()
+        if not n_open:
             state = open_
             break
-        found = _changed(_keyed(open_.select("_vid", *names), names, dealt), names, dealt, a).join(sizes, keys)
-        found = written(found, f"found-{a}")
+        some, parts = open_.select("_vid", *names), -(-n_open * probes // CHANGES)
+        changed = _changed(_keyed(some.repartition(parts) if parts > 1 else some, names, dealt), names, dealt, a)
+        found = written(met(changed, sizes, keys, n * m), f"found-{a}")
         cost = open_.join(found.groupBy("_vid").agg(F.sum("_size").alias("_now")), "_vid", "left") \
             .withColumn("looked", F.col("looked") + F.coalesce("_now", F.lit(0))).drop("_now") \
             .withColumn("probes", F.col("probes") + probes)
@@ -177,8 +189,9 @@ def knn_indexed(queries: DataFrame, candidates: DataFrame, k: int, words: Sequen
         # queries that would look at too much have not done so: they are scanned with what they had looked at before
         ended.append(open_.join(cost.where("scanned").select("_vid"), "_vid", "left_semi").withColumn("scanned", F.lit(True)))
         cheap = cost.where("not scanned").drop("scanned")
-        pairs = found.join(cheap.select("_vid"), "_vid", "left_semi") \
-            .withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))).join(index, [*keys, "_piece"]) \
+        pairs = met(found, cheap.select("_vid"), "_vid", n_open, "left_semi") \
+            .withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)))
+        pairs = met(pairs, index, [*keys, "_piece"], n * m) \
             .where(_first_place(words, dealt, a)).select("_vid", hamming(names, words).alias("distance"), "_ids")
         if best is not None:
             pairs = pairs.unionByName(best)

@@ -144,3 +144,22 @@ def test_weighed_candidates_count_each(spark):
     assert D.weighed_vectors(cands, ["w0"]).count() == len({v for _, v in c})
     got = rows(D.distance_multiplicity(table(spark, q, "session_id"), cands, ["w0"], cand_block_rows=8))
     assert got == {(i, d, n) for i, v in q for d, n in Counter((v ^ w).bit_count() for _, w in c).items()}
+
+
+def test_changes_of_queries_are_not_broadcast(spark, monkeypatch):
+    """Spark takes exploded rows for as few as their input; the many changes of a query must not be collected for that."""
+    monkeypatch.setattr(H, "SENT", 4)
+    monkeypatch.setattr(H, "CHANGES", 1 << 8)
+    plans, frame = [], type(spark.range(1))
+    original = frame.write.fget
+
+    def write(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return original(df)
+    monkeypatch.setattr(frame, "write", property(write))
+    rng = np.random.default_rng(7)
+    c, q = list(enumerate(clustered(rng, 120, 32, 8, 2))), list(enumerate(clustered(rng, 20, 32, 8, 2)))
+    got = rows(H.knn_indexed(table(spark, q, "session_id"), table(spark, c, "item_id"), 2, ["w0"], 32).neighbours)
+    assert got == brute(q, c, 2)
+    looked_up = [p for p in plans if "_bits" in p or "sequence(0" in p]
+    assert looked_up and not any("BroadcastHashJoin" in p for p in looked_up)
