@@ -404,12 +404,12 @@ def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[st
     each group's row count (as the reference's session clustering uses).
     Returns the final assignment and the modes computed from it.
 
-    Groups of at most ``in_row`` rows are gathered into one row each, where all
-    rounds are one expression (``kmodes_rows``): one stage, whatever the number of
+    Groups of at most ``in_row`` rows are dealt and sorted by group, and a task runs all
+    rounds of many of them at once (``kmodes_rows.fitted_bits``): one stage, whatever the number of
     rounds.  Larger groups are laid out and advance together, a job for every
     few rounds (``_fit_by_rounds``).  Both give the same result; only where
     groups of both kinds occur are the rows written first, as each way then reads its own."""
-    spark, words = spark or rows.sparkSession, list(words)
+    spark, words, in_row = spark or rows.sparkSession, list(words), min(in_row, (1 << R.LANE) - 1)
     order = [c.alias(f"_o{i}") for i, c in enumerate(order)]
     rows = rows.select(group, *payload, *words, *order).where(F.col(group).isNotNull())
     order = [F.col(f"_o{i}") for i in range(len(order))]
@@ -425,7 +425,7 @@ def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[st
     large = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_gn")).where(F.col("_gn") > in_row).select(group)
     if least <= in_row:
         small = rows.join(large, group, "left_anti") if most > in_row else rows
-        parts.append(_fit_in_rows(small, *how, initial, min(most, in_row)))
+        parts.append(_fit_in_rows(small, *how, initial))
     if most > in_row:
         some = rows.join(large, group, "left_semi") if least <= in_row else rows
         parts.append(_fit_by_rounds(some, *how, initial, rows_per_task, spark))
@@ -436,18 +436,17 @@ def fit(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[st
 
 
 def _fit_in_rows(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[str], n_features: int, k: int,
-                 max_iter: int | str, payload: Sequence[str], initial: DataFrame | None, most: int) -> KModesResult:
-    """``fit`` of groups of at most ``most`` rows, each in a row of its own."""
-    groups, planes = R.gathered(rows, group, order, words, payload), R.planes_for(most)
-    if initial is None:
-        starts = R.seed_words(words, n_features, planes)
-    else:
-        groups = groups.join(_checked(initial, group, words, k), group)
-        starts = f"flatten(transform(_modes, m -> array({', '.join('m.' + quoted(w) for w in words)})))"
+                 max_iter: int | str, payload: Sequence[str], initial: DataFrame | None) -> KModesResult:
+    """``fit`` of groups that are small: all rounds in the task that holds the group."""
+    if initial is not None:
+        initial = _checked(initial, group, words, k)
     checkpoint_dir(rows.sparkSession)
-    done = R.fitted(groups, words, k, "size(_rows)" if max_iter == "rows" else str(int(max_iter)), planes, starts).checkpoint()
-    return KModesResult(R.assignments_of(done, group, words, payload, CLUSTER), R.modes_of(done, group, words, k, CLUSTER),
-                        done.agg(F.max("_fit.rounds")).first()[0] or 0)
+    done = R.fitted_bits(rows, group, order, words, n_features, k, max_iter, payload, CLUSTER, initial).checkpoint()
+    n = len(words)
+    cells = [f"named_struct('{CLUSTER}', {c}, " + ", ".join(f"'{w}', _m[{c * n + j}]" for j, w in enumerate(words)) + ")" for c in range(k)]
+    modes = done.where("_m is not null").select(group, F.expr(f"inline(array({', '.join(cells)}))"))
+    return KModesResult(done.select(group, *payload, CLUSTER, "distance", "rounds", "_ord", *words), modes,
+                        done.agg(F.max("rounds")).first()[0] or 0)
 
 
 def _fit_by_rounds(rows: DataFrame, group: str, order: Sequence[Column], words: Sequence[str], n_features: int, k: int,

@@ -46,10 +46,10 @@ def clustered_preferences(result: KM.KModesResult, words: Sequence[str],
     recent = (result.assignments.select(SESSION, "_ord", *words)
                     .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_recent).drop("_r"))
     arr = KM.modes_array(result.modes, SESSION, words)
-    votes = (recent.join(arr, SESSION).select(SESSION, KM.nearest_mode(words).alias("_c"))
-                   .groupBy(SESSION).agg(F.sum("_c").alias("_s"), F.count(F.lit(1)).alias("_n")))
-    chosen = votes.select(SESSION, majority_vote("_s", "_n").alias(KM.CLUSTER))
-    return chosen.join(result.modes, [SESSION, KM.CLUSTER]).select(SESSION, *words)
+    votes = (recent.join(arr, SESSION).select(SESSION, "_modes", KM.nearest_mode(words).alias("_c"))
+                   .groupBy(SESSION).agg(F.sum("_c").alias("_s"), F.count(F.lit(1)).alias("_n"), F.first("_modes").alias("_modes")))
+    chosen = votes.select(SESSION, F.get("_modes", majority_vote("_s", "_n").cast("int")).alias("_m"))
+    return chosen.select(SESSION, *[F.col("_m")[w].alias(w) for w in words])
 
 
 def cluster_statistics(rows: DataFrame, targets: DataFrame, packed: DataFrame,

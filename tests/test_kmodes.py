@@ -142,3 +142,38 @@ def test_fit_with_three_clusters(spark, in_row):
                 break
             before = cl
         assert [r.cluster for r in res.assignments.where(F.col("g") == g).orderBy("pos").collect()] == cl.tolist()
+
+
+@pytest.mark.parametrize("bits,words", [(8, 1), (64, 1), (73, 2)])
+def test_batches_of_groups_equal_the_rounds_of_each(spark, bits, words):
+    """Rounds over a batch of groups give what the expression over one group gives."""
+    rng = np.random.default_rng(bits)
+    sizes = np.array([1, 2, 7, 40, 3, 300, 5])
+    cells = rng.integers(0, 2, (int(sizes.sum()), bits), dtype=np.uint8) & rng.integers(0, 2, (int(sizes.sum()), bits), dtype=np.uint8)
+    cells[:1], cells[-5:] = 1, 0
+    packed = np.zeros((len(cells), words), np.uint64)
+    for i in range(bits):
+        packed[:, i // 64] |= cells[:, i].astype(np.uint64) << np.uint64(i % 64)
+    names, g = [f"w{j}" for j in range(words)], np.repeat(np.arange(len(sizes)), sizes)
+    rows = [(int(g[i]), i, *[int(v) for v in packed[i].view(np.int64)]) for i in range(len(g))]
+    df = spark.createDataFrame(rows, "g long, pos long, " + ", ".join(f"{w} long" for w in names))
+    planes = KR.planes_for(300)
+    groups = KR.gathered(df, "g", [F.col("pos")], names)
+    done = KR.fitted(groups, names, 2, "size(_rows)", planes, KR.seed_words(names, bits, planes)).orderBy("g").collect()
+    clusters, modes, rounds = KR.fit_batch(packed, sizes, bits, None, sizes, 2)
+    assert clusters.tolist() == [c for r in done for c in r["_fit"]["cl"]]
+    assert modes.reshape(len(sizes), -1).view(np.int64).tolist() == [r["_fit"]["m"] for r in done]
+    assert rounds.tolist() == [r["_fit"]["rounds"] for r in done] and rounds.max() > 2
+    again = KR.fit_batch(packed, sizes, bits, KR.seeds_of(packed, np.cumsum(sizes) - sizes, sizes, bits), sizes, 2)
+    assert all((a == b).all() for a, b in zip(again, (clusters, modes, rounds)))
+
+
+def test_batches_cut_no_group(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(KR, "BATCH", 10)
+    g = np.repeat(np.arange(9), [3, 1, 25, 1, 4, 4, 2, 12, 1])
+    parts = [pa.RecordBatch.from_pydict({"g": g[i:i + 4], "at": np.arange(len(g))[i:i + 4]}) for i in range(0, len(g), 4)]
+    got = list(KR._whole_groups(iter(parts), "g"))
+    assert [n for _, sizes in got for n in sizes] == [3, 1, 25, 1, 4, 4, 2, 12, 1] and len(got) > 2
+    assert [i for t, _ in got for i in t.column("at").to_pylist()] == list(range(len(g)))
+    assert all(t.num_rows == sizes.sum() for t, sizes in got) and list(KR._whole_groups(iter([]), "g")) == []
