@@ -102,7 +102,9 @@ def knn(queries: DataFrame, candidates: DataFrame, k: int, words: Sequence[str],
     ``(query_id, rank, cand_id, distance)``, rank from 1.
 
     Order is (distance, candidate id): equal distances each take a place,
-    the lower id first; fewer than k candidates return them all.  With
+    the lower id first; fewer than k candidates return them all.  Of equal
+    candidates only the k of lowest id can be among the nearest, so the work is
+    distinct queries x distinct candidates (at most k times).  With
     ``exclude_self`` a query is not its own neighbour (ids compared)."""
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -112,10 +114,17 @@ def knn(queries: DataFrame, candidates: DataFrame, k: int, words: Sequence[str],
     if exclude_self:
         return scan(queries, query_id, candidates, cand_id, words, k, True, **blocks)
     vecs = _distinct_vectors(queries, words)
-    ranked = scan(vecs, "_vid", candidates, cand_id, words, k, **blocks)
+    ranked = scan(vecs, "_vid", first_of_equal(candidates, cand_id, words, k), cand_id, words, k, **blocks)
     return _expand(queries, query_id, vecs, ranked, "_vid", words).select(query_id, "rank", cand_id, "distance")
 
 
+def first_of_equal(candidates: DataFrame, cand_id: str, words: Sequence[str], k: int) -> DataFrame:
+    """The ``k`` candidates of lowest id of every distinct vector.  Each task
+    passes on at most ``k`` rows of a vector."""
+    order = Window.partitionBy(*words).orderBy(F.col(cand_id).asc_nulls_last())
+    return candidates.select(cand_id, *words).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+
+
 def scan(queries: DataFrame, query_id: str, candidates: DataFrame, cand_id: str, words: Sequence[str], k: int,
          exclude_self: bool = False, query_block_rows: int = 1 << 20, cand_block_rows: int = 1 << 16,
          n_candidates: int | None = None) -> DataFrame:

@@ -163,3 +163,18 @@ def test_changes_of_queries_are_not_broadcast(spark, monkeypatch):
     assert got == brute(q, c, 2)
     looked_up = [p for p in plans if "_bits" in p or "sequence(0" in p]
     assert looked_up and not any("BroadcastHashJoin" in p for p in looked_up)
+
+
+def test_scan_compares_few_of_equal_candidates(spark, monkeypatch):
+    """Only the k lowest ids of equal candidates are compared, so repeats of a vector are no work."""
+    rng = np.random.default_rng(8)
+    c = [(i, int(v)) for i, v in enumerate(rng.integers(0, 6, 400))] + [(5, 3), (5, 3)]
+    q, seen, scan = list(enumerate(range(8))), [], D.scan
+
+    def counted(queries, query_id, candidates, *args, **kwargs):
+        seen.append(candidates.count())
+        return scan(queries, query_id, candidates, *args, **kwargs)
+    monkeypatch.setattr(D, "scan", counted)
+    got = [tuple(r) for r in D.knn(table(spark, q, "session_id"), table(spark, c, "item_id"), 4, ["w0"]).collect()]
+    want = [(i, r, j, d) for i, v in q for r, (d, j) in enumerate(sorted(((v ^ w).bit_count(), j) for j, w in c)[:4], 1)]
+    assert sorted(got) == sorted(want) and seen == [4 * 6]
