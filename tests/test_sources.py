@@ -150,3 +150,15 @@ def test_cluster_and_recommendation_jobs(spark):
     assert rows(jobs.evaluate(spark, f"{d}/recommended", f"{d}/purchases")) == rows(Q.RC.mrr(ranked, X.last_purchases(spark, sf)))
     first = rows(jobs.session_counts(spark, f"{d}/sessions", f"{d}/counts"))
     assert first == rows(jobs.session_counts(spark, f"{d}/nowhere", f"{d}/counts"))
+
+
+def test_inference_sorts_only_the_first_rows_of_a_file(spark, tmp_path):
+    """Rows past the sample are left out before the sort, whatever the size of the file."""
+    from cartlens.sources import inference
+    for name, cells in (("a.csv", range(4000)), ("b.csv", ["x", *range(50)]), ("c.csv", [1.5])):
+        (tmp_path / name).write_text("".join(f"{c}\n" for c in ("cell", *cells)))
+    text = inference.read_csv(spark, str(tmp_path))
+    near = [(r["_file"].rsplit("/", 1)[1], r["cell"]) for r in inference.heads(text, 5).orderBy("_row").collect()]
+    assert sorted(near) == sorted([*[("a.csv", str(i)) for i in range(5)], *[("b.csv", str(c)) for c in ("x", *range(4))], ("c.csv", "1.5")])
+    assert inference.infer_schema(spark, str(tmp_path), 5).simpleString() == "struct<cell:string>"
+    assert inference.infer_schema(spark, str(tmp_path / "a.csv"), 5).simpleString() == "struct<cell:int>"
