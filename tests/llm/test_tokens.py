@@ -164,6 +164,46 @@ def zipf_texts(n, seed=3):
     return [" ".join(rng.choice(words, rng.integers(4, 40), p=share / share.sum())) for _ in range(n)]
 
 
+def found_groups(spark, texts, every, parts=3, bits=20):
+    """(query, score) of each text as ``grouped`` gives them, the query by its number."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)
+    folder, path = scratch_folder(spark, "test"), vocabulary(BYTE_BPE)
+    packing.encode_documents(df, "doc_id", "text", path, 1, bits).write.parquet(f"{folder}/ids")
+    table = spark.read.parquet(f"{folder}/ids")
+    n, words = table.selectExpr("count(key)", "sum(words)").first()
+    sketch = spark.sparkContext.broadcast(packing.sketch_of(table, bits))
+    rows = packing.grouped(table.where("key is not null"), path, "<u2", sketch, n, words / n, every, 8, folder).collect()
+    number = {r.node: r.doc_id for r in rows}
+    assert len(rows) == len(texts)
+    return {r.doc_id: (number.get(r.query), r.score) for r in rows}
+
+
+def test_every_text_goes_to_its_best_query(spark, monkeypatch):
+    """Against the textbook sum: no list of a word and no list of candidates is cut, whatever the blocks of the index."""
+    texts = zipf_texts(300)
+    got = found_groups(spark, texts, 10)
+    scores, checked = plain_scores(texts, 8), 0
+    asking = [i for i in range(0, 300, 10) if scores[i] is not None]
+    for j, (query, score) in got.items():
+        if j % 10 and max(scores[i][j] for i in asking) > 0:
+            assert score > max(scores[i][j] for i in asking) - 3e-3
+            if query in asking:
+                assert abs(scores[query][j] - score) < 3e-3
+                checked += 1
+    assert checked > 100
+    monkeypatch.setattr(packing, "INDEX_WORDS", 40)
+    assert found_groups(spark, texts, 10, parts=5) == got
+
+
+def test_texts_no_query_reaches_go_where_their_best_text_goes(spark):
+    topics = ["alpha beta gamma", "river boat water", "engine wheel brake"]
+    texts = [f"{topics[i % 3]} n{i}" for i in range(90)] + ["river flour sugar", "flour sugar butter", "nothing shared"]
+    got = found_groups(spark, texts, 51)  # queries 0 and 51: topic 0 only
+    assert {got[i][0] for i in range(0, 90, 3)} <= {0, 51}
+    assert len({got[i][0] for i in range(1, 90, 3)}) == len({got[i][0] for i in range(2, 90, 3)}) == 1
+    assert got[90][0] == got[91][0] is not None and got[92] == (None, None)
+
+
 def test_words_are_cut_by_ids():
     e = encoder(vocabulary(BYTE_BPE))
     texts = ["the cat  the\tcat\nthe cat, strange", "", "one", " the cat"]
