@@ -204,6 +204,14 @@ def test_texts_no_query_reaches_go_where_their_best_text_goes(spark):
     assert got[90][0] == got[91][0] is not None and got[92] == (None, None)
 
 
+def test_a_text_without_partner_by_its_heaviest_words_asks_with_more(spark):
+    """Cells that hold several words make words of one text look shared; what is shared is found all the same."""
+    own = lambda k: " ".join(f"{k}{c}{c}{c}" for c in "abcdefghijkl" for _ in range(4))
+    texts = [f"{own('q')} whale", *[f"{own(chr(97 + i))} word{i}" for i in range(5)], f"{own('z')} whale"]
+    got = found_groups(spark, texts, 100, bits=4)
+    assert got[0][0] is not None and got[0][0] == got[6][0]
+
+
 def test_words_are_cut_by_ids():
     e = encoder(vocabulary(BYTE_BPE))
     texts = ["the cat  the\tcat\nthe cat, strange", "", "one", " the cat"]
