@@ -85,10 +85,11 @@ def _cogroup_blocks(queries: DataFrame, candidates: DataFrame, query_id: str, ca
     tasks = max(-(-cells // _CELLS_PER_TASK), min(spark.sparkContext.defaultParallelism, -(-cells // _CELLS_WORTH_A_TASK)))
     cb = _blocks(nc, cand_block_rows)
     qb = max(1, min(max(_blocks(nq, query_block_rows), -(-tasks // cb)), max(1, nq)))
+    # block numbers are ints on both sides: an int and a bigint of one value are hashed to different partitions
     q = queries.select(F.col(query_id).alias("_qid"), *words) \
-               .withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(qb)))
+               .withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(qb)).cast("int"))
     c = candidates.select(F.col(cand_id).alias("_cid"), *words, *carry) \
-                  .withColumn("_cb", F.pmod(F.xxhash64("_cid"), F.lit(cb)))
+                  .withColumn("_cb", F.pmod(F.xxhash64("_cid"), F.lit(cb)).cast("int"))
     q = _replicate(q, cb, "_cb")
     c = _replicate(c, qb, "_qb")
     return q.groupBy("_qb", "_cb").cogroup(c.groupBy("_qb", "_cb"))

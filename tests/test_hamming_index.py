@@ -178,3 +178,20 @@ def test_scan_compares_few_of_equal_candidates(spark, monkeypatch):
     got = [tuple(r) for r in D.knn(table(spark, q, "session_id"), table(spark, c, "item_id"), 4, ["w0"]).collect()]
     want = [(i, r, j, d) for i, v in q for r, (d, j) in enumerate(sorted(((v ^ w).bit_count(), j) for j, w in c)[:4], 1)]
     assert sorted(got) == sorted(want) and seen == [4 * 6]
+
+
+@pytest.mark.parametrize("blocks", [{}, {"query_block_rows": 5, "cand_block_rows": 30}])
+def test_blocks_meet_if_partitions_are_not_coalesced(spark, blocks):
+    """Both sides of a block go to the same partition, also where the tables are too large to be put into one."""
+    rng = np.random.default_rng(9)
+    c, q = list(enumerate(rng.integers(0, 1 << 16, 100).tolist())), list(enumerate(rng.integers(0, 1 << 16, 20).tolist()))
+    cands, queries, key = table(spark, c, "item_id"), table(spark, q, "session_id"), "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        assert rows(D.knn(queries, cands, 3, ["w0"], **blocks)) == brute(q, c, 3)
+        assert rows(H.knn_indexed(queries, cands, 3, ["w0"], 16, look_cost=100.0).neighbours) == brute(q, c, 3)
+        counted = D.distance_multiplicity(queries, cands, ["w0"], **blocks).groupBy("session_id").agg(F.sum("multiplicity").alias("n"))
+        assert {(r.session_id, r.n) for r in counted.collect()} == {(i, 100) for i, _ in q}
+    finally:
+        spark.conf.set(key, before)
