@@ -12,6 +12,7 @@ from cartlens.constants import KMODES_CLUSTERS, LONG_SESSION_MIN_ITEMS, RECENT_I
 from cartlens.functions.scalar import epoch_micros, majority_vote
 from cartlens.operators import kmodes as KM
 from cartlens.operators.sessions import sessions_in_band, time_spent
+from cartlens.runtime import written
 
 SESSION, ITEM, DATE = "session_id", "item_id", "date"
 
@@ -23,15 +24,17 @@ def newest_first(rows: DataFrame) -> list[Column]:
 
 
 def clustering_rows(sessions: DataFrame, packed: DataFrame, lo: int | None = LONG_SESSION_MIN_ITEMS,
-                    hi: int | None = None) -> DataFrame:
+                    hi: int | None = None, lengths: DataFrame | None = None) -> DataFrame:
     """Rows of sessions in the length band joined to packed item vectors
     (J1, J2): ``(session_id, item_id, date, w...)``; featureless items drop."""
-    return sessions_in_band(sessions.select(SESSION, ITEM, DATE), lo, hi).join(packed, ITEM, "inner")
+    return sessions_in_band(sessions.select(SESSION, ITEM, DATE), lo, hi, lengths).join(packed, ITEM, "inner")
 
 
 def fit_sessions(rows: DataFrame, words: Sequence[str], n_features: int, k: int = KMODES_CLUSTERS,
                  payload: Sequence[str] = (ITEM, DATE)) -> KM.KModesResult:
-    """k-modes of every session, round limit = the session's row count."""
+    """k-modes of every session, round limit = the session's row count.  The
+    rows are written once: the fit reads them several times, and they come from joins."""
+    rows = written(rows.select(SESSION, *payload, *words), "fit-rows")
     return KM.fit(rows, SESSION, newest_first(rows), words, n_features, k, max_iter="rows", payload=payload)
 
 
@@ -46,10 +49,13 @@ def clustered_preferences(result: KM.KModesResult, words: Sequence[str],
     recent = (result.assignments.select(SESSION, "_ord", *words)
                     .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_recent).drop("_r"))
     arr = KM.modes_array(result.modes, SESSION, words)
-    votes = (recent.join(arr, SESSION).select(SESSION, "_modes", KM.nearest_mode(words).alias("_c"))
-                   .groupBy(SESSION).agg(F.sum("_c").alias("_s"), F.count(F.lit(1)).alias("_n"), F.first("_modes").alias("_modes")))
-    chosen = votes.select(SESSION, F.get("_modes", majority_vote("_s", "_n").cast("int")).alias("_m"))
-    return chosen.select(SESSION, *[F.col("_m")[w].alias(w) for w in words])
+    # the words of both modes as columns of their own: fixed-width, so the aggregate is a hash aggregate
+    both = [F.get("_modes", F.lit(c))[w].alias(f"_m{c}_{w}") for c in range(2) for w in words]
+    votes = (recent.join(arr, SESSION).select(SESSION, KM.nearest_mode(words).alias("_c"), *both)
+                   .groupBy(SESSION).agg(F.sum("_c").alias("_s"), F.count(F.lit(1)).alias("_n"),
+                                         *[F.first(f"_m{c}_{w}").alias(f"_m{c}_{w}") for c in range(2) for w in words]))
+    second = majority_vote("_s", "_n").cast("int") == 1
+    return votes.select(SESSION, *[F.when(second, F.col(f"_m1_{w}")).otherwise(F.col(f"_m0_{w}")).alias(w) for w in words])
 
 
 def cluster_statistics(rows: DataFrame, targets: DataFrame, packed: DataFrame,

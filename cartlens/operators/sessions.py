@@ -42,11 +42,16 @@ def length_between(lengths: DataFrame, lo: int | None = None, hi: int | None = N
     return lengths.where(cond)
 
 
-def sessions_in_band(sessions: DataFrame, lo: int | None = None, hi: int | None = None) -> DataFrame:
+def sessions_in_band(sessions: DataFrame, lo: int | None = None, hi: int | None = None,
+                     lengths: DataFrame | None = None, null_session: bool = False) -> DataFrame:
     """Rows of sessions whose length is in the band (J1, P4): a left semi
     join on ``session_id`` with the qualifying lengths.  Spark broadcasts
-    the length side only when its runtime size passes the threshold."""
-    keep = length_between(session_lengths(sessions), lo, hi).select(SESSION)
+    the length side only when its runtime size passes the threshold.
+    ``lengths``: those of ``session_lengths``, if known already.  Rows without a
+    session id are left out, unless ``null_session`` takes them for one session."""
+    keep = length_between(session_lengths(sessions) if lengths is None else lengths, lo, hi).select(SESSION)
+    if null_session:
+        return sessions.join(keep.withColumnRenamed(SESSION, "_kept"), F.col(SESSION).eqNullSafe(F.col("_kept")), "left_semi")
     return sessions.join(keep, SESSION, "left_semi")
 
 

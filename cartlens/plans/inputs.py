@@ -9,7 +9,8 @@ from cartlens.constants import SHORT_SESSION_MAX_ITEMS
 from cartlens.functions.bits import word_names
 from cartlens.operators import preference as PF
 from cartlens.operators.features import clean_features, encode_features, pack_features, wide_to_words
-from cartlens.operators.sessions import session_preferences
+from cartlens.operators.sessions import session_lengths, session_preferences, sessions_in_band
+from cartlens.runtime import written
 from cartlens.sources import fixtures
 
 EMB_CATS = fixtures.EMBEDDING_CATEGORIES
@@ -38,11 +39,15 @@ def emb_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_words(sessions: DataFrame, features: DataFrame, categories, boundary: int = SHORT_SESSION_MAX_ITEMS) -> DataFrame:
     """Packed preference vector of every session with an item that has
     features: by mean and threshold up to ``boundary`` items (C3), by
-    clustering above it (C4)."""
+    clustering above it (C4).  The sessions and their lengths are written once:
+    both ways read them several times, and they may come from a join of large tables."""
     cols, words = [str(c) for c in categories], word_names(len(categories))
+    sessions = written(sessions.select("session_id", "item_id", "date"), "sessions")
+    lengths = written(session_lengths(sessions), "lengths")
     encoded = encode_features(clean_features(features), categories)
-    short = wide_to_words(session_preferences(sessions, encoded, cols, hi=boundary, planes=1), cols, ["session_id"])
-    rows = PF.clustering_rows(sessions, pack_features(features, categories), lo=boundary + 1)
+    some = sessions_in_band(sessions, hi=boundary, lengths=lengths, null_session=True)
+    short = wide_to_words(session_preferences(some, encoded, cols, hi=boundary, planes=1), cols, ["session_id"])
+    rows = PF.clustering_rows(sessions, pack_features(features, categories), lo=boundary + 1, lengths=lengths)
     return short.unionByName(PF.clustered_preferences(PF.fit_sessions(rows, words, len(cols)), words))
 
 

@@ -137,3 +137,31 @@ def test_checkpoint_in_place_leaves_the_session_alone(spark):
         type(spark.conf).set = put
     assert not seen and spark.conf.get("spark.sql.adaptive.enabled") == "true"
     assert "Exchange" not in _simple(kept.groupBy("g").count()) and kept.count() == 500
+
+
+def test_sessions_are_computed_once(spark):
+    """Preferences read their sessions several times, but compute them (a join of large tables, it may be) once."""
+    from datetime import datetime
+
+    from cartlens.functions.bits import word_names
+    from cartlens.operators import preference as PF
+    from cartlens.plans.inputs import session_words
+    rows = [(s, i % 7, datetime(2026, 1, 1 + i)) for s, n in ((1, 4), (2, 25), (3, 3), (None, 2)) for i in range(n)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+    plain = spark.createDataFrame(rows, "session_id long, item_id long, date timestamp")
+    sessions = plain.mapInArrow(counted, plain.schema)
+    features = spark.createDataFrame([(i, 1 + c, 1) for i in range(7) for c in range(5) if (i + c) % 3 == 0],
+                                     "item_id long, feature_category_id int, feature_value_id int")
+    got = session_words(sessions, features, range(1, 6))
+    # the row without a session id is a short session of its own, and none to cluster
+    assert sorted((r.session_id for r in got.collect()), key=str) == [1, 2, 3, None]
+    assert seen.value == len(rows)
+    vectors = spark.createDataFrame([(i, 1 << i % 5) for i in range(7)], "item_id long, w0 long")
+    PF.fit_sessions(PF.clustering_rows(plain, vectors, lo=4).mapInArrow(counted, "session_id long, item_id long, date timestamp, w0 long"),
+                    word_names(5), 5).assignments.collect()
+    assert seen.value == len(rows) + 29
