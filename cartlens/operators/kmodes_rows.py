@@ -286,13 +286,13 @@ def fitted_bits(rows: DataFrame, group: str, order: Sequence[Column], words: Seq
     schema = known.drop("_start").schema
     fields = ", ".join([f"`{cluster}` int", "distance int", "rounds int", "_m array<bigint>"])
     out = T.StructType([*schema.fields, *T._parse_datatype_string(fields).fields])
-    n_words = len(words)
+    n_words, started = len(words), initial is not None  # tasks get no table, only whether there is one
 
     def fit(batches):
         for table, sizes in _whole_groups(batches, group):
             cells = np.stack([pc.fill_null(table.column(w), 0).to_numpy().astype(np.int64).view(np.uint64) for w in words], axis=1)
             at, starts_at = np.cumsum(sizes) - sizes, None
-            if initial is not None:
+            if started:
                 given = table.column("_start").take(pa.array(at)).combine_chunks()
                 starts_at = given.flatten().to_numpy().view(np.uint64).reshape(len(sizes), k, n_words)
             limits = sizes if max_iter == "rows" else np.full(len(sizes), int(max_iter))
