@@ -312,3 +312,69 @@ def test_regions_keep_best_neighbours_together(spark):
     assert regions == 8 and len(region) == 400
     together = sum(region[v] == region[n[0]] for v, n in lists.items()) / len(lists)
     assert together > 0.9 and max(Counter(region.values()).values()) <= 150
+
+
+PLAIN = "ab Z'stre9.,!\n\t\r évlmd«µ"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from(PLAIN), max_size=40), min_size=1, max_size=5))
+def test_cuts_are_those_of_the_pattern(texts):
+    from cartlens.llm.tokens import _SPLIT, byte_cuts
+    codes = [t.encode("latin-1") for t in texts]
+    begins = np.cumsum([0, *map(len, codes)])
+    got = byte_cuts(np.frombuffer(b"".join(codes), np.uint8), np.array([b for b, c in zip(begins, codes) if c], np.int64)) if any(codes) else np.zeros(0)
+    want = [b + m.start() for b, t in zip(begins, texts) for m in _SPLIT["byte"].finditer(t)]
+    assert got.tolist() == want
+
+
+@pytest.mark.parametrize("cache", [1_000_000, 40])
+def test_pieces_are_cut_and_found_for_all_texts_at_once(monkeypatch, cache):
+    """No text is split by the pattern one by one, and pieces up to a length are not looked up one by one."""
+    from cartlens.llm import tokens
+
+    class Refused:
+        def findall(self, text):
+            raise AssertionError("a text was split by itself")
+
+    monkeypatch.setitem(tokens._SPLIT, "byte", Refused())
+    e = Encoder(vocabulary(BYTE_BPE), cache)
+    texts = ["", "one two  three\n four's", "", "é" * 16 + " " + "x" * 16, "y" * 17 + " " + "=" * 300, *(f"w{i} v{i % 7}" for i in range(300)), " " * 40]
+    for _ in range(2):
+        for some in (texts, texts[:3], [""], texts[::-1]):
+            assert [i.tolist() for i in e.encode(some, 1)] == [[*e.whole(t), 1] for t in some]
+            assert [i.tolist() for i in e.encode(some)] == [e.whole(t) for t in some]
+    assert all(len(p) > tokens.LONGEST for p in e.cache)
+
+
+def test_pieces_with_the_same_slot_are_told_apart():
+    from cartlens.llm.tokens import Pieces
+    rng, p = np.random.default_rng(3), Pieces(bits=2)
+    keys = np.unique(rng.integers(1, 60, (500, 2), dtype=np.uint64), axis=0)
+    for at in range(0, len(keys), 37):
+        low, high = keys[at:at + 37, 0], keys[at:at + 37, 1]
+        assert (p.find(low, high) == -1).all()
+        p.add(low, high, [np.arange(a, a + b % 5, dtype=np.uint32).tobytes() for a, b in zip(low.tolist(), high.tolist())])
+    want = [np.arange(a, a + b % 5, dtype=np.uint32).tobytes() for a, b in keys.tolist()]
+    assert p.ids_at(p.find(keys[:, 0], keys[:, 1])) == want and p.size == len(keys)
+
+
+def test_filtered_words_are_those_of_the_index():
+    """Words that no query asks for may be left out of a search; a text's number of words stays."""
+    e = encoder(vocabulary(BYTE_BPE))
+    texts = [np.array(e.whole(t), np.uint16) for t in ("a b c a", "", "d e f " * 9, "x y a")]
+    owner, hashes, tf, sizes = packing.batch_terms(e, texts)
+    words = np.unique(hashes)[::3]
+    got = packing.batch_terms(e, texts, packing.marks(words))
+    assert got[3].tolist() == sizes.tolist()
+    some, kept = np.isin(hashes, words), np.isin(got[1], words)
+    assert [c[some].tolist() for c in (owner, hashes, tf)] == [c[kept].tolist() for c in got[:3]]
+
+
+def test_documents_no_query_reaches_are_not_read_again_for_their_words(spark, monkeypatch):
+    read, plain = [], packing.asked_words
+    monkeypatch.setattr(packing, "asked_words", lambda *a: read.append(a) or plain(*a))
+    rows = [(i, f"only{i % 5} other{i % 5} of{i % 5}") for i in range(1, 41)] + [(0, "nothing else")] * 2
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), window=64).collect()
+    assert sum(r.length for r in got) == sum(len(encoder(vocabulary(BYTE_BPE)).whole(t)) + 1 for _, t in rows)
+    assert len(read) == 1
