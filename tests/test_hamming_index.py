@@ -195,3 +195,51 @@ def test_blocks_meet_if_partitions_are_not_coalesced(spark, blocks):
         assert {(r.session_id, r.n) for r in counted.collect()} == {(i, 100) for i, _ in q}
     finally:
         spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 30])
+def test_look_ups_are_no_rows_of_a_table(spark, monkeypatch, piece):
+    """What is written of a round is a row for each query and piece, however many changes are looked up and buckets found."""
+    from pyspark.sql import DataFrameWriter
+    monkeypatch.setattr(H, "PIECE", piece)
+    sizes, plans, original = {}, {}, DataFrameWriter.parquet
+
+    def parquet(self, path, *args, **kwargs):
+        plans[path.rsplit("/", 1)[1]] = self._df._jdf.queryExecution().optimizedPlan().toString()
+        original(self, path, *args, **kwargs)
+        sizes[path.rsplit("/", 1)[1]] = spark.read.parquet(path).count()
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    rng = np.random.default_rng(10)
+    c, q = list(enumerate(clustered(rng, 120, 16, 4, 6))), list(enumerate(clustered(rng, 20, 16, 4, 6)))
+    got = H.knn_indexed(table(spark, q, "session_id"), table(spark, c, "item_id"), 3, ["w0"], 16, look_cost=0.1, blocks=2)
+    assert rows(got.neighbours) == brute(q, c, 3)
+    pieces = -(-len({v for _, v in c}) // piece)
+    looked, probes = got.work.agg(F.sum("looked"), F.sum("probes")).first()
+    found = {name: n for name, n in sizes.items() if name.startswith("found-")}
+    assert len(found) > 1 and max(found.values()) <= 20 * pieces < probes
+    assert sum(found.values()) < looked and not any("_bits" in plans[name] for name in found)
+
+
+@pytest.mark.parametrize("direct", [0, 22])
+@pytest.mark.parametrize("features", [5, 16, 64, 70])
+def test_buckets_by_any_number_of_features(monkeypatch, direct, features):
+    """Found by table or by search, in one word or two: all rows with that content, and no others."""
+    monkeypatch.setattr(H, "DIRECT", direct)
+    rng = np.random.default_rng(features)
+    vectors = rng.integers(0, 1 << 63, (300, 2), dtype=np.uint64) & np.uint64(0x8000_0000_0000_0007)
+    some = sorted(rng.permutation(73)[:features].tolist())
+    buckets, own = H.Buckets(vectors, some), H.content(vectors, some)
+    asked = np.concatenate([own[:40], own[:40] ^ np.uint64(1)])
+    hit, bucket = buckets.find(asked)
+    got = {int(h): sorted(buckets.order[buckets.first[b]:buckets.first[b] + buckets.size[b]].tolist()) for h, b in zip(hit, bucket)}
+    want = {i: [r for r in range(300) if (own[r] == a).all()] for i, a in enumerate(asked)}
+    assert got == {i: r for i, r in want.items() if r}
+
+
+def test_changes_come_once_each(monkeypatch):
+    bits = np.uint64(1) << np.arange(7, dtype=np.uint64)[:, None]
+    for at_once in (1 << 20, 3):
+        monkeypatch.setattr(H, "AT_ONCE", at_once)
+        for a in range(8):
+            got = np.concatenate(list(H.changes(bits, a)))[:, 0].tolist()
+            assert sorted(got) == [v for v in range(128) if v.bit_count() == a]
